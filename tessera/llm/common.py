@@ -76,8 +76,9 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(1, math.ceil(total / block_bytes))
 
 
-def block_of(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
+def block_of(blocks: int, *key: str) -> Column:
+    """Rows that agree in the whole key share a block; give id and text, so that rows of one id (or none) are spread."""
+    return F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("long")
 
 
 def crc_remainder(doc_id: Column, modulus: int) -> Column:

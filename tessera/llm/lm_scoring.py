@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     blocks = block_count(docs, block_bytes=block_bytes)
     buckets = math.ceil(blocks / 4)
-    docs = docs.withColumn("block", block_of(F.coalesce(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), blocks)).repartition(blocks, "block")
+    docs = docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(blocks, "block")
     packed = scratch.table(docs.groupBy("block").applyInPandas(_gather(depth, buckets), _PACKED))
     grams = packed.where("kind = 'g'").select("bucket", "block", "keys", "vals").repartition(buckets, "bucket")
     words = packed.where("kind = 'w'").select("bucket", "block", "keys", "vals").repartition(buckets, "bucket")
