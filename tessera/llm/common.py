@@ -15,7 +15,6 @@ once per block, packed with the block's other keys into one binary value.
 from __future__ import annotations
 
 import atexit
-import gc
 import math
 import tempfile
 import uuid
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,11 +52,14 @@ class Scratch:
         """df, written and read again."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")  # the shuffle files of this write go with its end
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
-        del df
-        self.release()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -65,11 +68,6 @@ class Scratch:
             path = hadoop(t._tessera_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Shuffle files go only when the driver's JVM has collected their handles."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

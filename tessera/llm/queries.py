@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lm_scoring, simhash, substring
+from tessera.llm import ann, bpe, lm_scoring, mixing, quality, sharding, simhash, substring, url_filter, vecdedup
 from tessera.llm.common import crc_remainder
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+THRESHOLD = 0.3
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -20,16 +25,105 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(docs, crc_remainder(F.col("doc_id"), 7) != 2)
 
 
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    return quality.train(docs, _read(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 5) != 0)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_read(spark, sf_dir, "documents"), 24)
+
+
+def op5_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), bpe.read_ranks(RANKS), PATTERN)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(_read(spark, sf_dir, "documents"))
+
+
+#: Verdict, host and path of the rules.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_simhash_neardup, op9_substring_dedup)}
+    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup)
+    return {f.__name__: f for f in all_}
+
+
+def _op8_sql() -> str:
+    """Rules from the longest to the shortest, then the vocabulary's terms between boundaries."""
+    rules = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+    fits = []
+    for _, rule in rules:
+        host, _, tail = rule.partition("/")
+        fits.append(f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{tail}')")
+    rule = " ".join(f"WHEN {f} THEN '{r}'" for f, (_, r) in zip(fits, rules, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _) in zip(fits, rules, strict=True))
+    count = lambda terms: " + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), h AS (SELECT *, {count(url_filter.STRICT)} AS strict_hits, {count(url_filter.SOFT)} AS soft_hits FROM p)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict,
+       strict_hits, soft_hits
+FROM h
+"""
+
+
+#: Links by cosine within a label, and their transitive closure.
+OP10_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), comp AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+deg AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT embeddings.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, comp.component_id,
+       embeddings.vec_id = comp.component_id AS kept
+FROM embeddings JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)
+"""
 
 
 #: Windows of 50 words and the smallest document that starts each.
@@ -54,4 +148,4 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {"op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_vector_neardup": OP10_SQL}

@@ -156,3 +156,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.table(rooted.join(named, "root").select(F.col("print").alias("p"), "component_id"))
     out = prints.join(classes, prints["print"] == classes["p"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """docs with its columns: of each component the row with the smallest id.
+
+    Of several rows with that id and one fingerprint, the first by text stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.table(near_duplicates(docs, id_col, text_col, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fingerprint").alias("kept_print"), "component_id").distinct())
+    # a repeated id can be in a component twice, with different texts: one of them stays
+    found = found.groupBy("component_id").agg(F.first("kept_id").alias("kept_id"), F.min("kept_print").alias("kept_print"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+    some = row.join(found.select("kept_id").distinct(), F.col("key").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    unique = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    single = some.join(unique.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").select("row")
+    several = some.join(unique.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    out = several.mapInArrow(_with_print(width), several.select("row").schema.add("key", several.schema["key"].dataType).add("print", "string"))
+    out = out.join(found, F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print"))).groupBy("component_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(out).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _with_print(width: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [f"{fingerprint(t.as_py(), width):016x}" for t in b.column("body")]
+            yield pa.record_batch([b.column("row"), b.column("key"), pa.array(prints, pa.string())], ["row", "key", "print"])
+
+    return f
