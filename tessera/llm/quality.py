@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -279,8 +280,6 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs with its columns, without the rows that the model scores below the threshold."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(list(text)))

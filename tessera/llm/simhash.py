@@ -80,15 +80,20 @@ def _fingerprints(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = [_signed(fingerprint(t.as_py(), width)) for t in b.column("text")]
-            yield pa.record_batch([b.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            yield pa.record_batch([b.column("doc_id"), b.column("body"), pa.array(prints, pa.int64())], ["doc_id", "body", "print"])
 
     return f
 
 
+def _body(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, print): print is the fingerprint's 64 bits as a long."""
+    """(doc_id, body, print): a hash of the text, and the fingerprint's 64 bits as a long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(width), f"doc_id {kind}, print long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _body(text_col).alias("body"))
+    return rows.mapInArrow(_fingerprints(width), f"doc_id {kind}, body long, print long")
 
 
 def distance(x: Column, reference: int) -> Column:
@@ -144,8 +149,8 @@ def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(shared).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body, print) of every row, and (p, root, component_id) of every distinct print."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs, id_col, text_col, width))
     # partial minima reach the shuffle: a fingerprint that most rows share costs one row a task
@@ -153,34 +158,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("print"), scratch), scratch)
     rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = scratch.table(rooted.join(named, "root").select(F.col("print").alias("p"), "component_id"))
+    return prints, scratch.table(rooted.join(named, "root").select(F.col("print").alias("p"), "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row."""
+    prints, classes = _rooted(docs, id_col, text_col, width)
     out = prints.join(classes, prints["print"] == classes["p"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """docs with its columns: of each component the row with the smallest id.
-
-    Of several rows with that id and one fingerprint, the first by text stays.
-    """
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.table(near_duplicates(docs, id_col, text_col, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fingerprint").alias("kept_print"), "component_id").distinct())
-    # a repeated id can be in a component twice, with different texts: one of them stays
-    found = found.groupBy("component_id").agg(F.first("kept_id").alias("kept_id"), F.min("kept_print").alias("kept_print"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("body"))
-    some = row.join(found.select("kept_id").distinct(), F.col("key").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    unique = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    single = some.join(unique.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").select("row")
-    several = some.join(unique.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    out = several.mapInArrow(_with_print(width), several.select("row").schema.add("key", several.schema["key"].dataType).add("print", "string"))
-    out = out.join(found, F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print"))).groupBy("component_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
-    return single.unionByName(out).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-
-
-def _with_print(width: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints = [f"{fingerprint(t.as_py(), width):016x}" for t in b.column("body")]
-            yield pa.record_batch([b.column("row"), b.column("key"), pa.array(prints, pa.string())], ["row", "key", "print"])
-
-    return f
+    """docs with its columns: one row of each component, that with the smallest id (and hash of its text)."""
+    prints, classes = _rooted(docs, id_col, text_col, width)
+    rows = prints.groupBy("doc_id", "body", "print").agg(F.count("*").alias("times"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body", "times")).alias("best")
+    kept = rows.join(classes, rows["print"] == classes["p"]).groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.body").alias("b"), "best.times")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _body(text_col).alias("body"))
+    out = row.join(kept, row["doc_id"].eqNullSafe(kept["k"]) & (row["body"] == kept["b"])).select("row", "doc_id", "body", "times")
+    repeated = out.where("times > 1").groupBy("doc_id", "body").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    out = out.where("times = 1").select("row").unionByName(repeated)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
