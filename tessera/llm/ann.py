@@ -2,7 +2,9 @@
 
 The index is fitted on a bounded sample (``vectors.FIT_ROWS``) and holds every row: its
 coarse cell and the codes of its residual, one byte for each of ``PARTS`` sub-vectors.
-A query visits its nearest cells, ranks their rows by asymmetric distance tables (the
+How many cells a query visits is measured: in the sample, how near to a vector's own
+place in the order of cells the cells of its true neighbours come; the number of visits
+is that which holds ``TARGET`` of them. A query visits its nearest cells, ranks their rows by asymmetric distance tables (the
 query's residual against all codewords, summed by code) and measures the best
 ``SHORTLIST`` of each list exactly, in double precision on the original vectors.
 
@@ -34,8 +36,8 @@ CODES = 256
 SHORTLIST = 100
 LIST_ROWS = 16_384
 MAX_CELLS = 4096
-#: Share of the cells that a query visits, and the least number of them.
-PROBE_SHARE, LEAST_PROBES = 0.25, 8
+#: Share of true neighbours whose cells are visited, and the sample's vectors that this is measured on.
+TARGET, TRIALS = 0.97, 400
 
 
 class Index:
@@ -55,6 +57,18 @@ class Index:
         codes = [squared(left[:, a:b], w).argmin(axis=1) for a, b, w in zip(self.cuts, self.cuts[1:], self.words, strict=False)]
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
+    def probes(self, x: np.ndarray, k: int, target: float) -> int:
+        """Cells to visit, so that the sample's k nearest neighbours lie in them with the given share."""
+        trial = x[np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)]
+        cell = squared(x, self.coarse).argmin(axis=1)
+        ranks = []
+        for q in trial:
+            place = np.empty(len(self.coarse), np.int64)
+            place[((self.coarse - q) ** 2).sum(axis=1).argsort(kind="stable")] = np.arange(len(self.coarse))
+            near = ((x - q) ** 2).sum(axis=1)
+            ranks.append(place[cell[np.argpartition(near, min(k, len(x) - 1))[: k + 1]]])
+        return min(len(self.coarse), int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1)
+
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances of the parts of q's residual to all codewords."""
         left = q - self.coarse[cell]
@@ -64,7 +78,7 @@ class Index:
         return out
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest among all others."""
     spark = rows.sparkSession
     scratch = Scratch(spark)
@@ -74,8 +88,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     n = base.count()
     if not n:
         return spark.createDataFrame([], none)
-    index = Index(sample(base), n)
-    cells = len(index.coarse)
+    fitted = sample(base)
+    index = Index(fitted, n)
+    cells, probes = len(index.coarse), index.probes(fitted, k, target)
 
     def encode(batches):
         for pdf in batches:
@@ -88,7 +103,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     for cell, count in stored.groupBy("cell").count().collect():
         sizes[cell] = count
     split = np.maximum(1, -(-sizes // LIST_ROWS))
-    probes = min(cells, max(LEAST_PROBES, math.ceil(probe_share * cells)))
 
     def visit(batches):
         for pdf in batches:
@@ -113,21 +127,23 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     lists = stored.select("cell", "id", "v", "codes").mapInPandas(part_of, "cell long, id long, v array<double>, codes binary, part long")
 
     def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        queries, names, scores = [], [], []
         if len(asked) and len(held):
             cell = int(held["cell"].iloc[0])
             ids, x = held["id"].to_numpy(np.int64), np.array(held["v"].tolist(), np.float64)
-            codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1).T
-            for i, v in zip(asked["id"], asked["v"], strict=True):
-                q = np.array(v, np.float64)
-                table = index.tables(q, cell)
-                rough = np.where(ids == i, np.inf, sum(t[c] for t, c in zip(table, codes, strict=True)))
-                best = np.argpartition(rough, SHORTLIST)[:SHORTLIST] if len(rough) > SHORTLIST else np.arange(len(rough))
+            codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
+            parts = np.arange(codes.shape[1])
+            for i, v in zip(asked["id"].tolist(), np.array(asked["v"].tolist(), np.float64), strict=True):
+                rough = index.tables(v, cell)[parts, codes].sum(axis=1)
+                best = np.argpartition(rough, SHORTLIST)[: SHORTLIST + 1] if len(rough) > SHORTLIST else np.arange(len(rough))
                 best = best[ids[best] != i]
-                far = np.sqrt(((x[best] - q) ** 2).sum(axis=1))
+                far = np.sqrt(((x[best] - v) ** 2).sum(axis=1))
                 keep = np.lexsort((ids[best], far))[: 2 * k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[best][keep], "score": far[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                queries.append(np.full(len(keep), i))
+                names.append(ids[best][keep])
+                scores.append(far[keep])
+        join = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
+        return pd.DataFrame({"query_id": join(queries, np.int64), "vec_id": join(names, np.int64), "score": join(scores, float)})
 
     found = visits.groupBy("cell", "part").cogroup(lists.groupBy("cell", "part")).applyInPandas(look, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
