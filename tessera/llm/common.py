@@ -18,6 +18,7 @@ import atexit
 import math
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,11 +103,24 @@ def spread(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((k >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array as compressed byte planes: high bytes of sorted keys and of small counts all but vanish."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def unpack(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
 def by_part(keys: np.ndarray, parts: np.ndarray, *values: np.ndarray):
     """(part, keys, *values) for each part that has keys; order within a part is kept."""
+    if not len(keys):
+        return
     order = np.argsort(parts, kind="stable")
     p = parts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True):
         pick = order[a:b]
         yield int(p[a]), keys[pick], *(v[pick] for v in values)

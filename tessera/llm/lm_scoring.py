@@ -14,7 +14,7 @@ grams, whose number saturates, are dealt again by the two bytes nearest to the
 predicted one, where subtrees are weighted from the leaves up; the two topmost levels
 (at most 65 535 nodes, a fixed bound) are finished on the driver and sent back. The
 resulting log probability of each gram and the count of each word return to the blocks
-that asked for them. No table is broadcast, none grows in one task with the corpus:
+that asked for them, as 32-bit floats. No table is broadcast, none grows in one task with the corpus:
 a gram or word that occurs everywhere costs one entry per block.
 
 Defined results: a null text counts as empty (only the end is scored); a null id is a
@@ -27,6 +27,7 @@ input, so further columns, whatever their names, don't matter.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import context_tree as ct
-from tessera.llm.common import BLOCK_BYTES, Scratch, block_count, block_of, by_part, lower_words, spread
+from tessera.llm.common import (
+    BLOCK_BYTES,
+    Scratch,
+    block_count,
+    block_of,
+    by_part,
+    lower_words,
+    pack,
+    spread,
+    unpack,
+)
 
 DEPTH = 5
 #: Bytes of text that are turned into grams at once.
@@ -101,34 +112,37 @@ def _gather(depth: int, buckets: int):
         seen, n = _gram_counts(streams[1], depth)
         grams, counts = ct.merge_counts([unseen, seen], [np.zeros(len(unseen), np.int64), n])
         for part, k, c in by_part(grams, spread(grams, buckets), counts):
-            rows.append(("g", part, block, k.tobytes(), c.tobytes()))
+            rows.append(("g", part, block, pack(k), pack(c)))
         split: dict[int, list[bytes]] = {}
         for x in tokens:
             split.setdefault(_word_part(x, buckets), []).append(x)
         for part, k in split.items():
-            rows.append(("w", part, block, b" ".join(k), np.array([tokens[x] for x in k], np.int64).tobytes()))
+            rows.append(("w", part, block, _pack_words(k), pack(np.array([tokens[x] for x in k], np.int64))))
         return pd.DataFrame(rows, columns=["kind", "bucket", "block", "keys", "vals"])
 
     return f
 
 
 def _word_part(word: bytes, buckets: int) -> int:
-    import zlib
-
     return zlib.crc32(word) * 0x9E3779B1 % 0x100000000 % buckets
 
 
-def _longs(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.int64)
+def _pack_words(words: list[bytes]) -> bytes:
+    """Words hold no space; the end, which is empty, is a word like others."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def _words_of(blob: bytes) -> list[bytes]:
+    return zlib.decompress(blob).split(b" ")
 
 
 def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of a bucket's words, for each block that holds them; n_all and n_known once."""
     total: dict[bytes, int] = {}
     for k, v in zip(pdf["keys"], pdf["vals"], strict=True):
-        for x, n in zip(k.split(b" "), _longs(v).tolist(), strict=True):
+        for x, n in zip(_words_of(k), unpack(v).tolist(), strict=True):
             total[x] = total.get(x, 0) + n
-    vals = [np.array([total[x] for x in k.split(b" ")], np.int64).tobytes() for k in pdf["keys"]]
+    vals = [pack(np.array([total[x] for x in _words_of(k)], np.int64)) for k in pdf["keys"]]
     out = pd.DataFrame({"kind": "w", "block": pdf["block"], "keys": pdf["keys"], "vals": vals, "n_all": 0, "n_known": 0})
     out.loc[out.index[0], ["n_all", "n_known"]] = [sum(total.values()), sum(n > 0 for n in total.values())]
     return out
@@ -137,9 +151,9 @@ def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sum_grams(tree_parts: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         """Distinct grams of a bucket with their counts, packed by the bytes nearest to the predicted one."""
-        grams, n = ct.merge_counts([_longs(k) for k in pdf["keys"]], [_longs(v) for v in pdf["vals"]])
+        grams, n = ct.merge_counts([unpack(k) for k in pdf["keys"]], [unpack(v) for v in pdf["vals"]])
         root = (grams >> 8) & ((1 << 8 * ct.TOP) - 1)
-        rows = [(p, int(pdf["bucket"].iloc[0]), k.tobytes(), c.tobytes()) for p, k, c in by_part(grams, spread(root, tree_parts), n)]
+        rows = [(p, int(pdf["bucket"].iloc[0]), pack(k), pack(c)) for p, k, c in by_part(grams, spread(root, tree_parts), n)]
         return pd.DataFrame(rows, columns=["part", "bucket", "keys", "vals"])
 
     return f
@@ -147,9 +161,9 @@ def _sum_grams(tree_parts: int):
 
 def _subtrees(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(grams, counts, bucket) of each subtree in a part."""
-    grams = np.concatenate([_longs(k) for k in pdf["keys"]])
-    counts = np.concatenate([_longs(v) for v in pdf["vals"]])
-    bucket = np.repeat(pdf["bucket"].to_numpy(), [len(k) // 8 for k in pdf["keys"]])
+    each = [unpack(k) for k in pdf["keys"]]
+    grams, counts = np.concatenate(each), np.concatenate([unpack(v) for v in pdf["vals"]])
+    bucket = np.repeat(pdf["bucket"].to_numpy(), [len(k) for k in each])
     root = (grams >> 8) & ((1 << 8 * ct.TOP) - 1)
     order = np.lexsort((grams, root))
     grams, counts, bucket, root = grams[order], counts[order], bucket[order], root[order]
@@ -182,7 +196,8 @@ def _probabilities(depth: int, reach: np.ndarray, rest: np.ndarray):
             o = np.argsort(grams)
             t = ct.Levels(grams[o], counts[o], depth)
             for p, k, v in by_part(grams, bucket, t.log10_bytes(grams, reach, rest)):
-                rows.append((p, k.tobytes(), v.tobytes()))
+                o = np.argsort(k)
+                rows.append((p, pack(k[o]), pack(v[o].astype(np.float32))))
         return pd.DataFrame(rows, columns=["bucket", "keys", "vals"])
 
     return f
@@ -190,11 +205,11 @@ def _probabilities(depth: int, reach: np.ndarray, rest: np.ndarray):
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """For each block that asked this bucket: its grams with their log probabilities."""
-    k = np.concatenate([_longs(x) for x in known["keys"]])
-    v = np.concatenate([np.frombuffer(x) for x in known["vals"]])
+    k = np.concatenate([unpack(x) for x in known["keys"]])
+    v = np.concatenate([unpack(x, np.float32) for x in known["vals"]])
     order = np.argsort(k)
     k, v = k[order], v[order]
-    vals = [v[np.searchsorted(k, _longs(x))].tobytes() for x in asked["keys"]]
+    vals = [pack(v[np.searchsorted(k, unpack(x))]) for x in asked["keys"]]
     return pd.DataFrame({"kind": "g", "block": asked["block"], "keys": asked["keys"], "vals": vals})
 
 
@@ -205,10 +220,10 @@ def _score(depth: int, n_all: int, n_known: int):
         words = told[told["kind"] == "w"]
         count: dict[bytes, int] = {}
         for k, v in zip(words["keys"], words["vals"], strict=True):
-            count.update(zip(k.split(b" "), _longs(v).tolist(), strict=True))
+            count.update(zip(_words_of(k), unpack(v).tolist(), strict=True))
         told = told[told["kind"] == "g"]
-        keys = np.concatenate([_longs(k) for k in told["keys"]] or [np.zeros(0, np.int64)])
-        vals = np.concatenate([np.frombuffer(v) for v in told["vals"]] or [np.zeros(0)])
+        keys = np.concatenate([unpack(k) for k in told["keys"]] or [np.zeros(0, np.int64)])
+        vals = np.concatenate([unpack(v, np.float32) for v in told["vals"]] or [np.zeros(0)]).astype(np.float64)
         order = np.argsort(keys)
         keys, vals = keys[order], vals[order]
         n, known, base, streams = [], [], [], []
@@ -234,7 +249,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = Scratch(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    docs = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     blocks = block_count(docs, block_bytes=block_bytes)
     buckets = math.ceil(blocks / 4)
     docs = docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(blocks, "block")
@@ -252,9 +267,11 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     above = top["above"].to_numpy(np.int64)
     reach, rest = ct.tops(above >> 8, above & 0xFF, *(top.iloc[:, k].to_numpy() for k in (1, 2, 3)))
     known = tree_by_part.applyInPandas(_probabilities(depth, reach, rest), "bucket long, keys binary, vals binary").repartition(buckets, "bucket")
-    told = grams.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_answer, "kind string, block long, keys binary, vals binary")
+    asked = grams.select("bucket", "block", "keys").groupBy("bucket")
+    told = asked.cogroup(known.groupBy("bucket")).applyInPandas(_answer, "kind string, block long, keys binary, vals binary")
     told = told.unionByName(words.select("kind", "block", "keys", "vals")).repartition(blocks, "block")
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+    out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
         _score(depth, int(n_all), int(n_known)),
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))  # as text within, since pandas would round longs beside nulls
