@@ -168,14 +168,167 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """docs with its columns: one row of each component, that with the smallest id (and hash of its text)."""
-    prints, classes = _rooted(docs, id_col, text_col, width)
-    rows = prints.groupBy("doc_id", "body", "print").agg(F.count("*").alias("times"))
+def _first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its columns: one row of each root, that with the smallest id (and hash of its text). rows: (doc_id, body, root)."""
+    rows = rows.groupBy("doc_id", "body", "root").agg(F.count("*").alias("times"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body", "times")).alias("best")
-    kept = rows.join(classes, rows["print"] == classes["p"]).groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.body").alias("b"), "best.times")
+    kept = rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.body").alias("b"), "best.times")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _body(text_col).alias("body"))
     out = row.join(kept, row["doc_id"].eqNullSafe(kept["k"]) & (row["body"] == kept["b"])).select("row", "doc_id", "body", "times")
     repeated = out.where("times > 1").groupBy("doc_id", "body").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     out = out.where("times = 1").select("row").unionByName(repeated)
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """docs with its columns: one row of each component of near_duplicates."""
+    prints, classes = _rooted(docs, id_col, text_col, width)
+    return _first_of_each(docs, prints.join(classes, prints["print"] == classes["p"]).select("doc_id", "body", "root"), id_col, text_col)
+
+
+# --- by similarity -----------------------------------------------------------------------
+#
+# A similarity of 0.8 between sets of shingles puts fingerprints far more than two bits
+# apart, so links by similarity use wide fingerprints: ``WORDS`` words of 64 bits. Each
+# key holds the coordinates of some references that differ from the base reference in
+# one bit each: two fingerprints share a key if they are equally far from all of them.
+# The number of references in a key grows with the logarithm of the number of texts, and
+# the number of keys so that a pair of the given similarity shares one with a probability
+# of ``RECALL``. Pairs that share a key are discarded by their largest coordinate
+# difference to ``FAR_REFERENCES`` and verified by their distance. Members of a key are
+# searched breadth first, so that a key with many members gives an edge for each member
+# and still connects all of them.
+
+WORDS = 4
+RECALL = 0.97
+FAR_REFERENCES = 16
+#: Rows of keys that one task sorts, on average.
+KEY_ROWS = 500_000
+
+_EXPAND = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FAR = np.random.default_rng(22).integers(0, 2**64, (FAR_REFERENCES, WORDS), dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
+    """WORDS words: majority bits of the distinct shingles' hashes, each expanded to as many bits."""
+    w = lower_words(text)
+    if not w:
+        return np.zeros(WORDS, np.uint64)
+    shingles = {b" ".join(w)} if len(w) <= width else set(map(b" ".join, zip(*(w[k:] for k in range(width)), strict=False)))
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles), np.uint64, len(shingles))
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(h), 4096):
+        for j, odd in enumerate(_EXPAND):
+            m = (h[at : at + 4096] ^ odd) * odd
+            m ^= m >> np.uint64(29)
+            m *= np.uint64(0xBF58476D1CE4E5B9)
+            m ^= m >> np.uint64(32)
+            ones[j] += np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), axis=1).view(np.uint64).ravel()
+
+
+def agreement(similarity: float) -> float:
+    """Probability that a bit agrees, for sets of that Jaccard similarity."""
+    return 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+
+
+def most_bits(similarity: float) -> int:
+    """Distance up to which pairs link: the expected one and 1.3 standard deviations."""
+    n, p = 64 * WORDS, agreement(similarity)
+    return int(n * (1 - p) + 1.3 * np.sqrt(n * p * (1 - p)))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _near(prints: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs are near: pivot coordinates first, then the distance."""
+    out = (np.abs(table[i] - table[j]) <= most).all(axis=1)
+    left = np.flatnonzero(out)
+    out[left] = _apart(prints[i[left]], prints[j[left]]) <= most
+    return out
+
+
+def _key_edges(most: int):
+    def f(batches):
+        import pandas as pd
+
+        whole = [b for b in batches if len(b)]
+        if not whole:
+            return
+        pdf = pd.concat(whole, ignore_index=True)
+        key, name = pdf["key"].to_numpy(np.int64), pdf["body"].to_numpy(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, name = key[order], name[order]
+        prints = np.frombuffer(b"".join(pdf["wide"].to_numpy()[order]), np.uint64).reshape(-1, WORDS)
+        table = np.stack([_apart(prints, r) for r in _FAR], axis=1).astype(np.int16)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        small = np.repeat(size <= CROWD, size)
+        out = []
+        for gap in range(1, min(CROWD, int(size.max()))):
+            i = np.flatnonzero((key[:-gap] == key[gap:]) & small[gap:])
+            if not len(i):
+                break
+            i = i[_near(prints, table, i, i + gap, most)]
+            out.append((name[i], name[i + gap]))
+        for at, n in zip(first[size > CROWD], size[size > CROWD], strict=True):
+            left, front = np.arange(at, at + n), []
+            while len(left):
+                if not front:
+                    front, left = [left[0]], left[1:]
+                x = front.pop()
+                hit = _near(prints, table, np.full(len(left), x), left, most)
+                out.append((np.full(int(hit.sum()), name[x]), name[left[hit]]))
+                front += left[hit].tolist()
+                left = left[~hit]
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pd.DataFrame({"x": x, "y": y}).drop_duplicates()
+
+    return f
+
+
+def _wide(width: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [wide_fingerprint(t.as_py(), width).tobytes() for t in b.column("text")]
+            yield pa.record_batch([b.column("doc_id"), b.column("body"), pa.array(prints, pa.binary())], ["doc_id", "body", "wide"])
+
+    return f
+
+
+def similar_rows(docs: DataFrame, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, body, root) of every row: rows with one root are copies, or connected by similar texts."""
+    scratch = Scratch(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _body(text_col).alias("body"))
+    rows = scratch.table(base.mapInArrow(_wide(width), f"doc_id {kind}, body long, wide binary"))
+    distinct = scratch.table(rows.groupBy("body").agg(F.min("wide").alias("wide")))
+    n, p = distinct.count(), agreement(similarity)
+    bits = max(8, int(np.ceil(np.log2(max(2, n)))))
+    keys = int(np.ceil(np.log(1 - RECALL) / np.log(1 - p**bits)))
+    rng = np.random.default_rng(23)
+    places = np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(keys)])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                part = b.slice(at, 2048)
+                raw = np.frombuffer(b"".join(x.as_py() for x in part.column("wide")), np.uint8).reshape(-1, 8 * WORDS)
+                flags = np.unpackbits(raw, axis=1).astype(np.int64)
+                found = np.stack([(flags[:, q] << np.arange(bits)).sum(axis=1) | (k << 40) for k, q in enumerate(places)], axis=1)
+                again = np.repeat(np.arange(len(part)), keys)
+                yield pa.record_batch([pa.array(found.ravel()), part.column("body").take(pa.array(again)), part.column("wide").take(pa.array(again))], ["key", "body", "wide"])
+
+    spread = distinct.mapInArrow(keyed, "key long, body long, wide binary")
+    parts = max(1, int(np.ceil(n * keys / KEY_ROWS)))
+    edges = scratch.table(spread.repartition(parts, "key").mapInPandas(_key_edges(most_bits(similarity)), "x long, y long"))
+    roots = components(edges, scratch)
+    out = rows.select("doc_id", "body").join(roots, rows["body"] == roots["node"], "left")
+    return out.select("doc_id", "body", F.coalesce("root", "body").alias("root"))
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns: one row of each group of similar texts."""
+    return _first_of_each(docs, similar_rows(docs, similarity, width, id_col, text_col), id_col, text_col)
