@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import more  # noqa: F401
+from tessera.plans import extra, more  # noqa: F401
 from tessera.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
