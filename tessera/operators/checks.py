@@ -7,6 +7,9 @@ partition whatever their number elsewhere.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,28 +198,57 @@ def positive_parts(ents: DataFrame) -> DataFrame:
     return ents.groupBy("report_id", root.alias("root")).agg(parts.alias("parts"), F.bool_or(F.col("positive") >= 2).alias("any_positive"))
 
 
-def quality_report(reports: DataFrame) -> DataFrame:
-    """All checks of a report in one row; a check without finding is null or an empty array."""
-    ents = entities(reports)
-    lists = lambda df, c, n: df.groupBy("report_id").agg(F.sort_array(F.collect_set(c)).alias(n))
+def findings(reports: DataFrame) -> DataFrame:
+    """(report_id, check_name, item, other, number): all findings of all checks, one a row.
+
+    The entity table feeds seven checks, so it is kept; a lost part is derived again.
+    """
+    ents = entities(reports).persist(StorageLevel.MEMORY_AND_DISK)
+    none, zero = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def rows(df: DataFrame, name: str, item, other: Column = none, number: Column = zero) -> DataFrame:
+        item = F.col(item) if isinstance(item, str) else item
+        return df.select("report_id", F.lit(name).alias("check_name"), item.alias("item"), other.alias("other"), number.alias("number"))
+
     parts = [
-        lists(part_missing(reports, ents), "exam", "partmissing"),
-        lists(part_inverse(reports, ents), "sentence", "partinverse"),
-        lists(special_missing(reports), "missing", "special_missing"),
-        lists(conclusion_missing(ents), "sentence", "conclusion_missing"),
-        lists(orient_errors(ents), F.concat(F.lit("[描述]"), "description", F.lit("；[结论]"), "conclusion"), "orient_error"),
-        lists(contradictions(ents), F.struct("neg", "pos"), "contradiction"),
-        lists(critical_values(reports, ents), F.struct(F.col("rule").alias("index"), "category", "description"), "critical_value"),
-        lists(nonstandard_terms(reports), "term", "none_standard_term"),
-        lists(measure_errors(reports), "measure_text", "measure_unit_error"),
-        lists(apply_orient(reports), "apply_sentence", "apply_orient"),
-        sex_conflicts(reports),
-        rads_missing(reports),
+        rows(part_missing(reports, ents), "partmissing", "exam"),
+        rows(part_inverse(reports, ents), "partinverse", "sentence"),
+        rows(special_missing(reports), "special_missing", "missing"),
+        rows(conclusion_missing(ents), "conclusion_missing", "sentence"),
+        rows(orient_errors(ents), "orient_error", F.concat(F.lit("[描述]"), "description", F.lit("；[结论]"), "conclusion")),
+        rows(contradictions(ents), "contradiction", "neg", F.col("pos")),
+        rows(critical_values(reports, ents), "critical_value", "category", F.col("description"), F.col("rule")),
+        rows(nonstandard_terms(reports), "none_standard_term", "term"),
+        rows(measure_errors(reports), "measure_unit_error", "measure_text"),
+        rows(apply_orient(reports), "apply_orient", "apply_sentence"),
+        rows(sex_conflicts(reports), "sex_error", "sex_error"),
+        rows(rads_missing(reports), "RADS", "rads"),
     ]
-    out = reports.select("report_id")
-    for p in parts:
-        out = out.join(p, "report_id", "left")
-    return out
+    return reduce(lambda x, y: x.unionAll(y), parts)
+
+
+def quality_report(reports: DataFrame) -> DataFrame:
+    """All checks of a report in one row; a check without finding is null.
+
+    The findings meet in one aggregation by report, instead of one join for each check.
+    """
+    found = findings(reports)
+    empty = reports.select("report_id", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns[1:]))
+    here = lambda name: F.col("check_name") == name
+
+    def items(name: str, value: Column) -> Column:
+        all_ = F.sort_array(F.collect_set(F.when(here(name), value)))
+        return F.when(F.size(all_) > 0, all_).alias(name)
+
+    text = lambda name: F.max(F.when(here(name), F.col("item"))).alias(name)
+    lists = ("partmissing", "partinverse", "special_missing", "conclusion_missing", "orient_error", "none_standard_term", "measure_unit_error", "apply_orient")
+    return found.unionAll(empty).groupBy("report_id").agg(
+        *(items(n, F.col("item")) for n in lists),
+        items("contradiction", F.struct(F.col("item").alias("neg"), F.col("other").alias("pos"))),
+        items("critical_value", F.struct(F.col("number").alias("index"), F.col("item").alias("category"), F.col("other").alias("description"))),
+        text("sex_error"),
+        text("RADS"),
+    )
 
 
 def error_rates(report: DataFrame, columns: list[str]) -> DataFrame:

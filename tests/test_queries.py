@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import extra, more  # noqa: F401
@@ -23,7 +24,7 @@ def duck():
 
 
 def rows(df):
-    cell = lambda x: "null" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else repr(x.item() if hasattr(x, "item") else x)
+    cell = lambda x: "null" if pd.isna(x) is True or x is None else f"{x:.6f}" if isinstance(x, float) else repr(x.item() if hasattr(x, "item") else x)
     df = df[sorted(df.columns)]
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
