@@ -75,6 +75,11 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(1, math.ceil(total / block_bytes))
 
 
+def block_partitions(blocks: int) -> int:
+    """Shuffle partitions for that many blocks: more than blocks, so that few meet in one, up to a number that a shuffle of any size bears."""
+    return min(3 * blocks, max(blocks // 64, 32_768))
+
+
 def block_of(blocks: int, *key: str) -> Column:
     """Rows that agree in the whole key share a block; give id and text, so that rows of one id (or none) are spread."""
     return F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("long")

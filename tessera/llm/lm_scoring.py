@@ -41,6 +41,7 @@ from tessera.llm.common import (
     Scratch,
     block_count,
     block_of,
+    block_partitions,
     by_part,
     lower_words,
     pack,
@@ -252,7 +253,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     blocks = block_count(docs, block_bytes=block_bytes)
     buckets = math.ceil(blocks / 4)
-    docs = docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(blocks, "block")
+    docs = docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(block_partitions(blocks), "block")
     packed = scratch.table(docs.groupBy("block").applyInPandas(_gather(depth, buckets), _PACKED))
     grams = packed.where("kind = 'g'").select("bucket", "block", "keys", "vals").repartition(buckets, "bucket")
     words = packed.where("kind = 'w'").select("bucket", "block", "keys", "vals").repartition(buckets, "bucket")
@@ -269,7 +270,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     known = tree_by_part.applyInPandas(_probabilities(depth, reach, rest), "bucket long, keys binary, vals binary").repartition(buckets, "bucket")
     asked = grams.select("bucket", "block", "keys").groupBy("bucket")
     told = asked.cogroup(known.groupBy("bucket")).applyInPandas(_answer, "kind string, block long, keys binary, vals binary")
-    told = told.unionByName(words.select("kind", "block", "keys", "vals")).repartition(blocks, "block")
+    told = told.unionByName(words.select("kind", "block", "keys", "vals")).repartition(block_partitions(blocks), "block")
     out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
         _score(depth, int(n_all), int(n_known)),
         "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
