@@ -1,4 +1,4 @@
-"""Report checks on a stream; an addition, as the reference behaviour is batch only.
+"""Report checks on a stream; an addition to the batch queries.
 
 The per-report rules are stateless, so a micro-batch gives the rows that a batch run
 gives. Checks that relate entities of one report need the report in one micro-batch,
