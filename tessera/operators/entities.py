@@ -66,18 +66,21 @@ def normal_range(text: Column, m: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a | b, fits)
 
 
-def positivity(sentence: Column, illness: Column, m: dict[str, Column]) -> Column:
-    """0 normal, 1 physiological, 2 positive but ignorable, 3 positive."""
+def sick(sentence: Column, illness: Column, m: dict[str, Column]) -> Column:
+    """Whether an entity's finding is abnormal: by its measures, else by its wording."""
     measured = (m["measure"] > 0) | (m["percent"] > 0) | (m["volume"] > 0)
-    text = F.trim(F.regexp_replace(illness, ",现|,拟|,考虑", ""))
-    by_words = (text != "") & F.when(text.isin(*LEXICON.absolute_illness.split("|")), True).when(text.rlike("^未见"), False).when(text.rlike(LEXICON.illness), True).when(text.rlike(LEXICON.normal), False).otherwise(F.length(text) > 1)
-    sick = F.when(sentence.rlike(LEXICON.ignore_entity), False).when(measured, ~normal_range(sentence, m)).otherwise(by_words)
-    return F.when(sick & sentence.rlike(LEXICON.miss_ignore), 2).when(sick, 3).when(sentence.rlike(LEXICON.physiologic), 1).otherwise(0)
+    by_words = (illness != "") & F.when(illness.isin(*LEXICON.absolute_illness.split("|")), True).when(illness.rlike("^未见"), False).when(illness.rlike(LEXICON.illness), True).when(illness.rlike(LEXICON.normal), False).otherwise(F.length(illness) > 1)
+    return F.when(sentence.rlike(LEXICON.ignore_entity), False).when(measured, ~normal_range(sentence, m)).otherwise(by_words)
+
+
+def positivity(sentence: Column, is_sick: Column) -> Column:
+    """0 normal, 1 physiological, 2 positive but ignorable, 3 positive."""
+    return F.when(is_sick, F.when(sentence.rlike(LEXICON.miss_ignore), 2).otherwise(3)).otherwise(F.when(sentence.rlike(LEXICON.physiologic), 1).otherwise(0))
 
 
 def aspects(illness: Column) -> Column:
-    found = F.filter(F.array(*(F.when(illness.rlike(p), F.lit(n)) for n, p in ASPECTS)), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("other_description"))).otherwise(found)
+    """Names of the aspects that a finding speaks of, joined by commas; built without lambdas, so that it compiles."""
+    return F.concat_ws(",", *(F.when(illness.rlike(p), F.lit(n)) for n, p in ASPECTS))
 
 
 def matches(sent: DataFrame, spark: SparkSession) -> DataFrame:
@@ -93,7 +96,10 @@ def entities(reports: DataFrame, fields: tuple[str, ...] = ("description", "conc
     hit = hit.withColumn("end", F.col("start") + F.length("keyword")).withColumn("illness", F.substring("sentence", F.col("end") + 1, F.length("sentence")))
     m = measures(F.col("sentence"))
     out = hit.select("report_id", "field", "sentence_index", "sentence", "match_no", "keyword", "start", "end", "position", "path", "depth", "lo", "hi", "illness", orientation(F.col("sentence"), F.col("keyword")).alias("orientation"), *(c.alias(n) for n, c in m.items()))
-    return out.withColumn("positive", positivity(F.col("sentence"), F.col("illness"), {n: F.col(n) for n in m})).withColumn("attribute", aspects(F.col("illness")))
+    plain = F.trim(F.regexp_replace("illness", ",现|,拟|,考虑", ""))
+    out = out.withColumn("finding", plain).withColumn("sick", sick(F.col("sentence"), F.col("finding"), {n: F.col(n) for n in m})).withColumn("names", aspects(F.col("illness")))
+    named = F.split(F.when(F.col("names") == "", "other_description").otherwise(F.col("names")), ",")
+    return out.withColumn("positive", positivity(F.col("sentence"), F.col("sick"))).withColumn("attribute", named).drop("finding", "sick", "names")
 
 
 def on_path(path: Column, position: Column) -> Column:
