@@ -10,6 +10,7 @@ vertex. Rounds are cut with tables in the shared scratch folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         kept = nxt
     out = kept.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return out.unionByName(out.select(F.col("root").alias("node"), "root").distinct())
+
+
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, over the edges (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        nxt = root.copy()
+        np.minimum.at(nxt, x, low)
+        np.minimum.at(nxt, y, low)
+        np.minimum.at(nxt, root[x], low)
+        np.minimum.at(nxt, root[y], low)
+        nxt = nxt[nxt]
+        if (nxt == root).all():
+            return root
+        root = nxt

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, lower_words
-from tessera.llm.components import components
+from tessera.llm.components import components, forest
 
 BITS = 2
 PER_QUARTER = 12
@@ -196,12 +196,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # the number of keys so that a pair of the given similarity shares one with a probability
 # of ``RECALL``. Pairs that share a key are discarded by their largest coordinate
 # difference to ``FAR_REFERENCES`` and verified by their distance. Members of a key are
-# searched breadth first, so that a key with many members gives an edge for each member
-# and still connects all of them.
+# searched breadth first if they are more than ``FEW``, and a task writes one edge for each
+# text, so that a key with many members costs an edge a member and still connects them all.
 
 WORDS = 4
 RECALL = 0.97
 FAR_REFERENCES = 16
+#: Members of a key up to which all pairs are looked at; beyond, the search is breadth first.
+FEW = 4
 #: Rows of keys that one task sorts, on average.
 KEY_ROWS = 500_000
 
@@ -265,15 +267,15 @@ def _key_edges(most: int):
         table = np.stack([_apart(prints, r) for r in _FAR], axis=1).astype(np.int16)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        small = np.repeat(size <= CROWD, size)
+        small = np.repeat(size <= FEW, size)
         out = []
-        for gap in range(1, min(CROWD, int(size.max()))):
+        for gap in range(1, min(FEW, int(size.max()))):
             i = np.flatnonzero((key[:-gap] == key[gap:]) & small[gap:])
             if not len(i):
                 break
             i = i[_near(prints, table, i, i + gap, most)]
             out.append((name[i], name[i + gap]))
-        for at, n in zip(first[size > CROWD], size[size > CROWD], strict=True):
+        for at, n in zip(first[size > FEW], size[size > FEW], strict=True):
             left, front = np.arange(at, at + n), []
             while len(left):
                 if not front:
@@ -284,7 +286,10 @@ def _key_edges(most: int):
                 front += left[hit].tolist()
                 left = left[~hit]
         x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pd.DataFrame({"x": x, "y": y}).drop_duplicates()
+        # of what one task found, a text needs one edge only
+        names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        root = names[forest(len(names), at[: len(x)], at[len(x) :])]
+        yield pd.DataFrame({"x": names[names != root], "y": root[names != root]})
 
     return f
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
-from tessera.llm.components import components
+from tessera.llm.components import components, forest
 from tessera.llm.vectors import codebook, nearest, of_main_length, sample, squared, usable
 
 #: Vectors for one product cell, on average, and the most centroids of a half.
@@ -70,22 +70,6 @@ def walk(left: np.ndarray, right: np.ndarray, most: float) -> list[tuple[int, in
     return out
 
 
-def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, over the edges (x, y)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[x], root[y])
-        nxt = root.copy()
-        np.minimum.at(nxt, x, low)
-        np.minimum.at(nxt, y, low)
-        np.minimum.at(nxt, root[x], low)
-        np.minimum.at(nxt, root[y], low)
-        nxt = nxt[nxt]
-        if (nxt == root).all():
-            return root
-        root = nxt
-
-
 def _compare(threshold: float):
     def f(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -102,7 +86,7 @@ def _compare(threshold: float):
             links[a : a + 512] = near @ times
             p, q = np.nonzero(near)
             if len(p):
-                root = _forest(len(names), np.concatenate([np.arange(len(names)), at_i[a + p]]), np.concatenate([root, at_j[q]]))
+                root = forest(len(names), np.concatenate([np.arange(len(names)), at_i[a + p]]), np.concatenate([root, at_j[q]]))
         out = pd.DataFrame({"id": i, "links": links, "other": names[root[at_i]]})
         more = names[root[at_j]]  # members that no visitor's row stands for
         rest = pd.DataFrame({"id": j[more != j], "links": 0, "other": more[more != j]})

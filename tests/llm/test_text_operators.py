@@ -218,10 +218,10 @@ def jaccard(a, b, width=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_similar_texts(spark, docs, none, monkeypatch, crowd):
+@pytest.mark.parametrize("few", [4, 1])
+def test_similar_texts(spark, docs, none, monkeypatch, few):
     """Copies with some words changed link, others don't; nothing depends on how many share a key."""
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = np.random.default_rng(5)
     base = [[f"v{k}" for k in rng.integers(0, 3000, 300)] for _ in range(30)]
     rows = [(100 * i, " ".join(b)) for i, b in enumerate(base)]
