@@ -19,7 +19,8 @@ where 128 bits from two independent hash families agree.
 
 Defined results: a null or empty text has no words; fewer than ``width`` words have no
 window; repeated rows of one id don't remove each other's words, since no id is smaller;
-a row without id comes after all ids, and rows without id don't remove from each other;
+a row without id comes after all ids (as does the largest long, which stands for none
+within), and rows without id don't remove from each other;
 ties can't occur otherwise; an empty table gives an empty result. Only id and text are
 read, so further columns, whatever their names, don't matter.
 """
@@ -32,10 +33,11 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import BLOCK_BYTES, Scratch, block_count, block_of, by_part, spread, words
+from tessera.llm.common import BLOCK_BYTES, Scratch, block_of, block_partitions, by_part, spread, words
 
 WIDTH = 50
 #: Windows that one bucket sorts, on average.
@@ -78,10 +80,6 @@ def window_hashes(w: list[bytes], width: int = WIDTH, which: int = 0) -> np.ndar
     return out.view(np.int64)
 
 
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["doc_id"].fillna(_NO_ID).to_numpy(np.int64) if pdf["doc_id"].isna().any() else pdf["doc_id"].to_numpy(np.int64)
-
-
 def _count(width: int, buckets: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros(0, np.int64)]
@@ -126,7 +124,7 @@ def _resolve(width: int, buckets: int):
         again = own[1:][own[1:] == own[:-1]]
         among = np.union1d(among, again)
         keys, seconds, ids = [], [], []
-        for w, h, i in zip(split, first, _ids(docs), strict=True):
+        for w, h, i in zip(split, first, docs["doc_id"].to_numpy(np.int64), strict=True):
             if (hit := _member(h, among)).any():
                 keys.append(h[hit])
                 seconds.append(window_hashes(w, width, 1)[hit])
@@ -176,7 +174,7 @@ def _remove(width: int):
         if len(k):
             k, s, d = _smallest(k, s, d)
         rows = []
-        for i, row, text in zip(_ids(docs), docs["row"], docs["text"], strict=True):
+        for i, row, text in zip(docs["doc_id"].to_numpy(np.int64), docs["row"], docs["text"], strict=True):
             w = words(text)
             h = window_hashes(w, width)
             starts = _member(h, k)
@@ -193,7 +191,7 @@ def _remove(width: int):
             else:
                 rows.append((row, len(w), 0, b" ".join(w)))
         out = pd.DataFrame(rows, columns=["row", "n_words", "n_removed", "kept"])
-        out.insert(0, "doc_id", docs["doc_id"].to_numpy() if not docs["doc_id"].isna().any() else docs["doc_id"].astype("Int64").to_numpy(object))
+        out.insert(0, "doc_id", docs["doc_id"].to_numpy())
         return out
 
     return f
@@ -213,25 +211,31 @@ def _digest(width: int):
 def _told(docs: DataFrame, scratch: Scratch, width: int, blocks: int, windows: int) -> DataFrame:
     """docs (doc_id long, text, block). (block, keys, seconds, firsts): the smallest document of every repeated window."""
     buckets = max(1, math.ceil(windows / BUCKET_WINDOWS))
-    counted = docs.groupBy("block").applyInPandas(_count(width, buckets), "bucket long, block long, keys binary").repartition(buckets, "bucket")
+    counted = docs.groupBy("block").applyInPandas(_count(width, buckets), "bucket long, block long, keys binary").repartition(block_partitions(buckets), "bucket")
     repeated = scratch.table(counted.groupBy("bucket").applyInPandas(_repeated, "block long, keys binary"))
     schema = "block long, keys binary, seconds binary, firsts binary"
-    resolved = docs.groupBy("block").cogroup(repeated.repartition(blocks, "block").groupBy("block")).applyInPandas(_resolve(width, buckets), f"bucket long, {schema}")
-    return scratch.table(resolved.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_first_docs, schema)).repartition(blocks, "block")
+    resolved = docs.groupBy("block").cogroup(repeated.repartition(block_partitions(blocks), "block").groupBy("block")).applyInPandas(_resolve(width, buckets), f"bucket long, {schema}")
+    return scratch.table(resolved.repartition(block_partitions(buckets), "bucket").groupBy("bucket").applyInPandas(_first_docs, schema)).repartition(block_partitions(blocks), "block")
+
+
+def _numbered(id_col: str) -> Column:
+    """The id as a long, never null, so that pandas keeps it whole."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id")
 
 
 def _blocked(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
-    return docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(blocks, "block"), blocks, total // 6
+    return docs.withColumn("block", block_of(blocks, "doc_id", "text")).repartition(block_partitions(blocks), "block"), blocks, total // 6
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
     scratch = Scratch(docs.sparkSession)
-    docs, blocks, windows = _blocked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), block_bytes)
+    docs, blocks, windows = _blocked(docs.select(_numbered(id_col), F.col(text_col).alias("text")), block_bytes)
     told = _told(docs, scratch, width, blocks, windows)
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_digest(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_digest(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -241,8 +245,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
-    row_type = base.schema["row"].dataType.simpleString()
+    base = docs.select(_numbered(id_col), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    schema = T.StructType([base.schema["row"], T.StructField("text", T.StringType())])
     base, blocks, windows = _blocked(base, block_bytes)
     told = _told(base.drop("row"), scratch, width, blocks, windows)
     remove = _remove(width)
@@ -252,5 +256,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         text = [k.decode("utf-8", "surrogatepass") if n else old for k, n, old in zip(out["kept"], out["n_removed"], d["text"], strict=True)]
         return pd.DataFrame({"row": d["row"].to_numpy(), "text": text})
 
-    out = base.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(f, f"row {row_type}, text string")
+    out = base.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(f, schema)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
