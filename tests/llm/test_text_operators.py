@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, context_tree, lm_scoring, mixing, quality, sharding, simhash, substring
 from tessera.llm.common import crc_remainder, lower_words, pack, spread, unpack, words
+from tessera.llm.components import forest
 from tessera.llm.queries import PATTERN, RANKS
 
 
@@ -244,6 +245,31 @@ def test_similar_texts(spark, docs, none, monkeypatch, few):
     assert simhash.keep_dissimilar(none).count() == 0
 
 
+@pytest.mark.parametrize("cut", [2048, 3])
+def test_similar_texts_are_verified(spark, monkeypatch, cut):
+    """Components of exact similarity 0.8, around the threshold, in short texts and in groups of several slices."""
+    monkeypatch.setattr(simhash, "SLICE", cut)
+    rng = np.random.default_rng(8)
+    texts = []
+    for n, changes in [(9, range(2)), (14, range(2)), (40, range(3)), (120, range(8)), (300, range(12))]:
+        for _ in range(12):
+            base = [f"v{k}" for k in rng.integers(0, 5000, n)]
+            for c in changes:
+                w = list(base)
+                for at in rng.choice(n, c, replace=False):
+                    w[at] = "new"
+                texts += [w, w[:-1]]
+    texts = sorted({" ".join(w) for w in texts})
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    assert any(0.8 <= jaccard(texts[i], texts[j]) < 0.81 for i, j in pairs)
+    want = forest(len(texts), *np.array(pairs).T)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_rows(table, 0.8, 5).collect()}
+    groups = lambda f: {frozenset(k for k in range(len(texts)) if f[k] == r) for r in set(f[k] for k in range(len(texts)))}
+    assert groups(got) == groups(want)
+
+
 # --- op4 ---------------------------------------------------------------------------------
 
 
