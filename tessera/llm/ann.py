@@ -6,7 +6,12 @@ How many cells a query visits is measured: in the sample, how near to a vector's
 place in the order of cells the cells of its true neighbours come; the number of visits
 is that which holds ``TARGET`` of them. A query visits its nearest cells, ranks their rows by asymmetric distance tables (the
 query's residual against all codewords, summed by code) and measures the best
-``SHORTLIST`` of each list exactly, in double precision on the original vectors.
+``SHORTLIST`` of each list, and all that tie with the last of them, exactly, in double
+precision on the original vectors.
+
+Equal vectors are one row of the index, with the smallest ``k + 1`` of their ids: a larger
+id has ``k`` others ahead of it in every query. A list returns the ``k`` best distinct ids
+and lengthens its shortlist until it has as many, or all.
 
 Lists longer than ``LIST_ROWS`` are split by a hash of the id, and the queries that
 visit them go to every part. Only the cells' sizes (as many rows as centroids, a fixed
@@ -85,10 +90,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     none = "query_id long, rank int, vec_id long, score double"
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     base = of_main_length(base.where(F.col("id").isNotNull() & usable(F.col("v"))))
-    n = base.count()
+    least = lambda ids: F.slice(F.sort_array(ids), 1, k + 1)
+    salted = base.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(least(F.collect_set("id")).alias("ids"))
+    alike = scratch.table(salted.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"))
+    n = alike.count()
     if not n:
         return spark.createDataFrame([], none)
-    fitted = sample(base)
+    fitted = sample(alike)
     index = Index(fitted, n)
     cells, probes = len(index.coarse), index.probes(fitted, k, target)
 
@@ -96,12 +104,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         for pdf in batches:
             if len(pdf):
                 cell, codes = index.encode(np.array(pdf["v"].tolist(), np.float64))
-                yield pd.DataFrame({"cell": cell, "id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes], "asks": pdf["asks"]})
+                yield pd.DataFrame({"cell": cell, "id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes], "ids": pdf["ids"]})
 
-    stored = scratch.table(base.mapInPandas(encode, "cell long, id long, v array<double>, codes binary, asks boolean"))
-    sizes = np.zeros(cells, np.int64)
+    stored = scratch.table(alike.mapInPandas(encode, "cell long, id long, v array<double>, codes binary, ids array<long>"))
+    sizes, fresh = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for cell, count in stored.groupBy("cell").count().collect():
         sizes[cell] = count
+    # an id with several vectors counts in one cell only
+    for cell, count in stored.select("cell", F.explode("ids").alias("id")).groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
+        fresh[cell] = count
     split = np.maximum(1, -(-sizes // LIST_ROWS))
 
     def visit(batches):
@@ -111,12 +122,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
             order = squared(np.array(pdf["v"].tolist(), np.float64), index.coarse).argsort(axis=1, kind="stable")
             out = []
             for i, v, cs in zip(pdf["id"], pdf["v"], order, strict=True):
-                held = np.cumsum(sizes[cs])  # enough cells to hold k others, however small they are
-                upto = max(probes, int(np.searchsorted(held, min(n, 20 * k + 1))) + 1)
+                held = np.cumsum(fresh[cs])  # enough cells to hold k others, however small they are
+                upto = max(probes, int(np.searchsorted(held, min(held[-1], 20 * k + 1))) + 1)
                 out += [(c, part, i, v) for c in cs[:upto].tolist() if sizes[c] for part in range(split[c])]
             yield pd.DataFrame(out, columns=["cell", "part", "id", "v"])
 
-    visits = stored.where("asks").select("id", "v").mapInPandas(visit, "cell long, part long, id long, v array<double>")
+    visits = base.where("asks").select("id", "v").distinct().mapInPandas(visit, "cell long, part long, id long, v array<double>")
 
     def part_of(batches):
         for pdf in batches:
@@ -124,24 +135,31 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 h = (pdf["id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 yield pdf.assign(part=(h % split[pdf["cell"].to_numpy()].astype(np.uint64)).astype(np.int64))
 
-    lists = stored.select("cell", "id", "v", "codes").mapInPandas(part_of, "cell long, id long, v array<double>, codes binary, part long")
+    lists = stored.mapInPandas(part_of, "cell long, id long, v array<double>, codes binary, ids array<long>, part long")
 
     def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         queries, names, scores = [], [], []
         if len(asked) and len(held):
             cell = int(held["cell"].iloc[0])
-            ids, x = held["id"].to_numpy(np.int64), np.array(held["v"].tolist(), np.float64)
+            ids, x = [np.asarray(i, np.int64) for i in held["ids"]], np.array(held["v"].tolist(), np.float64)
             codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
             parts = np.arange(codes.shape[1])
             for i, v in zip(asked["id"].tolist(), np.array(asked["v"].tolist(), np.float64), strict=True):
                 rough = index.tables(v, cell)[parts, codes].sum(axis=1)
-                best = np.argpartition(rough, SHORTLIST)[: SHORTLIST + 1] if len(rough) > SHORTLIST else np.arange(len(rough))
-                best = best[ids[best] != i]
-                far = np.sqrt(((x[best] - v) ** 2).sum(axis=1))
-                keep = np.lexsort((ids[best], far))[: 2 * k]
-                queries.append(np.full(len(keep), i))
-                names.append(ids[best][keep])
-                scores.append(far[keep])
+                most = SHORTLIST + 1
+                while True:
+                    best = np.flatnonzero(rough <= np.partition(rough, most - 1)[most - 1]) if len(rough) > most else np.arange(len(rough))
+                    far = np.repeat(np.sqrt(((x[best] - v) ** 2).sum(axis=1)), [len(ids[b]) for b in best])
+                    name = np.concatenate([ids[b] for b in best])
+                    order = np.lexsort((name, far))
+                    order = order[name[order] != i]
+                    order = order[np.sort(np.unique(name[order], return_index=True)[1])][:k]
+                    if len(order) == k or len(best) == len(rough):
+                        break
+                    most *= 4
+                queries.append(np.full(len(order), i))
+                names.append(name[order])
+                scores.append(far[order])
         join = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
         return pd.DataFrame({"query_id": join(queries, np.int64), "vec_id": join(names, np.int64), "score": join(scores, float)})
 

@@ -97,6 +97,20 @@ def test_neighbours_of_few(spark):
     assert ann.search(few.limit(1), F.lit(True)).count() == 0
 
 
+def test_neighbours_among_copies(spark):
+    """Of more equal vectors than a shortlist holds the smallest ids; an id of many rows takes one place."""
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(np.arange(1, 401)).tolist()
+    rows = [(i, [1.0, 2.0, 3.0]) for i in ids] + [(0, [1.0, 2.0, 3.5])]
+    rows += [(1000, [9.0, 9.0 + j / 1000, 9.0]) for j in range(150)] + [(1001, [9.0, 9.0, 9.0])] + [(1002 + j, [9.0, 10.0 + j, 9.0]) for j in range(12)]
+    table = spark.createDataFrame([(i, v, 0, 0, 0, "", 0) for i, v in rows], SCHEMA)
+    got = ann.search(table, F.col("vec_id").isin(0, 5, 1001), target=1.0).orderBy("query_id", "rank").collect()
+    found = lambda q: [r["vec_id"] for r in got if r["query_id"] == q]
+    assert found(0) == list(range(1, 11))
+    assert found(5) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert found(1001)[0] == 1000 and len(set(found(1001))) == 10
+
+
 URLS = [
     (1, "http://a.example.net/en/x", "a.example.net", "/en/x", "example.net/en/", "allow"),
     (2, "https://Example.NET/de", "example.net", "/de", "net/", "block"),
