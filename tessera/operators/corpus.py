@@ -138,7 +138,7 @@ def error_stats(errors: DataFrame) -> DataFrame:
 
 
 def language_model(rows: DataFrame, text: str = "sentence") -> DataFrame:
-    """(gram, log_prob): character bigram log probabilities with stupid back-off to the unigram, as a table."""
+    """(gram, log_prob): log probabilities of the character bigrams that occur. No unigram rows, no back-off, no scores of texts."""
     uni = char_ngrams(rows, 1, 1, text).groupBy("gram").agg(F.count("*").alias("u"))
     bi = char_ngrams(rows, 2, 2, text).groupBy("gram").agg(F.count("*").alias("b"))
     head = F.substring("gram", 1, 1)
