@@ -5,7 +5,7 @@ from __future__ import annotations
 #: Root-to-node path, synonyms of the last node, start and end on the body axis.
 KG = (
     ("头部", "", 100.0, 150.0),
-    ("头部>颅脑", "", 110.0, 150.0),
+    ("头部>颅脑", "头颅", 110.0, 150.0),
     ("头部>颅脑>额叶", "", 110.0, 120.0),
     ("头部>颅脑>颞叶", "", 120.0, 130.0),
     ("头部>颅脑>基底节", "基底节区", 125.0, 135.0),
@@ -37,11 +37,8 @@ KG = (
     ("下肢>膝关节", "", 740.0, 760.0),
 )
 
-#: Exam-part wording and the node that it asks for.
-EXAM = (
-    ("胸部平扫", "胸部"), ("上腹部增强", "腹部"), ("头颅平扫+DWI", "颅脑"), ("腰椎平扫", "腰椎"), ("盆腔增强", "盆腔"),
-    ("双侧乳腺", "乳腺"), ("前列腺平扫", "前列腺"), ("左侧膝关节", "膝关节"), ("右侧膝关节", "膝关节"), ("甲状腺灌注", "甲状腺"),
-)
+#: Wording of orders.
+EXAM = ("胸部平扫", "上腹部增强", "头颅平扫+DWI", "腰椎平扫", "盆腔增强", "双侧乳腺", "前列腺平扫", "左侧膝关节", "右侧膝关节", "甲状腺灌注")
 
 MODALITIES = ("CT", "MR", "DX", "CR", "DR", "MG", "XA", "NM", "HOLOGIC", "US")
 

@@ -13,8 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera import fixtures as fx
-from tessera.config import COMPLEXITY, LEXICON
+from tessera.config import COMPLEXITY, LEXICON, Lexicon
+from tessera.dictionaries import DEFAULT, Dictionaries
 from tessera.functions.text import all_of
 from tessera.operators.entities import entities, on_path, opposite, related
 
@@ -28,12 +28,12 @@ def modality(raw: Column) -> Column:
     return F.when(third.isin("DR", "MR", "CT", "MG"), third).otherwise("CT")
 
 
-def sex_conflicts(reports: DataFrame) -> DataFrame:
+def sex_conflicts(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     """(report_id, sex_error): words of the other sex, each once, in alphabetical order."""
     text = F.concat("ReportStr", "ConclusionStr")
     words = lambda p: F.array_join(F.array_sort(F.array_distinct(all_of(text, p))), "；")
-    error = F.when(F.col("Sex").isin("男", "M") & text.rlike(LEXICON.female), F.concat(F.lit("男性报告中出现："), words(LEXICON.female)))
-    error = error.when(F.col("Sex").isin("女", "F") & text.rlike(LEXICON.male), F.concat(F.lit("女性报告中出现："), words(LEXICON.male)))
+    error = F.when(F.col("Sex").isin("男", "M") & text.rlike(lexicon.female), F.concat(F.lit("男性报告中出现："), words(lexicon.female)))
+    error = error.when(F.col("Sex").isin("女", "F") & text.rlike(lexicon.male), F.concat(F.lit("女性报告中出现："), words(lexicon.male)))
     return reports.select("report_id", error.alias("sex_error")).where("sex_error IS NOT NULL")
 
 
@@ -44,67 +44,60 @@ def rads_missing(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", F.when(breast, "缺少BI-RADS分类").when(prostate, "缺少PI-RADS分类").alias("rads")).where("rads IS NOT NULL")
 
 
-def special_missing(reports: DataFrame) -> DataFrame:
+def special_missing(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     """(report_id, missing): one row for each special technique ordered but not described, or the reverse."""
     m, part, text = F.col("modality"), F.col("StudyPart"), F.col("ReportStr")
     both = F.concat("ReportStr", "ConclusionStr")
     lost = lambda p, label, mods: F.when(part.rlike(p) & ~text.rlike(p) & m.isin(*mods), label)
-    sent = F.filter(F.split(both, LEXICON.sentence_end), lambda s: s.rlike(LEXICON.enhance_text) & ~s.rlike(LEXICON.enhance_excuse))
-    unordered = F.when((F.size(sent) > 0) & ~part.rlike(LEXICON.enhance_order) & m.isin("CT", "MR"), "出现增强描述")
-    described = text.rlike(f"{LEXICON.enhance_text}|{LEXICON.perfusion}")
+    sent = F.filter(F.split(both, lexicon.sentence_end), lambda s: s.rlike(lexicon.enhance_text) & ~s.rlike(lexicon.enhance_excuse))
+    unordered = F.when((F.size(sent) > 0) & ~part.rlike(lexicon.enhance_order) & m.isin("CT", "MR"), "出现增强描述")
+    described = text.rlike(f"{lexicon.enhance_text}|{lexicon.perfusion}")
     few = F.regexp_count(both, F.lit("动脉")) < 4
-    absent = part.rlike(LEXICON.enhance_order) & ~described & few & (((m == "CT") & (F.regexp_count(both, F.lit("静脉")) < 2)) | ((m == "MR") & ~F.contains(part, F.lit("平扫"))))
-    found = F.array(unordered, F.when(absent, "增强未描述"), lost(LEXICON.diffusion, "弥散成像未描述", ("MR",)), lost(LEXICON.susceptibility, "磁敏感成像未描述", ("MR",)), lost(LEXICON.perfusion, "灌注成像未描述", ("MR", "CT")), lost(LEXICON.spectroscopy, "波谱成像未描述", ("MR",)))
-    return reports.where(m.rlike(LEXICON.check_modality)).select("report_id", F.explode(F.array_compact(found)).alias("missing"))
+    absent = part.rlike(lexicon.enhance_order) & ~described & few & (((m == "CT") & (F.regexp_count(both, F.lit("静脉")) < 2)) | ((m == "MR") & ~F.contains(part, F.lit("平扫"))))
+    found = F.array(unordered, F.when(absent, "增强未描述"), lost(lexicon.diffusion, "弥散成像未描述", ("MR",)), lost(lexicon.susceptibility, "磁敏感成像未描述", ("MR",)), lost(lexicon.perfusion, "灌注成像未描述", ("MR", "CT")), lost(lexicon.spectroscopy, "波谱成像未描述", ("MR",)))
+    return reports.where(m.rlike(lexicon.check_modality)).select("report_id", F.explode(F.array_compact(found)).alias("missing"))
 
 
-def nonstandard_terms(reports: DataFrame) -> DataFrame:
+def nonstandard_terms(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     """(report_id, term): unwanted terms, and terms of another modality."""
     text, m = F.concat("ReportStr", "ConclusionStr"), F.col("modality")
-    own = F.when(m == "CT", all_of(text, LEXICON.nonstandard_ct)).when(m == "MR", all_of(text, LEXICON.nonstandard_mr)).otherwise(F.array().cast("array<string>"))
-    return reports.select("report_id", F.explode(F.array_distinct(F.concat(all_of(text, LEXICON.nonstandard), own))).alias("term"))
+    own = F.when(m == "CT", all_of(text, lexicon.nonstandard_ct)).when(m == "MR", all_of(text, lexicon.nonstandard_mr)).otherwise(F.array().cast("array<string>"))
+    return reports.select("report_id", F.explode(F.array_distinct(F.concat(all_of(text, lexicon.nonstandard), own))).alias("term"))
 
 
-def measure_errors(reports: DataFrame) -> DataFrame:
+def measure_errors(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     """(report_id, measure_text): lengths beyond the limit of their unit; a factor takes the unit of the next length."""
     text = F.replace(F.concat("ReportStr", "ConclusionStr"), F.lit("*"), F.lit("×"))
     text = F.regexp_replace(text, "(?i)[0-9]+([.][0-9]+)?ml", "")
     found = reports.select("report_id", F.explode(all_of(text, "(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)")).alias("run"))
     unit = F.lower(F.regexp_extract("run", "(?i)(mm|cm|毫米|厘米|米|m)$", 1))
     each = found.select("report_id", unit.alias("unit"), F.explode(all_of(F.col("run"), "[0-9]+(?:[.][0-9]+)?")).alias("number"))
-    limit = F.when(F.col("unit").isin("cm", "厘米"), LEXICON.cm_max).when(F.col("unit").isin("mm", "毫米"), LEXICON.mm_max).otherwise(LEXICON.m_max)
+    limit = F.when(F.col("unit").isin("cm", "厘米"), lexicon.cm_max).when(F.col("unit").isin("mm", "毫米"), lexicon.mm_max).otherwise(lexicon.m_max)
     return each.where(F.col("number").cast("double") > limit).select("report_id", F.concat("number", "unit").alias("measure_text")).distinct()
 
 
-def title_parts(reports: DataFrame) -> DataFrame:
-    return entities(reports, ("title",)).select("report_id", F.col("position").alias("exam"), F.col("path").alias("exam_path"), F.col("orientation").alias("exam_side"))
-
-
-def exam_parts(reports: DataFrame) -> DataFrame:
-    """(report_id, exam, exam_path, exam_side): what the order's wording asks for, from a fixed table."""
-    spark = reports.sparkSession
-    paths = {p.split(">")[-1]: p for p, *_ in fx.KG}
-    rows = [(w, n, paths[n], "左" if w.startswith("左") else "右" if w.startswith("右") else "双" if w.startswith("双") else "") for w, n in fx.EXAM]
-    table = spark.createDataFrame(rows, "StudyPart string, exam string, exam_path string, exam_side string")
-    return reports.join(F.broadcast(table), "StudyPart").select("report_id", "exam", "exam_path", "exam_side", "StudyPart")
+def exam_parts(reports: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
+    """(report_id, exam, exam_path, exam_side, StudyPart): the entities that an order's wording names."""
+    e = entities(reports, ("title",), dicts).select("report_id", F.col("position").alias("exam"), F.col("path").alias("exam_path"), F.col("orientation").alias("exam_side"))
+    return e.join(reports.select("report_id", "StudyPart"), "report_id")
 
 
 def _same_part(e: DataFrame) -> Column:
     return related(F.col("exam_path"), F.col("path"))
 
 
-def part_missing(reports: DataFrame, ents: DataFrame) -> DataFrame:
+def part_missing(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
     """(report_id, exam): exam parts without a compatible entity in the description; operations are skipped."""
-    exams = exam_parts(reports).where(~F.contains("StudyPart", F.lit("手术"))).drop("StudyPart")
+    exams = exam_parts(reports, dicts).where(~F.col("StudyPart").rlike(dicts.lexicon.skip_part)).drop("StudyPart")
     e = ents.where("field = 'description'").select("report_id", "path", "orientation")
     some = e.select("report_id").distinct()
     hit = exams.join(e, "report_id").where(_same_part(e) & ~opposite(F.col("exam_side"), F.col("orientation"))).select("report_id", "exam").distinct()
     return exams.join(some, "report_id", "left_semi").select("report_id", "exam").distinct().join(hit, ["report_id", "exam"], "left_anti")
 
 
-def part_inverse(reports: DataFrame, ents: DataFrame) -> DataFrame:
+def part_inverse(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
     """(report_id, sentence): entities of an exam's part that lie on the opposite side of every such exam."""
-    exams = exam_parts(reports).drop("StudyPart")
+    exams = exam_parts(reports, dicts).drop("StudyPart")
     e = ents.where("field = 'description'").select("report_id", "sentence_index", "sentence", "start", "path", "orientation")
     pairs = exams.join(e, "report_id").where(_same_part(e))
     all_far = F.bool_and(opposite(F.col("exam_side"), F.col("orientation")))
@@ -144,10 +137,10 @@ def orient_errors(ents: DataFrame) -> DataFrame:
     return w.select("report_id", F.col("d_sentence").alias("description"), F.col("c_sentence").alias("conclusion"))
 
 
-def apply_orient(reports: DataFrame) -> DataFrame:
+def apply_orient(reports: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
     """(report_id, report_sentence, apply_sentence): sides in the request form that only contradict the report."""
-    a = entities(reports, ("apply",)).select("report_id", F.col("sentence").alias("apply_sentence"), F.col("path").alias("a_path"), F.col("orientation").alias("a_side"))
-    r = entities(reports, ("description",)).select("report_id", F.col("sentence").alias("report_sentence"), "path", "orientation")
+    a = entities(reports, ("apply",), dicts).select("report_id", F.col("sentence").alias("apply_sentence"), F.col("path").alias("a_path"), F.col("orientation").alias("a_side"))
+    r = entities(reports, ("description",), dicts).select("report_id", F.col("sentence").alias("report_sentence"), "path", "orientation")
     pairs = a.join(r, "report_id").where(related(F.col("a_path"), F.col("path"))).withColumn("far", opposite(F.col("a_side"), F.col("orientation")))
     w = Window.partitionBy("report_id", "apply_sentence", "a_path")
     return pairs.withColumn("all_far", F.min(F.col("far").cast("int")).over(w)).where("all_far = 1").select("report_id", "report_sentence", "apply_sentence").distinct()
@@ -166,11 +159,11 @@ def contradictions(ents: DataFrame) -> DataFrame:
     return pairs.groupBy("report_id", "neg", "n_at").agg(F.min_by("pos", F.struct("p_at", "pos")).alias("pos")).select("report_id", "neg", "pos").distinct()
 
 
-def critical_values(reports: DataFrame, ents: DataFrame) -> DataFrame:
+def critical_values(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
     """(report_id, rule, category, description): for each rule the first concluded entity that passes all gates."""
     spark = reports.sparkSession
-    rules = spark.createDataFrame(fx.CRITICAL, "rule int, device string, pattern string, part string, least double, described string, category string")
-    c = ents.where(f"field = 'conclusion' AND NOT sentence RLIKE '{LEXICON.critical_ignore}'").join(reports.select("report_id", "modality"), "report_id")
+    rules = spark.createDataFrame(list(dicts.critical), "rule int, device string, pattern string, part string, least double, described string, category string")
+    c = ents.where(f"field = 'conclusion' AND NOT sentence RLIKE '{dicts.lexicon.critical_ignore}'").join(reports.select("report_id", "modality"), "report_id")
     gate = F.expr("modality RLIKE device AND sentence RLIKE pattern") & on_path(F.col("path"), F.col("part"))
     hit = c.join(F.broadcast(rules), gate).select("report_id", "rule", "category", "part", "least", "described", "sentence", "sentence_index", "start")
     d = ents.select("report_id", F.col("field").alias("d_field"), F.col("path").alias("d_path"), F.col("sentence").alias("d_sentence"), F.col("measure").alias("d_mm"), F.col("percent").alias("d_percent"))

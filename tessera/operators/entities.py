@@ -1,18 +1,22 @@
 """From report text to the entity table: sentences, dictionary match, laterality, measures, polarity, aspects.
 
 Everything here is a projection, an explode or a join with a broadcast dictionary of
-fixed size, so a report never moves until something is asked about its entities.
+checked size, so a report never moves until something is asked about its entities. Names
+are found in Arrow batches, by first letter, so the number of names hardly matters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera import fixtures as fx
 from tessera.config import ASPECTS, LEXICON
+from tessera.dictionaries import DEFAULT, Dictionaries, Names
 from tessera.functions.text import all_of
 
 FIELDS = {"description": "ReportStr", "conclusion": "ConclusionStr", "title": "StudyPart", "apply": "applyTable"}
@@ -26,9 +30,9 @@ def sentences(reports: DataFrame, fields: tuple[str, ...] = ("description", "con
     return long.select(key, "field", F.posexplode(parts).alias("sentence_index", "sentence"))
 
 
-def graph(spark: SparkSession) -> DataFrame:
+def graph(spark: SparkSession, dicts: Dictionaries = DEFAULT) -> DataFrame:
     """(keyword, position, path, depth, lo, hi): every name of every node."""
-    return spark.createDataFrame(fx.kg_rows(), "keyword string, position string, path string, depth int, lo double, hi double")
+    return dicts.graph(spark)
 
 
 def length_mm(value: Column) -> Column:
@@ -49,33 +53,39 @@ def measures(text: Column) -> dict[str, Column]:
     return {"measure": F.coalesce(F.array_max(F.transform(lengths, length_mm)), zero), "percent": F.coalesce(percent, zero), "volume": F.coalesce(volume, zero)}
 
 
-def orientation(sentence: Column, keyword: Column) -> Column:
-    """The nearest side word before the keyword's first occurrence, else one in brackets after it."""
-    at = F.instr(sentence, keyword)
-    before = F.substring(sentence, F.lit(1), at - 1)
-    after = F.substring(sentence, at + F.length(keyword), F.length(sentence))
+def orientation(sentence: Column, keyword: Column, start: Column, lexicon=LEXICON) -> Column:
+    """The nearest side word before the keyword at ``start``, else one in brackets after it."""
+    before = F.substring(sentence, F.lit(1), start)
+    after = F.substring(sentence, start + F.length(keyword) + 1, F.length(sentence))
     near = F.regexp_extract(before, "^(?:.*[^侧位])?(左|右|双|两)", 1)
     found = F.when(near != "", near).otherwise(F.regexp_extract(after, "[(（](左|右|双|两)[侧部]*?[)）]", 1))
-    return F.when(keyword.rlike(LEXICON.single_organ), "").otherwise(F.replace(found, F.lit("两"), F.lit("双")))
+    return F.when(keyword.rlike(lexicon.single_organ), "").otherwise(F.replace(found, F.lit("两"), F.lit("双")))
 
 
-def normal_range(text: Column, m: dict[str, Column]) -> Column:
+def normal_range(text: Column, m: dict[str, Column], rules=DEFAULT.normal) -> Column:
     """Whether the first rule whose keyword and value fit calls the measure normal."""
     source = {"length": m["measure"], "percent": m["percent"], "volume": m["volume"]}
-    fits = [F.contains(text, F.lit(k)) & (source[p] > 0) & source[p].between(lo, hi) for k, p, lo, hi in fx.NORMAL_MEASURE]
-    return reduce(lambda a, b: a | b, fits)
+    fits = [F.contains(text, F.lit(k)) & (source[p] > 0) & source[p].between(lo, hi) for k, p, lo, hi in rules]
+    return reduce(lambda a, b: a | b, fits, F.lit(False))
 
 
-def sick(sentence: Column, illness: Column, m: dict[str, Column]) -> Column:
-    """Whether an entity's finding is abnormal: by its measures, else by its wording."""
+def sick(sentence: Column, illness: Column, m: dict[str, Column], dicts: Dictionaries = DEFAULT) -> Column:
+    """Whether an entity's finding is abnormal: by its measures, else by the wording of any of its parts between commas."""
+    lexicon = dicts.lexicon
     measured = (m["measure"] > 0) | (m["percent"] > 0) | (m["volume"] > 0)
-    by_words = (illness != "") & F.when(illness.isin(*LEXICON.absolute_illness.split("|")), True).when(illness.rlike("^未见"), False).when(illness.rlike(LEXICON.illness), True).when(illness.rlike(LEXICON.normal), False).otherwise(F.length(illness) > 1)
-    return F.when(sentence.rlike(LEXICON.ignore_entity), False).when(measured, ~normal_range(sentence, m)).otherwise(by_words)
+    absolute = lexicon.absolute_illness.split("|")
 
+    def bad(part: Column) -> Column:
+        p = F.trim(part)
+        return F.when(p.isin(*absolute), True).when((p == "") | p.rlike("^未见"), False).when(p.rlike(lexicon.illness), True).otherwise((F.length(p) > 1) & ~p.rlike(lexicon.normal))
 
-def positivity(sentence: Column, is_sick: Column) -> Column:
+    by_words = F.exists(F.split(illness, "[,，]"), bad)
+    return F.when(sentence.rlike(lexicon.ignore_entity), False).when(measured, ~normal_range(sentence, m, dicts.normal)).otherwise(by_words)
+
+
+def positivity(sentence: Column, is_sick: Column, lexicon=LEXICON) -> Column:
     """0 normal, 1 physiological, 2 positive but ignorable, 3 positive."""
-    return F.when(is_sick, F.when(sentence.rlike(LEXICON.miss_ignore), 2).otherwise(3)).otherwise(F.when(sentence.rlike(LEXICON.physiologic), 1).otherwise(0))
+    return F.when(is_sick, F.when(sentence.rlike(lexicon.miss_ignore), 2).otherwise(3)).otherwise(F.when(sentence.rlike(lexicon.physiologic), 1).otherwise(0))
 
 
 def aspects(illness: Column) -> Column:
@@ -83,23 +93,42 @@ def aspects(illness: Column) -> Column:
     return F.concat_ws(",", *(F.when(illness.rlike(p), F.lit(n)) for n, p in ASPECTS))
 
 
-def matches(sent: DataFrame, spark: SparkSession) -> DataFrame:
-    """sent plus (match_no, keyword, position, path, depth, lo, hi): leftmost, longest names of the graph."""
-    hits = sent.select("*", F.posexplode(all_of(F.col("sentence"), fx.alternatives())).alias("match_no", "keyword"))
-    return hits.join(F.broadcast(graph(spark)), "keyword")
+def name_hits(sent: DataFrame, names: list[str], text: str = "sentence") -> DataFrame:
+    """sent plus (match_no, keyword, start): leftmost, longest names, none overlapping."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Names(names)
+        for b in batches:
+            row, no, key, at = [], [], [], []
+            for i, t in enumerate(b.column(text).to_pylist()):
+                for k, (name, start) in enumerate(find.spans(t or "")):
+                    row.append(i)
+                    no.append(k)
+                    key.append(name)
+                    at.append(start)
+            part = b.take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(no, pa.int32()), pa.array(key, pa.string()), pa.array(at, pa.int32())], names=[*b.schema.names, "match_no", "keyword", "start"])
+
+    more = [T.StructField("match_no", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("start", T.IntegerType())]
+    return sent.mapInArrow(f, T.StructType([*sent.schema.fields, *more]))
+
+
+def matches(sent: DataFrame, spark: SparkSession, dicts: Dictionaries = DEFAULT) -> DataFrame:
+    """sent plus (match_no, keyword, start, position, path, depth, lo, hi): a row for each path of each name found."""
+    return name_hits(sent, dicts.names()).join(F.broadcast(graph(spark, dicts)), "keyword")
 
 
-def entities(reports: DataFrame, fields: tuple[str, ...] = ("description", "conclusion")) -> DataFrame:
+def entities(reports: DataFrame, fields: tuple[str, ...] = ("description", "conclusion"), dicts: Dictionaries = DEFAULT) -> DataFrame:
     """The entity table. path is ``>``-joined from the root."""
     spark = reports.sparkSession
-    hit = matches(sentences(reports, fields), spark).withColumn("start", F.instr("sentence", F.col("keyword")) - 1)
+    hit = matches(sentences(reports, fields), spark, dicts)
     hit = hit.withColumn("end", F.col("start") + F.length("keyword")).withColumn("illness", F.substring("sentence", F.col("end") + 1, F.length("sentence")))
     m = measures(F.col("sentence"))
-    out = hit.select("report_id", "field", "sentence_index", "sentence", "match_no", "keyword", "start", "end", "position", "path", "depth", "lo", "hi", "illness", orientation(F.col("sentence"), F.col("keyword")).alias("orientation"), *(c.alias(n) for n, c in m.items()))
+    out = hit.select("report_id", "field", "sentence_index", "sentence", "match_no", "keyword", "start", "end", "position", "path", "depth", "lo", "hi", "illness", orientation(F.col("sentence"), F.col("keyword"), F.col("start"), dicts.lexicon).alias("orientation"), *(c.alias(n) for n, c in m.items()))
     plain = F.trim(F.regexp_replace("illness", ",现|,拟|,考虑", ""))
-    out = out.withColumn("finding", plain).withColumn("sick", sick(F.col("sentence"), F.col("finding"), {n: F.col(n) for n in m})).withColumn("names", aspects(F.col("illness")))
+    out = out.withColumn("finding", plain).withColumn("sick", sick(F.col("sentence"), F.col("finding"), {n: F.col(n) for n in m}, dicts)).withColumn("names", aspects(F.col("illness")))
     named = F.split(F.when(F.col("names") == "", "other_description").otherwise(F.col("names")), ",")
-    return out.withColumn("positive", positivity(F.col("sentence"), F.col("sick"))).withColumn("attribute", named).drop("finding", "sick", "names")
+    return out.withColumn("positive", positivity(F.col("sentence"), F.col("sick"), dicts.lexicon)).withColumn("attribute", named).drop("finding", "sick", "names")
 
 
 def on_path(path: Column, position: Column) -> Column:

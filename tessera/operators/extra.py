@@ -133,7 +133,7 @@ def kept_highlights(marks: DataFrame, key: str) -> DataFrame:
 
 
 def ignored(ents: DataFrame) -> DataFrame:
-    return ents.withColumn("ignore", F.col("sentence").rlike(f"(?i){LEXICON.ignore_entity}"))
+    return ents.withColumn("ignore", F.col("sentence").rlike(f"(?i){LEXICON.ignore_sentence}"))
 
 
 def fixtures_table(spark: SparkSession) -> DataFrame:

@@ -115,7 +115,7 @@ _SOUND = fx.sql_list([(c, h) for c, hs in extra.HOMOPHONES.items() for h in hs])
 
 @query(o.SENTENCES + f""", g AS (SELECT substr(sentence, i, 2) AS word FROM (SELECT sentence, unnest(range(1, length(sentence))) AS i FROM sent)), f AS (SELECT word, count(*) AS freq FROM g GROUP BY 1), h(ch, other) AS (VALUES {_SOUND}),
 m AS (SELECT DISTINCT CASE i WHEN 1 THEN other || substr(word, 2, 1) ELSE substr(word, 1, 1) || other END AS wrong, word AS correct, freq AS c_freq FROM (SELECT word, freq, unnest([1, 2]) AS i FROM f WHERE freq >= 100) JOIN h ON substr(word, i, 1) = ch)
-SELECT wrong, correct, c_freq FROM m WHERE wrong NOT IN (SELECT word FROM f WHERE freq >= 100)""")
+SELECT m.wrong, m.correct, m.c_freq FROM m ANTI JOIN (SELECT word FROM f WHERE freq >= 100) k ON m.wrong = k.word""")
 def homophone_pairs(spark, sf_dir):
     s = en.sentences(synthetic_reports(spark, sf_dir))
     freq = corpus.char_ngrams(s, 2, 2).groupBy(F.col("gram").alias("word")).agg(F.count("*").alias("freq"))
@@ -149,7 +149,7 @@ def json_answers(spark, sf_dir):
     return a.select("order_id", F.coalesce(F.col("a.is_valid").cast("string"), F.lit("unknown")).alias("is_valid"), F.coalesce("a.confidence", F.lit(-1.0)).alias("confidence"))
 
 
-@query(o.ENTITIES + f"SELECT report_id, field, sentence_index, keyword, regexp_matches(sentence, '(?i){L.ignore_entity}') AS ignore FROM ent")
+@query(o.ENTITIES + f"SELECT report_id, field, sentence_index, keyword, regexp_matches(sentence, '(?i){L.ignore_sentence}') AS ignore FROM ent")
 def ignored_entities(spark, sf_dir):
     return extra.ignored(ents(spark, sf_dir)).select("report_id", "field", "sentence_index", "keyword", "ignore")
 

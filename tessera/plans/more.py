@@ -90,11 +90,12 @@ def discover_candidates(spark, sf_dir):
 
 # --- corpus lexicons --------------------------------------------------------------------
 
-_WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ一-鿿]+')) AS word, unnest(range(len(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ一-鿿]+')))) AS pos FROM documents)"
+_WORDS = "w AS MATERIALIZED (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ一-鿿]+') AS l FROM documents))"
 _FREQ = "f AS (SELECT word, count(*) AS freq FROM w GROUP BY 1)"
-_BLANK = "bl AS (SELECT word, freq, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS i FROM f WHERE length(word) >= 4))"
-_PAIRS = "cp AS (SELECT a.word AS wrong, b.word AS correct, a.freq AS w_freq, b.freq AS c_freq FROM bl a JOIN bl b ON a.blank = b.blank AND a.word <> b.word AND a.freq <= 2 AND b.freq >= 20)"
-_PHRASE = "ph AS (SELECT a.word AS a, b.word AS b, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY 1, 2)"
+_BLANK = "bl AS MATERIALIZED (SELECT word, freq, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS i FROM f WHERE length(word) >= 4 AND (freq <= 2 OR freq >= 20)))"
+_PAIRS = "cp AS (SELECT a.word AS wrong, b.word AS correct, a.freq AS w_freq, b.freq AS c_freq FROM (SELECT * FROM bl WHERE freq <= 2) a JOIN (SELECT * FROM bl WHERE freq >= 20) b ON a.blank = b.blank AND a.word <> b.word)"
+_NEXT = "nx AS MATERIALIZED (SELECT doc_id, pos, word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w)"
+_PHRASE = _NEXT + ", ph AS MATERIALIZED (SELECT a, b, count(*) AS n FROM nx WHERE b IS NOT NULL GROUP BY 1, 2)"
 _ORDER = "ot AS (SELECT p.a || ' ' || p.b AS correct, p.b || ' ' || p.a AS error, p.n AS correct_freq, q.n AS error_freq, round(p.n / CAST(q.n + 1 AS DOUBLE), 6) AS ratio FROM ph p JOIN ph q ON p.a = q.b AND p.b = q.a AND p.a <> p.b WHERE round(p.n / CAST(q.n + 1 AS DOUBLE), 6) >= 2)"
 
 
@@ -172,7 +173,7 @@ def typo_scan(spark, sf_dir):
     return corpus.typo_scan(_docs(spark, sf_dir), corpus.confusion_pairs(_freq(spark, sf_dir)))
 
 
-@query(o.with_(_WORDS, _PHRASE, _ORDER) + "SELECT a.doc_id, CAST(a.pos AS INTEGER) AS pos, a.word || ' ' || b.word AS phrase, ot.correct FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN ot ON ot.error = a.word || ' ' || b.word")
+@query(o.with_(_WORDS, _PHRASE, _ORDER) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, a || ' ' || b AS phrase, ot.correct FROM nx JOIN ot ON ot.error = a || ' ' || b WHERE b IS NOT NULL")
 def order_detect(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return corpus.order_detect(d, corpus.order_templates(d))
@@ -180,7 +181,7 @@ def order_detect(spark, sf_dir):
 
 @query(o.SENTENCES + """, g AS (SELECT report_id, field, sentence_index, substr(sentence, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(sentence) - 1)) AS i FROM sent WHERE length(sentence) >= 3)),
 k AS (SELECT gram FROM g WHERE field = 'description' GROUP BY 1 HAVING count(*) >= 5)
-SELECT report_id, sentence_index, gram FROM g WHERE field = 'conclusion' AND gram NOT IN (SELECT gram FROM k)""")
+SELECT report_id, sentence_index, g.gram FROM g ANTI JOIN k ON g.gram = k.gram WHERE field = 'conclusion'""")
 def unseen_ngrams(spark, sf_dir):
     s = en.sentences(synthetic_reports(spark, sf_dir))
     known = corpus.ngram_counts(s.where("field = 'description'"), 3, 5)

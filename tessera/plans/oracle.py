@@ -52,18 +52,19 @@ def ent(name: str = "ent", source: str = "sent") -> str:
     ranges = " OR ".join(f"(contains(sentence, {quote(k)}) AND {({'length': 'measure', 'percent': 'percent', 'volume': 'volume'})[p]} > 0 AND {({'length': 'measure', 'percent': 'percent', 'volume': 'volume'})[p]} BETWEEN {lo} AND {hi})" for k, p, lo, hi in fx.NORMAL_MEASURE)
     ill = "trim(regexp_replace(illness, ',现|,拟|,考虑', '', 'g'))"
     absolute = ", ".join(quote(x) for x in L.absolute_illness.split("|"))
-    words = f"({ill} <> '' AND CASE WHEN {ill} IN ({absolute}) THEN true WHEN {has(ill, '^未见')} THEN false WHEN {has(ill, L.illness)} THEN true WHEN {has(ill, L.normal)} THEN false ELSE length({ill}) > 1 END)"
+    bad = f"CASE WHEN trim(p) IN ({absolute}) THEN true WHEN trim(p) = '' OR {has('trim(p)', '^未见')} THEN false WHEN {has('trim(p)', L.illness)} THEN true ELSE length(trim(p)) > 1 AND NOT {has('trim(p)', L.normal)} END"
+    words = f"len(list_filter(string_split_regex({ill}, '[,，]'), lambda p: {bad})) > 0"
     sick = f"CASE WHEN {has('sentence', L.ignore_entity)} THEN false WHEN measure > 0 OR percent > 0 OR volume > 0 THEN NOT ({ranges}) ELSE {words} END"
     aspect = ", ".join(f"CASE WHEN {has('illness', p)} THEN '{n}' END" for n, p in ASPECTS)
     before = "substr(sentence, 1, CAST(start AS BIGINT))"
     near = f"regexp_extract({before}, '^(?:.*[^侧位])?(左|右|双|两)', 1)"
     after = "regexp_extract(substr(sentence, CAST(\"end\" AS BIGINT) + 1), '[(（](左|右|双|两)[侧部]*?[)）]', 1)"
     return f"""{name}_m AS (
-  SELECT report_id, field, sentence_index, sentence, CAST(unnest(range(len(h))) AS INTEGER) AS match_no, unnest(h) AS keyword
-  FROM (SELECT *, {found('sentence', alt)} AS h FROM {source})
+  SELECT report_id, field, sentence_index, sentence, CAST(k - 1 AS INTEGER) AS match_no, h[k] AS keyword,
+         CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM (SELECT *, {found('sentence', alt)} AS h, string_split_regex(sentence, {quote(alt)}) AS g FROM {source}))
 ), {name}_s AS (
-  SELECT m.*, position, path, depth, lo, hi, CAST(strpos(sentence, m.keyword) - 1 AS INTEGER) AS start,
-         CAST(strpos(sentence, m.keyword) - 1 + length(m.keyword) AS INTEGER) AS "end",
+  SELECT m.*, position, path, depth, lo, hi, CAST(start + length(m.keyword) AS INTEGER) AS "end",
          {mm} AS measure, {pct} AS percent, {ml} AS volume
   FROM {name}_m m JOIN kg ON m.keyword = kg.keyword
 ), {name}_o AS (
@@ -79,10 +80,9 @@ def ent(name: str = "ent", source: str = "sent") -> str:
 
 
 def exams() -> str:
-    paths = {p.split(">")[-1]: p for p, *_ in fx.KG}
-    rows = [(w, n, paths[n], "左" if w.startswith("左") else "右" if w.startswith("右") else "双" if w.startswith("双") else "") for w, n in fx.EXAM]
-    return f"""exam_table(part, exam, exam_path, exam_side) AS (VALUES {fx.sql_list(rows)}),
-exams AS (SELECT report_id, exam, exam_path, exam_side, StudyPart FROM syn JOIN exam_table ON StudyPart = part)"""
+    """Exam parts: the entities of the order's wording."""
+    return sent(("title",), "sent_t") + ",\n" + ent("ent_t", "sent_t") + """,
+exams AS (SELECT report_id, position AS exam, path AS exam_path, orientation AS exam_side, StudyPart FROM ent_t JOIN syn USING (report_id))"""
 
 
 def related(a: str, b: str) -> str:

@@ -14,7 +14,7 @@ from tessera import fixtures as fx
 #: Column: list of (multiplier, shift, phrases); phrases are joined in order.
 _PICKS = {
     "modality": [("o_orderkey", 1, 0, fx.MODALITIES)],
-    "StudyPart": [("o_orderkey", 3, 1, tuple(e[0] for e in fx.EXAM))],
+    "StudyPart": [("o_orderkey", 3, 1, fx.EXAM)],
     "Sex": [("o_custkey", 1, 0, ("男", "女", "M", "F"))],
     "applyTable": [("o_custkey", 7, 2, tuple(f"{d}待查" for d in fx.CONCLUSION))],
 }
@@ -95,11 +95,10 @@ def read_vocabulary(spark: SparkSession, path: str, least: int = 3, most: int =
     return spark.read.text(path).select(word.alias("word")).where(F.length("word").between(least, most)).distinct()
 
 
-def read_rules_ini(path: str) -> dict[str, dict[str, str]]:
-    """Sections of an ini file, read on the driver; values are taken as they are."""
-    import configparser
-
-    parser = configparser.RawConfigParser(strict=False)
-    parser.optionxform = str
-    parser.read(path, encoding="utf-8")
-    return {s: dict(parser.items(s)) for s in parser.sections()}
+def read_named(spark: SparkSession, path: str, most: int = 100) -> DataFrame | None:
+    """At most ``most`` rows of a table of files, in order of their first column; None where the path holds nothing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.orderBy(rows.columns[0]).limit(most)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as ft
 from tessera.operators import detect, history
 from tessera.operators.entities import filled_laterality
+from tessera import dictionaries
 from tessera.sources import reports, sinks
 
 
@@ -22,7 +23,7 @@ def test_readers(spark, tmp_path):
     assert reports.read_corpus(spark, f"{d}/a.jsonl", "jsonl").count() == 1
     assert sorted(map(tuple, reports.read_word_table(spark, f"{d}/w.txt").collect())) == [("肺", 12, "n"), ("胆", 3, "n")]
     assert {tuple(r) for r in reports.read_homophones(spark, f"{d}/h.txt").collect()} == {("a", "b"), ("a", "c")}
-    assert reports.read_rules_ini(f"{d}/c.ini") == {"s": {"Key": "a|b"}}
+    assert dictionaries.read_ini(f"{d}/c.ini") == {"s": {"Key": "a|b"}}
 
 
 def test_sinks(spark, tmp_path):
