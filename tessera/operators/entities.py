@@ -19,7 +19,7 @@ from tessera.config import ASPECTS, LEXICON
 from tessera.dictionaries import DEFAULT, Dictionaries, Names
 from tessera.functions.text import all_of
 
-FIELDS = {"description": "ReportStr", "conclusion": "ConclusionStr", "title": "StudyPart", "apply": "applyTable"}
+FIELDS = {"description": "ReportStr", "conclusion": "ConclusionStr", "title": "StudyPart", "apply": "applyTable", "before_description": "beforeReportStr", "before_conclusion": "beforeConclusionStr"}
 
 
 def sentences(reports: DataFrame, fields: tuple[str, ...] = ("description", "conclusion"), key: str = "report_id") -> DataFrame:

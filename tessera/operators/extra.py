@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera import fixtures as fx
 from tessera.config import LEXICON
 from tessera.functions.text import measurement_score
 from tessera.operators.entities import graph, on_path, opposite
@@ -99,13 +98,6 @@ def judged(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.where("action <> 'drop'").select("finding_id", text.alias("text"))
 
 
-def deductions(pairs: DataFrame, full: int = 20, share: int = 10) -> DataFrame:
-    """pairs (…, before, after, similarity) plus deduction: all for a changed side, else by how much changed."""
-    side = lambda c: F.concat_ws("", F.regexp_extract_all(F.col(c), F.lit("左|右"), F.lit(0)))
-    flipped = (side("before") != side("after")) & (F.col("similarity") > 0.8)
-    return pairs.withColumn("deduction", F.when(flipped, full).otherwise(F.ceil(share * (1 - F.col("similarity")))).cast("long"))
-
-
 def homophone_pairs(freq: DataFrame, spark: SparkSession, least_right: int = 100) -> DataFrame:
     """(wrong, correct, c_freq): rare or unseen words made from a frequent one by one sound-alike character."""
     table = spark.createDataFrame([(c, h) for c, hs in HOMOPHONES.items() for h in hs], "ch string, other string")
@@ -134,9 +126,3 @@ def kept_highlights(marks: DataFrame, key: str) -> DataFrame:
 
 def ignored(ents: DataFrame) -> DataFrame:
     return ents.withColumn("ignore", F.col("sentence").rlike(f"(?i){LEXICON.ignore_sentence}"))
-
-
-def fixtures_table(spark: SparkSession) -> DataFrame:
-    """(name, n): the dictionaries that come with the package, and their sizes."""
-    parts = {"kg": fx.kg_rows(), "exam": fx.EXAM, "normal_measure": fx.NORMAL_MEASURE, "critical": fx.CRITICAL, "replace": fx.REPLACE, "typo": fx.TYPO_RULES}
-    return spark.createDataFrame([(k, len(v)) for k, v in parts.items()], "name string, n int")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
-from tessera.config import GRADES
-from tessera.functions.text import bigram_similarity
 from tessera.operators.entities import entities, graph, opposite, related
 
 
@@ -83,47 +81,6 @@ def audit_diff(versions: DataFrame) -> DataFrame:
     return versions.select("report_id", "field", join("after", "before").alias("added"), join("before", "after").alias("deleted")).where("added <> '' OR deleted <> ''")
 
 
-def audit_pairs(versions: DataFrame) -> DataFrame:
-    """(report_id, field, before, after, similarity): changed sentences that are alike, in order of choice."""
-    only = lambda a, b: F.explode(F.array_except(a, b))
-    b = versions.select("report_id", "field", only("before", "after").alias("before"))
-    a = versions.select("report_id", "field", only("after", "before").alias("after"))
-    sim = F.round(bigram_similarity(F.col("before"), F.col("after")), 6)
-    return b.join(a, ["report_id", "field"]).withColumn("similarity", sim).where("similarity > 0.41 AND similarity < 1")
-
-
-def audit_match(versions: DataFrame) -> DataFrame:
-    """(report_id, field, before, after, similarity): a greedy one-to-one choice of the best pairs of each report."""
-    import pandas as pd
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["similarity", "before", "after"], ascending=[False, True, True], kind="stable")
-        used_b, used_a, keep = set(), set(), []
-        for i, (b, a) in enumerate(zip(pdf["before"], pdf["after"], strict=True)):
-            if b not in used_b and a not in used_a:
-                used_b.add(b)
-                used_a.add(a)
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    pairs = audit_pairs(versions)
-    return pairs.groupBy("report_id", "field").applyInPandas(choose, pairs.schema)
-
-
-def audit_grade(versions: DataFrame, full: int = 20) -> DataFrame:
-    """(report_id, score, grade): 100 less the deductions for added, deleted and side-changed sentences."""
-    d = audit_diff(versions)
-    n = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "；")))
-    sides = lambda c: F.concat_ws("", F.regexp_extract_all(F.col(c), F.lit("左|右"), F.lit(0)))
-    flipped = (F.translate(sides("added"), "左右", "右左") == sides("deleted")) & (sides("added") != "")
-    cost = F.when(flipped, full).otherwise(F.least(F.lit(full), 5 * (n("added") + n("deleted"))))
-    total = d.groupBy("report_id").agg(F.sum(cost).alias("cost"))
-    score = (F.lit(100) - F.coalesce("cost", F.lit(0))).cast("long")
-    out = versions.select("report_id").distinct().join(total, "report_id", "left").select("report_id", score.alias("score"))
-    grade = reduce(lambda c, g: c.when(F.col("score") >= g[1], g[0]), GRADES[1:], F.when(F.col("score") >= GRADES[0][1], GRADES[0][0]))
-    return out.withColumn("grade", grade)
-
-
 def history_latest(events: DataFrame) -> DataFrame:
     """(user_id, event_type, event_id, day): the latest rows of each user and type, ties kept."""
     w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"))

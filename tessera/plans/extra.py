@@ -105,11 +105,6 @@ def verdict_filter(spark, sf_dir):
     return extra.judged(v.select(F.col("candidate_id").alias("finding_id"), F.concat(F.lit("finding "), F.col("candidate_id").cast("string")).alias("finding")), v)
 
 
-@query()
-def audit_deductions(spark, sf_dir):
-    return extra.deductions(history.audit_match(history.audit_versions(synthetic_reports(spark, sf_dir))))
-
-
 _SOUND = fx.sql_list([(c, h) for c, hs in extra.HOMOPHONES.items() for h in hs])
 
 

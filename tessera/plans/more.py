@@ -255,19 +255,6 @@ def audit_diff_sets(spark, sf_dir):
     return history.audit_diff(history.audit_versions(synthetic_reports(spark, sf_dir)))
 
 
-@query(o.REPORTS + _VERSIONS + """, s AS (SELECT *, array_to_string(regexp_extract_all(added, '左|右'), '') AS sa, array_to_string(regexp_extract_all(deleted, '左|右'), '') AS sd,
-  CASE WHEN added = '' THEN 0 ELSE len(string_split(added, '；')) END + CASE WHEN deleted = '' THEN 0 ELSE len(string_split(deleted, '；')) END AS n FROM d),
-c AS (SELECT report_id, sum(CASE WHEN sa <> '' AND translate(sa, '左右', '右左') = sd THEN 20 ELSE least(20, 5 * n) END) AS cost FROM s GROUP BY 1)
-SELECT report_id, CAST(100 - cost AS BIGINT) AS score, CASE WHEN 100 - cost >= 90 THEN 'A' WHEN 100 - cost >= 60 THEN 'B' ELSE 'C' END AS grade FROM c""")
-def audit_grade(spark, sf_dir):
-    return history.audit_grade(history.audit_versions(synthetic_reports(spark, sf_dir)))
-
-
-@query()
-def audit_match(spark, sf_dir):
-    return history.audit_match(history.audit_versions(synthetic_reports(spark, sf_dir)))
-
-
 @query("SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d') AS day FROM (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events) WHERE r = 1")
 def history_latest(spark, sf_dir):
     return history.history_latest(table(spark, sf_dir, "events"))

@@ -23,7 +23,7 @@ def found(text: str, pattern: str) -> str:
 
 SYN = f"syn AS ({REPORTS_SQL})"
 KG = f"kg(keyword, position, path, depth, lo, hi) AS (VALUES {fx.sql_list(fx.kg_rows())})"
-_COLUMN = {"description": "ReportStr", "conclusion": "ConclusionStr", "title": "StudyPart", "apply": "applyTable"}
+_COLUMN = {"description": "ReportStr", "conclusion": "ConclusionStr", "title": "StudyPart", "apply": "applyTable", "before_description": "beforeReportStr", "before_conclusion": "beforeConclusionStr"}
 
 
 def sent(fields: tuple[str, ...] = ("description", "conclusion"), name: str = "sent") -> str:

@@ -39,7 +39,7 @@ def test_sinks(spark, tmp_path):
 
 def test_fold_hands_filled_sides_on(spark):
     sides = ["", "左", "", "", "右", ""]
-    rows = [Row(report_id=1, field="d", sentence_index=k, start=0, match_no=0, keyword="肺", path="胸部>肺", orientation=s) for k, s in enumerate(sides)]
+    rows = [Row(report_id=1, field="d", sentence_index=k, start=0, match_no=0, keyword="肾", path="腹部>肾脏", orientation=s) for k, s in enumerate(sides)]
     out = filled_laterality(spark.createDataFrame(rows)).orderBy("sentence_index")
     assert [r["filled"] for r in out.collect()] == ["左", "左", "左", "左", "右", "右"]
 
