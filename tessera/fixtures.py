@@ -63,7 +63,25 @@ CRITICAL = ((1, "CT|MR", "急性脑梗死", "颅脑", 0.0, "", "急性脑梗死"
 #: Replacement rules: order, pattern, replacement, whether it is a regular expression.
 REPLACE = ((1, "上肺", "肺上叶", False), (2, "下肺", "肺下叶", False), (3, "约(\\d)", "$1", True), (4, "心影", "心脏", False))
 
-TYPO_RULES = (("肺文里", "肺纹理"), ("低密渡", "低密度"), ("高密渡", "高密度"), ("曾强", "增强"), ("末见", "未见"), ("钙化造", "钙化灶"), ("占位性炳变", "占位性病变"))
+#: Patterns of wrong wording, what to write instead (none: look at the punctuation), and their kind. Back-references
+#: are spelt out, so that every engine can run them.
+TYPO_RULES = (
+    ("肺文里", "肺纹理", "形近字错误"), ("低密渡", "低密度", "形近字错误"), ("高密渡", "高密度", "形近字错误"), ("曾强", "增强", "形近字错误"), ("末见", "未见", "形近字错误"),
+    ("支气管[^，,；;。]*?严", "支气管炎症", "音近字"), ("钙化造", "钙化灶", "术语错字"), ("占位性炳变", "占位性病变", "术语错字"),
+    ("[^，,；;。\\s]\\n[^，,；;。\\s]", "检查标点", "换行缺少标点"), ("，，+|,,+|；；+|;;+|。。+", "，", "重复标点"),
+)
+
+#: Words of a segmenter's dictionary, beside the graph's names.
+WORDS = (
+    "结节", "肿块", "纹理", "密度", "高密度", "低密度", "异常", "未见", "明显", "体积增大", "骨质增生", "明显强化", "片状", "囊性", "点状", "清晰", "规整", "大小", "直径",
+    "增厚", "结石", "积水", "积液", "正常", "增生", "囊肿", "信号", "强化", "老年", "增强", "扫描", "动脉期", "肌瘤", "急性", "脑梗死", "气胸", "复查", "建议", "骨质", "体积", "仁济堂医院", "节石",
+)
+
+#: General language: word, frequency, part of speech.
+GENERAL = (("文里", 5000, "n"), ("节节", 3000, "d"), ("异常", 8000, "n"), ("仁济堂", 4000, "nz"), ("请赴", 6000, "v"), ("正常", 9000, "a"), ("片状", 20, "n"))
+#: Endings of institutions, and letters that never join a run of single ones.
+SUFFIXES = ("医院", "中心", "诊所", "公司")
+BLOCKED = "的了和与及在为是"
 
 #: Model verdicts on findings: candidate, valid, confidence, reason; valid is null where the call failed.
 VERDICTS = ((1, True, 0.92, "ok"), (2, True, 0.61, "weak"), (3, False, 0.88, "not a conflict"), (4, True, 0.31, "unsure"), (5, None, None, "timeout"), (6, True, 0.70, "edge"), (7, True, 0.50, "edge"))

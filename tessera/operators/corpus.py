@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import all_of, count_of, is_cjk
+from tessera.functions.text import all_of, count_of
 
 WORD = "[A-Za-zÀ-ÿ\\u4e00-\\u9fff]+"
 
@@ -69,7 +69,7 @@ def lexicon_summary(freq: DataFrame) -> DataFrame:
     return freq.agg(F.count("*").alias("n"), F.round(F.avg(f), 6).alias("mean_freq"), F.round(F.median(f), 6).alias("median_freq"), F.round(F.percentile(f, 0.9), 6).alias("p90_freq"), F.round(F.avg((f > 1).cast("double")), 6).alias("repeated_share"))
 
 
-def confusion_pairs(freq: DataFrame, alphabet: str = "abcdefghijklmnopqrstuvwxyz", most_wrong: int = 2, least_right: int = 20) -> DataFrame:
+def confusion_pairs(freq: DataFrame, most_wrong: int = 2, least_right: int = 20) -> DataFrame:
     """(wrong, correct, w_freq, c_freq): rare words one letter away from a frequent word of the same length.
 
     Words meet on the pattern that is left when one position is blanked, so the join is
@@ -112,17 +112,16 @@ def typo_scan(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return words(docs).join(best, F.col("word") == F.col("wrong")).select("doc_id", "pos", "word", "correct")
 
 
-def order_detect(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc_id, pos, phrase, correct): neighbouring words in an order that the templates call wrong."""
-    w = words(docs)
-    a, b = w.select("doc_id", "pos", F.col("word").alias("a")), w.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("word").alias("b"))
-    pairs = a.join(b, ["doc_id", "pos"]).withColumn("phrase", F.concat_ws(" ", "a", "b"))
-    return pairs.join(templates.select(F.col("error").alias("phrase"), "correct"), "phrase").select("doc_id", "pos", "phrase", "correct")
+def bigrams(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, pos, phrase): neighbouring words, made inside the row."""
+    w = F.col("w")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return docs.select(key, all_of(F.lower(text), WORD).alias("w")).where(F.size("w") >= 2).select(key, F.posexplode(pairs).alias("pos", "phrase"))
 
 
-def unseen_ngrams(rows: DataFrame, known: DataFrame, n: int = 3, text: str = "sentence") -> DataFrame:
-    """rows' n-grams that the table (gram, n) lacks."""
-    return char_ngrams(rows, n, n, text).join(known.select("gram"), "gram", "left_anti")
+def order_detect(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """(doc_id, pos, phrase, correct): neighbouring words in an order that the templates call wrong."""
+    return bigrams(docs).join(templates.select(F.col("error").alias("phrase"), "correct"), "phrase").select("doc_id", "pos", "phrase", "correct")
 
 
 def rule_typos(rows: DataFrame, rules: tuple[tuple[str, str], ...], text: str = "sentence") -> DataFrame:
@@ -137,18 +136,6 @@ def error_stats(errors: DataFrame) -> DataFrame:
     return errors.cube("error_type", "field").agg(F.count("*").alias("n"), both.cast("int").alias("level"))
 
 
-def language_model(rows: DataFrame, text: str = "sentence") -> DataFrame:
-    """(gram, log_prob): log probabilities of the character bigrams that occur. No unigram rows, no back-off, no scores of texts."""
-    uni = char_ngrams(rows, 1, 1, text).groupBy("gram").agg(F.count("*").alias("u"))
-    bi = char_ngrams(rows, 2, 2, text).groupBy("gram").agg(F.count("*").alias("b"))
-    head = F.substring("gram", 1, 1)
-    return bi.withColumn("head", head).join(uni.select(F.col("gram").alias("head"), "u"), "head").select("gram", F.round(F.ln(F.col("b") / F.col("u")), 6).alias("log_prob"))
-
-
-def cjk_only(gram: Column) -> Column:
-    return is_cjk(gram, every=True)
-
-
 def parameter_grid(spark: SparkSession, pairs: DataFrame, least_right: list[int], most_wrong: list[int]) -> DataFrame:
     """(least_right, most_wrong, n_pairs, n_wrong): what is left of the pairs under each setting of a small grid."""
     grid = spark.createDataFrame([(a, b) for a in least_right for b in most_wrong], "least_right int, most_wrong int")

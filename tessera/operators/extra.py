@@ -17,7 +17,7 @@ DEEPER = ("脊柱", "上肢", "下肢", "腹部", "颜面", "主动脉")
 #: Highest number of each numbered part.
 HIGHEST = {"颈": 7, "胸": 12, "腰": 5, "骶": 5}
 #: Syllables that sound alike, of our own small list.
-HOMOPHONES = {"结": "节洁", "节": "结洁", "影": "应迎", "灶": "造燥", "积": "机极", "囊": "馕", "增": "曾赠", "侧": "测策"}
+HOMOPHONES = {"结": "节洁", "节": "结洁", "影": "应迎", "灶": "造燥", "积": "机极", "囊": "馕", "增": "曾赠", "侧": "测策", "纹": "文闻", "理": "里礼", "密": "蜜秘", "度": "渡肚"}
 TERMS = ("炎", "症", "瘤", "结石", "囊肿", "增生", "积液")
 
 

@@ -179,24 +179,10 @@ def order_detect(spark, sf_dir):
     return corpus.order_detect(d, corpus.order_templates(d))
 
 
-@query(o.SENTENCES + """, g AS (SELECT report_id, field, sentence_index, substr(sentence, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(sentence) - 1)) AS i FROM sent WHERE length(sentence) >= 3)),
-k AS (SELECT gram FROM g WHERE field = 'description' GROUP BY 1 HAVING count(*) >= 5)
-SELECT report_id, sentence_index, g.gram FROM g ANTI JOIN k ON g.gram = k.gram WHERE field = 'conclusion'""")
-def unseen_ngrams(spark, sf_dir):
-    s = en.sentences(synthetic_reports(spark, sf_dir))
-    known = corpus.ngram_counts(s.where("field = 'description'"), 3, 5)
-    return corpus.unseen_ngrams(s.where("field = 'conclusion'"), known).select("report_id", "sentence_index", "gram")
-
-
 _RULES = (("见", "可见"), ("约", "大约"), ("增生", "肥大"))
 _RULE_SQL = " UNION ALL ".join(f"SELECT report_id, field, sentence_index, sentence, '{p}' AS pattern, '{s}' AS suggestion FROM sent WHERE contains(sentence, '{p}')" for p, s in _RULES)
 
 
-@query(o.SENTENCES + _RULE_SQL)
-def rule_typos(spark, sf_dir):
-    return corpus.rule_typos(en.sentences(synthetic_reports(spark, sf_dir)), _RULES)
-
-
 @query(o.SENTENCES + f", e AS ({_RULE_SQL}) SELECT pattern AS error_type, field, count(*) AS n, CAST(grouping(pattern) * 2 + grouping(field) AS INTEGER) AS level FROM e GROUP BY CUBE (pattern, field)")
 def error_stats(spark, sf_dir):
     e = corpus.rule_typos(en.sentences(synthetic_reports(spark, sf_dir)), _RULES)
@@ -208,13 +194,6 @@ def correct_text(spark, sf_dir):
     return detect.corrected(en.sentences(synthetic_reports(spark, sf_dir)), _RULES)
 
 
-@query(o.SENTENCES + """, c AS (SELECT sentence, unnest(range(1, length(sentence) + 1)) AS i FROM sent),
-u AS (SELECT substr(sentence, i, 1) AS h, count(*) AS u FROM c GROUP BY 1), b AS (SELECT substr(sentence, i, 2) AS gram, count(*) AS b FROM c WHERE i < length(sentence) GROUP BY 1)
-SELECT gram, round(ln(b / CAST(u AS DOUBLE)), 6) AS log_prob FROM b JOIN u ON substr(gram, 1, 1) = h""")
-def language_model(spark, sf_dir):
-    return corpus.language_model(en.sentences(synthetic_reports(spark, sf_dir)))
-
-
 # --- search, audit, history ------------------------------------------------------------------
 
 
