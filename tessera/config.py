@@ -44,6 +44,10 @@ class Lexicon:
     mm_max: float = 340.0
     cm_max: float = 20.0
     m_max: float = 0.02
+    key_part: str = "胆囊|肝脏|脾脏|子宫|鼻窦|心脏|肾脏|胰腺|膀胱|阑尾|胸腔|胸廓|腋窝|肋骨|结肠|直肠|小肠|食道|丘脑|基底节|输尿管"
+    sub_part: str = "近段|中段|远段|近端|远端|起始段"
+    filler: str = "左侧|右侧|双侧|及|区| |左|右|伴|和|并|示|所见|影|拟|考虑|可能|可见|呈"
+    alike: float = 0.78
     contradiction_exclude: str = "位于|低于|吸收|消失|引流|支架|发育|副|复查"
 
 

@@ -51,7 +51,7 @@ DESCRIPTION = (
 
 CONCLUSION = (
     "右肺上叶结节", "左肺上叶结节", "肝囊肿", "胆囊炎", "左肾结石", "右肾结石", "子宫肌瘤", "前列腺增生", "未见明显异常", "腰椎骨质增生",
-    "左侧基底节急性脑梗死", "右侧胸腔气胸", "乳腺BI-RADS 2类", "前列腺PI-RADS 3分", "脾脏正常，建议复查", "卵巢囊肿", "心脏增大",
+    "左侧基底节急性脑梗死", "右侧胸腔气胸", "乳腺BI-RADS 2类", "前列腺PI-RADS 3分", "脾脏正常，建议复查", "卵巢囊肿", "心脏增大", "胆囊结石", "脾脏体积增大",
 )
 
 #: Normal ranges: keyword, property, least, most.

@@ -7,15 +7,12 @@ partition whatever their number elsewhere.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import COMPLEXITY, LEXICON, Lexicon
 from tessera.dictionaries import DEFAULT, Dictionaries
-from tessera.functions.text import all_of
+from tessera.functions.text import all_of, bigram_similarity
 from tessera.operators.entities import entities, on_path, opposite, related
 
 
@@ -76,9 +73,10 @@ def measure_errors(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     return each.where(F.col("number").cast("double") > limit).select("report_id", F.concat("number", "unit").alias("measure_text")).distinct()
 
 
-def exam_parts(reports: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
-    """(report_id, exam, exam_path, exam_side, StudyPart): the entities that an order's wording names."""
-    e = entities(reports, ("title",), dicts).select("report_id", F.col("position").alias("exam"), F.col("path").alias("exam_path"), F.col("orientation").alias("exam_side"))
+def exam_parts(reports: DataFrame, dicts: Dictionaries = DEFAULT, ents: DataFrame | None = None) -> DataFrame:
+    """(report_id, exam, exam_path, exam_side, StudyPart): the entities that an order's wording names. ents: rows of field ``title``, if there are."""
+    e = entities(reports, ("title",), dicts) if ents is None else ents.where("field = 'title'")
+    e = e.select("report_id", F.col("position").alias("exam"), F.col("path").alias("exam_path"), F.col("orientation").alias("exam_side"))
     return e.join(reports.select("report_id", "StudyPart"), "report_id")
 
 
@@ -86,31 +84,55 @@ def _same_part(e: DataFrame) -> Column:
     return related(F.col("exam_path"), F.col("path"))
 
 
-def part_missing(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
+def part_missing(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT, exams: DataFrame | None = None) -> DataFrame:
     """(report_id, exam): exam parts without a compatible entity in the description; operations are skipped."""
-    exams = exam_parts(reports, dicts).where(~F.col("StudyPart").rlike(dicts.lexicon.skip_part)).drop("StudyPart")
+    exams = (exam_parts(reports, dicts) if exams is None else exams).where(~F.col("StudyPart").rlike(dicts.lexicon.skip_part)).drop("StudyPart")
     e = ents.where("field = 'description'").select("report_id", "path", "orientation")
     some = e.select("report_id").distinct()
     hit = exams.join(e, "report_id").where(_same_part(e) & ~opposite(F.col("exam_side"), F.col("orientation"))).select("report_id", "exam").distinct()
     return exams.join(some, "report_id", "left_semi").select("report_id", "exam").distinct().join(hit, ["report_id", "exam"], "left_anti")
 
 
-def part_inverse(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
+def part_inverse(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT, exams: DataFrame | None = None) -> DataFrame:
     """(report_id, sentence): entities of an exam's part that lie on the opposite side of every such exam."""
-    exams = exam_parts(reports, dicts).drop("StudyPart")
+    exams = (exam_parts(reports, dicts) if exams is None else exams).drop("StudyPart")
     e = ents.where("field = 'description'").select("report_id", "sentence_index", "sentence", "start", "path", "orientation")
     pairs = exams.join(e, "report_id").where(_same_part(e))
     all_far = F.bool_and(opposite(F.col("exam_side"), F.col("orientation")))
     return pairs.groupBy("report_id", "sentence_index", "sentence", "start").agg(all_far.alias("far")).where("far").select("report_id", "sentence").distinct()
 
 
+def illness_similarity(a: Column, b: Column) -> Column:
+    """The best likeness of the parts of two findings: one half where one holds the other, else that of their character pairs.
+
+    The pairs stand in for word vectors, which a user may have and this package doesn't.
+    """
+    parts = lambda c: F.filter(F.transform(F.split(c, "[,，]"), F.trim), lambda x: x != "")
+    one = lambda x, y: F.when(F.contains(x, y) | F.contains(y, x), 0.5).otherwise(bigram_similarity(x, y))
+    return F.coalesce(F.array_max(F.flatten(F.transform(parts(a), lambda x: F.transform(parts(b), lambda y: one(x, y))))), F.lit(0.0))
+
+
+def match_score(d: str, c: str) -> Column:
+    """0.3 for the part and 0.7 for the finding: a related part counts 0.7, less 0.1 on another side; a finding of another
+    polarity loses 0.2, and one that is hardly alike makes the score zero."""
+    part = F.when(F.col(f"{d}orientation") != F.col(f"{c}orientation"), 0.6).otherwise(0.7)
+    ill = illness_similarity(F.col(f"{d}illness"), F.col(f"{c}illness")) - F.when((F.col(f"{d}positive") >= 2) != (F.col(f"{c}positive") >= 2), 0.2).otherwise(0.0)
+    return F.when(F.round(ill, 9) < 0.1, 0.0).otherwise(F.round(0.3 * part + 0.7 * ill, 6))
+
+
 def candidates(ents: DataFrame) -> DataFrame:
-    """Description entities with their conclusion candidates: related paths, similarity of the findings."""
+    """Description entities with their conclusion candidates: related paths, and a score."""
     keep = ["sentence_index", "sentence", "start", "position", "path", "orientation", "illness", "positive"]
     pick = lambda f, p: ents.where(F.col("field") == f).select("report_id", *(F.col(c).alias(p + c) for c in keep))
     pairs = pick("description", "d_").join(pick("conclusion", "c_"), "report_id").where(related(F.col("d_path"), F.col("c_path")))
-    same = F.when((F.col("d_positive") >= 2) & (F.col("c_positive") >= 2), 1.0).when((F.col("d_positive") < 2) & (F.col("c_positive") < 2), 1.0).otherwise(0.2)
-    return pairs.withColumn("score", same * F.when(F.col("d_position") == F.col("c_position"), 1.0).otherwise(0.6))
+    return pairs.withColumn("score", match_score("d_", "c_"))
+
+
+def forced_matches(ents: DataFrame) -> DataFrame:
+    """(report_id, description, conclusion): a part that the description holds once and positively stands for a positive conclusion on it, however worded."""
+    once = ents.where("field = 'description'").groupBy("report_id", "position").agg(F.count("*").alias("n")).where("n = 1").select("report_id", F.col("position").alias("d_position"))
+    pairs = candidates(ents).where("d_positive >= 2 AND c_positive >= 2").where(~opposite(F.col("d_orientation"), F.col("c_orientation")))
+    return pairs.join(once, ["report_id", "d_position"], "left_semi").select("report_id", F.col("d_sentence").alias("description"), F.col("c_sentence").alias("conclusion")).distinct()
 
 
 def conclusion_missing(ents: DataFrame) -> DataFrame:
@@ -123,40 +145,57 @@ def conclusion_missing(ents: DataFrame) -> DataFrame:
 
 def orient_errors(ents: DataFrame) -> DataFrame:
     """(report_id, description, conclusion): the likeliest swapped sides, one for each described and each concluded sentence."""
-    pairs = candidates(ents).where("d_positive >= 2 AND score >= 0.15")
-    wrong, right = pairs.where(opposite(F.col("d_orientation"), F.col("c_orientation"))), pairs.where(~opposite(F.col("d_orientation"), F.col("c_orientation")))
-    by_d = right.groupBy("report_id", "d_sentence").agg(F.max("score").alias("best_d"))
-    by_c = right.groupBy("report_id", "c_sentence").agg(F.max("score").alias("best_c"))
-    w = wrong.groupBy("report_id", "d_sentence", "c_sentence").agg(F.max("score").alias("s"))
-    w = w.join(by_d, ["report_id", "d_sentence"], "left").join(by_c, ["report_id", "c_sentence"], "left")
-    rp, cp = (F.when(F.col(b).isNull(), 1.0).otherwise(F.col("s") - F.col(b)) for b in ("best_d", "best_c"))
-    w = w.withColumn("rp", rp).withColumn("cp", cp).where("rp > 0 AND ((cp > 0.006 AND s >= 0.5) OR (cp = 1 AND s >= 0.4))").withColumn("total", F.col("rp") + F.col("cp"))
+    far = opposite(F.col("d_orientation"), F.col("c_orientation"))
+    pairs = candidates(ents).where("d_positive >= 2 AND score >= 0.15").groupBy("report_id", "d_sentence", "c_sentence").agg(F.max(F.when(far, F.col("score"))).alias("s"), F.max(F.when(~far, F.col("score"))).alias("r"))
+    by = lambda c: F.max("r").over(Window.partitionBy("report_id", c))
+    w = pairs.withColumn("best_d", by("d_sentence")).withColumn("best_c", by("c_sentence")).where("s IS NOT NULL")
+    rp, cp = (F.when(F.col(b).isNull(), 1.0).otherwise(F.round(F.col("s") - F.col(b), 6)) for b in ("best_d", "best_c"))
+    w = w.withColumn("rp", rp).withColumn("cp", cp).where("rp > 0 AND ((cp > 0.006 AND s >= 0.5) OR (cp = 1 AND s >= 0.4))").withColumn("total", F.round(F.col("rp") + F.col("cp"), 6))
     for side, other in (("d_sentence", "c_sentence"), ("c_sentence", "d_sentence")):
         order = Window.partitionBy("report_id", side).orderBy(F.desc("total"), other)
         w = w.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
     return w.select("report_id", F.col("d_sentence").alias("description"), F.col("c_sentence").alias("conclusion"))
 
 
-def apply_orient(reports: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
+def apply_missing(reports: DataFrame, ents: DataFrame, exams: DataFrame) -> DataFrame:
+    """(report_id, part): parts that the request form names and no exam covers. ents: with rows of field ``apply``."""
+    a = ents.where("field = 'apply'").select("report_id", F.col("position").alias("part"), "path", "orientation").distinct()
+    e = exams.select("report_id", "exam_path", "exam_side")
+    hit = a.join(e, "report_id").where(related(F.col("path"), F.col("exam_path")) & ~opposite(F.col("orientation"), F.col("exam_side"))).select("report_id", "part").distinct()
+    some = e.select("report_id").distinct()
+    return a.join(some, "report_id", "left_semi").select("report_id", "part").distinct().join(hit, ["report_id", "part"], "left_anti")
+
+
+def apply_orient(reports: DataFrame, dicts: Dictionaries = DEFAULT, ents: DataFrame | None = None) -> DataFrame:
     """(report_id, report_sentence, apply_sentence): sides in the request form that only contradict the report."""
-    a = entities(reports, ("apply",), dicts).select("report_id", F.col("sentence").alias("apply_sentence"), F.col("path").alias("a_path"), F.col("orientation").alias("a_side"))
-    r = entities(reports, ("description",), dicts).select("report_id", F.col("sentence").alias("report_sentence"), "path", "orientation")
+    ents = entities(reports, ("apply", "description"), dicts) if ents is None else ents
+    a = ents.where("field = 'apply'").select("report_id", F.col("sentence").alias("apply_sentence"), F.col("path").alias("a_path"), F.col("orientation").alias("a_side"))
+    r = ents.where("field = 'description'").select("report_id", F.col("sentence").alias("report_sentence"), "path", "orientation")
     pairs = a.join(r, "report_id").where(related(F.col("a_path"), F.col("path"))).withColumn("far", opposite(F.col("a_side"), F.col("orientation")))
     w = Window.partitionBy("report_id", "apply_sentence", "a_path")
     return pairs.withColumn("all_far", F.min(F.col("far").cast("int")).over(w)).where("all_far = 1").select("report_id", "report_sentence", "apply_sentence").distinct()
 
 
-def contradictions(ents: DataFrame) -> DataFrame:
-    """(report_id, neg, pos): a negative and a positive sentence on one part, compatible sides and a shared aspect.
+def contradictions(ents: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
+    """(report_id, neg, pos): a negative and a positive sentence on one key part and compatible sides that speak of one aspect.
 
-    Of several positives the first in text order stands for a negative.
+    For a negative its aspects are tried in order; of the positives with an aspect the least alike stands for it, if it
+    is unlike enough. A negative without any aspect meets all positives whose stretch of the organ isn't another one.
     """
-    base = ents.where(~F.col("sentence").rlike(LEXICON.contradiction_exclude)).select("report_id", "field", "sentence_index", "start", "sentence", "position", "path", "orientation", "positive", "attribute")
-    neg = base.where("positive = 0").select("report_id", F.struct("field", "sentence_index", "start").alias("n_at"), F.col("sentence").alias("neg"), F.col("path").alias("n_path"), F.col("orientation").alias("n_side"), F.col("attribute").alias("n_attr"))
-    pos = base.where("positive = 3").select("report_id", F.struct("field", "sentence_index", "start").alias("p_at"), F.col("sentence").alias("pos"), "position", "orientation", "attribute")
-    side = (F.col("n_side") == F.col("orientation")) | (F.col("n_side") == "") | (F.col("orientation") == "") | (F.col("n_side") == "双") | (F.col("orientation") == "双")
-    pairs = neg.join(pos, "report_id").where(on_path(F.col("n_path"), F.col("position")) & side & F.arrays_overlap("n_attr", "attribute"))
-    return pairs.groupBy("report_id", "neg", "n_at").agg(F.min_by("pos", F.struct("p_at", "pos")).alias("pos")).select("report_id", "neg", "pos").distinct()
+    keys = F.array(*map(F.lit, lexicon.key_part.split("|")))
+    base = ents.where(~F.col("sentence").rlike(lexicon.contradiction_exclude) & ~F.col("sentence").rlike(f"(?i){lexicon.ignore_sentence}"))
+    base = base.withColumn("organs", F.array_intersect(F.split("path", ">"), keys)).where(F.size("organs") > 0)
+    at = F.struct("field", "sentence_index", "start", "match_no")
+    said = F.length(F.regexp_replace("illness", lexicon.filler, "")) > 1
+    neg = base.where((F.col("positive") <= 1) & (F.col("measure") == 0) & said).select("report_id", at.alias("n_at"), F.col("sentence").alias("neg"), F.col("position").alias("n_position"), F.col("organs").alias("n_organs"), F.col("orientation").alias("n_side"), F.posexplode("attribute").alias("k", "aspect"))
+    pos = base.where("positive >= 2").select("report_id", at.alias("p_at"), F.col("sentence").alias("pos"), "path", "organs", "orientation", "attribute")
+    meets = on_path(F.col("path"), F.col("n_position")) & F.arrays_overlap("organs", "n_organs") & ~opposite(F.col("n_side"), F.col("orientation"))
+    parts = lambda c: F.regexp_extract_all(F.col(c), F.lit(lexicon.sub_part), F.lit(0))
+    free = (F.col("aspect") == "other_description") & ((F.size(parts("neg")) == 0) | (F.size(parts("pos")) == 0) | F.arrays_overlap(parts("neg"), parts("pos")))
+    pairs = neg.join(pos, "report_id").where(meets & (free | ((F.col("aspect") != "other_description") & F.array_contains("attribute", F.col("aspect")))))
+    pairs = pairs.withColumn("similarity", F.round(bigram_similarity(F.col("neg"), F.col("pos")), 6))
+    best = pairs.groupBy("report_id", "neg", "n_at", "k").agg(F.min_by("pos", F.struct("similarity", "p_at", "pos")).alias("pos"), F.min("similarity").alias("similarity")).where(F.col("similarity") <= lexicon.alike)
+    return best.groupBy("report_id", "neg", "n_at").agg(F.min_by("pos", "k").alias("pos")).select("report_id", "neg", "pos").distinct()
 
 
 def critical_values(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
@@ -191,59 +230,6 @@ def positive_parts(ents: DataFrame) -> DataFrame:
     return ents.groupBy("report_id", root.alias("root")).agg(parts.alias("parts"), F.bool_or(F.col("positive") >= 2).alias("any_positive"))
 
 
-def findings(reports: DataFrame) -> DataFrame:
-    """(report_id, check_name, item, other, number): all findings of all checks, one a row.
-
-    The entity table feeds seven checks, so it is kept; a lost part is derived again.
-    """
-    ents = entities(reports).persist(StorageLevel.MEMORY_AND_DISK)
-    none, zero = F.lit(None).cast("string"), F.lit(None).cast("int")
-
-    def rows(df: DataFrame, name: str, item, other: Column = none, number: Column = zero) -> DataFrame:
-        item = F.col(item) if isinstance(item, str) else item
-        return df.select("report_id", F.lit(name).alias("check_name"), item.alias("item"), other.alias("other"), number.alias("number"))
-
-    parts = [
-        rows(part_missing(reports, ents), "partmissing", "exam"),
-        rows(part_inverse(reports, ents), "partinverse", "sentence"),
-        rows(special_missing(reports), "special_missing", "missing"),
-        rows(conclusion_missing(ents), "conclusion_missing", "sentence"),
-        rows(orient_errors(ents), "orient_error", F.concat(F.lit("[描述]"), "description", F.lit("；[结论]"), "conclusion")),
-        rows(contradictions(ents), "contradiction", "neg", F.col("pos")),
-        rows(critical_values(reports, ents), "critical_value", "category", F.col("description"), F.col("rule")),
-        rows(nonstandard_terms(reports), "none_standard_term", "term"),
-        rows(measure_errors(reports), "measure_unit_error", "measure_text"),
-        rows(apply_orient(reports), "apply_orient", "apply_sentence"),
-        rows(sex_conflicts(reports), "sex_error", "sex_error"),
-        rows(rads_missing(reports), "RADS", "rads"),
-    ]
-    return reduce(lambda x, y: x.unionAll(y), parts)
-
-
-def quality_report(reports: DataFrame) -> DataFrame:
-    """All checks of a report in one row; a check without finding is null.
-
-    The findings meet in one aggregation by report, instead of one join for each check.
-    """
-    found = findings(reports)
-    empty = reports.select("report_id", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns[1:]))
-    here = lambda name: F.col("check_name") == name
-
-    def items(name: str, value: Column) -> Column:
-        all_ = F.sort_array(F.collect_set(F.when(here(name), value)))
-        return F.when(F.size(all_) > 0, all_).alias(name)
-
-    text = lambda name: F.max(F.when(here(name), F.col("item"))).alias(name)
-    lists = ("partmissing", "partinverse", "special_missing", "conclusion_missing", "orient_error", "none_standard_term", "measure_unit_error", "apply_orient")
-    return found.unionAll(empty).groupBy("report_id").agg(
-        *(items(n, F.col("item")) for n in lists),
-        items("contradiction", F.struct(F.col("item").alias("neg"), F.col("other").alias("pos"))),
-        items("critical_value", F.struct(F.col("number").alias("index"), F.col("item").alias("category"), F.col("other").alias("description"))),
-        text("sex_error"),
-        text("RADS"),
-    )
-
-
 def error_rates(report: DataFrame, columns: list[str]) -> DataFrame:
     """(check_name, rate): the share of reports that each check flags."""
     flags = F.array(*(F.struct(F.lit(c).alias("check_name"), F.col(c).isNotNull().cast("double").alias("hit")) for c in columns))

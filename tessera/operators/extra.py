@@ -53,10 +53,24 @@ def neighbours(ents: DataFrame) -> DataFrame:
     return ents.withColumn("previous_end", F.lag("end").over(w)).withColumn("next_start", F.lead("start").over(w))
 
 
-def longest_names(rows: DataFrame, spark: SparkSession, text: str = "sentence") -> DataFrame:
-    """rows plus (keyword, start): of all names that occur first at one place, the longest."""
+def name_places(rows: DataFrame, spark: SparkSession, text: str = "sentence") -> DataFrame:
+    """rows plus (keyword, start, stop): every name that occurs, where it occurs first."""
     names = F.broadcast(graph(spark).select("keyword").distinct())
     hit = rows.join(names, F.contains(F.col(text), F.col("keyword"))).withColumn("start", F.instr(text, F.col("keyword")) - 1)
+    return hit.withColumn("stop", F.col("start") + F.length("keyword"))
+
+
+def outermost(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """spans (…, start, stop) that lie strictly inside no other one of their key."""
+    a, b = spans.alias("a"), spans.select(*keys, F.col("start").alias("s"), F.col("stop").alias("t")).alias("b")
+    inside = (F.col("s") <= F.col("a.start")) & (F.col("t") >= F.col("a.stop")) & ((F.col("s") < F.col("a.start")) | (F.col("t") > F.col("a.stop")))
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    return a.join(b, reduce(lambda x, y: x & y, on) & inside, "left_anti")
+
+
+def longest_names(rows: DataFrame, spark: SparkSession, text: str = "sentence") -> DataFrame:
+    """rows plus (keyword, start): of all names that occur first at one place, the longest."""
+    hit = name_places(rows, spark, text).drop("stop")
     w = Window.partitionBy(*rows.columns, "start")
     return hit.withColumn("most", F.max(F.length("keyword")).over(w)).where(F.length("keyword") == F.col("most")).drop("most")
 

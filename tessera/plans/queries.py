@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import fixtures as fx
 from tessera.config import LEXICON as L
 from tessera.functions import text as ft
-from tessera.operators import checks, corpus, entities as en, history, knowledge
+from tessera.operators import checks, corpus, entities as en, extra
 from tessera.plans import oracle as o
 from tessera.sources.reports import synthetic_reports
 
@@ -224,15 +224,12 @@ def laterality_fill(spark, sf_dir):
     return en.filled_laterality(ents(spark, sf_dir))
 
 
-@query(o.ENTITIES + "SELECT a.report_id, a.field, a.sentence_index, a.keyword FROM ent a WHERE EXISTS (SELECT 1 FROM ent b WHERE a.report_id = b.report_id AND a.field = b.field AND a.sentence_index = b.sentence_index AND b.start <= a.start AND b.\"end\" >= a.\"end\" AND (b.start < a.start OR b.\"end\" > a.\"end\"))")
+@query(o.with_(o.SYN, o.KG, o.sent()) + """, h AS (SELECT DISTINCT report_id, field, sentence_index, keyword, CAST(strpos(sentence, keyword) - 1 AS INTEGER) AS start, CAST(strpos(sentence, keyword) - 1 + length(keyword) AS INTEGER) AS stop FROM sent JOIN kg ON contains(sentence, keyword))
+SELECT report_id, field, sentence_index, keyword, start FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.report_id = b.report_id AND a.field = b.field AND a.sentence_index = b.sentence_index AND b.start <= a.start AND b.stop >= a.stop AND (b.start < a.start OR b.stop > a.stop))""")
 def keyword_containment(spark, sf_dir):
-    e = ents(spark, sf_dir)
-    b = e.select("report_id", "field", "sentence_index", F.col("start").alias("s"), F.col("end").alias("t"))
-    inside = (F.col("s") <= F.col("start")) & (F.col("t") >= F.col("end")) & ((F.col("s") < F.col("start")) | (F.col("t") > F.col("end")))
-    keys = ["report_id", "field", "sentence_index"]
-    a = e.alias("a")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    return a.join(b.alias("b"), on[0] & on[1] & on[2] & inside, "left_semi").select(*keys, "keyword")
+    """Every name in a sentence, overlapping ones too, without those inside a longer one."""
+    hits = extra.name_places(en.sentences(synthetic_reports(spark, sf_dir)), spark)
+    return extra.outermost(hits, ["report_id", "field", "sentence_index"]).select("report_id", "field", "sentence_index", "keyword", "start")
 
 
 # --- relations between entities ------------------------------------------------------
@@ -262,20 +259,27 @@ def conclusion_missing(spark, sf_dir):
     return checks.conclusion_missing(ents(spark, sf_dir))
 
 
+def _parts(x: str) -> str:
+    return f"list_filter(list_transform(string_split_regex({x}, '[,，]'), lambda p: trim(p)), lambda p: p <> '')"
+
+
+_GRAMS = lambda x: f"list_distinct(list_transform(range(1, greatest(length({x}) - 1, 1) + 1), lambda i: substr({x}, i, 2)))"
+_DICE = lambda a, b: f"(2.0 * len(list_intersect({_GRAMS(a)}, {_GRAMS(b)})) / (len({_GRAMS(a)}) + len({_GRAMS(b)})))"
+_ILLNESS = f"coalesce(list_max(flatten(list_transform({_parts('d.illness')}, lambda x: list_transform({_parts('c.illness')}, lambda y: CASE WHEN contains(x, y) OR contains(y, x) THEN 0.5 ELSE {_DICE('x', 'y')} END)))), 0.0)"
 _PAIRS = f"""
-, pairs AS (
-  SELECT d.report_id, d.sentence AS ds, c.sentence AS cs, d.orientation AS dor, c.orientation AS cor,
-         (CASE WHEN (d.positive >= 2) = (c.positive >= 2) THEN 1.0 ELSE 0.2 END) * (CASE WHEN d.position = c.position THEN 1.0 ELSE 0.6 END) AS score
+, pairs0 AS (
+  SELECT d.report_id, d.sentence AS ds, c.sentence AS cs, d.orientation AS dor, c.orientation AS cor, CASE WHEN d.orientation <> c.orientation THEN 0.6 ELSE 0.7 END AS part,
+         CAST({_ILLNESS} AS DOUBLE) - CASE WHEN (d.positive >= 2) <> (c.positive >= 2) THEN 0.2 ELSE 0.0 END AS ill
   FROM ent d JOIN ent c ON d.report_id = c.report_id AND d.field = 'description' AND c.field = 'conclusion' AND {o.related('d.path', 'c.path')} AND d.positive >= 2
-)"""
+), pairs AS (SELECT *, CASE WHEN round(ill, 9) < 0.1 THEN 0.0 ELSE round(0.3 * part + 0.7 * ill, 6) END AS score FROM pairs0)"""
 
 
 @query(o.ENTITIES + _PAIRS + f"""
 , p AS (SELECT * FROM pairs WHERE score >= 0.15), r AS (SELECT * FROM p WHERE NOT {o.opposite('dor', 'cor')}),
 w AS (SELECT report_id, ds, cs, max(score) AS s FROM p WHERE {o.opposite('dor', 'cor')} GROUP BY ALL),
 bd AS (SELECT report_id, ds, max(score) AS b FROM r GROUP BY ALL), bc AS (SELECT report_id, cs, max(score) AS b FROM r GROUP BY ALL),
-k AS (SELECT w.*, CASE WHEN bd.b IS NULL THEN 1.0 ELSE s - bd.b END AS rp, CASE WHEN bc.b IS NULL THEN 1.0 ELSE s - bc.b END AS cp FROM w LEFT JOIN bd USING (report_id, ds) LEFT JOIN bc USING (report_id, cs)),
-g AS (SELECT *, rp + cp AS total FROM k WHERE rp > 0 AND ((cp > 0.006 AND s >= 0.5) OR (cp = 1 AND s >= 0.4))),
+k AS (SELECT w.*, CASE WHEN bd.b IS NULL THEN 1.0 ELSE round(s - bd.b, 6) END AS rp, CASE WHEN bc.b IS NULL THEN 1.0 ELSE round(s - bc.b, 6) END AS cp FROM w LEFT JOIN bd USING (report_id, ds) LEFT JOIN bc USING (report_id, cs)),
+g AS (SELECT *, round(rp + cp, 6) AS total FROM k WHERE rp > 0 AND ((cp > 0.006 AND s >= 0.5) OR (cp = 1 AND s >= 0.4))),
 f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY report_id, ds ORDER BY total DESC, cs) = 1)
 SELECT report_id, ds AS description, cs AS conclusion FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY report_id, cs ORDER BY total DESC, ds) = 1)""")
 def orient_error(spark, sf_dir):
@@ -289,12 +293,17 @@ def apply_orient(spark, sf_dir):
     return checks.apply_orient(synthetic_reports(spark, sf_dir))
 
 
+_KEYS = "[" + ", ".join(f"'{k}'" for k in L.key_part.split("|")) + "]"
+
+
 @query(o.ENTITIES + f"""
-, b AS (SELECT * FROM ent WHERE NOT {o.has('sentence', L.contradiction_exclude)}),
-p AS (SELECT n.report_id, n.sentence AS neg, n.field AS nf, n.sentence_index AS ni, n.start AS ns, q.sentence AS pos, q.field AS qf, q.sentence_index AS qi, q.start AS qs
-  FROM b n JOIN b q ON n.report_id = q.report_id AND n.positive = 0 AND q.positive = 3 AND list_contains(string_split(n.path, '>'), q.position)
-   AND (n.orientation = q.orientation OR n.orientation IN ('', '双') OR q.orientation IN ('', '双')) AND list_has_any(n.attribute, q.attribute))
-SELECT DISTINCT report_id, neg, pos FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY report_id, neg, nf, ni, ns ORDER BY qf, qi, qs, pos) = 1)""")
+, b AS (SELECT *, list_intersect(string_split(path, '>'), {_KEYS}) AS organs FROM ent WHERE NOT {o.has('sentence', L.contradiction_exclude)} AND NOT {o.has('sentence', '(?i)' + L.ignore_sentence)}),
+n AS (SELECT *, unnest(range(1, len(attribute) + 1)) AS k FROM b WHERE len(organs) > 0 AND positive <= 1 AND measure = 0 AND length(regexp_replace(illness, '{L.filler}', '', 'g')) > 1),
+p AS (SELECT n.report_id, n.k, n.sentence AS neg, n.field AS nf, n.sentence_index AS ni, n.start AS ns, n.match_no AS nm, q.sentence AS pos, (q.field, q.sentence_index, q.start, q.match_no) AS q_at, round({_DICE('n.sentence', 'q.sentence')}, 6) AS similarity
+  FROM n JOIN (SELECT * FROM b WHERE len(organs) > 0 AND positive >= 2) q ON n.report_id = q.report_id AND list_contains(string_split(q.path, '>'), n.position) AND list_has_any(n.organs, q.organs) AND NOT {o.opposite('n.orientation', 'q.orientation')}
+   AND CASE WHEN n.attribute[n.k] = 'other_description' THEN len({o.found('n.sentence', L.sub_part)}) = 0 OR len({o.found('q.sentence', L.sub_part)}) = 0 OR list_has_any({o.found('n.sentence', L.sub_part)}, {o.found('q.sentence', L.sub_part)}) ELSE list_contains(q.attribute, n.attribute[n.k]) END),
+best AS (SELECT report_id, neg, nf, ni, ns, nm, k, arg_min(pos, (similarity, q_at, pos)) AS pos, min(similarity) AS s FROM p GROUP BY ALL)
+SELECT DISTINCT report_id, neg, pos FROM (SELECT * FROM best WHERE s <= {L.alike} QUALIFY row_number() OVER (PARTITION BY report_id, neg, nf, ni, ns, nm ORDER BY k) = 1)""")
 def contradiction(spark, sf_dir):
     return checks.contradictions(ents(spark, sf_dir))
 
@@ -325,17 +334,6 @@ def positive_parts(spark, sf_dir):
     return checks.positive_parts(ents(spark, sf_dir))
 
 
-@query()
-def quality_report(spark, sf_dir):
-    return checks.quality_report(synthetic_reports(spark, sf_dir))
-
-
-@query()
-def error_rates(spark, sf_dir):
-    report = checks.quality_report(synthetic_reports(spark, sf_dir))
-    return checks.error_rates(report, [c for c in report.columns if c != "report_id"])
-
-
 @query(o.REPORTS + f"""
 SELECT count(*) AS total, count(*) FILTER ({o.has('modality', L.check_modality)}) AS success, count(*) FILTER (NOT {o.has('modality', L.check_modality)}) AS failed,
        round(avg(length({_BOTH})), 6) AS mean_chars, min(length({_BOTH})) AS min_chars, max(length({_BOTH})) AS max_chars FROM syn""")

@@ -14,7 +14,7 @@ from tessera import fixtures as fx
 #: Column: list of (multiplier, shift, phrases); phrases are joined in order.
 _PICKS = {
     "modality": [("o_orderkey", 1, 0, fx.MODALITIES)],
-    "StudyPart": [("o_orderkey", 3, 1, fx.EXAM)],
+    "StudyPart": [("o_custkey", 3, 1, fx.EXAM)],
     "Sex": [("o_custkey", 1, 0, ("男", "女", "M", "F"))],
     "applyTable": [("o_custkey", 7, 2, tuple(f"{d}待查" for d in fx.CONCLUSION))],
 }
