@@ -4,18 +4,19 @@ The index is fitted on a bounded sample (``vectors.FIT_ROWS``) and holds every r
 coarse cell and the codes of its residual, one byte for each of ``PARTS`` sub-vectors.
 How many cells a query visits is measured: in the sample, how near to a vector's own
 place in the order of cells the cells of its true neighbours come; the number of visits
-is that which holds ``TARGET`` of them. A query visits its nearest cells, ranks their rows by asymmetric distance tables (the
-query's residual against all codewords, summed by code) and measures the best
-``SHORTLIST`` of each list, and all that tie with the last of them, exactly, in double
-precision on the original vectors.
+is that which holds ``TARGET`` of them. A query visits its nearest cells and ranks their
+ids by asymmetric distance tables (the query's residual against all codewords, summed by
+code). The best ``SHORTLIST`` ids of all its cells together, and all that tie with the last
+of them, are measured exactly, in double precision on the original vectors. Only codes
+go to the lists; vectors are met again for the shortlists.
 
-Equal vectors are one row of the index, with the smallest ``k + 1`` of their ids: a larger
-id has ``k`` others ahead of it in every query. A list returns the ``k`` best distinct ids
-and lengthens its shortlist until it has as many, or all.
+Of the ids of equal vectors the smallest ``k + 1`` are indexed: a larger id has ``k`` others
+ahead of it in every query. An id of several rows counts once, by its nearest; the query's
+own id is left out before any cut.
 
 Lists longer than ``LIST_ROWS`` are split by a hash of the id, and the queries that
 visit them go to every part. Only the cells' sizes (as many rows as centroids, a fixed
-bound) reach the driver. What is shuffled is the index once and the visits.
+bound) reach the driver. What is shuffled is the codes, the visits, and the index once.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without id or with another length than most; rows
@@ -38,6 +39,7 @@ from tessera.llm.vectors import codebook, of_main_length, sample, squared, usabl
 
 PARTS = 16
 CODES = 256
+#: Ids of a query that are measured exactly.
 SHORTLIST = 100
 LIST_ROWS = 16_384
 MAX_CELLS = 4096
@@ -92,7 +94,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     base = of_main_length(base.where(F.col("id").isNotNull() & usable(F.col("v"))))
     least = lambda ids: F.slice(F.sort_array(ids), 1, k + 1)
     salted = base.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(least(F.collect_set("id")).alias("ids"))
-    alike = scratch.table(salted.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"))
+    alike = scratch.table(salted.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.explode("ids").alias("id"), "v"))
     n = alike.count()
     if not n:
         return spark.createDataFrame([], none)
@@ -104,14 +106,14 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         for pdf in batches:
             if len(pdf):
                 cell, codes = index.encode(np.array(pdf["v"].tolist(), np.float64))
-                yield pd.DataFrame({"cell": cell, "id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes], "ids": pdf["ids"]})
+                yield pd.DataFrame({"cell": cell, "id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes]})
 
-    stored = scratch.table(alike.mapInPandas(encode, "cell long, id long, v array<double>, codes binary, ids array<long>"))
+    stored = scratch.table(alike.mapInPandas(encode, "cell long, id long, v array<double>, codes binary"))
     sizes, fresh = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for cell, count in stored.groupBy("cell").count().collect():
         sizes[cell] = count
     # an id with several vectors counts in one cell only
-    for cell, count in stored.select("cell", F.explode("ids").alias("id")).groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
+    for cell, count in stored.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
         fresh[cell] = count
     split = np.maximum(1, -(-sizes // LIST_ROWS))
 
@@ -127,7 +129,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 out += [(c, part, i, v) for c in cs[:upto].tolist() if sizes[c] for part in range(split[c])]
             yield pd.DataFrame(out, columns=["cell", "part", "id", "v"])
 
-    visits = base.where("asks").select("id", "v").distinct().mapInPandas(visit, "cell long, part long, id long, v array<double>")
+    asking = scratch.table(base.where("asks").select("id", "v").distinct())
+    visits = asking.mapInPandas(visit, "cell long, part long, id long, v array<double>")
 
     def part_of(batches):
         for pdf in batches:
@@ -135,35 +138,33 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 h = (pdf["id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 yield pdf.assign(part=(h % split[pdf["cell"].to_numpy()].astype(np.uint64)).astype(np.int64))
 
-    lists = stored.mapInPandas(part_of, "cell long, id long, v array<double>, codes binary, ids array<long>, part long")
+    lists = stored.select("cell", "id", "codes").mapInPandas(part_of, "cell long, id long, codes binary, part long")
 
     def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        queries, names, scores = [], [], []
+        queries, names, roughs = [], [], []
         if len(asked) and len(held):
             cell = int(held["cell"].iloc[0])
-            ids, x = [np.asarray(i, np.int64) for i in held["ids"]], np.array(held["v"].tolist(), np.float64)
             codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
+            names_of, at = np.unique(held["id"].to_numpy(np.int64), return_inverse=True)
             parts = np.arange(codes.shape[1])
             for i, v in zip(asked["id"].tolist(), np.array(asked["v"].tolist(), np.float64), strict=True):
-                rough = index.tables(v, cell)[parts, codes].sum(axis=1)
-                most = SHORTLIST + 1
-                while True:
-                    best = np.flatnonzero(rough <= np.partition(rough, most - 1)[most - 1]) if len(rough) > most else np.arange(len(rough))
-                    far = np.repeat(np.sqrt(((x[best] - v) ** 2).sum(axis=1)), [len(ids[b]) for b in best])
-                    name = np.concatenate([ids[b] for b in best])
-                    order = np.lexsort((name, far))
-                    order = order[name[order] != i]
-                    order = order[np.sort(np.unique(name[order], return_index=True)[1])][:k]
-                    if len(order) == k or len(best) == len(rough):
-                        break
-                    most *= 4
-                queries.append(np.full(len(order), i))
-                names.append(name[order])
-                scores.append(far[order])
+                rough = np.full(len(names_of), np.inf)
+                np.minimum.at(rough, at, index.tables(v, cell)[parts, codes].sum(axis=1))
+                rough[names_of == i] = np.inf
+                last = np.partition(rough, SHORTLIST - 1)[SHORTLIST - 1] if len(rough) > SHORTLIST else np.inf
+                best = np.flatnonzero((rough <= last) & (rough < np.inf))
+                queries.append(np.full(len(best), i))
+                names.append(names_of[best])
+                roughs.append(rough[best])
         join = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        return pd.DataFrame({"query_id": join(queries, np.int64), "vec_id": join(names, np.int64), "score": join(scores, float)})
-
-    found = visits.groupBy("cell", "part").cogroup(lists.groupBy("cell", "part")).applyInPandas(look, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return pd.DataFrame({"query_id": join(queries, np.int64), "vec_id": join(names, np.int64), "rough": join(roughs, float)})
+
+    found = visits.groupBy("cell", "part").cogroup(lists.groupBy("cell", "part")).applyInPandas(look, "query_id long, vec_id long, rough double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("rough").alias("rough"))
+    by_code = Window.partitionBy("query_id").orderBy("rough")
+    short = found.withColumn("place", F.rank().over(by_code)).where(F.col("place") <= SHORTLIST).select("query_id", "vec_id")
+    near = short.join(stored.select(F.col("id").alias("vec_id"), F.col("v").alias("w")), "vec_id").join(asking.select(F.col("id").alias("query_id"), "v"), "query_id")
+    gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    measured = near.groupBy("query_id", "vec_id").agg(F.min(F.sqrt(gap)).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
