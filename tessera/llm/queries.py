@@ -85,7 +85,10 @@ def _op8_sql() -> str:
         fits.append(f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{tail}')")
     rule = " ".join(f"WHEN {f} THEN '{r}'" for f, (_, r) in zip(fits, rules, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _) in zip(fits, rules, strict=True))
-    count = lambda terms: " + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms)
+    terms = url_filter.read_terms()
+    strict = [(t, 1) for t, w in terms.items() if w >= url_filter.LIMIT]
+    soft = [(t, w) for t, w in terms.items() if w < url_filter.LIMIT]
+    count = lambda ts: " + ".join(f"{w} * CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t, w in ts)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH u AS (
@@ -96,10 +99,10 @@ WITH u AS (
   SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM u
-), h AS (SELECT *, {count(url_filter.STRICT)} AS strict_hits, {count(url_filter.SOFT)} AS soft_hits FROM p)
+), h AS (SELECT *, {count(strict)} AS strict_hits, {count((t, 1) for t, _ in soft)} AS soft_hits, {count(soft)} AS soft_weight FROM p)
 SELECT page_id, host, path, CASE {rule} END AS rule,
-       CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict,
-       strict_hits, soft_hits
+       CASE {verdict} WHEN strict_hits > 0 OR (soft_hits >= 2 AND soft_weight >= {url_filter.LIMIT}) THEN 'block' ELSE 'allow' END AS verdict,
+       strict_hits, soft_hits, soft_weight
 FROM h
 """
 
