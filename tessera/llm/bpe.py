@@ -7,10 +7,11 @@ tiktoken library. Long texts are first cut where the pattern always ends a match
   no alternative of the pattern runs from the latter into the former, and the only
   look-ahead of the pattern concerns runs of white space;
 * between a letter and an ASCII character that is no letter, since letters only match
-  in runs of letters, or at the end of an alternative.
+  in runs of letters, or at the end of an alternative;
+* between an ideograph or kana and an ideographic or full-width stop, for the same reason.
 
-So the pieces' tokens are those of the whole text. A text without such a place is
-encoded whole. The work is one pass without a shuffle.
+So the pieces' tokens are those of the whole text. A stretch without such a place, as a
+run of letters that is one match, is encoded whole. The work is one pass without a shuffle.
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded row by
 row; an empty table gives an empty result. Only id and text are read. Decoding gives
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 #: Characters after which a text is cut at the next safe place.
 PIECE = 1 << 16
 
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[^\W\d_])(?=[!-@\[-`{-~])")
+_CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[^\W\d_])(?=[!-@\[-`{-~])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f])")
 
 
 def read_ranks(path: str) -> bytes:
