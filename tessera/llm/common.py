@@ -15,14 +15,19 @@ once per block, packed with the block's other keys into one binary value.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -43,11 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """What operators write to the shared folder within is removed at the end: write their results before."""
+    mark = len(_open)
+    try:
+        yield
+    finally:
+        for s in _open[mark:]:
+            s.remove()
+        del _open[mark:]
+
+
 class Scratch:
-    """A folder of written tables that live as long as one operator call needs them."""
+    """A folder of written tables. Results may read them, so whoever writes a result removes them (``temporary``)."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0
+        _open.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
@@ -64,10 +85,15 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for t in tables:
-            path = hadoop(t._tessera_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._tessera_path)
+
+    def remove(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
@@ -85,19 +111,101 @@ def block_of(blocks: int, *key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("long")
 
 
+def squeezed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the text as UTF-8 bytes compressed row by row; null stays null. A shuffle of texts moves two thirds of what it would."""
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            blobs = [None if (t := x.as_py()) is None else z.compress(t.encode("utf-8", "surrogatepass")) for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    schema = T.StructType([T.StructField(c.name, T.BinaryType() if c.name == text else c.dataType) for c in docs.schema])
+    return docs.mapInArrow(f, schema)
+
+
+def unsqueezed(column: pa.ChunkedArray) -> list[bytes | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if (b := x.as_py()) is None else z.decompress(b) for x in column]
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; -1 where doc_id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
-def words(text: str | None) -> list[bytes]:
-    """The maximal runs of bytes other than 0x20 and 0x09-0x0D, unchanged."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def words(text: str | bytes | None) -> list[bytes]:
+    """The maximal runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Bytes are UTF-8."""
+    return _utf8(text).split()
 
 
-def lower_words(text: str | None) -> list[bytes]:
+def lower_words(text: str | bytes | None) -> list[bytes]:
     """words, with A-Z lower-cased and no other letter."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return _utf8(text).lower().split()
+
+
+def _utf8(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_tables: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def powers(n: int, which: int = 0, back: bool = False) -> np.ndarray:
+    """Powers of a base, or of its inverse, modulo 2**64."""
+    have = _tables.get((which, back))
+    if have is None or len(have) < n:
+        steps = np.full(1 << max(12, n.bit_length()), pow(_BASES[which], -1 if back else 1, 2**64), np.uint64)
+        steps[0] = 1
+        _tables[which, back] = have = np.cumprod(steps, dtype=np.uint64)
+    return have[:n]
+
+
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes flat[start:end], none of them empty; equal runs have equal hashes. Two families."""
+    value = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(len(flat), which), dtype=np.uint64)
+    return (value[end - 1] - np.where(start > 0, value[np.maximum(start, 1) - 1], np.uint64(0))) * powers(len(flat), which, True)[start]
+
+
+def spans(flat: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    inner = ~space[flat]
+    return np.flatnonzero(inner & np.concatenate([[True], ~inner[:-1]])), np.flatnonzero(inner & np.concatenate([~inner[1:], [True]])) + 1
+
+
+def word_hashes(texts: list[bytes], space: np.ndarray = SPACE, which: int = 0, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of every word of the texts, in order, about ``piece`` bytes at a time; a word is never cut."""
+    at: list[int] = []
+    size = 0
+
+    def hashed(rows, parts):
+        flat = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+        start, end = spans(flat, space)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        return np.asarray(rows)[np.searchsorted(ends, start, side="right")], span_hashes(flat, start, end, which)
+
+    for i, s in enumerate(texts):
+        if len(s) > piece:
+            off = 0
+            while off < len(s):
+                cut, step = off + piece, piece
+                while cut < len(s) and not len(gap := np.flatnonzero(space[np.frombuffer(s, np.uint8, min(step, len(s) - cut), cut)])):
+                    cut, step = cut + step, 2 * step
+                cut = cut + int(gap[0]) + 1 if cut < len(s) else len(s)
+                yield hashed([i], [s[off:cut]])
+                off = cut
+            continue
+        at.append(i)
+        size += len(s)
+        if size > piece:
+            yield hashed(at, [texts[j] for j in at])
+            at, size = [], 0
+    if at:
+        yield hashed(at, [texts[j] for j in at])
 
 
 def spread(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -119,6 +227,12 @@ def unpack(blob: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
+def distinct(*keys: np.ndarray) -> np.ndarray:
+    """The distinct values of all arrays, ascending; by sorting, which is faster here than hashing."""
+    k = np.sort(np.concatenate(keys))
+    return k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
+
+
 def by_part(keys: np.ndarray, parts: np.ndarray, *values: np.ndarray):
     """(part, keys, *values) for each part that has keys; order within a part is kept."""
     if not len(keys):

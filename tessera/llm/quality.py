@@ -8,9 +8,11 @@ weighted sum of the encodings is scored by a logistic layer:
     h_k = tanh(W x_k),  a = softmax_k(v . (tanh(T h_k) * sigmoid(S h_k))),  p = sigmoid(c . sum_k a_k h_k + b)
 
 Only document labels train it. The fit takes a bounded sample of the labelled rows:
-``MAX_FIT_DOCS`` by order of a hash of the id, of those whose text is at most
-``MAX_FIT_BYTES`` long. Scoring covers all rows and whole texts in one pass without a
-shuffle; the parameters, a few thousand numbers, go along with the task.
+``max_docs`` by order of a hash of the id, and of each at most ``max_passages`` passages,
+evenly spaced over the whole text. Scoring covers all rows and whole texts, whatever
+their length, in one pass without a shuffle; the parameters, a few thousand numbers, go
+along with the task. Texts beyond ``PIECE`` bytes are encoded part by part, with the words
+and pairs of words seen so far carried along: the passages are the same as in one piece.
 
 Defined results: null and empty texts are one empty passage; rows without a usable label
 (null, unlabelled) are scored like others; an id with several labels counts as their
@@ -21,6 +23,7 @@ results. Only id, text and label are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import SPACE, distinct, span_hashes, spans
+
 PASSAGE = 96
 MAX_FIT_DOCS = 4000
-MAX_FIT_BYTES = 200_000
+MAX_FIT_PASSAGES = 64
 HIDDEN = 24
 GATE = 16
 EPOCHS = 150
@@ -47,20 +52,39 @@ _class[ord("0") : ord("9") + 1] = 2
 _class[0x80:] = 3
 for _k, _chars in enumerate((b" \t\x0b\x0c", b"\n\r", b".", b",", b"!", b"?", b"|", b"#", b"$", b"%", b"&", b"*", b"@", b"/", b"<>", b"()[]{}", b"'\"`", b"_-=+~^", b":;")):
     _class[list(_chars)] = 4 + _k
-_space = np.zeros(256, bool)
-_space[[0x20, 9, 10, 11, 12, 13]] = True
+_END = re.compile(rb"[ \t-\r]")
 #: Features of a passage: shares of character classes, then word shapes.
 FEATURES = _CLASSES + 8
 
 
-def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, bag): a row for each passage, and the text that it belongs to; each text has one passage at least."""
+@dataclass
+class Seen:
+    """Hashes of the words and of the pairs of words that a text had so far, in ascending order."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+
+
+def _before(keys: np.ndarray, doc: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
+    """Which keys the same text had before."""
+    order = np.lexsort((np.arange(len(keys)), keys, doc))
+    again = np.zeros(len(keys), bool)
+    again[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    if seen is not None and len(seen):
+        again |= seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] == keys
+    return again
+
+
+def passage_features(texts: list[bytes], seen: Seen | None = None, after: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, bag): a row for each passage, and the text that it belongs to; each text has one passage at least.
+
+    With ``seen``, ``texts`` is one part of a text, from the start of a passage; ``after`` is the word that follows it,
+    if one does. What the part adds to ``seen`` is added.
+    """
     n = len(texts)
-    flat = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    space = _space[flat]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    flat = np.frombuffer(b" ".join([*texts, b""]) if after is None else texts[0], np.uint8)
+    sizes = np.array([len(t) + (after is None) for t in texts], np.int64)
+    start, end = spans(flat)
     ends = np.cumsum(sizes)
     doc = np.searchsorted(ends, start, side="right")
     words_of = np.bincount(doc, minlength=n)
@@ -93,32 +117,39 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, _CLASSES + 3] = mean(_class[head] == 1)
         out[:, _CLASSES + 4] = mean(_class[tail] >= 4)
         out[:, _CLASSES + 5] = mean((length == 1) & (_class[head] >= 4))
-        value = np.cumsum(flat * _powers(len(flat)), dtype=np.uint64)
-        word = (value[end - 1] - np.where(start > 0, value[np.maximum(start, 1) - 1], 0)) * _powers(len(flat), True)[start]
-        # share of words that the same text had before
-        order = np.lexsort((np.arange(len(word)), word, doc))
-        again = np.zeros(len(word), bool)
-        again[order[1:]] = (word[order][1:] == word[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        out[:, _CLASSES + 6] = mean(again)
-        pair = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]
-        order = np.lexsort((np.arange(len(pair)), pair, doc[:-1]))
+        word = span_hashes(flat, start, end)
+        # shares of words, and of words that start a pair, that the same text had before
+        out[:, _CLASSES + 6] = mean(_before(word, doc, seen and seen.words))
+        follow = np.append(word[1:], np.uint64(0) if after is None else span_hashes(np.frombuffer(after, np.uint8), np.array([0]), np.array([len(after)])))
+        first = np.flatnonzero(np.append(doc[1:] == doc[:-1], after is not None))
+        pair = word[first] * np.uint64(0x9E3779B97F4A7C15) + follow[first]
         again = np.zeros(len(word), bool)
-        again[order[1:]] = (pair[order][1:] == pair[order][:-1]) & (doc[:-1][order][1:] == doc[:-1][order][:-1])
+        again[first] = _before(pair, doc[first], seen and seen.pairs)
         out[:, _CLASSES + 7] = mean(again)
+        if seen is not None:
+            seen.words, seen.pairs = distinct(seen.words, word), distinct(seen.pairs, pair)
     return out, bag
 
 
-_tables: dict[bool, np.ndarray] = {}
-
-
-def _powers(n: int, back: bool = False) -> np.ndarray:
-    have = _tables.get(back)
-    if have is None or len(have) < n:
-        base = 0xD1342543DE82EF95
-        steps = np.full(1 << max(12, n.bit_length()), pow(base, -1, 2**64) if back else base, np.uint64)
-        steps[0] = 1
-        _tables[back] = have = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+def parts_of(raw: bytes, size: int) -> Iterator[tuple[bytes, bytes | None]]:
+    """Parts of a text, of about ``size`` bytes, that end where a passage ends, each with the word that follows."""
+    at = 0
+    while True:
+        step = size
+        while True:
+            flat = np.frombuffer(raw, np.uint8, min(step, len(raw) - at), at)
+            space = SPACE[flat]
+            start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            if at + step >= len(raw) or len(start) > PASSAGE:
+                break
+            step *= 2
+        if at + step >= len(raw):
+            yield raw[at:], None
+            return
+        cut = at + int(start[(len(start) - 1) // PASSAGE * PASSAGE])
+        end = _END.search(raw, cut)
+        yield raw[at:cut], raw[cut : end.start() if end else len(raw)]
+        at = cut
 
 
 def encode_texts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,11 +163,10 @@ def encode_texts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarr
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
         if len(raw) > PIECE:
-            w = raw.split()
-            step = PASSAGE * max(1, PIECE // (PASSAGE * 8))
-            for at in range(0, max(1, len(w)), step):
-                f, _ = passage_features([b" ".join(w[at : at + step])])
-                yield np.array([i]), f, np.zeros(len(f), np.int64)
+            seen = Seen(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            for piece, after in parts_of(raw, PIECE):
+                f, bag = passage_features([piece], seen, after)
+                yield np.array([i]), f, bag
             continue
         if size + len(raw) > PIECE and part:
             yield np.array(rows), *passage_features(part)
@@ -228,43 +258,41 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, see
     return Model(mean, scale, p)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, len(b), 512):
-            part = b.slice(at, 512)
-            cells: list[list[bytes]] = [[] for _ in range(len(part))]
-            for rows, x, bag in encode_texts(part.column("text").to_pylist()):
-                for k, row in enumerate(rows):
-                    cells[row].append(x[bag == k].astype(np.float32).tobytes())
-            yield pa.record_batch([part.column("label"), pa.array([b"".join(c) for c in cells], pa.binary())], ["label", "bags"])
+def _bags(most: int):
+    """Passages of each text as bytes, at most ``most``, evenly spaced."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.slice(at, 512)
+                cells: list[list[np.ndarray]] = [[] for _ in range(len(part))]
+                for rows, x, bag in encode_texts(part.column("text").to_pylist()):
+                    for k, row in enumerate(rows):
+                        cells[row].append(x[bag == k].astype(np.float32))
+                bags = [np.concatenate(c) for c in cells]
+                bags = [c[np.linspace(0, len(c) - 1, min(most, len(c))).astype(int)].tobytes() for c in bags]
+                yield pa.record_batch([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bags"])
+
+    return f
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_FIT_DOCS) -> Model:
-    """Fits on the rows of docs that have a label and for whose id ``usable`` holds."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_FIT_DOCS, max_passages: int = MAX_FIT_PASSAGES) -> Model:
+    """Fits on the rows of docs that have a label and for whose id ``usable`` holds: ``max_docs`` rows, ``max_passages`` of each."""
     spark = docs.sparkSession
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.avg("label").alias("label")).where(usable)
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
     picked = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"]) for r in sample], marked.schema))
-    known = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "doc_id").where(F.octet_length("text") <= MAX_FIT_BYTES)
+    known = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "doc_id")
     # rows of repeated ids count once
     known = known.select("label", "text", "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    rows = known.select("doc_id", "label", "text").mapInArrow(_with_id, "doc_id string, label double, bags binary").collect()
+    rows = known.select("doc_id", "label", "text").mapInArrow(_bags(max_passages), "doc_id string, label double, bags binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["bags"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES))
     return fit(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([float(r["label"] >= 0.5) for r in rows]))
 
 
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column("doc_id").cast(pa.string())
-        at = 0
-        for out in _bags(iter([b])):
-            yield pa.record_batch([ids.slice(at, len(out)), out.column("label"), out.column("bags")], ["doc_id", "label", "bags"])
-            at += len(out)
-
-
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -279,7 +307,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs with its columns, without the rows that the model scores below the threshold."""
+    """docs with its columns, without the rows that the model scores below the threshold.
+
+    Null and empty texts are scored as one empty passage; repeated rows and rows without id stay or go by their
+    text alone; columns of any name pass through; an empty table stays empty.
+    """
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(list(text)))
