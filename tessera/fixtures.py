@@ -46,7 +46,7 @@ DESCRIPTION = (
     "右肺上叶见结节影，大小约8mm×6mm", "左肺下叶见片状高密度影", "双肺纹理清晰", "肝脏形态规整", "肝右叶见囊性灶，直径约2.5cm",
     "胆囊壁增厚", "左肾见结石，大小约5mm", "右肾积水", "脾脏大小正常", "子宫体积增大", "前列腺增生", "卵巢(左侧)见囊肿约35mm",
     "额叶见片状异常信号影", "甲状腺见低密度结节", "心脏增大，射血分数约45%", "腰椎骨质增生", "左侧膝关节积液", "乳腺致密型，老年改变",
-    "双侧胸腔积液约200ml", "增强扫描肝脏动脉期明显强化", "胆囊未见结石", "左肺上叶见肿块约25cm", "基底节区见点状低密度影",
+    "双侧胸腔积液约200ml", "增强扫描肝脏动脉期明显强化", "胆囊未见结石", "左肺上叶见肿块约25cm", "基底节区见点状低密度影", "肿块压迫主气管", "病灶与大血管分界不清",
 )
 
 CONCLUSION = (
@@ -86,9 +86,6 @@ BLOCKED = "的了和与及在为是"
 #: Model verdicts on findings: candidate, valid, confidence, reason; valid is null where the call failed.
 VERDICTS = ((1, True, 0.92, "ok"), (2, True, 0.61, "weak"), (3, False, 0.88, "not a conflict"), (4, True, 0.31, "unsure"), (5, None, None, "timeout"), (6, True, 0.70, "edge"), (7, True, 0.50, "edge"))
 
-CANDIDATES = ("肝脏右叶", "胆囊壁", "额叶", "上肺", "心", "骶髂关节", "肺上叶尖段", "肾")
-
-
 def sql_list(rows) -> str:
     """Rows as a VALUES list of standard SQL."""
 

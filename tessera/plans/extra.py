@@ -8,7 +8,7 @@ from tessera import fixtures as fx
 from tessera.config import LEXICON as L
 from tessera.operators import corpus, detect, entities as en, extra, history, knowledge
 from tessera.plans import oracle as o
-from tessera.plans.more import _PATIENT, _RETRIEVED, _VALID, _candidates, _patients
+from tessera.plans.more import _PATIENT, _RETRIEVED, _VALID, _frequent, _patients, _validated
 from tessera.plans.queries import ents, query, table
 from tessera.sources.reports import synthetic_reports
 
@@ -117,23 +117,26 @@ def homophone_pairs(spark, sf_dir):
     return extra.homophone_pairs(freq, spark)
 
 
-@query(o.with_(o.KG) + r", t AS (SELECT '病灶位于' || position || '周围' AS sentence FROM kg WHERE keyword = position AND length(position) BETWEEN 2 AND 6) SELECT regexp_extract(sentence, '位于([一-龥]{2,8})(?:内|处|边缘|周围|邻近)', 1) AS candidate, count(*) AS frequency FROM t GROUP BY 1")
-def context_candidates(spark, sf_dir):
-    g = en.graph(spark).where("keyword = position AND length(position) BETWEEN 2 AND 6")
-    return knowledge.context_candidates(g.select(F.concat(F.lit("病灶位于"), "position", F.lit("周围")).alias("sentence")))
-
-
 @query(_VALID + "SELECT level, count(*) AS n FROM v GROUP BY 1")
 def level_distribution(spark, sf_dir):
-    return knowledge.validate(spark, knowledge.retrieve(spark, _candidates(spark))).groupBy("level").agg(F.count("*").alias("n"))
+    return _validated(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(_RETRIEVED + ", g AS (SELECT candidate, path FROM top), k AS (SELECT DISTINCT path, md5(path) AS node_id FROM kg) SELECT candidate, count(node_id) AS known_nodes FROM g LEFT JOIN k USING (path) GROUP BY 1")
 def node_validation(spark, sf_dir):
-    r = knowledge.retrieve(spark, _candidates(spark))
+    r = knowledge.retrieve(spark, _frequent(spark, sf_dir))
     return r.join(knowledge.graph_index(spark).select("node_id", F.col("level_path").alias("path")), "path", "left").groupBy("candidate").agg(F.count("node_id").alias("known_nodes"))
 
 
+@query(_VALID + ", pa AS (SELECT CASE WHEN is_new THEN 'node' WHEN candidate IN (SELECT keyword FROM kg) THEN 'known' ELSE 'alias' END AS kind, level FROM v) SELECT kind, level, count(*) AS n, kind <> 'known' AND level <> 'C' AS published FROM pa GROUP BY 1, 2")
+def graph_growth(spark, sf_dir):
+    """The whole way from reports to patches, counted: candidates by what they would become, and their level."""
+    have = en.graph(spark).select(F.col("keyword").alias("candidate")).distinct().withColumn("known", F.lit(True))
+    v = _validated(spark, sf_dir).join(F.broadcast(have), "candidate", "left")
+    kind = F.when(F.col("is_new"), "node").when(F.col("known"), "known").otherwise("alias")
+    return v.groupBy(kind.alias("kind"), "level").agg(F.count("*").alias("n")).withColumn("published", (F.col("kind") != "known") & (F.col("level") != "C"))
+
+
 @query("""SELECT order_id, coalesce(json_extract_string(j, '$.is_valid'), 'unknown') AS is_valid, coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), -1.0) AS confidence
 FROM (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '{"is_valid": ' || CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "confidence": 0.' || (o_custkey % 10) || '}' END AS j FROM orders)""")
 def json_answers(spark, sf_dir):

@@ -8,6 +8,7 @@ from tessera import fixtures as fx
 from tessera.operators import corpus, detect, entities as en, history, knowledge
 from tessera.plans import oracle as o
 from tessera.plans.queries import ents, query, table
+from tessera.scratch import stored
 from tessera.sources import sinks
 from tessera.sources.reports import synthetic_reports
 
@@ -36,56 +37,87 @@ def graph_index(spark, sf_dir):
     return knowledge.graph_index(spark)
 
 
-_CAND = f"c(candidate) AS (VALUES {fx.sql_list([(x,) for x in fx.CANDIDATES])})"
-_RETRIEVED = o.with_(o.KG, _CAND) + """
-, best AS (SELECT candidate, path, CAST(max(CASE WHEN keyword = position AND candidate = keyword THEN 1.0 WHEN candidate = keyword THEN 0.95 WHEN keyword = position THEN 0.8 ELSE 0.7 END) AS DOUBLE) AS score
-  FROM c JOIN kg ON contains(candidate, keyword) OR contains(keyword, candidate) GROUP BY 1, 2),
-top AS (SELECT *, CAST(row_number() OVER (PARTITION BY candidate ORDER BY score DESC, path) AS INTEGER) AS rank FROM best QUALIFY rank <= 5)
+@query(KG + """, p AS (SELECT DISTINCT array_to_string(list_slice(n, 1, k), '>') AS path, n[1] AS root, repeat('  ', CAST(k - 1 AS BIGINT)) || '- ' || n[k] AS line FROM (SELECT string_split(path, '>') AS n, unnest(range(1, len(string_split(path, '>')) + 1)) AS k FROM kg))
+SELECT root, string_agg(line, chr(10) ORDER BY path) AS tree FROM p GROUP BY root""")
+def kg_tree_text(spark, sf_dir):
+    return knowledge.tree_text(spark)
+
+
+@query(KG + """, g AS (SELECT path, lo, hi, string_split(path, '>')[1] AS root FROM kg WHERE keyword = position)
+SELECT a.path AS a, b.path AS b FROM g a JOIN g b ON a.root = b.root AND a.path < b.path AND a.lo < b.hi AND b.lo < a.hi AND abs(a.lo - b.lo) <= 100""")
+def axis_overlap(spark, sf_dir):
+    return knowledge.axis_overlaps(spark)
+
+
+_HAS = lambda x, p: f"regexp_matches({x}, {o.quote(p)})"
+_CTX = " UNION ALL ".join(f"SELECT report_id, field, sentence_index, sentence, unnest(regexp_extract_all(sentence, {o.quote(p.replace(chr(92) + 'u4e00', '一').replace(chr(92) + 'u9fa5', '龥'))}, 1)) AS candidate, '{m}' AS method FROM s5" for p, m in zip(knowledge.CONTEXTS, knowledge.METHODS, strict=True))
+_MENTION = f"""
+, s5 AS (SELECT * FROM sent WHERE length(trim(sentence)) >= 5),
+gm AS (SELECT report_id, field, sentence_index, sentence, substr(sentence, i, n) AS candidate FROM (SELECT *, unnest(range(1, length(sentence) - n + 2)) AS i FROM (SELECT *, unnest(range(2, 9)) AS n FROM s5) WHERE length(sentence) >= n)),
+mn AS MATERIALIZED (SELECT *, 'ngram' AS method FROM gm WHERE {_HAS('candidate', '[一-鿿]')} AND NOT {_HAS('candidate', '^[A-Za-z一-鿿]{1,2}$')} AND candidate NOT IN ({', '.join(map(o.quote, knowledge.STOP_WORDS))})
+   AND NOT {_HAS('candidate', knowledge.MARKS)} AND {_HAS('candidate', knowledge.ANATOMY)} UNION ALL {_CTX})
 """
-_VALID = _RETRIEVED + """, v AS (SELECT c.candidate, CASE WHEN max(score) >= 0.95 THEN 'A' WHEN max(score) >= 0.7 THEN 'B' ELSE 'C' END AS level, arg_max(path, (score, path)) AS best_path, count(path) AS n_nodes FROM c LEFT JOIN top ON c.candidate = top.candidate GROUP BY 1)
+_DISCOVER = o.with_(o.SYN, o.KG, o.sent()) + _MENTION + """, di AS MATERIALIZED (SELECT candidate, count(*) AS frequency, min((report_id, field, sentence_index, sentence, method)) AS f FROM mn GROUP BY 1 HAVING count(*) >= 3),
+disc AS MATERIALIZED (SELECT candidate, frequency, f[1] AS report_id FROM (SELECT candidate, frequency, [CAST(struct_extract(f, 1) AS BIGINT)] AS f FROM di) d WHERE NOT EXISTS (SELECT 1 FROM kg WHERE contains(candidate, keyword) OR contains(keyword, candidate)))
 """
 
 
-def _candidates(spark):
-    return spark.createDataFrame([(x,) for x in fx.CANDIDATES], "candidate string")
+def _sentences(spark, sf_dir):
+    return en.sentences(synthetic_reports(spark, sf_dir))
 
 
-@query(_RETRIEVED + "SELECT candidate, path, score, rank FROM top")
-def node_retrieval(spark, sf_dir):
-    return knowledge.retrieve(spark, _candidates(spark))
+@query(_DISCOVER + "SELECT candidate, frequency, struct_extract(f, 5) AS method, struct_extract(f, 1) AS report_id, struct_extract(f, 4) AS sentence FROM di WHERE candidate IN (SELECT candidate FROM disc)")
+def discover_candidates(spark, sf_dir):
+    return knowledge.discover(_sentences(spark, sf_dir), spark)
 
 
-@query(_VALID + "SELECT candidate, level, best_path, n_nodes FROM v")
-def validate_levels(spark, sf_dir):
-    return knowledge.validate(spark, knowledge.retrieve(spark, _candidates(spark)))
+@query(_DISCOVER + "SELECT candidate, method, count(*) AS frequency FROM mn WHERE method <> 'ngram' GROUP BY 1, 2")
+def context_candidates(spark, sf_dir):
+    return knowledge.context_candidates(_sentences(spark, sf_dir))
 
 
-@query(_VALID + "SELECT candidate, best_path FROM v WHERE level IN ('A', 'B') AND candidate NOT IN (SELECT keyword FROM kg)")
-def alias_patch(spark, sf_dir):
-    return knowledge.alias_patch(knowledge.validate(spark, knowledge.retrieve(spark, _candidates(spark))), spark)
+#: What is looked up in the graph: frequent mentions, known or not.
+_RETRIEVED = _DISCOVER + """
+, best AS (SELECT candidate, path, CAST(max(CASE WHEN keyword = position AND candidate = keyword THEN 1.0 WHEN candidate = keyword THEN 0.95 WHEN keyword = position THEN 0.8 ELSE 0.7 END) AS DOUBLE) AS score
+  FROM di JOIN kg ON contains(candidate, keyword) OR contains(keyword, candidate) GROUP BY 1, 2),
+top AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY candidate ORDER BY score DESC, path) AS INTEGER) AS rank FROM best QUALIFY rank <= 5)
+"""
+_VALID = _RETRIEVED + """, nz AS (SELECT di.candidate, frequency, struct_extract(f, 1) AS report_id, arg_max(path, (score, path)) AS best_path, count(path) AS n_nodes,
+  coalesce(max(score), round(least(0.9, 0.6 + 0.1 * log10(frequency)), 6)) AS confidence FROM di LEFT JOIN top ON di.candidate = top.candidate GROUP BY di.candidate, frequency, f),
+v AS MATERIALIZED (SELECT nz.*, n_nodes > 0 AS is_alias, n_nodes = 0 AS is_new, CASE WHEN confidence >= 0.7 AND (n_nodes = 0 OR len(list_filter(string_split(best_path, '>'), lambda x: contains(StudyPart, x))) > 0) THEN 'A' WHEN confidence >= 0.7 THEN 'B' ELSE 'C' END AS level
+  FROM nz JOIN syn USING (report_id))
+"""
 
 
-@query(KG + """, p AS (SELECT DISTINCT array_to_string(list_slice(n, 1, k), '>') AS path, n[1] AS root, repeat('  ', CAST(k - 1 AS BIGINT)) || '- ' || n[k] AS line FROM (SELECT string_split(path, '>') AS n, unnest(range(1, len(string_split(path, '>')) + 1)) AS k FROM kg))
-SELECT root, string_agg(line, chr(10) ORDER BY path) AS tree FROM p GROUP BY root""")
-def kg_tree_text(spark, sf_dir):
-    return knowledge.tree_text(spark)
+def _frequent(spark, sf_dir):
+    at = F.struct("report_id", "field", "sentence_index", "sentence", "method")
+    m = knowledge.mentions(_sentences(spark, sf_dir)).groupBy("candidate").agg(F.count("*").alias("frequency"), F.min(at).alias("f")).where("frequency >= 3")
+    return stored(m.select("candidate", "frequency", "f.report_id"))
 
 
-@query(KG + """, g AS (SELECT path, lo, hi, string_split(path, '>')[1] AS root FROM kg WHERE keyword = position)
-SELECT a.path AS a, b.path AS b FROM g a JOIN g b ON a.root = b.root AND a.path < b.path AND a.lo < b.hi AND b.lo < a.hi AND abs(a.lo - b.lo) <= 100""")
-def axis_overlap(spark, sf_dir):
-    return knowledge.axis_overlaps(spark)
+def _validated(spark, sf_dir):
+    c = _frequent(spark, sf_dir)
+    return knowledge.validate(knowledge.normalised(c, knowledge.retrieve(spark, c)), synthetic_reports(spark, sf_dir), spark)
 
 
-_STOP = o.quote(knowledge.STOP_WORDS)
+@query(_RETRIEVED + "SELECT candidate, path, score, rank FROM top")
+def node_retrieval(spark, sf_dir):
+    return knowledge.retrieve(spark, _frequent(spark, sf_dir))
 
 
-@query(o.with_(o.SYN, o.KG, o.sent()) + f"""
-, g AS (SELECT substr(sentence, i, n) AS candidate FROM (SELECT sentence, n, unnest(range(1, length(sentence) - n + 2)) AS i FROM (SELECT sentence, unnest(range(2, 7)) AS n FROM sent) WHERE length(sentence) >= n)),
-f AS (SELECT candidate, count(*) AS frequency FROM g WHERE regexp_matches(candidate, '^[一-鿿]{{3,}}$') AND NOT regexp_matches(candidate, {_STOP}) GROUP BY 1 HAVING count(*) >= 3)
-SELECT candidate, frequency FROM f WHERE NOT EXISTS (SELECT 1 FROM kg WHERE contains(candidate, keyword) OR contains(keyword, candidate))""")
-def discover_candidates(spark, sf_dir):
-    return knowledge.discover(en.sentences(synthetic_reports(spark, sf_dir)), spark)
+@query(_VALID + "SELECT candidate, level, best_path, n_nodes, round(confidence, 6) AS confidence FROM v")
+def validate_levels(spark, sf_dir):
+    return _validated(spark, sf_dir).select("candidate", "level", "best_path", "n_nodes", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_VALID + "SELECT candidate, best_path, level FROM v WHERE is_alias AND level IN ('A', 'B') AND candidate NOT IN (SELECT keyword FROM kg)")
+def alias_patch(spark, sf_dir):
+    return knowledge.alias_patch(_validated(spark, sf_dir), spark)
+
+
+@query(_VALID + "SELECT candidate, frequency, level FROM v WHERE is_new AND level IN ('A', 'B')")
+def node_patch(spark, sf_dir):
+    return knowledge.node_patch(_validated(spark, sf_dir))
 
 
 # --- corpus lexicons --------------------------------------------------------------------
