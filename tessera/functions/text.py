@@ -81,21 +81,6 @@ def has_digit_or_latin(text: Column) -> Column:
     return text.rlike("[0-9A-Za-z]")
 
 
-def measurement_score(text: Column) -> Column:
-    """Weighted evidence that a paragraph lists measurements."""
-    has = lambda words: reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("long") for w in words))
-    headers = ("心功能分析", "脑灌注参数", "血流动力学", "心血管形态", "心房", "心室")
-    terms = ("直径", "厚度", "大小", "容积", "面积", "分数", "舒张末期", "收缩末期", "EF值")
-    units = ("mm", "cm", "ml", "HU", "m/s", "％")
-    return 10 * count_of(text, "[\\u4e00-\\u9fa5\\s]+：\\s*[0-9.]+") + 20 * has(headers).cast("boolean").cast("long") + has(terms) + has(units)
-
-
-def apply_rules(text: Column, rules: list[tuple[int, str, str, bool]]) -> Column:
-    """Ordered replacements (order, pattern, replacement, is a regular expression)."""
-    step = lambda t, r: F.regexp_replace(t, r[1], r[2]) if r[3] else F.replace(t, F.lit(r[1]), F.lit(r[2]))
-    return reduce(step, sorted(rules), text)
-
-
 def parse_date(text: Column) -> Column:
     """A dirty date: letters of other scripts go, dashes become slashes, what doesn't parse is null."""
     plain = F.replace(F.regexp_replace(text, "[\\u4e00-\\u9fa5]", ""), F.lit("-"), F.lit("/"))

@@ -94,16 +94,6 @@ def best_clauses(reports: DataFrame) -> DataFrame:
     return per_report(reports, ("ReportStr", "ConclusionStr"), "sentence string, clause string, similarity double", make)
 
 
-def expanded(reports: DataFrame) -> DataFrame:
-    """(report_id, before, after): abbreviated vertebrae, discs and ribs of each report's number, written out."""
-    def make(part: str) -> list[tuple]:
-        samples = ("L3-5椎体", "C5/6椎间盘", "T3、4、5骨折", "第1-3肋骨折", "L5/S1椎间盘", "颈7/8")
-        text = f"{part}：{samples[len(part) % len(samples)]}"
-        return [(text, scan.expand_parts(text))]
-
-    return per_report(reports, ("StudyPart",), "before string, after string", make)
-
-
 def highlighted(reports: DataFrame) -> DataFrame:
     """(report_id, html): the description with its positive entities marked."""
     trie = scan.dictionary()
@@ -145,3 +135,10 @@ def validated(findings: DataFrame, validator: Validator | None = None) -> DataFr
     else:
         told = asked.mapInPandas(lambda batches: (validator(b) for b in batches), schema)
     return findings.join(told, "phrase", "left")
+
+
+def enriched(nodes: DataFrame, enricher: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """nodes (path) plus a description by a model behind ``enricher``; without one it is null. Equal paths are asked once."""
+    asked = nodes.select("path").distinct()
+    told = asked.withColumn("description", F.lit(None).cast("string")) if enricher is None else asked.mapInPandas(lambda batches: (enricher(b) for b in batches), "path string, description string")
+    return nodes.join(told, "path", "left")

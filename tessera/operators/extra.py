@@ -8,14 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import LEXICON
-from tessera.functions.text import measurement_score
 from tessera.operators.entities import graph, on_path, opposite
 
 #: Path depth by modality, and roots that keep one node more.
 DEPTH = {"CT": 1, "MR": 1, "DX": 5, "MG": 5}
 DEEPER = ("脊柱", "上肢", "下肢", "腹部", "颜面", "主动脉")
-#: Highest number of each numbered part.
-HIGHEST = {"颈": 7, "胸": 12, "腰": 5, "骶": 5}
 #: Syllables that sound alike, of our own small list.
 HOMOPHONES = {"结": "节洁", "节": "结洁", "影": "应迎", "灶": "造燥", "积": "机极", "囊": "馕", "增": "曾赠", "侧": "测策", "纹": "文闻", "理": "里礼", "密": "蜜秘", "度": "渡肚"}
 TERMS = ("炎", "症", "瘤", "结石", "囊肿", "增生", "积液")
@@ -28,11 +25,6 @@ def shortened(path: Column, modality: Column) -> Column:
     return F.element_at(nodes, F.least(depth + F.when(nodes[0].isin(*DEEPER), 1).otherwise(0), F.size(nodes)))
 
 
-def plain_paragraphs(text: Column, most: int = 5) -> Column:
-    """The text without the sentences that list measurements."""
-    return F.array_join(F.filter(F.split(text, "。"), lambda s: (s != "") & (measurement_score(s) <= most)), "。")
-
-
 def is_term(phrase: Column) -> Column:
     """A phrase that is a known term, ends in one, or holds one and is hardly longer."""
     exact = phrase.isin(*TERMS)
@@ -82,14 +74,6 @@ def longest_axis(ents: DataFrame) -> DataFrame:
     return ents.withColumn("most", F.max(span).over(w)).where(span == F.col("most")).drop("most")
 
 
-def abnormal_numbers(rows: DataFrame, text: str) -> DataFrame:
-    """rows plus (part, number) for numbered parts beyond their highest number."""
-    found = F.regexp_extract_all(F.col(text), F.lit("[颈胸腰骶][0-9]+"), F.lit(0))
-    each = rows.select("*", F.explode(found).alias("hit")).withColumn("part", F.substring("hit", 1, 1)).withColumn("number", F.substring("hit", 2, 9).try_cast("int"))
-    high = reduce(lambda c, kv: c.when(F.col("part") == kv[0], kv[1]), HIGHEST.items(), F.when(F.lit(False), 0))
-    return each.where(F.col("number") > high).drop("hit")
-
-
 def mode_filtered(rows: DataFrame, key: str) -> DataFrame:
     """rows (key, template, sex, want_sex) whose template suits the sex, or all of a key's rows if none does."""
     fits = (F.col("want_sex") == "") | (F.col("want_sex") == F.col("sex"))

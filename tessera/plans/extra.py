@@ -70,18 +70,6 @@ def longest_axis(spark, sf_dir):
     return extra.longest_axis(ents(spark, sf_dir)).select("report_id", "field", "sentence_index", "keyword")
 
 
-_PART = "CASE o_orderkey % 4 WHEN 0 THEN '颈' WHEN 1 THEN '胸' WHEN 2 THEN '腰' ELSE '骶' END || (o_custkey % 14)"
-_HIGH = "CASE part " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in extra.HIGHEST.items()) + " END"
-
-
-@query(f"SELECT * FROM (SELECT o_orderkey AS report_id, substr(t, 1, 1) AS part, CAST(substr(t, 2) AS INTEGER) AS number FROM (SELECT o_orderkey, {_PART} AS t FROM orders)) WHERE number > {_HIGH}")
-def abnormal_terms(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    name = F.when(k == 0, "颈").when(k == 1, "胸").when(k == 2, "腰").otherwise("骶")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.concat(name, (F.col("o_custkey") % 14).cast("string"), F.lit("椎体")).alias("t"))
-    return extra.abnormal_numbers(rows, "t").select("report_id", "part", "number")
-
-
 _TEMPLATES = (("胸部模板", ""), ("妇科模板", "女"), ("前列腺模板", "男"), ("儿科模板", "童"))
 
 
@@ -137,16 +125,6 @@ def graph_growth(spark, sf_dir):
     return v.groupBy(kind.alias("kind"), "level").agg(F.count("*").alias("n")).withColumn("published", (F.col("kind") != "known") & (F.col("level") != "C"))
 
 
-@query("""SELECT order_id, coalesce(json_extract_string(j, '$.is_valid'), 'unknown') AS is_valid, coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), -1.0) AS confidence
-FROM (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '{"is_valid": ' || CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "confidence": 0.' || (o_custkey % 10) || '}' END AS j FROM orders)""")
-def json_answers(spark, sf_dir):
-    valid = F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("false")
-    good = F.concat(F.lit('Answer: {"is_valid": '), valid, F.lit(', "confidence": 0.'), (F.col("o_custkey") % 10).cast("string"), F.lit("} thanks"))
-    text = F.when(F.col("o_orderkey") % 3 == 0, "no answer").otherwise(good)
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), history.parsed_answer(text, "is_valid boolean, confidence double").alias("a"))
-    return a.select("order_id", F.coalesce(F.col("a.is_valid").cast("string"), F.lit("unknown")).alias("is_valid"), F.coalesce("a.confidence", F.lit(-1.0)).alias("confidence"))
-
-
 @query(o.ENTITIES + f"SELECT report_id, field, sentence_index, keyword, regexp_matches(sentence, '(?i){L.ignore_sentence}') AS ignore FROM ent")
 def ignored_entities(spark, sf_dir):
     return extra.ignored(ents(spark, sf_dir)).select("report_id", "field", "sentence_index", "keyword", "ignore")
@@ -173,8 +151,3 @@ def highlight_spans(spark, sf_dir):
 @query()
 def structured_entities(spark, sf_dir):
     return detect.structured_entities(synthetic_reports(spark, sf_dir))
-
-
-@query()
-def plain_paragraphs(spark, sf_dir):
-    return synthetic_reports(spark, sf_dir).select("report_id", extra.plain_paragraphs(F.col("ReportStr")).alias("text"))

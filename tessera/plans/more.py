@@ -359,11 +359,6 @@ def vector_cosine(spark, sf_dir):
     return detect.cosine_to_mean(table(spark, sf_dir, "embeddings"))
 
 
-@query()
-def doccano_export(spark, sf_dir):
-    return sinks.annotation_rows(ents(spark, sf_dir))
-
-
 @query(o.SENTENCES + f", e AS ({_RULE_SQL}) SELECT '| ' || pattern || ' | ' || suggestion || ' | ' || replace(sentence, '|', '\\|') || ' |' AS line FROM e")
 def markdown_table(spark, sf_dir):
     e = corpus.rule_typos(en.sentences(synthetic_reports(spark, sf_dir)), _RULES)
@@ -395,11 +390,6 @@ def clause_match(spark, sf_dir):
     return detect.best_clauses(synthetic_reports(spark, sf_dir))
 
 
-@query()
-def spine_rib_expand(spark, sf_dir):
-    return detect.expanded(synthetic_reports(spark, sf_dir))
-
-
 @query()
 def highlight_html(spark, sf_dir):
     return detect.highlighted(synthetic_reports(spark, sf_dir))

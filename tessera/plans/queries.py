@@ -156,29 +156,6 @@ def punct_pairs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ft.doubled_punctuation(F.col("text")).alias("doubled"))
 
 
-@query(r"""
-SELECT conv_id, turn, substr(translate(trim(regexp_replace(text, '[ \x{00a0}\x{007f}\x{3000}]+', ' ', 'g')), '，。；：！？（）【】《》', ',.;:!?()[]<>'), 1, 80) AS head,
-       len(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS n_numbers, regexp_matches(text, '[0-9A-Za-z]') AS latin,
-       contains(lower(text), 'the') OR contains(lower(text), 'que') AS known
-FROM conversations""")
-def text_cleaning(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(ft.plain_punctuation(ft.clean_space(t)), 1, 80).alias("head"), F.size(ft.numbers(t)).cast("long").alias("n_numbers"), ft.has_digit_or_latin(t).alias("latin"), ft.contains_any(t, ["the", "que"]).alias("known"))
-
-
-@query(o.REPORTS + """
-SELECT report_id, 10 * len(regexp_extract_all(ReportStr, '[一-龥\\s]+：\\s*[0-9.]+'))
-  + 20 * CAST(regexp_matches(ReportStr, '心功能分析|脑灌注参数|血流动力学|心血管形态|心房|心室') AS BIGINT)
-  + """.replace("\\\\", "\\") + " + ".join(f"CAST(contains(ReportStr, '{w}') AS BIGINT)" for w in ("直径", "厚度", "大小", "容积", "面积", "分数", "舒张末期", "收缩末期", "EF值", "mm", "cm", "ml", "HU", "m/s", "％")) + " AS score FROM syn")
-def measurement_paragraph(spark, sf_dir):
-    return synthetic_reports(spark, sf_dir).select("report_id", ft.measurement_score(F.col("ReportStr")).alias("score"))
-
-
-@query(o.REPORTS + "SELECT report_id, regexp_replace(replace(replace(replace(regexp_replace(ReportStr, '约([0-9])', '\\1', 'g'), '心影', '心脏'), '上肺', '肺上叶'), '下肺', '肺下叶'), '[,，、]{2,}', '、', 'g') AS clean FROM syn")
-def normalised_text(spark, sf_dir):
-    return synthetic_reports(spark, sf_dir).select("report_id", ft.collapse_separators(ft.apply_rules(F.col("ReportStr"), fx.REPLACE)).alias("clean"))
-
-
 @query("""SELECT order_id, expanded FROM (SELECT o_orderkey AS order_id, array_to_string(list_transform(range(1 + o_orderkey % 3, 1 + o_orderkey % 3 + 1 + o_custkey % 4), lambda i: '腰' || i), '、') AS expanded FROM orders)""")
 def part_ranges(spark, sf_dir):
     first = (1 + F.col("o_orderkey") % 3).cast("int")

@@ -15,11 +15,10 @@ def write_by_error(df: DataFrame, path: str, column: str = "error_type") -> None
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def with_statistics(findings: DataFrame, column: str = "error_category") -> DataFrame:
-    """(json): findings as JSON, one row for each category, with their number."""
-    item = F.to_json(F.struct(*findings.columns))
-    groups = findings.groupBy(column).agg(F.count("*").alias("count"), F.sort_array(F.collect_list(item)).alias("items"))
-    return groups.select(F.to_json(F.struct(F.col(column), "count", "items")).alias("json"))
+def write_with_statistics(findings: DataFrame, path: str, column: str = "error_category") -> None:
+    """Findings as JSON lines, a folder for each category, and beside them their numbers by category and in all."""
+    findings.write.mode("overwrite").partitionBy(column).json(f"{path}/findings")
+    findings.rollup(column).agg(F.count("*").alias("count")).coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
 
 
 def markdown_lines(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,14 +27,14 @@ def markdown_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def annotation_rows(entities: DataFrame) -> DataFrame:
-    """(report_id, sentence_index, text, anatomy, findings): distinct valid spans of each sentence."""
-    valid = entities.where((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("sentence")))
-    spans = lambda c: F.sort_array(F.collect_set(c))
-    found = F.when(F.col("illness") != "", F.struct(F.col("end").alias("start"), F.length("sentence").alias("end"), F.lit("FIND").alias("label")))
-    return valid.groupBy("report_id", "field", "sentence_index", F.col("sentence").alias("text")).agg(
-        spans(F.struct("start", "end", F.lit("ANAT").alias("label"))).alias("anatomy"), spans(found).alias("findings")
-    )
+def annotation_json(entities: DataFrame, spans: DataFrame, relations: DataFrame) -> DataFrame:
+    """(json): a sentence with its spans and relations, as an annotation tool reads it. spans, relations: of ``texts.annotations``."""
+    key = ["report_id", "field", "sentence_index"]
+    span = F.struct("id", "start_offset", "end_offset", "label", "keyword")
+    link = F.struct("from_id", "to_id", F.lit("ANAT-FIND").alias("type"))
+    texts = entities.select(*key, F.col("sentence").alias("text")).distinct()
+    out = texts.join(spans.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("entities")), key).join(relations.groupBy(*key).agg(F.sort_array(F.collect_list(link)).alias("relations")), key)
+    return out.select(F.to_json(F.struct("text", "entities", "relations")).alias("json"))
 
 
 def html_rows(findings: DataFrame, text: str = "sentence", phrase: str = "phrase") -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import audit, extra, grammar, more, quality  # noqa: F401
+from tessera.plans import audit, extra, grammar, more, quality, texts  # noqa: F401
 from tessera.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -34,7 +34,8 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in sinks.markdown_lines(df.orderBy("sentence"), ["sentence"]).collect()] == ["| <c> |", "| a\\|b |"]
     html = sinks.html_rows(df.where("error_type = 'u'").withColumn("phrase", F.lit("c"))).first()["html"]
     assert html == "&lt;<mark>c</mark>&gt;"
-    assert sinks.with_statistics(df.withColumnRenamed("error_type", "error_category")).count() == 2
+    sinks.write_with_statistics(df, str(tmp_path / "s"), "error_type")
+    assert spark.read.json(str(tmp_path / "s" / "findings")).count() == 2 and spark.read.json(str(tmp_path / "s" / "statistics")).count() == 3
 
 
 def test_fold_hands_filled_sides_on(spark):
