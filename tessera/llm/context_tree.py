@@ -16,7 +16,10 @@ depth ``d``. ``reach`` below is the running sum, ``rest`` the running product, s
 that a context which training never saw costs ``reach + rest / 2``: the KT estimate
 of no counts is one half.
 
-Grams are ``D + 1`` bytes packed in an int64, the predicted byte lowest. A tree of
+Grams are ``D + 1`` bytes packed in an int64, the predicted byte lowest. Contexts reach
+back ``across`` bytes whatever they are, and on to ``D`` only as far as the word goes that
+holds the predicted byte (its leading space included); farther bytes are zero, and a chain
+of contexts that only differ in them gives the same estimates as its first. A tree of
 depth D splits into independent subtrees by the ``TOP`` bytes nearest to the
 predicted one, which is what lets Spark build it in parts; ``tops`` joins them.
 """
@@ -27,7 +30,8 @@ import math
 
 import numpy as np
 
-DEPTH = 4
+DEPTH = 7
+ACROSS = 6
 #: Contexts of fewer bytes than this are weighted in one place: at most
 #: (1 + 256) * 255 nodes, whatever the size of the corpus.
 TOP = 2
@@ -75,18 +79,34 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\xff"
 
 
-def codes(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+_MASKS = np.array([(1 << 8 * (k + 1)) - 1 for k in range(7)] + [-1], np.int64)
+
+
+def grams_of(flat: np.ndarray, depth: int, across: int) -> np.ndarray:
+    """The gram of every byte of ``flat`` but the first ``depth``, which are context only."""
+    n = len(flat) - depth
+    code = np.zeros(n, np.int64)
+    for k in range(depth + 1):
+        code <<= 8
+        code |= flat[k : n + k]
+    if across < depth:
+        begins = (flat == 0x20) | (flat == END)
+        near = np.zeros(n, bool)
+        for k in range(1, depth):
+            near |= begins[depth - k : n + depth - k]
+            if k >= across:  # the word begins within k bytes: farther ones go
+                code &= np.where(near, _MASKS[k], np.int64(-1))
+    return code
+
+
+def codes(streams: list[bytes], depth: int = DEPTH, across: int = ACROSS) -> tuple[np.ndarray, np.ndarray]:
     """Gram codes of all streams one after the other, and where each stream starts.
 
     The context before a stream's first byte is made of end marks.
     """
     pad = b"\xff" * depth
-    flat = np.frombuffer(pad + pad.join(streams), np.uint8)
+    code = grams_of(np.frombuffer(pad + pad.join(streams), np.uint8), depth, across)
     sizes = np.array([len(s) for s in streams], np.int64)
-    code = np.zeros(len(flat) - depth, np.int64)
-    for k in range(depth + 1):
-        code <<= 8
-        code |= flat[k : len(flat) - depth + k]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     keep = np.ones(len(code), bool)
     for k in range(depth):  # positions whose predicted byte is padding
@@ -94,15 +114,21 @@ def codes(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
     return code[keep], starts
 
 
-def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order and the sums of their counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order and how often each occurs. Sorts in place."""
+    code.sort()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.append(first, len(code)))
+
+
+def merge_counts(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys in ascending order and the sums of their counts, for each kind of count."""
+    k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    order = np.argsort(k)
+    k = k[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], (np.add.reduceat(c, first) if len(k) else c)
+    sums = (np.add.reduceat(np.concatenate(c)[order], first) if len(k) else np.zeros(0, np.int64) for c in counts)
+    return k[first], *sums
 
 
 def _nodes(grams: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -116,7 +142,7 @@ def _nodes(grams: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def _shorter(keys: np.ndarray, depth: int) -> np.ndarray:
-    return keys & ((np.int64(1) << np.int64(8 * (depth + 1))) - 1)
+    return keys & _MASKS[depth]
 
 
 class Levels:
@@ -130,13 +156,12 @@ class Levels:
         key = np.concatenate(keys) if keys else grams
         ones = np.concatenate([counts * b for b in bits])
         both = np.concatenate([counts] * 8)
-        k, n = merge_counts([key], [both])
-        _, n1 = merge_counts([key], [ones])
+        k, n, n1 = merge_counts([key], [both], [ones])
         n0 = n - n1
         self.keys, self.n0, self.n1, self.log_pw = {depth: k}, {depth: n0}, {depth: n1}, {depth: log_kt(n0, n1)}
         for d in range(depth - 1, top - 1, -1):
             short = _shorter(self.keys[d + 1], d)
-            order = np.argsort(short, kind="stable")
+            order = np.argsort(short)
             short = short[order]
             first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
             add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]  # noqa: B023, E731
