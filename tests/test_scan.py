@@ -60,7 +60,7 @@ def test_sides():
 
 def test_sides_are_handed_on():
     def e(side):
-        return scan.Entity("肺", 0, 1, [("胸部", "肺")], [(0.0, 1.0)], orientation=side)
+        return scan.Entity("肾", 0, 1, [("腹部", "肾脏")], [(0.0, 1.0)], orientation=side)
 
     assert [x.orientation for x in scan.fill_sides([e(s) for s in ("", "左", "", "", "右", "")])] == ["左", "左", "左", "左", "右", "右"]
 
