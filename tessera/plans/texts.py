@@ -8,6 +8,7 @@ from tessera import fixtures as fx
 from tessera.config import LEXICON as L
 from tessera.operators import checks, corpus, texts
 from tessera.plans import grammar as pg
+from tessera.plans import more as _more  # noqa: F401  its SQL is built upon
 from tessera.plans import oracle as o
 from tessera.plans.queries import SQL, ents, query, table
 from tessera.sources.reports import synthetic_reports
