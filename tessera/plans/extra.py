@@ -141,10 +141,24 @@ def merge_statistics(spark, sf_dir):
     return e.agg(F.count("*").alias("before"), F.count_distinct("report_id", "field", "sentence_index", "keyword").alias("after"))
 
 
-@query()
+_SPANS = o.with_(o.SYN, o.KG, o.sent(("description",))).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, h AS (SELECT DISTINCT report_id || ':' || sentence_index AS key, CAST(strpos(sentence, keyword) - 1 AS INTEGER) AS start, CAST(strpos(sentence, keyword) - 1 + length(keyword) AS INTEGER) AS "end", 3 - least(length(keyword), 2) AS priority FROM sent JOIN kg ON contains(sentence, keyword)),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, priority, "end") AS rn FROM h),
+k(key, rn, kept, last_end, last_priority) AS (
+  SELECT key, rn, [rn], "end", priority FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.key, m.rn, CASE WHEN m.start >= last_end THEN list_append(kept, m.rn) WHEN m.priority < last_priority THEN list_append(kept[1:len(kept) - 1], m.rn) ELSE kept END,
+    CASE WHEN m.start >= last_end OR m.priority < last_priority THEN m."end" ELSE last_end END, CASE WHEN m.start >= last_end OR m.priority < last_priority THEN m.priority ELSE last_priority END
+  FROM k JOIN m ON m.key = k.key AND m.rn = k.rn + 1),
+l AS (SELECT key, unnest(kept) AS rn FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1))
+SELECT key, start, "end", CAST(priority AS INTEGER) AS priority FROM m JOIN l USING (key, rn)"""
+
+
+@query(_SPANS)
 def highlight_spans(spark, sf_dir):
-    e = ents(spark, sf_dir).where("field = 'description'")
-    marks = e.select(F.concat_ws(":", "report_id", "sentence_index").alias("key"), "start", "end", F.when(F.col("positive") >= 2, 1).otherwise(2).alias("priority"))
+    """All names of a description, overlapping ones too; of overlapping ones the longer stays."""
+    sent = en.sentences(synthetic_reports(spark, sf_dir), ("description",))
+    marks = extra.name_places(sent, spark).select(F.concat_ws(":", "report_id", "sentence_index").alias("key"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("end"), (3 - F.least(F.length("keyword"), F.lit(2))).cast("int").alias("priority"))
     return extra.kept_highlights(marks, "key")
 
 

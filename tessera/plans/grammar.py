@@ -249,7 +249,17 @@ def grammar_stats(spark, sf_dir):
     return corpus.error_stats(Lexicons(spark, sf_dir).detected())
 
 
-@query()
+_FIXED = (LEXICONS + _ALL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, sg AS MATERIALIZED (SELECT {_K}, start, stop, suggestion, row_number() OVER (PARTITION BY {_K} ORDER BY start DESC, stop, suggestion) AS rn FROM de WHERE suggestion IS NOT NULL),
+fx(report_id, field, sentence_index, rn, t, edge) AS (
+  SELECT DISTINCT sg.report_id, sg.field, sg.sentence_index, CAST(0 AS BIGINT), sentence, CAST(length(sentence) AS BIGINT) FROM sg JOIN tt USING ({_K})
+  UNION ALL
+  SELECT fx.report_id, fx.field, fx.sentence_index, sg.rn, CASE WHEN stop <= edge THEN substr(t, 1, CAST(start AS BIGINT)) || suggestion || substr(t, CAST(stop AS BIGINT) + 1) ELSE t END, CAST(CASE WHEN stop <= edge THEN start ELSE edge END AS BIGINT)
+  FROM fx JOIN sg ON sg.report_id = fx.report_id AND sg.field = fx.field AND sg.sentence_index = fx.sentence_index AND sg.rn = fx.rn + 1)
+SELECT {_K}, t AS corrected FROM fx QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY rn DESC) = 1"""
+
+
+@query(_FIXED)
 def corrected_reports(spark, sf_dir):
     x = Lexicons(spark, sf_dir)
     return g.corrected(x.rows, x.detected())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
+from tessera.functions import scan
 from tessera.operators import corpus, detect, entities as en, history, knowledge
 from tessera.plans import oracle as o
 from tessera.plans.queries import ents, query, table
@@ -390,6 +391,9 @@ def clause_match(spark, sf_dir):
     return detect.best_clauses(synthetic_reports(spark, sf_dir))
 
 
-@query()
+_MARKED = "|".join(sorted(scan.dictionary().entries, key=lambda n: (-len(n), n)))
+
+
+@query(o.REPORTS + f"SELECT report_id, regexp_replace(replace(replace(replace(ReportStr, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '({_MARKED})', '<span class=\"part\">\\1</span>', 'g') AS html FROM syn")
 def highlight_html(spark, sf_dir):
     return detect.highlighted(synthetic_reports(spark, sf_dir))

@@ -196,7 +196,20 @@ def entity_numbering(spark, sf_dir):
     return en.numbered(ents(spark, sf_dir)).select("report_id", "field", "keyword", "text_index")
 
 
-@query()
+_FILL = o.ENTITIES.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, z AS MATERIALIZED (SELECT report_id, field, sentence_index, start, keyword, orientation, regexp_matches(path, '{L.paired_organ}') AS paired, row_number() OVER w AS rn,
+  CASE WHEN coalesce(lead(orientation) OVER w, '') <> '' THEN lead(orientation) OVER w ELSE coalesce(lead(orientation, 2) OVER w, '') END AS ahead
+  FROM ent WINDOW w AS (PARTITION BY report_id, field ORDER BY sentence_index, start, match_no)),
+f(report_id, field, rn, filled, last) AS (
+  SELECT report_id, field, rn, CASE WHEN orientation <> '' OR NOT paired THEN orientation ELSE ahead END, CASE WHEN orientation <> '' OR NOT paired THEN orientation ELSE ahead END FROM z WHERE rn = 1
+  UNION ALL
+  SELECT z.report_id, z.field, z.rn, CASE WHEN orientation <> '' OR NOT paired THEN orientation WHEN last <> '' THEN last ELSE ahead END,
+    CASE WHEN CASE WHEN orientation <> '' OR NOT paired THEN orientation WHEN last <> '' THEN last ELSE ahead END <> '' THEN CASE WHEN orientation <> '' OR NOT paired THEN orientation WHEN last <> '' THEN last ELSE ahead END ELSE last END
+  FROM f JOIN z ON z.report_id = f.report_id AND z.field = f.field AND z.rn = f.rn + 1)
+SELECT report_id, field, sentence_index, start, keyword, orientation, filled FROM z JOIN f USING (report_id, field, rn)"""
+
+
+@query(_FILL)
 def laterality_fill(spark, sf_dir):
     return en.filled_laterality(ents(spark, sf_dir))
 
