@@ -169,22 +169,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with its columns: one row of each root, that with the smallest id (and hash of its text). rows: (doc_id, body, root)."""
-    rows = rows.groupBy("doc_id", "body", "root").agg(F.count("*").alias("times"))
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body", "times")).alias("best")
-    kept = rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.body").alias("b"), "best.times")
+def _first_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its columns: one row of each root, that with the smallest id (and hash of its text).
+
+    rows: (doc_id, body, node) of docs, where the text decides the node; roots: (node, root), nodes without one
+    are their own. Copies of a text meet as partial minima only.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    firsts = rows.groupBy("body", F.col("node").alias("n")).agg(first)
+    named = firsts.join(roots, firsts["n"] == roots["node"], "left").select(F.coalesce("root", "n").alias("root"), "first", "body")
+    best = F.min(F.struct("first.none", "first.doc_id", "body")).alias("best")
+    kept = named.groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.body").alias("b"))
+    twice = rows.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("body").alias("h"), F.lit(True).alias("twice"))
+    kept = kept.join(twice, kept["k"].eqNullSafe(twice["i"]) & (kept["b"] == twice["h"]), "left").select("k", "b", "twice")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _body(text_col).alias("body"))
-    out = row.join(kept, row["doc_id"].eqNullSafe(kept["k"]) & (row["body"] == kept["b"])).select("row", "doc_id", "body", "times")
-    repeated = out.where("times > 1").groupBy("doc_id", "body").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
-    out = out.where("times = 1").select("row").unionByName(repeated)
+    out = row.join(kept, row["doc_id"].eqNullSafe(kept["k"]) & (row["body"] == kept["b"])).select("row", "doc_id", "body", "twice")
+    repeated = out.where("twice").groupBy("doc_id", "body").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    out = out.where("twice IS NULL").select("row").unionByName(repeated)
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """docs with its columns: one row of each component of near_duplicates."""
     prints, classes = _rooted(docs, id_col, text_col, width)
-    return _first_of_each(docs, prints.join(classes, prints["print"] == classes["p"]).select("doc_id", "body", "root"), id_col, text_col)
+    return _first_of_each(docs, prints.withColumnRenamed("print", "node"), classes.select(F.col("p").alias("node"), "root"), id_col, text_col)
 
 
 # --- by similarity -----------------------------------------------------------------------
@@ -195,29 +203,46 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # 1. Candidates. Each of ``BANDS`` keys holds the least hashes of a text's shingles under
 #    ``ROWS`` permutations: a pair shares a key with probability similarity ** ROWS, so that
 #    one of exactly 0.8 shares none with 3e-5, whatever the number of texts and their lengths.
-#    Pairs that share a key are discarded by their largest coordinate difference to
-#    ``FAR_REFERENCES`` and by a distance ``SPREAD`` standard deviations beyond the expected
-#    one. Members of a key are searched breadth first if they are more than ``FEW``, and a
-#    task writes one edge for each text, so that a key with many members costs an edge a
-#    member and still connects them all.
-# 2. Groups. The components of the candidate edges; similar texts are in one group.
-# 3. Verification. In each group, the components under exact similarity of the sets of
+#    (Equal pivot coordinates can't be the keys here: similar texts differ in some 40 bits,
+#    which leaves no group of coordinates unchanged.)
+# 2. Pivot table. Every fingerprint that shares a key gets its distances to the
+#    ``FAR_REFERENCES`` reference fingerprints. Each of the D bits in which a pair differs moves
+#    a coordinate difference up or down by one, so differences grow with the root of D: pairs
+#    whose largest one is beyond ``TURN`` roots of the bits expected are discarded. That drops
+#    three quarters of unrelated pairs and one in 300 of those at the similarity. The
+#    rest is discarded by a distance ``SPREAD`` standard deviations beyond the expected one.
+# 3. Groups. The components of the candidate edges; similar texts are in one group. A task
+#    writes one edge for each text, so a key with many members costs an edge a member.
+# 4. Verification. In each group, the components under exact similarity of the sets of
 #    shingles (as XXH64 hashes). Groups of over ``SLICE`` texts are cut into slices that share
 #    the group's root; where that leaves a group in pieces, all pairs of its slices are
 #    compared.
+#
+# A key of more than ``HOT`` members is dealt to as many tasks as it needs. Each finds the
+# components of its share and hands on one member of each, and those meet in the next round.
+# Where a round doesn't halve them, the members are unlike each other and all pairs of shares
+# are compared, each in a task of its own.
+#
+# Defined results: null and empty texts, and those without words, are alike; fewer than
+# ``width`` words make one shingle of the whole sequence; of repeated rows one stays; rows
+# without id come after all others; equal ids with different texts are told apart by the text;
+# an empty table gives an empty result. Only id and text are read; columns come back as they are.
 
 WORDS = 4
 BANDS, ROWS = 20, 4
 SPREAD = 4
 #: By how much bits of small sets agree less often than the model says: most for 4 of 5 shingles, 0.8125 and not 0.8485.
 SMALL_GAP = 0.0361
-FAR_REFERENCES = 16
+FAR_REFERENCES = 128
+TURN = 4.25
 #: Texts of a group that one task compares, and bytes of text, on average.
 SLICE, SLICE_BYTES = 2048, 32 << 20
-#: Members of a key up to which all pairs are looked at; beyond, the search is breadth first.
+#: Members of a key that one task looks at.
+HOT = 20_000
+#: Members of a key up to which pairs are taken for all keys at once; beyond, key by key and breadth first. Both connect the same texts.
 FEW = 4
 #: Rows of keys that one task sorts, on average.
-KEY_ROWS = 500_000
+KEY_ROWS = 250_000
 
 _EXPAND = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERMUTE = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -271,20 +296,38 @@ def most_bits(similarity: float) -> int:
     return int(n * (1 - p) + SPREAD * np.sqrt(n * p * (1 - p)))
 
 
+def most_turned(similarity: float) -> int:
+    """Largest difference of pivot coordinates up to which pairs are candidates."""
+    return int(TURN * np.sqrt(64 * WORDS * (1 - agreement(similarity) + SMALL_GAP)))
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def _near(prints: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    """Which of the pairs are near: pivot coordinates first, then the distance."""
-    out = (np.abs(table[i] - table[j]) <= most).all(axis=1)
-    left = np.flatnonzero(out)
-    out[left] = _apart(prints[i[left]], prints[j[left]]) <= most
+def far_table(prints: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint to all references."""
+    out = np.empty((len(prints), FAR_REFERENCES), np.int16)
+    for k, r in enumerate(_FAR):
+        out[:, k] = np.bitwise_count(prints ^ r).sum(axis=-1, dtype=np.int16)
     return out
 
 
-def _key_edges(most: int):
-    """Candidate edges of the texts that share a key."""
+def _near(prints: np.ndarray, table: np.ndarray, i: np.ndarray | int, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs are near: largest difference of pivot coordinates first, then the distance."""
+    out = np.ones(len(j), bool)
+    of = lambda k: i if isinstance(i, int) else i[k]
+    left, turned = np.arange(len(j)), most_turned(similarity)
+    for at in range(0, FAR_REFERENCES, 32):  # most unrelated pairs end with the first references
+        off = (np.abs(table[of(left), at : at + 32] - table[j[left], at : at + 32]) > turned).any(axis=-1)
+        out[left[off]] = False
+        left = left[~off]
+    out[left] = _apart(prints[of(left)], prints[j[left]]) <= most_bits(similarity)
+    return out
+
+
+def _key_edges(similarity: float):
+    """Candidate edges (x, y) of the texts that share a share of a key; of hot keys also one member of each component."""
 
     def f(batches):
         import pandas as pd
@@ -293,40 +336,81 @@ def _key_edges(most: int):
         if not whole:
             return
         pdf = pd.concat(whole, ignore_index=True)
-        key, name = pdf["key"].to_numpy(np.int64), pdf["body"].to_numpy(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, name = key[order], name[order]
+        key, part, name = (pdf[c].to_numpy(np.int64) for c in ("key", "part", "body"))
+        order = np.lexsort((name, part, key))
+        same = (key[order][1:] == key[order][:-1]) & (part[order][1:] == part[order][:-1])
+        hot = pdf["hot"].to_numpy(bool)
+        order = order[np.append(same, False) | np.append(False, same) | hot[order]]  # alone with a key: nothing to do
+        key, part, name, hot = key[order], part[order], name[order], hot[order]
+        if not len(order):
+            return
         prints = np.frombuffer(b"".join(pdf["wide"].to_numpy()[order]), np.uint64).reshape(-1, WORDS)
-        table = np.stack([_apart(prints, r) for r in _FAR], axis=1).astype(np.int16)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        table = far_table(prints)
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
         size = np.diff(np.append(first, len(key)))
         small = np.repeat(size <= FEW, size)
-        out = []
+        group = np.repeat(np.arange(len(first)), size)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for gap in range(1, min(FEW, int(size.max()))):
-            i = np.flatnonzero((key[:-gap] == key[gap:]) & small[gap:])
+            i = np.flatnonzero((group[:-gap] == group[gap:]) & small[gap:])
             if not len(i):
                 break
-            i = i[_near(prints, table, i, i + gap, most)]
-            out.append((name[i], name[i + gap]))
+            i = i[_near(prints, table, i, i + gap, similarity)]
+            out.append((i, i + gap))
         for at, n in zip(first[size > FEW], size[size > FEW], strict=True):
             left, front = np.arange(at, at + n), []
             while len(left):
                 if not front:
-                    front, left = [left[0]], left[1:]
+                    front, left = [int(left[0])], left[1:]
                 x = front.pop()
-                hit = _near(prints, table, np.full(len(left), x), left, most)
-                out.append((np.full(int(hit.sum()), name[x]), name[left[hit]]))
+                hit = _near(prints, table, x, left, similarity)
+                out.append((np.full(int(hit.sum()), x), left[hit]))
                 front += left[hit].tolist()
                 left = left[~hit]
-        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True))
         # of what one task found, a text needs one edge only
-        names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        names, at = np.unique(np.concatenate([name[x], name[y]]), return_inverse=True)
         root = names[forest(len(names), at[: len(x)], at[len(x) :])]
-        yield pd.DataFrame({"x": names[names != root], "y": root[names != root]})
+        yield pd.DataFrame({"x": names[names != root], "y": root[names != root], "key": 0, "wide": None})
+        if hot.any():
+            tops = forest(len(name), x, y)  # of rows, key by key
+            stay = np.flatnonzero(hot & (tops == np.arange(len(name))))
+            yield pd.DataFrame({"x": name[stay], "y": name[stay], "key": key[stay], "wide": [prints[k].tobytes() for k in stay]})
 
     return f
 
 
+def _candidates(distinct: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(x, y): edges that connect texts which share a key and are near. distinct: (body, wide, keys)."""
+    keyed = distinct.mapInArrow(_keyed, "key long, body long, wide binary")
+    total = distinct.count() * BANDS
+    edges = None
+    while True:
+        sizes = scratch.table(keyed.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("k"), "count", F.ceil(F.col("count") / HOT).alias("shares")))
+        shared = keyed.join(sizes, keyed["key"] == sizes["k"], "left")
+        part = F.pmod(F.xxhash64("body", "key"), F.coalesce("shares", F.lit(1)))
+        rows = shared.select("key", "body", "wide", part.alias("part"), F.col("shares").isNotNull().alias("hot"), "shares")
+        found = scratch.table(_looked(rows.drop("shares"), total, similarity))
+        edges = found.where("x <> y") if edges is None else edges.unionByName(found.where("x <> y"))
+        before = sizes.agg(F.sum("count")).first()[0]
+        if not before:
+            return edges.select("x", "y")
+        left = found.where("x = y").select("key", F.col("x").alias("body"), "wide")
+        total = left.count()
+        if total > before / 2:
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+            pairs = rows.where("hot").withColumn("other", other).where("other <> part")
+            pairs = pairs.select("key", "body", "wide", (F.least("part", "other") * F.col("shares") + F.greatest("part", "other")).alias("part"), F.lit(False).alias("hot"))
+            more = scratch.table(_looked(pairs, pairs.count(), similarity))
+            return edges.unionByName(more).select("x", "y")
+        keyed = left
+
+
+def _looked(rows: DataFrame, total: int, similarity: float) -> DataFrame:
+    parts = max(1, math.ceil(total / KEY_ROWS))
+    return rows.repartition(parts, "key", "part").mapInPandas(_key_edges(similarity), "x long, y long, key long, wide binary")
+
+
 def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the smallest index of its component, where sets of at least that Jaccard similarity link."""
     size = np.array([len(x) for x in sets])
@@ -393,14 +477,19 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(found), b.column("body").take(again), b.column("wide").take(again)], ["key", "body", "wide"])
 
 
-def _verified(base: DataFrame, groups: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
-    """(node, root) of the texts that truly similar ones connect. base: rows (body, text); groups: (node, root) of the candidates."""
+def _verified(base: DataFrame, firsts: DataFrame, groups: DataFrame, similarity: float, width: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the texts that truly similar ones connect.
+
+    base: rows (doc_id, body, text); firsts: (body, first), one id of each text; groups: (node, root) of the candidates.
+    """
     sizes = groups.groupBy("root").count().select(F.col("root").alias("r"), F.ceil(F.col("count") / SLICE).cast("int").alias("cuts"))
     cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    sized = scratch.table(groups.join(sizes, groups["root"] == sizes["r"]).select("node", "root", "cuts", cut.alias("cut")))
-    # copies are collapsed before the shuffle
-    texts = base.groupBy("body").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    texts = scratch.table(texts.join(sized, texts["body"] == sized["node"]).select("root", "cuts", "cut", "body", "text"))
+    sized = groups.join(sizes, groups["root"] == sizes["r"]).select("node", "root", "cuts", cut.alias("cut"))
+    sized = scratch.table(sized.join(firsts, sized["node"] == firsts["body"]).select("node", "root", "cuts", "cut", "first.doc_id"))
+    # one row of each text in a group, by its id, so that neither copies nor other texts are shuffled
+    texts = base.join(sized, (base["body"] == sized["node"]) & base["doc_id"].eqNullSafe(sized["doc_id"]))
+    texts = texts.groupBy("root", "cuts", "cut", "body").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    texts = scratch.table(texts)
     edges_of = lambda cuts: scratch.table(
         cuts.repartition(max(1, math.ceil((cuts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SLICE_BYTES)), "root", "cut").mapInPandas(_exact_edges(similarity, width), "x long, y long")
     )
@@ -419,22 +508,26 @@ def _verified(base: DataFrame, groups: DataFrame, similarity: float, width: int,
     return components(edges.unionByName(edges_of(pairs.select("root", both.alias("cut"), "body", "text"))), scratch)
 
 
-def similar_rows(docs: DataFrame, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, body, root) of every row: rows with one root are copies, or connected by similar texts."""
+def _similar_classes(docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body) of every row, and (node, root) of the texts that are connected to others."""
     scratch = Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _body(text_col).alias("body"))
     rows = scratch.table(base.mapInArrow(_wide(width), f"doc_id {kind}, body long, wide binary, keys binary"))
-    distinct = scratch.table(rows.groupBy("body").agg(F.min("wide").alias("wide"), F.min("keys").alias("keys")))
-    parts = max(1, math.ceil(distinct.count() * BANDS / KEY_ROWS))
-    spread = distinct.mapInArrow(_keyed, "key long, body long, wide binary")
-    near = spread.repartition(parts, "key").mapInPandas(_key_edges(most_bits(similarity)), "x long, y long")
-    groups = scratch.table(components(scratch.table(near), scratch))
-    roots = _verified(base, groups, similarity, width, scratch)
-    out = rows.select("doc_id", "body").join(roots, rows["body"] == roots["node"], "left")
-    return out.select("doc_id", "body", F.coalesce("root", "body").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    distinct = scratch.table(rows.groupBy("body").agg(F.min("wide").alias("wide"), F.min("keys").alias("keys"), first))
+    near = scratch.table(_candidates(distinct.select("body", "wide", "keys"), similarity, scratch))
+    groups = scratch.table(components(near, scratch))
+    return rows.select("doc_id", "body"), _verified(base, distinct.select("body", "first"), groups, similarity, width, scratch)
+
+
+def similar_rows(docs: DataFrame, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, body, root) of every row: rows with one root are copies, or connected by similar texts."""
+    rows, roots = _similar_classes(docs, similarity, width, id_col, text_col)
+    return rows.join(roots, rows["body"] == roots["node"], "left").select("doc_id", "body", F.coalesce("root", "body").alias("root"))
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns: one row of each group of similar texts."""
-    return _first_of_each(docs, similar_rows(docs, similarity, width, id_col, text_col), id_col, text_col)
+    rows, roots = _similar_classes(docs, similarity, width, id_col, text_col)
+    return _first_of_each(docs, rows.withColumn("node", F.col("body")), roots, id_col, text_col)

@@ -20,7 +20,9 @@ def rows():
         out.append((i, [float(np.float32(c)) for c in x], i % 3))
     out += [(400 + k, out[5][1], out[5][2]) for k in range(5)] + [out[7], out[7]]
     odd = [None, [], [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [1.0] * 7 + [None], [1.0] * 5]
-    return out + [(500 + k, v, 0) for k, v in enumerate(odd)] + [(600, out[9][1], None), (None, out[11][1], out[11][2])]
+    # negative and repeated ids, and the largest and smallest longs
+    strange = [(-5, out[20][1], out[20][2]), (2**63 - 1, out[20][1], out[20][2]), (-(2**63), out[33][1], out[33][2]), (21, out[44][1], out[44][2])]
+    return out + strange + [(500 + k, v, 0) for k, v in enumerate(odd)] + [(600, out[9][1], None), (None, out[11][1], out[11][2])]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +38,7 @@ def takes_part(v):
 def test_near_vectors(table, rows, monkeypatch, side):
     monkeypatch.setattr(vecdedup, "SIDE", side)
     monkeypatch.setattr(vecdedup, "CELL_ROWS", 20)
-    got = vecdedup.near_vectors(table).collect()
+    got = vecdedup.near_vectors(table, target=1.0).collect()
     ok = [k for k, (_, v, g) in enumerate(rows) if takes_part(v) and g is not None]
     x = np.array([rows[k][1] for k in ok])
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -59,6 +61,25 @@ def test_near_vectors(table, rows, monkeypatch, side):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
 
 
+def test_near_vectors_reach_their_target(spark, monkeypatch):
+    """Links of clustered vectors found by the measured walk, against brute force, and the cells it spares."""
+    monkeypatch.setattr(vecdedup, "CELL_ROWS", 8)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 32))
+    x = centres[rng.integers(0, 150, 1500)] + rng.normal(scale=0.1, size=(1500, 32))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table).collect()}
+    assert near.sum() > 5000 and sum(got.values()) >= 0.995 * near.sum()
+    assert all(got[i] <= near[i].sum() for i in got)
+    left, right = (vectors.codebook(h, 14) for h in (unit[:, :16], unit[:, 16:]))
+    bounds = [vecdedup.reach_bounds(h, c) for h, c in ((unit[:, :16], left), (unit[:, 16:], right))]
+    visits = lambda most: sum(len(vecdedup.walk(a, b, most)) for a, b in zip(*bounds, strict=True))
+    assert visits(vecdedup.walk_limit(unit, left, right, 0.98, vecdedup.TARGET)) < 0.5 * visits(vecdedup.walk_limit(unit, left, right, 0.98, 1.0))
+
+
 def test_near_vectors_empty(spark):
     assert vecdedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -76,19 +97,42 @@ def test_bounds_hold():
 
 
 def test_neighbours(table, rows):
+    """Repeated rows, an id of two vectors, negative ids and odd vectors; against brute force."""
     got = ann.search(table, F.col("vec_id") % 10 == 0).toPandas()
-    ok = {i: np.array(v, float) for i, v, _ in rows if i is not None and takes_part(v)}
+    ok: dict[int, list[np.ndarray]] = {}
+    for i, v, _ in rows:
+        if i is not None and takes_part(v):
+            ok.setdefault(i, []).append(np.array(v, float))
+    far = lambda a, b: min(float(np.sqrt(((x - y) ** 2).sum())) for x in ok[a] for y in ok[b])
+    asked = {i for i in ok if i % 10 == 0 and i > -(2**63)}
+    assert set(got.query_id) == asked
     hits = total = 0
-    for q in (i for i in ok if i % 10 == 0):
-        best = sorted((float(np.sqrt(((ok[q] - v) ** 2).sum())), i) for i, v in ok.items() if i != q)[:10]
+    for q in asked:
+        best = sorted((far(q, i), i) for i in ok if i != q)[:10]
         mine = got[got.query_id == q].sort_values("rank")
         assert list(mine["rank"]) == list(range(1, 11)) and q not in set(mine.vec_id)
-        assert all(abs(s - np.sqrt(((ok[q] - ok[i]) ** 2).sum())) < 1e-9 for s, i in zip(mine.score, mine.vec_id, strict=True))
+        assert all(abs(s - far(q, i)) < 1e-9 for s, i in zip(mine.score, mine.vec_id, strict=True))
         hits += len({i for _, i in best} & set(mine.vec_id))
         total += 10
     assert hits / total >= 0.9
 
 
+def test_shortlists_decide_by_codes(spark, monkeypatch):
+    """With a short shortlist the codes choose what is measured, over all visited cells of a query."""
+    monkeypatch.setattr(ann, "SHORTLIST", 25)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 4000)] + rng.normal(scale=0.3, size=(4000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 400 and hits / 400 >= 0.9
+
+
 def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0], 0, 0, 0, "", 0) for i in range(4)], SCHEMA)
     got = ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()
@@ -120,6 +164,10 @@ URLS = [
     (6, "http://x.com/casinos", "x.com", "/casinos", None, "allow"),
     (7, "http://x.com/poker", "x.com", "/poker", None, "allow"),
     (8, "http://poker.com/free-poker", "poker.com", "/free-poker", None, "block"),
+    (81, "http://x.com/win/offer", "x.com", "/win/offer", None, "allow"),
+    (82, "http://x.com/win/offer?sale", "x.com", "/win/offer", None, "block"),
+    (83, "http://x.com/poker-poker_poker", "x.com", "/poker-poker_poker", None, "allow"),
+    (84, "http://x.com/" + "a" * 100_000 + "/free/bets", "x.com", "/" + "a" * 100_000 + "/free/bets", None, "block"),
     (9, None, "", "", None, "allow"),
     (10, "no scheme/xxx", "", "", None, "block"),
     (11, "", "", "", None, "allow"),
@@ -133,3 +181,15 @@ def test_urls(spark):
     got = url_filter.judge_urls(table, RULES).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(i, *r) for i, _, *r in URLS], key=repr)
     assert url_filter.judge_urls(table.limit(0), RULES).count() == 0
+
+
+def test_url_terms_from_a_file(spark, tmp_path):
+    file = tmp_path / "terms.txt"
+    file.write_text("# ours\nBad 100\n\nso 60\nlala 40\nla 40\n")
+    terms = url_filter.read_terms(file)
+    assert terms == {"bad": 100, "so": 60, "lala": 40, "la": 40}
+    urls = ["http://so.la/", "http://lala.la/", "http://solala/", "http://x/BAD", "http://so.so/"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(table, [], terms).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
+    assert len(url_filter.read_terms()) > 90
