@@ -63,10 +63,6 @@ def numbers(text: Column) -> Column:
     return all_of(text, "[0-9]+(?:[.][0-9]+)?")
 
 
-def is_cjk(text: Column, every: bool = False) -> Column:
-    return text.rlike("^[\\u4e00-\\u9fff]+$" if every else "[\\u4e00-\\u9fff]")
-
-
 def valid_text(text: Column, least: int = 2, most_special: float = 0.5) -> Column:
     """Long enough, and not mainly made of characters that are neither word characters nor space."""
     special = F.regexp_count(text, F.lit("[^A-Za-z0-9_\\u00c0-\\u024f\\u4e00-\\u9fa5\\s]"))

@@ -70,3 +70,36 @@ def test_text_helpers(spark):
     t = F.col("t")
     row = df.select(ft.drop_numbering(t).alias("a"), ft.collapse_separators(t).alias("b"), ft.truncate(t, 6).alias("c"), ft.highlight(t, ["肺"]).alias("d")).first()
     assert tuple(row) == ("肺  a.b,,c", "1. 肺  a。b、c", "1. ...", "1. **肺**  a.b,,c")
+
+
+def test_report_files(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text(json.dumps({"report_id": "7", "ReportStr": "肝脏增大。", "other": 1}) + "\n")
+    row = reports.read_reports_jsonl(spark, str(tmp_path / "r.jsonl")).first()
+    assert row["report_id"] == "7" and row["ReportStr"] == "肝脏增大。" and row["Sex"] is None
+    (tmp_path / "v.txt").write_text("骶髂关节 n\n肝\n\n骶髂关节\n一二三四五六七八九十一\n")
+    assert [r["word"] for r in reports.read_vocabulary(spark, str(tmp_path / "v.txt")).collect()] == ["骶髂关节"]
+    spark.range(200).write.parquet(str(tmp_path / "t"))
+    assert reports.read_named(spark, str(tmp_path / "t")).count() == 100 and reports.read_named(spark, str(tmp_path / "no")) is None
+
+
+def test_annotation_json(spark):
+    from tessera.operators import texts
+
+    rows = [(1, "d", 0, "肝脏增大，肝脏旧", "肝脏", 0, 2, "增大"), (1, "d", 0, "肝脏增大，肝脏旧", "肝脏", 5, 7, "旧"), (1, "d", 0, "肝脏增大，肝脏旧", "肝脏", 5, 7, "旧"), (1, "d", 1, "脾脏", "脾脏", 0, 2, ""), (1, "d", 2, "x", "肝脏", 0, 9, "y")]
+    e = spark.createDataFrame(rows, "report_id long, field string, sentence_index int, sentence string, keyword string, start int, end int, illness string")
+    spans, links = texts.annotations(e)
+    got = [json.loads(r["json"]) for r in sinks.annotation_json(e, spans, links).collect()]
+    assert len(got) == 1 and [(x["id"], x["label"], x["start_offset"], x["end_offset"]) for x in got[0]["entities"]] == [(0, "ANAT", 0, 2), (1, "ANAT", 5, 7), (2, "FIND", 2, 4), (3, "FIND", 7, 8)]
+    assert [(x["from_id"], x["to_id"]) for x in got[0]["relations"]] == [(0, 2), (1, 3)]
+
+
+def test_stored_tables_go_when_released(spark):
+    import os
+
+    from tessera import scratch
+
+    with scratch.released():
+        df = scratch.stored(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
