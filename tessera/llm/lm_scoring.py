@@ -45,6 +45,7 @@ from tessera.llm.common import (
     block_of,
     block_partitions,
     by_part,
+    distinct,
     lower_words,
     pack,
     spread,
@@ -58,7 +59,7 @@ DEPTH, ACROSS = ct.DEPTH, ct.ACROSS
 #: Bytes of text in a block: larger ones hold fewer distinct grams a byte.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text that are turned into grams or words at once, and grams that are sorted at once.
-PIECE, SORTED = 1 << 20, 1 << 24
+PIECE, SORTED = 1 << 20, 1 << 23
 #: What stands for the end among the words' hashes.
 _END = 0
 #: Log probabilities travel as whole multiples of 2 ** -FIXED.
@@ -105,6 +106,18 @@ def _gram_counts(streams: list[bytes], depth: int, across: int) -> tuple[np.ndar
     return found[0] if len(found) == 1 else ct.merge_counts([k for k, _ in found], [n for _, n in found])
 
 
+def _grams(streams: list[bytes], depth: int, across: int) -> np.ndarray:
+    """Distinct grams only, which takes a third of the memory."""
+    found, size = [], 0
+    for _, code, _ in _pieces(streams, depth, across):
+        found.append(distinct(code))
+        size += len(found[-1])
+        if size > SORTED // 4:
+            found = [distinct(*found)]
+            size = 0
+    return distinct(*found) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
+
+
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, ct.END]] = True
 
@@ -252,7 +265,7 @@ def _score(depth: int, across: int, buckets: int, n_all: int, n_known: int):
             known += np.bincount(rows[c > 0], minlength=rows_n)
             base += np.bincount(rows, weights=np.log10(c + 1), minlength=rows_n)
         base -= n * shift
-        keys, _ = _gram_counts(streams, depth, across)
+        keys = _grams(streams, depth, across)
         vals = answered("g", keys)
         score = np.zeros(rows_n)
         for rows, code, starts in _pieces(streams, depth, across):
