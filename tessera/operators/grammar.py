@@ -18,6 +18,7 @@ from tessera import fixtures as fx
 from tessera.dictionaries import DEFAULT, Names
 from tessera.operators.corpus import char_ngrams
 from tessera.operators.extra import HOMOPHONES
+from tessera.scratch import stored
 
 KEYS = ["report_id", "field", "sentence_index"]
 #: Limits of the windows, and the least differences and scores that count.
@@ -75,6 +76,12 @@ def token_freq(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tokens").alias("word")).where(F.col("word").rlike(_CJK)).groupBy("word").agg(F.count("*").alias("freq"))
 
 
+def run_counts(rows: DataFrame, least: int, most: int, text: str = "sentence") -> DataFrame:
+    """(gram, n): how often each run of least..most characters occurs; equal sentences are cut up once."""
+    each = rows.groupBy(text).agg(F.count("*").alias("times"))
+    return char_ngrams(each, least, most, text).groupBy("gram").agg(F.sum("times").alias("n"))
+
+
 # --- lexicons --------------------------------------------------------------------------
 
 
@@ -117,7 +124,7 @@ def confusions(freq: DataFrame, raw: DataFrame, least_right: int, most_wrong: in
     made = made.join(freq.select(F.col("word").alias("wrong"), F.col("freq").alias("w_freq")), "wrong", "left").withColumn("w_freq", F.coalesce("w_freq", F.lit(0).cast("long")))
     close = F.levenshtein(syllables(F.col("wrong")), syllables(F.col("correct"))) <= distance
     made = made.where((F.col("w_freq") <= most_wrong) & close)
-    seen = char_ngrams(raw.select("sentence"), 2, 8).groupBy(F.col("gram").alias("wrong")).agg(F.count("*").alias("raw_freq"))
+    seen = run_counts(raw, 2, 8).select(F.col("gram").alias("wrong"), F.col("n").alias("raw_freq"))
     return made.join(seen, "wrong", "left").withColumn("raw_freq", F.coalesce("raw_freq", F.lit(0).cast("long"))).where("NOT (w_freq = 0 AND raw_freq < 1)").select("wrong", "correct", "w_freq", "c_freq", "raw_freq")
 
 
@@ -142,7 +149,7 @@ def order_patterns(freq: DataFrame, raw: DataFrame, least: int, most_wrong: int
     words = words.select("*", F.substring("correct", 1, 2).alias("part1"), F.substring("correct", 3, 2).alias("part2")).withColumn("error", F.concat("part2", "part1")).where("error <> correct")
     words = words.join(freq.select(F.col("word").alias("error"), F.col("freq").alias("error_freq")), "error", "left").withColumn("error_freq", F.coalesce("error_freq", F.lit(0).cast("long")))
     words = words.withColumn("ratio", F.round(F.col("correct_freq") / (F.col("error_freq") + 1), 6)).where((F.col("error_freq") <= most_wrong) & (F.col("ratio") >= ratio))
-    seen = char_ngrams(raw.select("sentence"), 4, 4).groupBy("gram").agg(F.count("*").alias("k"))
+    seen = run_counts(raw, 4, 4).select("gram", F.col("n").alias("k"))
     for side in ("correct", "error"):
         words = words.join(seen.select(F.col("gram").alias(side), F.col("k").alias(f"raw_{side}")), side, "left").withColumn(f"raw_{side}", F.coalesce(f"raw_{side}", F.lit(0).cast("long")))
     keep = (F.col("raw_error") <= most_raw) & (F.col("raw_correct") / (F.col("raw_error") + 1) >= raw_ratio)
@@ -170,7 +177,7 @@ def substitutions(pairs: DataFrame) -> DataFrame:
 
 def gram_table(rows: DataFrame, order: int = ORDER, text: str = "sentence") -> DataFrame:
     """(gram, n): counts of all character runs up to ``order`` long; the empty run counts all characters."""
-    grams = char_ngrams(rows.select(text), 1, order, text).groupBy("gram").agg(F.count("*").alias("n"))
+    grams = run_counts(rows, 1, order, text)
     return grams.unionByName(grams.where("length(gram) = 1").agg(F.lit("").alias("gram"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
@@ -216,8 +223,10 @@ def scan(rows: DataFrame, pairs: DataFrame, risk: DataFrame) -> DataFrame:
     danger = risk.select(F.col("word").alias("piece"), "score")
     none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
     hits = lambda df, kind, rank: df.select(*KEYS, "sentence", "first", "n", "piece", "start", "before", "after", "suggestion", "score", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
-    known = base.join(typo, "piece").withColumn("score", no_score)
-    risky = base.join(danger, "piece").withColumn("suggestion", none)
+    # one pass over all windows leaves the few that a lexicon holds
+    held = stored(base.join(typo, "piece", "left").join(danger, "piece", "left").where("suggestion IS NOT NULL OR score IS NOT NULL"))
+    known = held.where("suggestion IS NOT NULL").withColumn("score", no_score)
+    risky = held.where("score IS NOT NULL").withColumn("suggestion", none)
     ends = base.where("n = 1 AND length(piece) >= 4").select("*", F.explode(F.array(*map(F.lit, fx.SUFFIXES))).alias("suffix")).where(F.endswith("piece", F.col("suffix")))
     ends = ends.withColumn("name", F.substring("piece", F.lit(1), F.length("piece") - F.length("suffix"))).where("length(name) >= 3")
     compound = ends.join(danger.withColumnRenamed("piece", "name"), "name").withColumn("suggestion", none)
@@ -289,14 +298,19 @@ def enough_context(clause: Column, error: Column) -> Column:
 def detect(rows: DataFrame, pairs: DataFrame, risk: DataFrame, patterns: DataFrame, freq: DataFrame, grams: DataFrame, least: int) -> DataFrame:
     """(keys, start, stop, error, suggestion, error_type, context, score, rule_source): all errors of segmented sentences, a span once."""
     no_latin = ~F.col("error").rlike("[0-9A-Za-z]") & ~F.coalesce("suggestion", F.lit("")).rlike("[0-9A-Za-z]")
-    direct = plausible(scan(rows, best_corrections(pairs), risk).where(no_latin).where((F.col("kind") == "typo") | (F.col("score") >= RISK_SCORE)), grams)
+    # what a sentence holds doesn't depend on its report: each is looked at once
+    at = F.min(F.struct(*KEYS)).alias("at")
+    every_row, rows = rows.select(*KEYS, "sentence"), stored(rows.groupBy("sentence").agg(at, F.min("tokens").alias("tokens")).select("at.*", "sentence", "tokens"))
+    found = scan(rows, best_corrections(pairs), risk).where(no_latin).where((F.col("kind") == "typo") | (F.col("score") >= RISK_SCORE))
+    direct = stored(plausible(found, grams))
     more = expanded(rows, direct, substitutions(pairs), freq, grams, least)
     order = wrong_order(rows, patterns, freq).where(enough_context(context(F.col("sentence"), F.col("start"), F.col("stop")), F.col("error")) & (F.col("ratio") >= ORDER_RATIO))
     row = lambda df, kind, score, source, rank: df.select(*KEYS, "sentence", "start", "stop", "error", "suggestion", kind.alias("error_type"), score.cast("double").alias("score"), source.alias("rule_source"), F.lit(rank).alias("rank"))
     source = F.when(F.col("kind") == "typo", "direct_confusion").otherwise("high_risk_lexicon")
     every = row(direct, F.col("kind"), F.col("score"), source, 1).unionByName(row(more, F.lit("typo"), F.col("delta"), F.lit("expanded_candidate"), 2)).unionByName(row(order, F.lit("word_order"), F.col("ratio"), F.lit("word_order_template"), 3))
     w = Window.partitionBy(*KEYS, "start", "stop").orderBy("rank", "error_type")
-    every = every.withColumn("k", F.row_number().over(w)).where("k = 1")
+    every = every.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "rank", *KEYS)
+    every = every_row.join(stored(every), "sentence")
     return every.select(*KEYS, "start", "stop", "error", "suggestion", "error_type", context(F.col("sentence"), F.col("start"), F.col("stop")).alias("context"), "score", "rule_source")
 
 
