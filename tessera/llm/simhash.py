@@ -209,7 +209,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #    ``FAR_REFERENCES`` reference fingerprints. Each of the D bits in which a pair differs moves
 #    a coordinate difference up or down by one, so differences grow with the root of D: pairs
 #    whose largest one is beyond ``TURN`` roots of the bits expected are discarded. That drops
-#    three quarters of unrelated pairs and one in 300 of those at the similarity. The
+#    two thirds of unrelated pairs and, of sets of 100 shingles at 0.8, one in 4000. The
 #    rest is discarded by a distance ``SPREAD`` standard deviations beyond the expected one.
 # 3. Groups. The components of the candidate edges; similar texts are in one group. A task
 #    writes one edge for each text, so a key with many members costs an edge a member.
