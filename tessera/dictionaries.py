@@ -8,6 +8,7 @@ Spark, checked for size, and kept as plain rows, so that they travel with the ta
 from __future__ import annotations
 
 import configparser
+import json
 import re
 from dataclasses import dataclass, field, fields, replace
 
@@ -186,6 +187,57 @@ def read_env(path: str) -> dict[str, str]:
     return out
 
 
+def thresholds(defaults: dict[str, float], markdown: str | None = None, env: dict[str, str] | None = None, prefix: str = "TESSERA_") -> dict[str, float]:
+    """Defaults, over them the JSON object after ``best=`` in a Markdown file, over those variables of the environment.
+
+    Names that the defaults lack, and values that are no numbers, are left out.
+    """
+    out = dict(defaults)
+    if markdown is not None:
+        with open(markdown, encoding="utf-8") as f:
+            found = re.search(r"best\s*=\s*(\{.*?\})", f.read(), re.S)
+        try:
+            given = json.loads(found[1]) if found else {}
+        except ValueError:
+            given = {}
+        out |= {k: float(v) for k, v in given.items() if k in out and isinstance(v, int | float)}
+    for k in out:
+        value = (env or {}).get(prefix + k.upper(), "")
+        if re.fullmatch(r"\s*-?\d+(\.\d+)?\s*", value):
+            out[k] = float(value)
+    return out
+
+
+def read_segmenter(spark: SparkSession, user: str, general: str, least: int = 1000, most: int = 10_000) -> list[str]:
+    """Words for the segmenter, the longest first: all of a user's, and of a general list (word, frequency) the first ``most`` in file order that are frequent and of two letters or more."""
+    token = F.split(F.trim("value"), "\\s+")
+    own = spark.read.text(user).select(token[0].alias("word")).where("word <> ''")
+    lines = spark.read.text(general, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    words = lines.select("line", token[0].alias("word"), F.get(token, F.lit(1)).try_cast("long").alias("freq")).where(f"freq > {least} AND length(word) >= 2").orderBy("line").limit(most)
+    return sorted({r["word"] for r in _collected(own, "user words") + words.select("word").collect()}, key=lambda w: (-len(w), w))
+
+
+def _collected(df: DataFrame, what: str) -> list:
+    got = df.distinct().limit(MOST + 1).collect()
+    if len(got) > MOST:
+        raise ValueError(f"{what}: more than {MOST} rows")
+    return got
+
+
+def read_special(spark: SparkSession, path: str) -> dict[str, dict[str, tuple[str, ...]]]:
+    """Special exams by group and exam: the words by which an order asks for each. 一级项目, 二级项目, 三级项目; blank cells take the one above."""
+    rows = [r.asDict() for r in _collected(read_table(spark, path).withColumn("n", F.monotonically_increasing_id()), "special exams")]
+    out: dict[str, dict[str, list[str]]] = {}
+    group = exam = ""
+    for r in sorted(rows, key=lambda r: r["n"]):
+        if r["一级项目"]:
+            group, exam = r["一级项目"], ""
+        exam = r["二级项目"] or exam
+        if r["三级项目"]:
+            out.setdefault(group, {}).setdefault(exam, []).extend(w for w in r["三级项目"].split("|") if w)
+    return {g: {e: tuple(dict.fromkeys(ws)) for e, ws in es.items()} for g, es in out.items()}
+
+
 def load(spark: SparkSession, kg: str | None = None, normal: str | None = None, critical: str | None = None, rules: str | None = None, ini: str | None = None, version: str = "", modality: str = "") -> Dictionaries:
     """Dictionaries from files; what isn't given is the package's."""
     d = DEFAULT

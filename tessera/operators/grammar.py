@@ -345,3 +345,19 @@ def anomalies(rows: DataFrame, known: DataFrame, n: int = 3, around: int = 3, te
     lost = at.join(known.select("gram"), "gram", "left_anti")
     first = F.greatest(F.lit(1), F.col("i") - around)
     return lost.select(*KEYS, (F.col("i") - 1).alias("position"), "gram", F.substring("t", first, F.col("i") + n + around - first).alias("context"))
+
+
+# --- learnt tables ----------------------------------------------------------------------------
+
+LEARNT = ("freq", "pairs", "risk", "patterns", "grams")
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """Learnt tables as Parquet, one folder each: word frequencies, confusion pairs, risky words, order patterns, the language model."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def restore(spark, path: str, names: tuple[str, ...] = LEARNT) -> dict[str, DataFrame]:
+    """What ``save`` wrote."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

@@ -106,3 +106,30 @@ def test_thousands_of_names(spark):
     reports = synthetic_reports(spark, SF)
     count = lambda d: en.entities(reports, dicts=d).groupBy("keyword").count().collect()
     assert sorted(map(tuple, count(many))) == sorted(map(tuple, count(di.DEFAULT)))
+
+
+def test_thresholds_by_precedence(tmp_path):
+    (tmp_path / "t.md").write_text('# run\n\nbest={"accept": 0.2, "reject": -0.3, "other": 1, "least": "x"}\n', "utf-8")
+    base = {"accept": 0.15, "reject": -0.2, "least": 5}
+    assert di.thresholds(base) == base
+    assert di.thresholds(base, str(tmp_path / "t.md")) == {"accept": 0.2, "reject": -0.3, "least": 5}
+    assert di.thresholds(base, str(tmp_path / "t.md"), {"TESSERA_ACCEPT": "0.4", "TESSERA_LEAST": "many"}) == {"accept": 0.4, "reject": -0.3, "least": 5}
+    (tmp_path / "bad.md").write_text("best={oops}", "utf-8")
+    assert di.thresholds(base, str(tmp_path / "bad.md")) == base
+
+
+def test_segmenter_words_and_special_exams(spark, tmp_path):
+    (tmp_path / "user.txt").write_text("骶髂关节 9 n\n肝\n", "utf-8")
+    (tmp_path / "general.txt").write_text("甲乙 5000 n\n丙 9000 n\n丁戊 10 n\n己庚 2000 n\n辛壬 x n\n癸子 3000 n\n", "utf-8")
+    words = di.read_segmenter(spark, str(tmp_path / "user.txt"), str(tmp_path / "general.txt"), most=2)
+    assert words == ["骶髂关节", "己庚", "甲乙", "肝"]
+    (tmp_path / "special.csv").write_text("一级项目,二级项目,三级项目\nCT,增强,增强|造影\n,,CTA\n,灌注,CBF\nMR,波谱,MRS\n", "utf-8")
+    assert di.read_special(spark, str(tmp_path / "special.csv")) == {"CT": {"增强": ("增强", "造影", "CTA"), "灌注": ("CBF",)}, "MR": {"波谱": ("MRS",)}}
+
+
+def test_learnt_tables_are_kept(spark, tmp_path):
+    from tessera.operators import grammar
+
+    freq = spark.createDataFrame([("结节", 5)], "word string, freq long")
+    grammar.save({"freq": freq}, str(tmp_path / "l"))
+    assert grammar.restore(spark, str(tmp_path / "l"), ("freq",))["freq"].collect() == freq.collect()
