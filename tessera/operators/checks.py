@@ -62,15 +62,24 @@ def nonstandard_terms(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFra
     return reports.select("report_id", F.explode(F.array_distinct(F.concat(all_of(text, lexicon.nonstandard), own))).alias("term"))
 
 
+#: Wording of whole legs, whose lengths have no limit.
+LEGS = "下肢长度|下肢全长|下肢长约|下肢力线"
+
+
 def measure_errors(reports: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
-    """(report_id, measure_text): lengths beyond the limit of their unit; a factor takes the unit of the next length."""
+    """(report_id, measure_text): lengths beyond the limit of their unit; a factor takes the unit of the next length.
+
+    Centimetres and millimetres of whole legs, and those that a 2, 3 or 0 follows (squares, cubes, cut numbers), are left out.
+    """
     text = F.replace(F.concat("ReportStr", "ConclusionStr"), F.lit("*"), F.lit("×"))
     text = F.regexp_replace(text, "(?i)[0-9]+([.][0-9]+)?ml", "")
-    found = reports.select("report_id", F.explode(all_of(text, "(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)")).alias("run"))
-    unit = F.lower(F.regexp_extract("run", "(?i)(mm|cm|毫米|厘米|米|m)$", 1))
-    each = found.select("report_id", unit.alias("unit"), F.explode(all_of(F.col("run"), "[0-9]+(?:[.][0-9]+)?")).alias("number"))
+    found = reports.select("report_id", text.rlike(LEGS).alias("legs"), F.explode(all_of(text, "(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)[230]?")).alias("run"))
+    end = "(?i)(mm|cm|毫米|厘米|米|m)[230]?$"
+    unit = F.lower(F.regexp_extract("run", end, 1))
+    each = found.select("report_id", "legs", unit.alias("unit"), F.col("run").rlike("[230]$").alias("tail"), F.explode(all_of(F.regexp_replace("run", end, ""), "[0-9]+(?:[.][0-9]+)?")).alias("number"))
     limit = F.when(F.col("unit").isin("cm", "厘米"), lexicon.cm_max).when(F.col("unit").isin("mm", "毫米"), lexicon.mm_max).otherwise(lexicon.m_max)
-    return each.where(F.col("number").cast("double") > limit).select("report_id", F.concat("number", "unit").alias("measure_text")).distinct()
+    spared = (F.col("legs") | F.col("tail")) & F.col("unit").isin("cm", "厘米", "mm", "毫米")
+    return each.where((F.col("number").cast("double") > limit) & ~spared).select("report_id", F.concat("number", "unit").alias("measure_text")).distinct()
 
 
 def exam_parts(reports: DataFrame, dicts: Dictionaries = DEFAULT, ents: DataFrame | None = None) -> DataFrame:
@@ -224,9 +233,10 @@ def complexity(reports: DataFrame, ents: DataFrame) -> DataFrame:
 
 
 def positive_parts(ents: DataFrame) -> DataFrame:
-    """(report_id, root, parts, any_positive): positive positions below each root, joined in order."""
+    """(report_id, root, parts, any_positive): positive positions below each root, joined in order, or that it is negative."""
     root = F.element_at(F.split("path", ">"), 1)
     parts = F.array_join(F.array_sort(F.collect_set(F.when(F.col("positive") >= 2, F.col("position")))), "；")
+    parts = F.when(parts == "", "阴性").otherwise(parts)
     return ents.groupBy("report_id", root.alias("root")).agg(parts.alias("parts"), F.bool_or(F.col("positive") >= 2).alias("any_positive"))
 
 

@@ -79,9 +79,8 @@ def _items(change: str, head: str) -> str:
 _OLD = "beforeReportStr || beforeConclusionStr"
 _QUALITY = _COSTS + f"""
 , worse AS (SELECT report_id FROM (({_missing('before_description')}) EXCEPT ({_missing('description')})) UNION SELECT report_id FROM (({_inverse('before_description')}) EXCEPT ({_inverse('description')}))),
-runs AS (SELECT report_id, unnest(regexp_extract_all(regexp_replace(replace({_OLD}, '*', '×'), '(?i)[0-9]+([.][0-9]+)?ml', '', 'g'), '(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)')) AS run FROM syn),
-each AS (SELECT report_id, lower(regexp_extract(run, '(?i)(mm|cm|毫米|厘米|米|m)$', 1)) AS unit, unnest(regexp_extract_all(run, '[0-9]+(?:[.][0-9]+)?')) AS number FROM runs),
-long AS (SELECT DISTINCT report_id FROM each WHERE CAST(number AS DOUBLE) > CASE WHEN unit IN ('cm', '厘米') THEN {L.cm_max} WHEN unit IN ('mm', '毫米') THEN {L.mm_max} ELSE {L.m_max} END),
+{o.long_measures(_OLD)},
+long AS (SELECT DISTINCT report_id FROM each),
 fixed AS (SELECT report_id FROM (SELECT report_id, measure FROM ent WHERE field = 'before_description' AND measure > 0 EXCEPT SELECT report_id, measure FROM ent WHERE field = 'description' AND measure > 0) WHERE report_id IN (SELECT report_id FROM long)),
 spoken AS (SELECT report_id FROM fixed UNION SELECT report_id FROM syn WHERE (Sex IN ('男', 'M') AND {o.has(_OLD, L.female)}) OR (Sex IN ('女', 'F') AND {o.has(_OLD, L.male)})),
 bad AS (SELECT report_id, count(*) AS bad FROM (SELECT DISTINCT report_id, sentence FROM st WHERE version = 'before') JOIN syn USING (report_id) WHERE {o.has('sentence', L.nonstandard)} OR (modality = 'MR' AND {o.has('sentence', L.nonstandard_mr)}) GROUP BY 1),

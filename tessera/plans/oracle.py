@@ -112,3 +112,12 @@ REPORTS = with_(SYN)
 SENTENCES = with_(SYN, sent())
 ENTITIES = with_(SYN, KG, sent(), ent())
 EXAMS = with_(SYN, KG, sent(), ent(), exams())
+
+
+def long_measures(text: str) -> str:
+    """Tables runs and each: the lengths of a text of syn, and those beyond their limit as (report_id, unit, number)."""
+    end = "(?i)(mm|cm|毫米|厘米|米|m)[230]?$"
+    put = f"regexp_replace(replace({text}, '*', '×'), '(?i)[0-9]+([.][0-9]+)?ml', '', 'g')"
+    return f"""runs AS (SELECT report_id, regexp_matches({put}, '下肢长度|下肢全长|下肢长约|下肢力线') AS legs, unnest(regexp_extract_all({put}, '(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)[230]?')) AS run FROM syn),
+each AS (SELECT * FROM (SELECT report_id, legs, regexp_matches(run, '[230]$') AS tail, lower(regexp_extract(run, '{end}', 1)) AS unit, unnest(regexp_extract_all(regexp_replace(run, '{end}', ''), '[0-9]+(?:[.][0-9]+)?')) AS number FROM runs)
+  WHERE CAST(number AS DOUBLE) > CASE WHEN unit IN ('cm', '厘米') THEN {L.cm_max} WHEN unit IN ('mm', '毫米') THEN {L.mm_max} ELSE {L.m_max} END AND NOT ((legs OR tail) AND unit IN ('cm', '厘米', 'mm', '毫米')))"""

@@ -89,11 +89,7 @@ def nonstandard_terms(spark, sf_dir):
     return checks.nonstandard_terms(synthetic_reports(spark, sf_dir))
 
 
-@query(o.REPORTS + f"""
-, runs AS (SELECT report_id, unnest(regexp_extract_all(regexp_replace(replace({_BOTH}, '*', '×'), '(?i)[0-9]+([.][0-9]+)?ml', '', 'g'), '(?i)(?:[0-9]+(?:[.][0-9]+)?×)*[0-9]+(?:[.][0-9]+)?(?:mm|cm|毫米|厘米|米|m)')) AS run FROM syn),
-each AS (SELECT report_id, lower(regexp_extract(run, '(?i)(mm|cm|毫米|厘米|米|m)$', 1)) AS unit, unnest(regexp_extract_all(run, '[0-9]+(?:[.][0-9]+)?')) AS number FROM runs)
-SELECT DISTINCT report_id, number || unit AS measure_text FROM each
-WHERE CAST(number AS DOUBLE) > CASE WHEN unit IN ('cm', '厘米') THEN {L.cm_max} WHEN unit IN ('mm', '毫米') THEN {L.mm_max} ELSE {L.m_max} END""")
+@query(o.REPORTS + f", {o.long_measures(_BOTH)} SELECT DISTINCT report_id, number || unit AS measure_text FROM each")
 def measure_limit(spark, sf_dir):
     return checks.measure_errors(synthetic_reports(spark, sf_dir))
 
@@ -319,7 +315,7 @@ def complexity(spark, sf_dir):
     return checks.complexity(r, en.entities(r))
 
 
-@query(o.ENTITIES + """SELECT report_id, string_split(path, '>')[1] AS root, coalesce(array_to_string(list_sort(list(DISTINCT position) FILTER (positive >= 2)), '；'), '') AS parts, bool_or(positive >= 2) AS any_positive FROM ent GROUP BY 1, 2""")
+@query(o.ENTITIES + """SELECT report_id, string_split(path, '>')[1] AS root, coalesce(array_to_string(list_sort(list(DISTINCT position) FILTER (positive >= 2)), '；'), '阴性') AS parts, bool_or(positive >= 2) AS any_positive FROM ent GROUP BY 1, 2""")
 def positive_parts(spark, sf_dir):
     return checks.positive_parts(ents(spark, sf_dir))
 

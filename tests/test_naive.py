@@ -234,3 +234,9 @@ def test_small_text_operators(spark):
     assert detect.enriched(nodes).where("description IS NULL").count() == 3
     assert detect.enriched(nodes, lambda b: b.assign(description="d")).where("description = 'd'").count() == 3
     assert checks.illness_similarity is not None
+
+
+def test_lengths_that_are_spared(spark):
+    rows = [(1, "肿块约25cm。", ""), (2, "下肢全长约80cm。", ""), (3, "面积约30cm2。", ""), (4, "肿块约25×3cm。", ""), (5, "腹水约500ml。", ""), (6, "长约3m，下肢力线正常。", ""), (7, "约400mm", "")]
+    table = spark.createDataFrame(rows, "report_id long, ReportStr string, ConclusionStr string")
+    assert sorted(map(tuple, checks.measure_errors(table).collect())) == [(1, "25cm"), (4, "25cm"), (6, "3m"), (7, "400mm")]
