@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the shuffle files of the write go with its end, and texts meet Python in smaller batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,12 +75,15 @@ class Scratch:
         """df, written and read again."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
-        conf.set(_CLEANUP, "true")  # the shuffle files of this write go with its end
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
@@ -177,7 +181,7 @@ def spans(flat: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.n
     return np.flatnonzero(inner & np.concatenate([[True], ~inner[:-1]])), np.flatnonzero(inner & np.concatenate([~inner[1:], [True]])) + 1
 
 
-def word_hashes(texts: list[bytes], space: np.ndarray = SPACE, which: int = 0, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_hashes(texts: list[bytes], space: np.ndarray = SPACE, which: int = 0, piece: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) of every word of the texts, in order, about ``piece`` bytes at a time; a word is never cut."""
     at: list[int] = []
     size = 0

@@ -124,7 +124,7 @@ _BETWEEN[[0x20, ct.END]] = True
 
 def _word_pieces(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) of every word, a bounded number at a time."""
-    return ((rows, h.view(np.int64)) for rows, h in word_hashes(streams, _BETWEEN, piece=PIECE))
+    return ((rows, h.view(np.int64)) for rows, h in word_hashes(streams, _BETWEEN))
 
 
 def _word_counts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

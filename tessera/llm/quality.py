@@ -42,7 +42,7 @@ HIDDEN = 24
 GATE = 16
 EPOCHS = 150
 #: Bytes of text that are encoded at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _CLASSES = 24
 _class = np.full(256, 23, np.uint8)

@@ -236,13 +236,13 @@ SMALL_GAP = 0.0361
 FAR_REFERENCES = 128
 TURN = 4.25
 #: Texts of a group that one task compares, and bytes of text, on average.
-SLICE, SLICE_BYTES = 2048, 32 << 20
+SLICE, SLICE_BYTES = 2048, 16 << 20
 #: Members of a key that one task looks at.
 HOT = 20_000
 #: Members of a key up to which pairs are taken for all keys at once; beyond, key by key and breadth first. Both connect the same texts.
 FEW = 4
 #: Rows of keys that one task sorts, on average.
-KEY_ROWS = 250_000
+KEY_ROWS = 100_000
 
 _EXPAND = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERMUTE = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -462,10 +462,12 @@ def _exact_edges(similarity: float, width: int):
 def _wide(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t.as_py(), width) for t in b.column("text")]
-            prints = pa.array([wide_fingerprint(h).tobytes() for h in hashes], pa.binary())
-            keys = pa.array([band_keys(h).tobytes() for h in hashes], pa.binary())
-            yield pa.record_batch([b.column("doc_id"), b.column("body"), prints, keys], ["doc_id", "body", "wide", "keys"])
+            prints, keys = [], []
+            for t in b.column("text"):  # the hashes of one text at a time
+                h = shingle_hashes(t.as_py(), width)
+                prints.append(wide_fingerprint(h).tobytes())
+                keys.append(band_keys(h).tobytes())
+            yield pa.record_batch([b.column("doc_id"), b.column("body"), pa.array(prints, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "body", "wide", "keys"])
 
     return f
 
