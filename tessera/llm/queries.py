@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, lm_scoring, mixing, quality, sharding, simhash, substring, url_filter, vecdedup
+from tessera.llm import ann, bpe, golden, lm_scoring, mixing, quality, sharding, simhash, substring, url_filter, vecdedup
 from tessera.llm.common import crc_remainder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,8 +71,13 @@ def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = golden.golden_records(_read(spark, sf_dir, "clients"))
+    return won.withColumn("balance_cents", F.floor(100 * F.col("balance") + 0.5).cast("long")).drop("balance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup)
+    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup, op11_golden_record)
     return {f.__name__: f for f in all_}
 
 
@@ -150,5 +155,40 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def _op11_sql() -> str:
+    """Every field's first value over one sorted window of the whole cluster."""
+    ties = ", ".join(f"{c} NULLS FIRST" for c in ("name", "email", "city", "nation_id", "segment", "balance"))
+    recent = f"updated_at DESC NULLS LAST, trust, client_id NULLS LAST, {ties}"
+    trusted = f"stale, trust, {recent}"
+    orders = {"segment": recent, "email": trusted, "name": f"length(name) DESC NULLS LAST, {trusted}", "balance": f"agrees DESC, {recent}"}
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    first = lambda what, order, drop=" IGNORE NULLS": f"first_value({what}{drop}) OVER (PARTITION BY cluster_id ORDER BY {order} {frame})"
+    fields = ", ".join(f"{first(c, o)} AS w_{c}, {first(f'CASE WHEN {c} IS NOT NULL THEN client_id END', o)} AS {c}_from" for c, o in orders.items())
+    blank = lambda c: rf"CASE WHEN NOT regexp_full_match({c}, '[\x20\x09-\x0D]*') THEN {c} END AS {c}"
+    place = f"((city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT) DESC, {recent}"
+    return f"""
+WITH r AS (
+  SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id,
+         CASE source WHEN 'crm' THEN 0 WHEN 'web' THEN 1 WHEN 'store' THEN 2 WHEN 'partner' THEN 3 ELSE 4 END AS trust,
+         {blank('name')}, {blank('email')}, {blank('city')}, {blank('segment')}, CASE WHEN isfinite(balance) THEN balance END AS balance
+  FROM clients
+), s AS (
+  SELECT *, updated_at IS NULL OR updated_at < max(updated_at) OVER (PARTITION BY cluster_id) - INTERVAL 1440 HOUR AS stale,
+         {first('segment', recent)} AS chosen
+  FROM r
+), a AS (SELECT *, coalesce(segment = chosen, false) AS agrees FROM s
+), w AS (
+  SELECT cluster_id, count(*) OVER p AS n_records, count(*) FILTER (stale) OVER p AS n_stale, {fields},
+         {first('city', place, '')} AS city, {first('nation_id', place, '')} AS nation_id, {first('client_id', place, '')} AS place_from,
+         row_number() OVER (PARTITION BY cluster_id) AS n
+  FROM a WINDOW p AS (PARTITION BY cluster_id)
+)
+SELECT cluster_id, n_records, n_stale, w_name AS name, w_email AS email, w_segment AS segment, city, nation_id,
+       CAST(floor(100 * w_balance + 0.5) AS BIGINT) AS balance_cents, name_from, email_from, segment_from, balance_from,
+       CASE WHEN city IS NOT NULL OR nation_id IS NOT NULL THEN place_from END AS address_from
+FROM w WHERE n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_vector_neardup": OP10_SQL}
+    return {"op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_vector_neardup": OP10_SQL, "op11_golden_record": _op11_sql()}
