@@ -71,8 +71,8 @@ class Scratch:
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0
         _open.append(self)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
+    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df, written and read again; in a folder for each value of the column ``by``, if one is given."""
         path = f"{self.root}/{self.count}"
         self.count += 1
         conf = self.spark.conf
@@ -80,7 +80,7 @@ class Scratch:
         for k, v in _WRITING.items():
             conf.set(k, v)
         try:
-            df.write.parquet(path)
+            (df.write if by is None else df.write.partitionBy(by)).parquet(path)
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, golden, lm_scoring, mixing, quality, sharding, simhash, substring, url_filter, vecdedup
+from tessera.llm import ann, bpe, golden, lm_scoring, mixing, quality, sharding, simhash, substring, trie, url_filter, vecdedup
 from tessera.llm.common import crc_remainder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,8 +76,12 @@ def op11_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.withColumn("balance_cents", F.floor(100 * F.col("balance") + 0.5).cast("long")).drop("balance")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.spliced(trie.numbered(_read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup, op11_golden_record)
+    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup, op11_golden_record, op13_prefix_trie)
     return {f.__name__: f for f in all_}
 
 
@@ -190,5 +194,41 @@ FROM w WHERE n = 1
 """
 
 
+#: Rebuilt conversations; nodes by the list of their turns' hashes, subtrees by what starts with it. CRC-32 bit by bit.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, sha256(length(role) || ':' || role || text) AS mark, strlen(text) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos
+  FROM t
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+           lambda a, b: list_reduce(range(8), lambda u, k: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END, xor(a, b)), 4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM n)
+), r AS (
+  SELECT c.conv_id, n.pos, mark, bytes FROM c JOIN n ON n.conv_id = c.base AND n.pos <= c.h
+  UNION ALL SELECT conv_id, n.pos + 8, mark, bytes FROM c JOIN n USING (conv_id) WHERE n.pos > c.h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, bytes, string_agg(mark, '') OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+nodes AS (
+  SELECT path, min(p.conv_id) AS conv_id, max(p.depth) AS depth, count(*) AS n_convs, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (e.depth = p.depth), '')) AS ends_sha256
+  FROM p JOIN e USING (conv_id) GROUP BY path
+), k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE path <> '' GROUP BY 1),
+m AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN k USING (path)),
+s AS (
+  SELECT v.path, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved_tokens
+  FROM m v JOIN m u ON starts_with(u.path, v.path) GROUP BY v.path
+)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN nodes up ON m.path <> '' AND up.path = left(m.path, length(m.path) - 64)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_vector_neardup": OP10_SQL, "op11_golden_record": _op11_sql()}
+    return {"op8_url_filter": _op8_sql(), "op9_substring_dedup": OP9_SQL, "op10_vector_neardup": OP10_SQL, "op11_golden_record": _op11_sql(), "op13_prefix_trie": OP13_SQL}
