@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, golden, lm_scoring, mixing, quality, sharding, simhash, substring, trie, url_filter, vecdedup
+from tessera.llm import ann, bpe, golden, licenses, lm_scoring, mixing, quality, sharding, simhash, substring, trie, url_filter, vecdedup
 from tessera.llm.common import crc_remainder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,12 +76,20 @@ def op11_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.withColumn("balance_cents", F.floor(100 * F.col("balance") + 0.5).cast("long")).drop("balance")
 
 
+#: Labels and the phrases that give them.
+LICENSE_PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_documents(_read(spark, sf_dir, "documents"), LICENSE_PHRASES))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.spliced(trie.numbered(_read(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup, op11_golden_record, op13_prefix_trie)
+    all_ = (op1_lm_scoring, op2_quality_classifier, op3_simhash_neardup, op4_feistel_sharding, op5_ivfpq_neighbours, op6_byte_bpe, op7_source_mixing, op8_url_filter, op9_substring_dedup, op10_vector_neardup, op11_golden_record, op12_license_scan, op13_prefix_trie)
     return {f.__name__: f for f in all_}
 
 
