@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,24 +156,88 @@ def _utf8(text: str | bytes | None) -> bytes:
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Odd multipliers and start of each of two families of word hashes.
+_MIX = (
+    (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x2545F4914F6CDD1D)),
+    (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)),
+)
+#: Bytes from which on a word is hashed by XXH3 instead of eight bytes at a time with others.
+LONG_WORD = 64
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes flat[start:end]; equal runs have equal hashes. Two families.
+
+    Eight bytes at a time are mixed in by multiplications and shifts that don't commute, so no pattern of letters makes
+    runs collide (as sums of powers modulo 2**64 do), and runs of up to eight bytes that are of one length never collide.
+    """
+    a, b, first = _MIX[which]
+    size = end - start
+    out = (size.astype(np.uint64) * b) ^ first
+    eight = np.ndarray(len(flat) + 1, "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+    rest = np.flatnonzero(size <= LONG_WORD)
+    at, left, h = start[rest], size[rest], out[rest]
+    while len(rest):
+        h = (h ^ (eight[at] & _ENDS[np.minimum(left, 8)])) * a
+        h = (h ^ (h >> np.uint64(32))) * b
+        h ^= h >> np.uint64(29)
+        out[rest] = h
+        if not (more := left > 8).any():
+            break
+        rest, at, left, h = rest[more], at[more] + 8, left[more] - 8, h[more]
+    if len(long := np.flatnonzero(size > LONG_WORD)):
+        out[long] = [xxhash.xxh3_64_intdigest(flat[x:y].data, which) for x, y in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+#: A Mersenne prime; residues are below it.
+PRIME = (1 << 61) - 1
+_P, _LOW, _29 = np.uint64(PRIME), np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1)
+#: Two bases, whose powers make two families.
+_BASES = (0x14057B7EF767814F, 0x0C6E7A5D3B2F1E97)
 _tables: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def residues(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Residues a * b modulo PRIME, in halves of 32 bits: 2**61 is 1, so 2**64 is 8."""
+    s32 = np.uint64(32)
+    a1, a0, b1, b0 = a >> s32, a & _LOW, b >> s32, b & _LOW
+    mid = a1 * b0 + a0 * b1
+    low = a0 * b0
+    return residues(((a1 * b1) << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & _29) << s32) + (low & _P) + (low >> np.uint64(61)))
+
+
 def powers(n: int, which: int = 0, back: bool = False) -> np.ndarray:
-    """Powers of a base, or of its inverse, modulo 2**64."""
+    """Powers of a base, or of its inverse, modulo PRIME."""
     have = _tables.get((which, back))
     if have is None or len(have) < n:
-        steps = np.full(1 << max(12, n.bit_length()), pow(_BASES[which], -1 if back else 1, 2**64), np.uint64)
-        steps[0] = 1
-        _tables[which, back] = have = np.cumprod(steps, dtype=np.uint64)
+        base = pow(_BASES[which], -1 if back else 1, PRIME)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 12):
+            have = np.concatenate([have, product(have, np.uint64(pow(base, len(have), PRIME)))])
+        _tables[which, back] = have
     return have[:n]
 
 
-def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of bytes flat[start:end], none of them empty; equal runs have equal hashes. Two families."""
-    value = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(len(flat), which), dtype=np.uint64)
-    return (value[end - 1] - np.where(start > 0, value[np.maximum(start, 1) - 1], np.uint64(0))) * powers(len(flat), which, True)[start]
+def window_sums(values: np.ndarray, at: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """The Rabin-Karp hashes, modulo PRIME, of the ``width`` values from each place on."""
+    n, s32 = len(values), np.uint64(32)
+    term = product(residues(values), powers(n, which))
+    ends = []
+    for half in (term >> s32, term & _LOW):  # halves, so that no sum exceeds 64 bits
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(half, out=sums[1:])
+        ends.append(sums[at + width] - sums[at])
+    high = residues(ends[0])
+    value = (high >> np.uint64(29)) + ((high & _29) << s32) + residues(ends[1])
+    return product(residues(value), powers(n, which, True)[at])
 
 
 def spans(flat: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ Plan, in three passes over documents that are gathered in blocks (``common``):
 3. Remove. Blocks mark the covered words.
 
 The cut hash only decides which windows are looked at again, so windows are equal
-where 128 bits from two independent hash families agree.
+where two polynomials modulo 2**61 - 1, of two families of word hashes and two bases, agree.
 
 Defined results: a null or empty text has no words; fewer than ``width`` words have no
 window; repeated rows of one id don't remove each other's words, since no id is smaller;
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import BLOCK_BYTES, Scratch, block_of, block_partitions, by_part, distinct, pack, powers, spread, squeezed, unpack, unsqueezed, word_hashes, words
+from tessera.llm.common import BLOCK_BYTES, Scratch, block_of, block_partitions, by_part, distinct, pack, spread, squeezed, unpack, unsqueezed, window_sums, word_hashes, words
 
 WIDTH = 50
 #: Windows that one bucket sorts, on average.
@@ -77,7 +77,7 @@ class Words:
         found = list(word_hashes(texts, which=which))
         self.which = which
         self.row = np.concatenate([r for r, _ in found] or [np.zeros(0, np.int64)])
-        self.hash = _mixed(np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)]))
+        self.hash = np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The places where a window of ``width`` words of one text starts, and the windows' hashes: equal for equal sequences of words."""
@@ -85,9 +85,7 @@ class Words:
         if n < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.row[: n - width + 1] == self.row[width - 1 :])
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * powers(n, self.which), out=sums[1:])
-        return at, _mixed((sums[at + width] - sums[at]) * powers(n, self.which, True)[at])
+        return at, _mixed(window_sums(self.hash, at, width, self.which))
 
 
 def cut_bits(windows: int) -> int:

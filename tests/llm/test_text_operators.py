@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, context_tree, lm_scoring, mixing, quality, sharding, simhash, substring
+from tessera.llm import bpe, common, context_tree, lm_scoring, mixing, quality, sharding, simhash, substring
 from tessera.llm.common import Scratch, crc_remainder, lower_words, pack, spread, unpack, word_hashes, words
 from tessera.llm.components import components, forest
 from tessera.llm.queries import PATTERN, RANKS
@@ -625,3 +625,51 @@ def test_word_hashes_in_pieces(piece):
     name = {}
     assert [r for r, _ in got] == [i for i, t in enumerate(texts) for _ in t.split()]
     assert all(name.setdefault(h, w) == w for (_, h), w in zip(got, (w for t in texts for w in t.split()), strict=True))
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_patterned_words_stay_apart(spark):
+    """Words of two letters in a pattern for which any sum of powers modulo 2**64 is the same."""
+    one, other = thue_morse(1024)
+    shared = " ".join(f"s{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}"), (3, f"{shared} {one}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.substring_digest(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    table = spark.createDataFrame([(1, f"x {one}"), (2, f"x {other}")], "doc_id long, text string")
+    known = {r["doc_id"]: r["n_known"] for r in lm_scoring.score_documents(table, F.col("doc_id") == 1).collect()}
+    assert known == {1: 3, 2: 2}
+
+
+def test_windows_of_patterned_words(spark):
+    """The same with words for letters, and windows as long."""
+    one, other = (" ".join(t) for t in thue_morse(2048))
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.substring_digest(docs, width=2048).collect()} == {0}
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_span_hashes(which):
+    """Every length up to twice that of a long word, zero bytes, and words that differ in one place."""
+    base = bytes(range(1, 130))
+    texts = [base[:k] for k in range(1, 129)] + [base[:k].replace(b"\x03", b"\x00") for k in range(3, 129)] + [b"\x00" * k for k in range(1, 129)]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    h = common.span_hashes(flat, start, end, which)
+    assert len(set(h.tolist())) == len(set(texts))
+    assert (common.span_hashes(flat[1:], start[1:] - 1, end[1:] - 1, which) == h[1:]).all()
+
+
+def test_residues():
+    rng = np.random.default_rng(3)
+    a, b = (np.append(rng.integers(0, common.PRIME, 500, dtype=np.uint64), np.array([0, 1, common.PRIME - 1], np.uint64)) for _ in "ab")
+    assert [int(x) for x in common.product(a, b)] == [int(x) * int(y) % common.PRIME for x, y in zip(a, b, strict=True)]
+    v = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    want = [sum(int(v[k + j]) * pow(common._BASES[1], j, common.PRIME) for j in range(50)) % common.PRIME for k in range(351)]
+    assert common.window_sums(v, np.arange(351), 50, 1).tolist() == want
