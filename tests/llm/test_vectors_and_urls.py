@@ -1,5 +1,7 @@
 """Operators on embeddings and urls against brute force, with odd rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +195,49 @@ def test_url_terms_from_a_file(spark, tmp_path):
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(table, [], terms).collect()}
     assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
     assert len(url_filter.read_terms()) > 90
+
+
+def links_by_hand(x, threshold=0.98):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("axis", [None, 0, 21])
+def test_links_count_for_both_ends(spark, monkeypatch, axis):
+    """Pairs at just the threshold, moved any way or along one coordinate, over many cells: as many links as by hand, and none on one side only."""
+    monkeypatch.setattr(vecdedup, "CELL_ROWS", 8)
+    rng = np.random.default_rng(11)
+    n, dims = 1500, 32
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step = rng.normal(size=(n, dims)) if axis is None else np.repeat(np.eye(dims)[axis][None], n, axis=0)
+    step -= (step * x).sum(axis=1)[:, None] * x
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    c = 0.98001
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * step])
+    near = links_by_hand(both)
+    assert near.sum() >= 2 * n
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdedup.near_vectors(table).collect()}
+    assert sum(k for k, _ in got.values()) >= 0.99 * near.sum()
+    # a link is told of at both ends: components of two rows hold one link each, and no row without links shares a component
+    size = Counter(c for _, c in got.values())
+    for i, (k, c) in got.items():
+        assert k <= near[i].sum() and (k > 0) == (size[c] > 1) and (size[c] != 2 or k == 1)
+
+
+def test_crowd_of_near_copies(spark, monkeypatch):
+    """One crowd over several cells and blocks, with weights: links are those by hand."""
+    monkeypatch.setattr(vecdedup, "CELL_ROWS", 8)
+    monkeypatch.setattr(vecdedup, "SIDE", 50)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(1, 16)), 700, axis=0) + rng.normal(scale=0.11, size=(700, 16))
+    x[600:] = x[:100]
+    near = links_by_hand(x)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table, target=1.0).collect()}
+    assert got == {i: int(near[i].sum()) for i in range(len(x))}
+    found = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table).collect()}
+    assert sum(found.values()) >= 0.999 * near.sum() and all(found[i] <= got[i] for i in got)
