@@ -39,12 +39,21 @@ def phrase_freq(docs: DataFrame, size: int = 2, text: str = "text") -> DataFrame
     return rows.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
+#: Characters of a text that substrings are taken from at once: they are found from its start on.
+PART = 200
+
+
 def char_ngrams(rows: DataFrame, least: int, most: int, text: str = "sentence") -> DataFrame:
-    """rows plus gram: all substrings of least..most characters."""
+    """rows plus gram: all substrings of least..most characters. Long texts go in parts with what follows them, so time is in proportion."""
     t = F.col(text)
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
-    grams = F.concat(*(F.when(F.length(t) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)))
-    return rows.select("*", F.explode(grams).alias("gram"))
+    cut = lambda k: F.regexp_extract_all(t, F.lit(f"(?s)(.{{1,{PART}}})(?=(.{{0,{most - 1}}}))"), F.lit(k))
+    long = F.zip_with(cut(1), cut(2), lambda x, y: F.struct(x.alias("own"), F.concat(x, y).alias("all")))
+    parts = F.when(F.length(t) > PART, long).otherwise(F.array(F.struct(t.alias("own"), t.alias("all"))))
+    rows = rows.select("*", F.explode(parts).alias("part_"))
+    own, whole = F.length("part_.own"), F.col("part_.all")
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.least(own, F.length(whole) - n + 1)), lambda i: F.substring(whole, i, n))
+    grams = F.concat(*(F.when(F.length(whole) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)))
+    return rows.select("*", F.explode(grams).alias("gram")).drop("part_")
 
 
 def ngram_counts(rows: DataFrame, n: int = 3, min_count: int = 5, text: str = "sentence") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Wrong words and word order: segmentation, scans against lexicons, mining of the lexicons, and a small language model.
+"""Wrong words and word order: scans against lexicons, mining of the lexicons, and what the language model says of a place.
 
 A sentence keeps its tokens as an array, and windows of tokens are made from that array
 inside the row, so nothing is shuffled until windows meet a lexicon on equality.
@@ -6,16 +6,14 @@ inside the row, so nothing is shuffled until windows meet a lexicon on equality.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera import fixtures as fx
-from tessera.dictionaries import DEFAULT, Names
+from tessera.dictionaries import DEFAULT
+from tessera.operators import language_model
 from tessera.operators.corpus import char_ngrams
 from tessera.operators.extra import HOMOPHONES
 from tessera.scratch import stored
@@ -24,7 +22,6 @@ KEYS = ["report_id", "field", "sentence_index"]
 #: Limits of the windows, and the least differences and scores that count.
 ORDER_TOKENS, ORDER_CHARS, RISK_TOKENS, RISK_CHARS, RUN_CHARS = 6, 6, 3, 10, 4
 REJECT, ACCEPT, RISK_SCORE, ORDER_RATIO = -0.20, 0.15, 6.0, 150.0
-BACK_OFF, ORDER = 0.4, 3
 _CJK = "^[\\u4e00-\\u9fff]+$"
 #: What ends a short clause.
 CLAUSE_MARKS = "。！？；，、：:;,.!?\\n\\r"
@@ -35,30 +32,6 @@ def vocabulary(words: tuple[str, ...] = fx.WORDS, names: tuple[str, ...] | None
     return sorted({*words, *(DEFAULT.names() if names is None else names)}, key=lambda w: (-len(w), w))
 
 
-def segmented(rows: DataFrame, vocab: list[str], text: str = "sentence") -> DataFrame:
-    """rows plus ``tokens``: leftmost, longest words; between them runs of Latin letters and digits, and single characters."""
-    import re
-
-    other = re.compile("[A-Za-z0-9.]+|.", re.S)
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Names(vocab)
-        for b in batches:
-            out = []
-            for t in b.column(text).to_pylist():
-                tokens: list[str] = []
-                at, t = 0, t or ""
-                while at < len(t):
-                    hit = find.rest[t[at]].match(t, at) if t[at] in find.rest else None
-                    hit = hit or other.match(t, at)
-                    tokens.append(hit.group())
-                    at = hit.end()
-                out.append(tokens)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], names=[*b.schema.names, "tokens"])
-
-    return rows.mapInArrow(f, T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
-
-
 def pieces(rows: DataFrame, most_tokens: int) -> DataFrame:
     """rows plus (first, n, piece, start, before, after): all windows of up to ``most_tokens`` tokens, with their neighbours."""
     t, size = F.col("tokens"), F.size("tokens")
@@ -172,31 +145,7 @@ def substitutions(pairs: DataFrame) -> DataFrame:
     return one.select("ch", "other").distinct()
 
 
-# --- language model -----------------------------------------------------------------------
-
-
-def gram_table(rows: DataFrame, order: int = ORDER, text: str = "sentence") -> DataFrame:
-    """(gram, n): counts of all character runs up to ``order`` long; the empty run counts all characters."""
-    grams = run_counts(rows, 1, order, text)
-    return grams.unionByName(grams.where("length(gram) = 1").agg(F.lit("").alias("gram"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
-
-
-def text_scores(texts: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(text, lm): log10 scores by backing off to shorter contexts, each step at ``BACK_OFF``; texts are distinct.
-
-    A character never seen counts as one occurrence less than one in all.
-    """
-    at = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
-    most = F.least(F.col("i"), F.lit(order))
-    each = at.select("text", "i", most.alias("most"), F.explode(F.sequence(F.lit(1), most)).alias("k"))
-    each = each.withColumn("gram", F.substring("text", F.col("i") - F.col("k") + 1, F.col("k"))).withColumn("head", F.substring("text", F.col("i") - F.col("k") + 1, F.col("k") - 1))
-    each = each.join(grams.withColumnRenamed("n", "gn"), "gram", "left").join(grams.select(F.col("gram").alias("head"), F.col("n").alias("hn")), "head", "left")
-    known = each.where("gn IS NOT NULL").groupBy("text", "i", "most").agg(F.max_by(F.struct("k", "gn", "hn"), "k").alias("b"))
-    total = grams.where("gram = ''").select(F.col("n").alias("total"))
-    all_ = each.select("text", "i", "most").distinct().join(known.select("text", "i", "b"), ["text", "i"], "left").crossJoin(F.broadcast(total))
-    seen = F.log10(F.col("b.gn") / F.col("b.hn")) + (F.col("most") - F.col("b.k")) * F.log10(F.lit(BACK_OFF))
-    unseen = -F.log10(F.col("total") + 1.0) + F.col("most") * F.log10(F.lit(BACK_OFF))
-    return all_.groupBy("text").agg(F.round(F.sum(F.coalesce(seen, unseen)), 6).alias("lm"))
+# --- language model ------------------------------------------------------------------------
 
 
 def deltas(asked: DataFrame, grams: DataFrame) -> DataFrame:
@@ -204,7 +153,7 @@ def deltas(asked: DataFrame, grams: DataFrame) -> DataFrame:
     pair = lambda c: F.concat("before", c, "after")
     rows = asked.withColumn("old", pair("error")).withColumn("new", pair("suggestion"))
     texts = rows.select(F.explode(F.array("old", "new")).alias("text")).distinct()
-    scores = text_scores(texts, grams)
+    scores = language_model.scores(texts, grams)
     named = lambda c: scores.select(F.col("text").alias(c), F.col("lm").alias(f"{c}_lm"))
     return rows.join(named("old"), "old").join(named("new"), "new").withColumn("delta", F.round(F.col("new_lm") - F.col("old_lm"), 6)).drop("old", "new", "old_lm", "new_lm")
 

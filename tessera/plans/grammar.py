@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
-from tessera.operators import corpus, entities as en, extra, grammar as g
+from tessera.operators import corpus, entities as en, extra, grammar as g, language_model as lm, vocabulary
 from tessera.plans import oracle as o
 from tessera.plans.queries import query
 from tessera.scratch import stored
@@ -33,16 +33,31 @@ def _spoil(c: str) -> str:
 
 
 VOCAB = g.vocabulary()
-_TOKEN = "|".join(VOCAB) + "|[A-Za-z0-9.]+|."
 _TYPED = f"typed AS (SELECT report_id, {_spoil('ReportStr')} AS ReportStr, {_spoil('ConclusionStr')} AS ConclusionStr FROM syn)"
 
 
+#: Words with their numbers of places in the clean sentences, one more each, and what they cost; then every sentence cut
+#: from its end: the cheapest way from each place on, the longer word of equally cheap ones.
+_CUT = f"""vw(word) AS (VALUES {', '.join(f"('{w}')" for w in VOCAB)}), us AS MATERIALIZED (SELECT sentence, count(*) AS times FROM sent GROUP BY 1),
+wn AS MATERIALIZED (SELECT word, CAST(1 + sum(times * len(list_filter(range(1, length(sentence) + 1), lambda i: substr(sentence, i, length(word)) = word))) AS BIGINT) AS freq FROM vw CROSS JOIN us GROUP BY 1),""" + """
+wk AS MATERIALIZED (SELECT map_from_entries(list((word, CAST(round(1e6 * ln(total / freq)) AS BIGINT)))) AS m, CAST(round(1e6 * ln(any_value(total))) AS BIGINT) AS none, max(length(word)) AS most
+  FROM wn CROSS JOIN (SELECT CAST(sum(freq) AS DOUBLE) AS total FROM wn)),
+cut(sentence, i, best, toks) AS (
+  SELECT sentence, CAST(length(sentence) + 1 AS BIGINT), [CAST(0 AS BIGINT)], [CAST([] AS VARCHAR[])] FROM (SELECT sentence FROM sent UNION SELECT sentence FROM ts)
+  UNION ALL
+  SELECT sentence, i - 1, list_prepend(pick.c, best), list_prepend(list_prepend(substr(sentence, i - 1, -pick.l), toks[-pick.l]), toks)
+  FROM (SELECT sentence, i, best, toks, list_min(list_concat([{'c': none + best[k], 'l': -k}],
+      list_transform(list_filter(range(1, least(most, length(sentence) - i + 2) + 1), lambda n: map_contains(m, substr(sentence, i - 1, n))), lambda n: {'c': m[substr(sentence, i - 1, n)] + best[n], 'l': -n}))) AS pick
+    FROM (SELECT *, length(regexp_extract(substr(sentence, i - 1), '^([A-Za-z0-9.]+|.)')) AS k FROM cut CROSS JOIN wk WHERE i > 1))),
+tk AS MATERIALIZED (SELECT sentence, toks[1] AS tokens FROM cut WHERE i = 1)"""
+
+
 def _tok(name: str, source: str) -> str:
-    return f"{name} AS MATERIALIZED (SELECT *, {o.found('sentence', _TOKEN)} AS tokens FROM {source})"
+    return f"{name} AS MATERIALIZED (SELECT {source}.*, tokens FROM {source} JOIN tk USING (sentence))"
 
 
 _FREQ = "fr AS MATERIALIZED (SELECT word, count(*) AS freq FROM (SELECT unnest(tokens) AS word FROM ct) WHERE regexp_matches(word, '^[一-鿿]+$') GROUP BY 1)"
-_BASE = o.with_(o.SYN, o.sent(), _TYPED, o.sent(name="ts").replace("FROM syn", "FROM typed"), _tok("ct", "sent"), _tok("tt", "ts"), _FREQ).replace("WITH ", "WITH ", 1)
+_BASE = o.with_(o.SYN, o.sent(), _TYPED, o.sent(name="ts").replace("FROM syn", "FROM typed"), _CUT, _tok("ct", "sent"), _tok("tt", "ts"), _FREQ).replace("WITH ", "WITH RECURSIVE ", 1)
 _HOM = fx.sql_list([(c, h) for c, hs in extra.HOMOPHONES.items() for h in hs])
 _HEAD: dict[str, str] = {}
 for _c, _hs in extra.HOMOPHONES.items():
@@ -74,7 +89,39 @@ _PATT = f"""op AS MATERIALIZED (SELECT * FROM (SELECT w.word AS correct, substr(
   FROM fr w LEFT JOIN fr e ON e.word = substr(w.word, 3, 2) || substr(w.word, 1, 2) LEFT JOIN cg4 a ON a.gram = w.word LEFT JOIN cg4 b ON b.gram = substr(w.word, 3, 2) || substr(w.word, 1, 2)
   WHERE length(w.word) = 4 AND w.freq >= {LEAST_ORDER}) WHERE error <> correct AND error_freq <= 20 AND ratio >= 20 AND raw_error <= 50 AND raw_correct / CAST(raw_error + 1 AS DOUBLE) >= 5)"""
 _SUBS = "su AS (SELECT DISTINCT ch, other FROM (SELECT wrong, correct, count(*) AS n, min(substr(wrong, i, 1)) AS ch, min(substr(correct, i, 1)) AS other FROM (SELECT wrong, correct, unnest(range(1, length(wrong) + 1)) AS i FROM cf WHERE length(wrong) = length(correct)) WHERE substr(wrong, i, 1) <> substr(correct, i, 1) GROUP BY 1, 2) WHERE n = 1)"
-_GRAMS = f"gr0 AS (SELECT substr(sentence, i, n) AS gram, count(*) AS n FROM (SELECT sentence, n, unnest(range(1, length(sentence) - n + 2)) AS i FROM (SELECT sentence, unnest(range(1, {g.ORDER + 1})) AS n FROM sent) WHERE length(sentence) >= n) GROUP BY 1), gr AS MATERIALIZED (SELECT * FROM gr0 UNION ALL SELECT '', coalesce(sum(n), 0) FROM gr0 WHERE length(gram) = 1)"
+
+
+def kn_sql(source: str, text: str, others: str, order: int = lm.ORDER, prune: tuple[int, ...] = lm.PRUNE) -> str:
+    """Tables that end in kp (gram, p) and kx (head, all_, free): the language model of a column of a table."""
+    fall = lm.FALLBACK
+    ok = "t1 > 0 AND t2 > 0 AND t3 > 0 AND t4 > 0 AND 1 - 2 * y * t2 / t1 BETWEEN 0 AND 1 AND 2 - 3 * y * t3 / t2 BETWEEN 0 AND 2 AND 3 - 4 * y * t4 / t3 BETWEEN 0 AND 3"
+    d = [f"CASE WHEN {ok} THEN {k} - {k + 1} * y * t{k + 1} / t{k} ELSE {fall[k - 1]} END AS d{k}" for k in (1, 2, 3)]
+    t = ", ".join(f"CAST(count(*) FILTER (a = {k}) AS DOUBLE) AS t{k}" for k in (1, 2, 3, 4))
+    keep = "c > CASE n " + " ".join(f"WHEN {n} THEN {p}" for n, p in enumerate(prune[:order], 1)) + " END"
+    out = f"""kt AS (SELECT chr(2) || t || chr(3) AS t, times FROM (SELECT regexp_replace({text}, '{others}', '', 'g') AS t, count(*) AS times FROM {source} GROUP BY 1) WHERE t <> ''),
+kr AS MATERIALIZED (SELECT gram, length(gram) AS n, CAST(sum(times) AS BIGINT) AS c FROM (SELECT substr(t, i, n) AS gram, times FROM (SELECT t, times, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT t, times, unnest(range(1, {order + 1})) AS n FROM kt) WHERE length(t) >= n)) WHERE gram <> chr(2) GROUP BY 1),
+kb AS (SELECT substr(gram, 2) AS gram, count(*) AS kinds FROM kr WHERE n > 1 GROUP BY 1),
+ka AS MATERIALIZED (SELECT kr.gram, n, c, CASE WHEN n = {order} OR starts_with(kr.gram, chr(2)) THEN c ELSE kinds END AS a FROM kr LEFT JOIN kb USING (gram)),
+kd AS (SELECT n, {', '.join(d)} FROM (SELECT *, t1 / (t1 + 2 * t2) AS y FROM (SELECT n, {t} FROM ka GROUP BY 1))),
+kf AS MATERIALIZED (SELECT *, CASE WHEN keep THEN off ELSE a END AS free FROM (SELECT gram, n, a, {keep} AS keep, CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS off FROM ka JOIN kd USING (n))),
+kx AS MATERIALIZED (SELECT left(gram, n - 1) AS head, CAST(sum(a) AS DOUBLE) AS all_, CAST(sum(free) AS DOUBLE) AS free, count(*) AS kinds FROM kf GROUP BY 1),
+kp0 AS (SELECT '' AS gram, free / all_ / (kinds + 1) AS p FROM kx WHERE head = ''),
+kp1 AS MATERIALIZED (SELECT gram, (a - off) / all_ + free / all_ / (kinds + 1) AS p FROM (SELECT kf.gram, a, off, x.free, all_, kinds FROM kf JOIN kx x ON x.head = '' WHERE n = 1 AND keep))"""
+    for n in range(2, order + 1):
+        out += f",\nkp{n} AS MATERIALIZED (SELECT kf.gram, (a - off) / all_ + x.free / all_ * p AS p FROM kf JOIN kx x ON x.head = left(kf.gram, {n - 1}) JOIN kp{n - 1} l ON l.gram = substr(kf.gram, 2) WHERE n = {n} AND keep)"
+    return out + ",\nkp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM kp{n}" for n in range(order + 1)) + ")"
+
+
+def lm_sql(texts: str, others: str, order: int = lm.ORDER) -> str:
+    """(text, lm) of a table of distinct texts."""
+    return f"""(SELECT text, round(coalesce(sum(s), 0), 6) AS lm FROM (SELECT text FROM {texts}) q LEFT JOIN (SELECT text, i, max(CASE WHEN k = best THEN log10(coalesce(p, (SELECT p FROM kp0))) END) + coalesce(sum(CASE WHEN k > best AND head <> '' THEN log10(free / all_) END), 0) AS s FROM (
+      SELECT text, i, k, kp.p, x.head, x.free, x.all_, coalesce(max(CASE WHEN kp.p IS NOT NULL THEN k END) OVER (PARTITION BY text, i), 1) AS best
+      FROM (SELECT text, t, i, unnest(range(1, least(i, {order}) + 1)) AS k FROM (SELECT text, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT text, regexp_replace(text, '{others}', '', 'g') AS t FROM {texts})))
+        LEFT JOIN kp ON kp.gram = substr(t, i - k + 1, k) LEFT JOIN kx x ON x.head = substr(t, i - k + 1, k - 1)) GROUP BY 1, 2) USING (text) GROUP BY 1)"""
+
+
+_OTHERS = "[^一-鿿]"
+_GRAMS = kn_sql("sent", "sentence", _OTHERS)
 LEXICONS = _BASE.rstrip() + ",\n" + ",\n".join((_VARIANTS, _RAW, _CONF, _RISK, _RAW4, _PATT, _SUBS, _GRAMS)) + "\n"
 
 
@@ -99,11 +146,7 @@ sc AS MATERIALIZED (SELECT {_K}, sentence, start, start + length(piece) AS stop,
 
 
 def _lm(texts: str) -> str:
-    """(text, lm) of a table of texts."""
-    return f"""(SELECT text, round(sum(coalesce(ln(gn / CAST(hn AS DOUBLE)) / ln(10) + (most - k) * log10({g.BACK_OFF}), -log10((SELECT n FROM gr WHERE gram = '') + 1.0) + most * log10({g.BACK_OFF}))), 6) AS lm FROM (
-      SELECT text, i, most, k, gn, hn FROM (SELECT text, i, most, k, a.n AS gn, b.n AS hn FROM (SELECT text, i, least(i, {g.ORDER}) AS most, unnest(range(1, least(i, {g.ORDER}) + 1)) AS k FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM {texts}))
-        LEFT JOIN gr a ON a.gram = substr(text, i - k + 1, k) LEFT JOIN gr b ON b.gram = substr(text, i - k + 1, k - 1))
-      QUALIFY row_number() OVER (PARTITION BY text, i ORDER BY gn IS NULL, k DESC) = 1) GROUP BY 1)""".replace("coalesce(ln(gn", "coalesce(CASE WHEN gn IS NOT NULL THEN ln(gn").replace("log10(0.4), -log10", "log10(0.4) END, -log10", 1)
+    return lm_sql(texts, _OTHERS)
 
 
 _CTX = lambda s, a, b: f"regexp_extract(substr({s}, 1, CAST({a} AS BIGINT)), '[^{g.CLAUSE_MARKS}]*$') || substr({s}, CAST({a} AS BIGINT) + 1, CAST({b} - {a} AS BIGINT)) || regexp_extract(substr({s}, CAST({b} AS BIGINT) + 1), '^[^{g.CLAUSE_MARKS}]*')"
@@ -133,24 +176,30 @@ _ALL = _DETECT + _ORDER + f"""
 """
 
 
-def clean_tokens(spark, sf_dir):
-    return g.segmented(en.sentences(synthetic_reports(spark, sf_dir)), VOCAB)
+def word_costs(spark, sf_dir):
+    """Of the words in the clean sentences."""
+    return vocabulary.word_costs(en.sentences(synthetic_reports(spark, sf_dir)), VOCAB)
 
 
-def typed_tokens(spark, sf_dir):
-    return g.segmented(en.sentences(typed(synthetic_reports(spark, sf_dir))), VOCAB)
+def clean_tokens(spark, sf_dir, cost=None):
+    return vocabulary.segmented(en.sentences(synthetic_reports(spark, sf_dir)), cost or word_costs(spark, sf_dir))
+
+
+def typed_tokens(spark, sf_dir, cost=None):
+    return vocabulary.segmented(en.sentences(typed(synthetic_reports(spark, sf_dir))), cost or word_costs(spark, sf_dir))
 
 
 class Lexicons:
     """What is mined from the clean corpus and the typed sentences, each table written once."""
 
     def __init__(self, spark, sf_dir):
-        self.clean, self.rows = stored(clean_tokens(spark, sf_dir)), stored(typed_tokens(spark, sf_dir))
+        cost = word_costs(spark, sf_dir)
+        self.clean, self.rows = stored(clean_tokens(spark, sf_dir, cost)), stored(typed_tokens(spark, sf_dir, cost))
         self.freq = stored(g.token_freq(self.clean))  # tables of lexicons are small; sentences come with their tokens
         self.pairs = stored(g.confusions(self.freq, self.rows, LEAST_RIGHT))
         self.risk = g.high_risk(self.freq)
         self.patterns = g.order_patterns(self.freq, self.clean, LEAST_ORDER, ratio=20.0)
-        self.grams = stored(g.gram_table(self.clean))
+        self.grams = stored(lm.train(self.clean))
 
     def detected(self):
         return g.detect(self.rows, self.pairs, self.risk, self.patterns, self.freq, self.grams, LEAST_VOCAB)
@@ -201,15 +250,45 @@ def order_bigrams(spark, sf_dir):
     return g.bigram_templates(g.token_freq(clean_tokens(spark, sf_dir)), LEAST_RIGHT)
 
 
-@query(LEXICONS + "SELECT gram, CAST(n AS BIGINT) AS n FROM gr")
+_MODEL = "SELECT kp.gram, CAST(length(kp.gram) AS INTEGER) AS n, round(p, 9) AS p, CASE WHEN kp.gram <> '' THEN round(x.free / all_, 9) END AS backoff FROM (SELECT * FROM kp UNION ALL SELECT chr(2), 0) kp LEFT JOIN kx x ON x.head = kp.gram"
+
+
+def _rounded(model):
+    return model.select("gram", "n", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
+
+
+@query(LEXICONS + _MODEL)
 def language_model(spark, sf_dir):
-    return g.gram_table(clean_tokens(spark, sf_dir))
+    return _rounded(lm.train(clean_tokens(spark, sf_dir)))
 
 
 @query(LEXICONS + f"SELECT text, lm FROM {_lm('(SELECT DISTINCT sentence AS text FROM ts)')}")
 def language_scores(spark, sf_dir):
-    rows = typed_tokens(spark, sf_dir).select(F.col("sentence").alias("text")).distinct()
-    return g.text_scores(rows, stored(g.gram_table(clean_tokens(spark, sf_dir))))
+    cost = word_costs(spark, sf_dir)
+    rows = typed_tokens(spark, sf_dir, cost).select(F.col("sentence").alias("text")).distinct()
+    return lm.scores(rows, stored(lm.train(clean_tokens(spark, sf_dir, cost))))
+
+
+_LETTERS, _LINES = "[^a-zà-ÿ ]", "li AS MATERIALIZED (SELECT unnest(string_split_regex(lower(text), '[.\\n]+')) AS line FROM documents WHERE lang <> 'de')"
+
+
+def _letters(spark, sf_dir, where):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(where)
+    lines = docs.select(F.explode(F.split(F.lower("text"), "[.\\n]+")).alias("line"))
+    return lm.train(lines, text="line", others="[^a-z\\u00e0-\\u00ff ]")
+
+
+@query(o.with_(_LINES, kn_sql("li", "line", _LETTERS)) + _MODEL)
+def letter_model(spark, sf_dir):
+    """A model of letters of the lines and sentences of all documents but the German ones."""
+    return _rounded(_letters(spark, sf_dir, "lang <> 'de'"))
+
+
+@query(o.with_(_LINES, kn_sql("li", "line", _LETTERS)) + f"SELECT text, lm FROM {lm_sql('(SELECT DISTINCT lower(text) AS text FROM conversations WHERE text IS NOT NULL)', _LETTERS)}")
+def letter_scores(spark, sf_dir):
+    """What that model says of every turn of a conversation."""
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").select(F.lower("text").alias("text")).distinct()
+    return lm.scores(texts, stored(_letters(spark, sf_dir, "lang <> 'de'")), others="[^a-z\\u00e0-\\u00ff ]")
 
 
 @query(LEXICONS + _SCAN + f"SELECT {_K}, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, error, suggestion, kind, score FROM sc")
@@ -249,7 +328,7 @@ def grammar_stats(spark, sf_dir):
     return corpus.error_stats(Lexicons(spark, sf_dir).detected())
 
 
-_FIXED = (LEXICONS + _ALL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+_FIXED = (LEXICONS + _ALL) + f"""
 , sg AS MATERIALIZED (SELECT {_K}, start, stop, suggestion, row_number() OVER (PARTITION BY {_K} ORDER BY start DESC, stop, suggestion) AS rn FROM de WHERE suggestion IS NOT NULL),
 fx(report_id, field, sentence_index, rn, t, edge) AS (
   SELECT DISTINCT sg.report_id, sg.field, sg.sentence_index, CAST(0 AS BIGINT), sentence, CAST(length(sentence) AS BIGINT) FROM sg JOIN tt USING ({_K})
