@@ -7,13 +7,22 @@ partition whatever their number elsewhere.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from re import _parser as re_parser
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import COMPLEXITY, LEXICON, Lexicon
 from tessera.dictionaries import DEFAULT, Dictionaries
+from tessera.functions.automaton import with_places
 from tessera.functions.text import all_of, bigram_similarity
 from tessera.operators.entities import entities, on_path, opposite, related
+from tessera.scratch import stored
+
+#: Rules whose patterns the driver may look into.
+MOST_RULES = 500_000
 
 
 def modality(raw: Column) -> Column:
@@ -114,27 +123,34 @@ def part_inverse(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFA
 def illness_similarity(a: Column, b: Column) -> Column:
     """The best likeness of the parts of two findings: one half where one holds the other, else that of their character pairs.
 
-    The pairs stand in for word vectors, which a user may have and this package doesn't.
+    ``word_vectors.Likeness`` is the other measure that checks take.
     """
     parts = lambda c: F.filter(F.transform(F.split(c, "[,，]"), F.trim), lambda x: x != "")
     one = lambda x, y: F.when(F.contains(x, y) | F.contains(y, x), 0.5).otherwise(bigram_similarity(x, y))
     return F.coalesce(F.array_max(F.flatten(F.transform(parts(a), lambda x: F.transform(parts(b), lambda y: one(x, y))))), F.lit(0.0))
 
 
-def match_score(d: str, c: str) -> Column:
+def match_score(d: str, c: str, alike: Column | None = None) -> Column:
     """0.3 for the part and 0.7 for the finding: a related part counts 0.7, less 0.1 on another side; a finding of another
-    polarity loses 0.2, and one that is hardly alike makes the score zero."""
+    polarity loses 0.2, and one that is hardly alike makes the score zero. alike: the findings' likeness, else that of character pairs."""
     part = F.when(F.col(f"{d}orientation") != F.col(f"{c}orientation"), 0.6).otherwise(0.7)
-    ill = illness_similarity(F.col(f"{d}illness"), F.col(f"{c}illness")) - F.when((F.col(f"{d}positive") >= 2) != (F.col(f"{c}positive") >= 2), 0.2).otherwise(0.0)
+    alike = illness_similarity(F.col(f"{d}illness"), F.col(f"{c}illness")) if alike is None else alike
+    ill = alike - F.when((F.col(f"{d}positive") >= 2) != (F.col(f"{c}positive") >= 2), 0.2).otherwise(0.0)
     return F.when(F.round(ill, 9) < 0.1, 0.0).otherwise(F.round(0.3 * part + 0.7 * ill, 6))
 
 
-def candidates(ents: DataFrame) -> DataFrame:
+#: A function of (pairs, column, column) that adds the column ``similarity``, as ``word_vectors.Likeness`` does.
+Measure = Callable[[DataFrame, str, str], DataFrame]
+
+
+def candidates(ents: DataFrame, likeness: Measure | None = None) -> DataFrame:
     """Description entities with their conclusion candidates: related paths, and a score."""
     keep = ["sentence_index", "sentence", "start", "position", "path", "orientation", "illness", "positive"]
     pick = lambda f, p: ents.where(F.col("field") == f).select("report_id", *(F.col(c).alias(p + c) for c in keep))
     pairs = pick("description", "d_").join(pick("conclusion", "c_"), "report_id").where(related(F.col("d_path"), F.col("c_path")))
-    return pairs.withColumn("score", match_score("d_", "c_"))
+    if likeness is None:
+        return pairs.withColumn("score", match_score("d_", "c_"))
+    return likeness(pairs, "d_illness", "c_illness").withColumn("score", match_score("d_", "c_", F.col("similarity"))).drop("similarity")
 
 
 def forced_matches(ents: DataFrame) -> DataFrame:
@@ -152,10 +168,10 @@ def conclusion_missing(ents: DataFrame) -> DataFrame:
     return d.join(hit, ["report_id", "sentence_index"], "left_anti").select("report_id", "sentence").distinct()
 
 
-def orient_errors(ents: DataFrame) -> DataFrame:
+def orient_errors(ents: DataFrame, likeness: Measure | None = None) -> DataFrame:
     """(report_id, description, conclusion): the likeliest swapped sides, one for each described and each concluded sentence."""
     far = opposite(F.col("d_orientation"), F.col("c_orientation"))
-    pairs = candidates(ents).where("d_positive >= 2 AND score >= 0.15").groupBy("report_id", "d_sentence", "c_sentence").agg(F.max(F.when(far, F.col("score"))).alias("s"), F.max(F.when(~far, F.col("score"))).alias("r"))
+    pairs = candidates(ents, likeness).where("d_positive >= 2 AND score >= 0.15").groupBy("report_id", "d_sentence", "c_sentence").agg(F.max(F.when(far, F.col("score"))).alias("s"), F.max(F.when(~far, F.col("score"))).alias("r"))
     by = lambda c: F.max("r").over(Window.partitionBy("report_id", c))
     w = pairs.withColumn("best_d", by("d_sentence")).withColumn("best_c", by("c_sentence")).where("s IS NOT NULL")
     rp, cp = (F.when(F.col(b).isNull(), 1.0).otherwise(F.round(F.col("s") - F.col(b), 6)) for b in ("best_d", "best_c"))
@@ -185,7 +201,7 @@ def apply_orient(reports: DataFrame, dicts: Dictionaries = DEFAULT, ents: DataFr
     return pairs.withColumn("all_far", F.min(F.col("far").cast("int")).over(w)).where("all_far = 1").select("report_id", "report_sentence", "apply_sentence").distinct()
 
 
-def contradictions(ents: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
+def contradictions(ents: DataFrame, lexicon: Lexicon = LEXICON, likeness: Measure | None = None) -> DataFrame:
     """(report_id, neg, pos): a negative and a positive sentence on one key part and compatible sides that speak of one aspect.
 
     For a negative its aspects are tried in order; of the positives with an aspect the least alike stands for it, if it
@@ -202,22 +218,76 @@ def contradictions(ents: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     parts = lambda c: F.regexp_extract_all(F.col(c), F.lit(lexicon.sub_part), F.lit(0))
     free = (F.col("aspect") == "other_description") & ((F.size(parts("neg")) == 0) | (F.size(parts("pos")) == 0) | F.arrays_overlap(parts("neg"), parts("pos")))
     pairs = neg.join(pos, "report_id").where(meets & (free | ((F.col("aspect") != "other_description") & F.array_contains("attribute", F.col("aspect")))))
-    pairs = pairs.withColumn("similarity", F.round(bigram_similarity(F.col("neg"), F.col("pos")), 6))
+    pairs = pairs.withColumn("similarity", F.round(bigram_similarity(F.col("neg"), F.col("pos")), 6)) if likeness is None else likeness(pairs, "neg", "pos")
     best = pairs.groupBy("report_id", "neg", "n_at", "k").agg(F.min_by("pos", F.struct("similarity", "p_at", "pos")).alias("pos"), F.min("similarity").alias("similarity")).where(F.col("similarity") <= lexicon.alike)
     return best.groupBy("report_id", "neg", "n_at").agg(F.min_by("pos", "k").alias("pos")).select("report_id", "neg", "pos").distinct()
 
 
-def critical_values(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT) -> DataFrame:
-    """(report_id, rule, category, description): for each rule the first concluded entity that passes all gates."""
-    spark = reports.sparkSession
-    rules = spark.createDataFrame(list(dicts.critical), "rule int, device string, pattern string, part string, least double, described string, category string")
-    c = ents.where(f"field = 'conclusion' AND NOT sentence RLIKE '{dicts.lexicon.critical_ignore}'").join(reports.select("report_id", "modality"), "report_id")
-    gate = F.expr("modality RLIKE device AND sentence RLIKE pattern") & on_path(F.col("path"), F.col("part"))
-    hit = c.join(F.broadcast(rules), gate).select("report_id", "rule", "category", "part", "least", "described", "sentence", "sentence_index", "start")
+def required(pattern: str) -> set[str] | None:
+    """Literals of which a text that fits the pattern holds at least one; None if the pattern promises none."""
+    def best(options: list[set[str]]) -> set[str] | None:
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+    def of(items) -> set[str] | None:
+        options, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is re_parser.LITERAL:
+                run += chr(arg)
+                continue
+            if run:
+                options.append({run})
+                run = ""
+            if op is re_parser.SUBPATTERN and not arg[1]:
+                options.append(of(arg[3]))
+            elif op is re_parser.BRANCH:
+                parts = [of(b) for b in arg[1]]
+                options.append(None if None in parts else set().union(*parts))
+            elif op in (re_parser.MAX_REPEAT, re_parser.MIN_REPEAT) and arg[0] > 0:
+                options.append(of(arg[2]))
+        return best([o for o in options if o])
+
+    tree = re_parser.parse(pattern)
+    return None if tree.state.flags & re.IGNORECASE else of(tree)
+
+
+def rule_hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(sentence, part, rule): which of the rules (rule, pattern, part) fit the rows' sentences, for parts on the rows' paths.
+
+    Each different sentence is looked at once. Rules meet it on the literals that their pattern can't do without, all
+    found in one walk along the sentence; rules without such meet it on the part. Only then the pattern is tried.
+    """
+    spark = rows.sparkSession
+    given = rules.select("rule", "pattern", "part").limit(MOST_RULES + 1).collect()
+    if len(given) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    needs = {p: required(p) for p in {r["pattern"] for r in given}}
+    by_literal = spark.createDataFrame([(t, r["rule"], r["pattern"], r["part"]) for r in given for t in needs[r["pattern"]] or ()], "term string, rule int, pattern string, part string")
+    bare = spark.createDataFrame([tuple(r) for r in given if not needs[r["pattern"]]], "rule int, pattern string, part string")
+    at = stored(rows.select("sentence", F.explode(F.split("path", ">")).alias("part")).distinct())
+    literals = sorted({t for need in needs.values() for t in need or ()})
+    seen = with_places(at.select("sentence").distinct(), literals, first_only=True).select("sentence", "term")
+    first = at.join(seen.join(by_literal, "term").drop("term").distinct(), ["sentence", "part"])
+    return first.unionByName(at.join(bare, "part")).where("sentence RLIKE pattern").select("sentence", "part", "rule")
+
+
+def critical_values(reports: DataFrame, ents: DataFrame, dicts: Dictionaries = DEFAULT, rules: DataFrame | None = None) -> DataFrame:
+    """(report_id, rule, category, description): for each rule the first concluded entity that passes all gates.
+
+    rules: a table (rule, device, pattern, part, least, described, category) instead of the dictionary's.
+    """
+    if rules is None:
+        rules = reports.sparkSession.createDataFrame(list(dicts.critical), "rule int, device string, pattern string, part string, least double, described string, category string")
+    c = ents.where(f"field = 'conclusion' AND NOT sentence RLIKE '{dicts.lexicon.critical_ignore}'").select("report_id", "sentence", "sentence_index", "start", "path")
+    fits = stored(rule_hits(c, rules))
+    keyed = c.select("report_id", "sentence", "sentence_index", "start", F.explode(F.array_distinct(F.split("path", ">"))).alias("part")).join(reports.select("report_id", "modality"), "report_id")
+    hit = keyed.join(fits, ["sentence", "part"]).join(rules.select("rule", "device", "least", "described", "category"), "rule").where("modality RLIKE device")
+    hit = hit.select("report_id", "rule", "category", "part", "least", "described", "sentence", "sentence_index", "start")
     d = ents.select("report_id", F.col("field").alias("d_field"), F.col("path").alias("d_path"), F.col("sentence").alias("d_sentence"), F.col("measure").alias("d_mm"), F.col("percent").alias("d_percent"))
     big = F.when(F.col("least") < 1, F.col("d_percent") >= F.col("least")).otherwise(F.col("d_mm") >= F.col("least"))
-    second = F.when(F.col("least") > 0, big & F.array_contains(F.split("d_path", ">"), F.col("part"))).when(F.col("described") != "", (F.col("d_field") == "description") & F.expr("d_sentence RLIKE described")).otherwise(True)
-    ok = hit.join(d, "report_id").where(second).select("report_id", "rule", "category", "sentence", "sentence_index", "start").distinct()
+    second = F.when(F.col("least") > 0, big & F.array_contains(F.split("d_path", ">"), F.col("part"))).otherwise((F.col("d_field") == "description") & F.expr("d_sentence RLIKE described"))
+    more = (F.col("least") > 0) | (F.col("described") != "")
+    keep = ["report_id", "rule", "category", "sentence", "sentence_index", "start"]
+    ok = hit.where(~more).select(*keep).unionByName(hit.where(more).join(d, "report_id").where(second).select(*keep)).distinct()
     w = Window.partitionBy("report_id", "rule").orderBy("sentence_index", "start", "sentence")
     return ok.withColumn("n", F.row_number().over(w)).where("n = 1").select("report_id", "rule", "category", F.col("sentence").alias("description"))
 

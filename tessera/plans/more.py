@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
+from tessera.dictionaries import Dictionaries
 from tessera.functions import scan
-from tessera.operators import corpus, detect, entities as en, history, knowledge
+from tessera.operators import axis, corpus, detect, entities as en, history, knowledge, vocabulary
 from tessera.plans import oracle as o
 from tessera.plans.queries import ents, query, table
 from tessera.scratch import stored
@@ -158,6 +160,24 @@ def substring_freq(spark, sf_dir):
     return corpus.substring_freq(_docs(spark, sf_dir), list(_TERMS))
 
 
+_LONG = "length(word) BETWEEN 4 AND 12"
+_VOCAB = f"vo AS MATERIALIZED (SELECT word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ]+')) AS word FROM documents) WHERE {_LONG})"
+
+
+@query(f"""WITH {_VOCAB}, t AS MATERIALIZED (SELECT row_number() OVER () AS r, lower(text) AS text, 1 AS times FROM documents WHERE text IS NOT NULL), s AS (SELECT r, unnest(string_split(text, ' ')) AS piece FROM t),
+p AS MATERIALIZED (SELECT piece, count(*) AS times FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT piece, times, word, k AS n_places, (length(piece) - length(replace(piece, word, ''))) // length(word) AS n_apart
+  FROM (SELECT piece, times, substr(piece, i, n) AS word, count(*) AS k FROM (SELECT piece, times, n, unnest(range(1, length(piece) - n + 2)) AS i FROM (SELECT piece, times, unnest(range(4, 13)) AS n FROM p) WHERE length(piece) >= n) GROUP BY ALL) JOIN vo USING (word)),
+c AS (SELECT word, CAST(sum(times * n_places) AS BIGINT) AS n_places, CAST(sum(times * n_apart) AS BIGINT) AS n_apart FROM e GROUP BY 1),
+d AS (SELECT word, count(*) AS n_texts FROM (SELECT DISTINCT r, word FROM s JOIN e USING (piece)) GROUP BY 1)
+SELECT word, n_texts, n_places, n_apart FROM c JOIN d USING (word)""")
+def vocabulary_counts(spark, sf_dir):
+    """All words of the documents, counted as substrings, within other words too."""
+    docs = _docs(spark, sf_dir).select(F.lower("text").alias("text"))
+    vocab = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("word")).where(_LONG).distinct()
+    return vocabulary.counts(docs, vocab)
+
+
 @query(o.with_(_WORDS, _PHRASE) + "SELECT a || ' ' || b AS phrase, n FROM ph")
 def phrase_freq(spark, sf_dir):
     return corpus.phrase_freq(_docs(spark, sf_dir))
@@ -377,10 +397,56 @@ def illness_extract(spark, sf_dir):
 
 
 @query()
-def disambiguate(spark, sf_dir):
+def structured_paths(spark, sf_dir):
     return detect.disambiguated(synthetic_reports(spark, sf_dir))
 
 
+# names of several nodes: the graph and those, reports that use them, and the steps one after the other
+_RANGE = {p: (lo, hi) for p, _, lo, hi in fx.KG}
+_SEVERAL = tuple((name, p.split(">")[-1], p, p.count(">") + 1, *_RANGE[p]) for name, paths in scan.AMBIGUOUS.items() for p in paths)
+_GRAPH = Dictionaries(kg=(*fx.kg_rows(), *_SEVERAL))
+_PUT = (("肺上叶", "上叶"), ("肝右叶", "右叶"), ("卵巢", "附件"))
+_REPLACED = "ReportStr"
+for _a, _b in _PUT:
+    _REPLACED = f"replace({_REPLACED}, '{_a}', '{_b}')"
+_VAGUE = f"syn AS (SELECT report_id, StudyPart, {_REPLACED} AS ReportStr FROM ({o.REPORTS_SQL}))"
+_VAGUE_KG = f"kg(keyword, position, path, depth, lo, hi) AS (VALUES {fx.sql_list(_GRAPH.kg)})"
+_NAMED = o.ent().replace(o.quote(fx.alternatives()), o.quote("|".join(_GRAPH.names())))
+_E = "report_id, field, sentence_index, start, match_no"
+_MEET = lambda a, b, f: f"({f(a + '.lo')} < {f(b + '.hi')} AND {f(b + '.lo')} < {f(a + '.hi')} AND abs({f(a + '.lo')} - {f(b + '.lo')}) <= {axis.GAP})"
+_FOLD = lambda x: f"CASE WHEN {x} < {axis.FOLD} THEN {x} ELSE {x} % 100 END"
+
+
+def _step(name: str, source: str, for_it: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT * EXCLUDE (ok) FROM (SELECT *, coalesce({for_it}, false) AS ok FROM {source} c) QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY {_E}))"
+
+
+_STEPS = ",\n".join((
+    f"base AS MATERIALIZED (SELECT {_E}, sentence, keyword, path, lo, hi, count(*) OVER (PARTITION BY {_E}) AS n_before FROM ent WHERE field = 'description')",
+    "exam AS (SELECT report_id, lo, hi FROM ent WHERE field = 'title' QUALIFY path = min(path) OVER (PARTITION BY report_id, sentence_index, match_no))",
+    "one AS MATERIALIZED (SELECT * FROM base WHERE n_before = 1)",
+    _step("s1", "(SELECT * FROM base WHERE n_before > 1)", f"NOT ({o.has('sentence', axis.SPINE)} AND starts_with(path || '>', '{axis.NOT_SPINE}>'))"),
+    _step("s2", "s1", f"EXISTS (SELECT 1 FROM exam x WHERE x.report_id = c.report_id AND {_MEET('c', 'x', str)})"),
+    f"common AS (SELECT {', '.join('c.' + x for x in _E.split(', '))}, c.path FROM s2 c JOIN one x ON x.report_id = c.report_id WHERE list_has_any(string_split(c.path, '>'), string_split(x.path, '>')) QUALIFY row_number() OVER (PARTITION BY {', '.join('c.' + x for x in _E.split(', '))} ORDER BY len(list_intersect(string_split(c.path, '>'), string_split(x.path, '>'))) DESC, x.sentence_index, x.start, x.match_no, c.path) = 1)",
+    _step("s3", f"(SELECT s2.*, common.path AS best FROM s2 LEFT JOIN common USING ({_E}))", "path = best"),
+    _step("s4", "s3", f"EXISTS (SELECT 1 FROM one x WHERE x.report_id = c.report_id AND {_MEET('c', 'x', str)})"),
+    _step("s5", "s4", f"EXISTS (SELECT 1 FROM one x WHERE x.report_id = c.report_id AND {_MEET('c', 'x', _FOLD)})"),
+    _step("s6", f"(SELECT *, max(len(string_split(path, '>'))) OVER (PARTITION BY {_E}) AS most FROM s5)", "len(string_split(path, '>')) = most"),
+))
+
+
+@query(o.with_(_VAGUE, _VAGUE_KG, o.sent(("description", "title")), _NAMED) + ", " + _STEPS + f" SELECT {_E}, keyword, path, CAST(n_before AS INTEGER) AS n_before, CAST(count(*) OVER (PARTITION BY {_E}) AS INTEGER) AS n_after FROM (SELECT {_E}, keyword, path, n_before FROM one UNION ALL SELECT {_E}, keyword, path, n_before FROM s6)")
+def disambiguate(spark, sf_dir):
+    reports = synthetic_reports(spark, sf_dir)
+    for a, b in _PUT:
+        reports = reports.withColumn("ReportStr", F.replace("ReportStr", F.lit(a), F.lit(b)))
+    every = stored(en.entities(reports, ("description", "title"), _GRAPH).select("report_id", "field", "sentence_index", "start", "match_no", "sentence", "keyword", "path", "lo", "hi"))
+    first = Window.partitionBy("report_id", "sentence_index", "match_no")
+    exams = every.where("field = 'title'").withColumn("first", F.min("path").over(first)).where("path = first").select("report_id", "lo", "hi")
+    out = axis.disambiguated(every.where("field = 'description'"), exams)
+    return out.select("report_id", "field", "sentence_index", "start", "match_no", "keyword", "path", "n_before", "n_after")
+
+
 @query()
 def hierarchical_merge(spark, sf_dir):
     return detect.merged(synthetic_reports(spark, sf_dir))

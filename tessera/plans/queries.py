@@ -12,6 +12,7 @@ from tessera.config import LEXICON as L
 from tessera.functions import text as ft
 from tessera.operators import checks, corpus, entities as en, extra
 from tessera.plans import oracle as o
+from tessera.scratch import stored
 from tessera.sources.reports import synthetic_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +308,33 @@ def critical_value(spark, sf_dir):
     return checks.critical_values(r, en.entities(r))
 
 
+#: Three rules for each row of ``part``: wording from words of the lexicon by the key, one of two, one behind the other, or one of two before a third.
+_W = [w for w in fx.WORDS if len(w) > 1]
+_NODES = sorted({n for r in fx.KG for n in r[0].split(">")})
+_PICK = lambda words, n: f"[{', '.join(o.quote(w) for w in words)}][{n} % {len(words)} + 1]"
+_MADE = f"""made(rule, pattern, part) AS (SELECT CAST(p_partkey * 3 + k AS INTEGER), CASE k WHEN 0 THEN a || '|' || b WHEN 1 THEN a || '.*' || b ELSE '(' || a || '|' || b || ')[^，]*' || c END, node
+  FROM (SELECT p_partkey, k, {_PICK(_W, 'p_partkey')} AS a, {_PICK(_W, '(p_partkey // 7)')} AS b, {_PICK(_W, '(p_partkey // 3)')} AS c, {_PICK(_NODES, 'p_partkey')} AS node FROM part CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)))"""
+
+
+@query(o.ENTITIES + f"""
+, {_MADE}, c AS MATERIALIZED (SELECT report_id, sentence, path FROM ent WHERE field = 'conclusion' AND NOT {o.has('sentence', L.critical_ignore)}),
+fit AS MATERIALIZED (SELECT sentence, part, rule FROM (SELECT DISTINCT sentence FROM c) JOIN made ON regexp_matches(sentence, pattern)),
+pa AS (SELECT DISTINCT report_id, sentence, unnest(string_split(path, '>')) AS part FROM c)
+SELECT rule, part, count(DISTINCT report_id) AS n_reports, min(report_id) AS first_report FROM pa JOIN fit USING (sentence, part) GROUP BY 1, 2""")
+def critical_rules(spark, sf_dir):
+    """Reports by rule, for thousands of rules of a table."""
+    key = F.col("p_partkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    base = table(spark, sf_dir, "part").select(key, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    part = lambda n: F.floor(key / n)
+    base = base.select("p_partkey", "k", pick(_W, key).alias("a"), pick(_W, part(7)).alias("b"), pick(_W, part(3)).alias("c"), pick(_NODES, key).alias("part"))
+    pattern = F.when(F.col("k") == 0, F.concat_ws("|", "a", "b")).when(F.col("k") == 1, F.concat_ws(".*", "a", "b")).otherwise(F.concat(F.lit("("), "a", F.lit("|"), "b", F.lit(")[^，]*"), "c"))
+    rules = base.select((key * 3 + F.col("k")).cast("int").alias("rule"), F.lit(".").alias("device"), pattern.alias("pattern"), "part", F.lit(0.0).alias("least"), F.lit("").alias("described"), F.lit("").alias("category"))
+    r = synthetic_reports(spark, sf_dir)
+    found = checks.critical_values(r, stored(en.entities(r)), rules=stored(rules))
+    return found.join(rules.select("rule", "part"), "rule").groupBy("rule", "part").agg(F.count("*").alias("n_reports"), F.min("report_id").alias("first_report"))
+
+
 @query(o.ENTITIES + f"""
 , n AS (SELECT report_id, field, count(*) FILTER (positive >= 2) AS n, count(*) AS all_n FROM ent GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY count(*) DESC, field) = 1)
 SELECT syn.report_id, CASE WHEN n.n IS NULL THEN 0.0 ELSE round({o.complexity_weight('(' + o.modality('modality') + ')')} * (n.n + 1), 6) END AS complexity FROM syn LEFT JOIN n USING (report_id)""")
