@@ -126,6 +126,7 @@ def explained(costs: DataFrame) -> DataFrame:
 
 def audit_quality(reports: DataFrame, dicts: Dictionaries = DEFAULT, points: dict[str, int] = AUDIT_POINTS) -> DataFrame:
     """(report_id, part, conclusion, report, language, terms, audit, score, grade, explain) for every report."""
+    reports = stored(reports)  # every component reads them
     ents = stored(entities(reports, VERSIONS, dicts))
     sentences = stored(sentence_table(ents))
     exams = stored(checks.exam_parts(reports, dicts))
@@ -134,8 +135,8 @@ def audit_quality(reports: DataFrame, dicts: Dictionaries = DEFAULT, points: dic
 
     old = reports.select("report_id", "modality", "StudyPart", "Sex", F.col("beforeReportStr").alias("ReportStr"), F.col("beforeConclusionStr").alias("ConclusionStr"))
     was = ents.where("field IN ('before_description', 'before_conclusion')").withColumn("field", F.replace("field", F.lit("before_"), F.lit("")))
-    worse = checks.part_missing(old, was, dicts).select("report_id", "exam").join(checks.part_missing(reports, ents, dicts), ["report_id", "exam"], "left_anti").select("report_id")
-    worse = worse.unionByName(checks.part_inverse(old, was, dicts).join(checks.part_inverse(reports, ents, dicts), ["report_id", "sentence"], "left_anti").select("report_id"))
+    worse = checks.part_missing(old, was, dicts, exams).select("report_id", "exam").join(checks.part_missing(reports, ents, dicts, exams), ["report_id", "exam"], "left_anti").select("report_id")
+    worse = worse.unionByName(checks.part_inverse(old, was, dicts, exams).join(checks.part_inverse(reports, ents, dicts, exams), ["report_id", "sentence"], "left_anti").select("report_id"))
     state = sentences.groupBy("report_id").agg(*(F.max(((F.col("area") == a) & (F.col("version") == "before")).cast("int")).alias(f"has_{a}") for a in ("description", "conclusion")))
     flag = lambda df, name: df.select("report_id").distinct().withColumn(name, F.lit(1))
 

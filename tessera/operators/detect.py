@@ -112,12 +112,13 @@ def corrected(rows: DataFrame, rules: tuple[tuple[str, str], ...], text: str = "
 
 
 def cosine_to_mean(vectors: DataFrame) -> DataFrame:
-    """(vec_id, cosine): of each vector to the mean of its label; the means are joined by label and place."""
-    x = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "f")).withColumn("x", F.col("f").cast("double")).drop("f")
-    m = x.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    j = x.join(m, ["label", "i"])
-    top = F.sum(F.col("x") * F.col("m")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("m") * F.col("m"))))
-    return j.groupBy("vec_id").agg(F.round(top, 5).alias("cosine"))
+    """(vec_id, cosine): of each vector to the mean of its label. Sums are made by place before the shuffle; whole means come back."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = vectors.select("vec_id", "label", v.alias("v"))
+    sums = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(means, "label").select("vec_id", F.round(dot("v", "mean") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("mean", "mean"))), 5).alias("cosine"))
 
 
 Validator = Callable[[pd.DataFrame], pd.DataFrame]

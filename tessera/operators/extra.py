@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import LEXICON
-from tessera.operators.entities import graph, on_path, opposite
+from tessera.dictionaries import DEFAULT, Dictionaries
+from tessera.functions.automaton import with_places
+from tessera.operators.entities import on_path, opposite
 
 #: Path depth by modality, and roots that keep one node more.
 DEPTH = {"CT": 1, "MR": 1, "DX": 5, "MG": 5}
@@ -45,11 +47,9 @@ def neighbours(ents: DataFrame) -> DataFrame:
     return ents.withColumn("previous_end", F.lag("end").over(w)).withColumn("next_start", F.lead("start").over(w))
 
 
-def name_places(rows: DataFrame, spark: SparkSession, text: str = "sentence") -> DataFrame:
-    """rows plus (keyword, start, stop): every name that occurs, where it occurs first."""
-    names = F.broadcast(graph(spark).select("keyword").distinct())
-    hit = rows.join(names, F.contains(F.col(text), F.col("keyword"))).withColumn("start", F.instr(text, F.col("keyword")) - 1)
-    return hit.withColumn("stop", F.col("start") + F.length("keyword"))
+def name_places(rows: DataFrame, spark: SparkSession, text: str = "sentence", dicts: Dictionaries = DEFAULT) -> DataFrame:
+    """rows plus (keyword, start, stop): every name that occurs, where it occurs first; all in one walk along each text."""
+    return with_places(rows, dicts.names(), text, first_only=True).withColumnRenamed("term", "keyword")
 
 
 def outermost(spans: DataFrame, keys: list[str]) -> DataFrame:

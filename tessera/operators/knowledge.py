@@ -69,7 +69,7 @@ def retrieve(spark: SparkSession, candidates: DataFrame, k: int = 5, dicts: Dict
     g = graph(spark, dicts).select("keyword", "position", "path").distinct()
     c = candidates.select("candidate").distinct()
     inside = substrings(c, "candidate").join(F.broadcast(g), F.col("part") == F.col("keyword")).drop("part")
-    around = c.join(F.broadcast(substrings(g, "keyword")), F.col("candidate") == F.col("part")).drop("part")
+    around = c.join(substrings(g, "keyword"), F.col("candidate") == F.col("part")).drop("part")
     canon, same = F.col("keyword") == F.col("position"), F.col("candidate") == F.col("keyword")
     score = F.when(canon & same, 1.0).when(same, 0.95).when(canon, 0.8).otherwise(0.7)
     best = inside.unionByName(around).groupBy("candidate", "path").agg(F.max(score).alias("score"))
@@ -81,7 +81,7 @@ def unknown(candidates: DataFrame, spark: SparkSession, dicts: Dictionaries = DE
     """candidates (candidate, …) that hold no known name and are part of none."""
     held = name_hits(candidates.select("candidate"), dicts.names(), "candidate").select("candidate").distinct()
     parts = substrings(graph(spark, dicts).select("keyword").distinct(), "keyword").select(F.col("part").alias("candidate")).distinct()
-    return candidates.join(held, "candidate", "left_anti").join(F.broadcast(parts), "candidate", "left_anti")
+    return candidates.join(held, "candidate", "left_anti").join(parts, "candidate", "left_anti")
 
 
 def possible(gram: Column) -> Column:
