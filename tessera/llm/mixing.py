@@ -3,8 +3,9 @@
 Documents are aggregated by membership pattern, the set of sources they belong to. The
 flow network runs from a start to each pattern (one arc for each repetition of its
 words, at convex costs 0, 1, 3, 6, ...), from a pattern to its sources, and from a
-source to the end with its target as capacity. Successive shortest paths route as many
-words as the targets ask for while repeating as little as possible. The words that flow
+source to the end with its target as capacity. Shortest paths route as many words as the
+targets ask for while repeating as little as possible; those of one cost go together, as
+blocking flows. The words that flow
 through a pattern are then drawn from its documents: all of them as often as goes in
 whole, and once more those whose seeded hash lies below a cut.
 
@@ -22,7 +23,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, words
 
+#: Membership patterns on the driver; so many are routed in some ten seconds.
 MAX_PATTERNS = 100_000
 #: Rows at the cuts that are read on the driver once no more are left.
 LAST_ROWS = 64
@@ -63,64 +64,78 @@ def shares(sizes: dict[Source, int], weights: dict[Source, float], total: float,
 
 
 def route(patterns: dict[tuple[Source, ...], int], targets: dict[Source, int], repeats: int) -> dict[tuple[Source, ...], dict[Source, int]]:
-    """Words that each pattern gives to each of its sources: a flow of greatest value and least convex cost."""
-    nodes: dict[object, int] = {"start": 0, "end": 1}
-    graph: list[list[int]] = [[], []]
+    """Words that each pattern gives to each of its sources: a flow of greatest value and least convex cost.
+
+    Only arcs from the start cost anything, so the cheapest path costs what its first arc does: the arcs of each repetition
+    are opened in turn, the cheapest first, and each time the flow is made as large as it can be, by blocking flows.
+    """
+    names = list(patterns)
+    sources = {s: k for k, s in enumerate(dict.fromkeys([*targets, *(s for p in names for s in p)]))}
+    first, end = len(names), len(names) + len(sources)  # nodes: patterns, then sources, then the end
+    graph: list[list[int]] = [[] for _ in range(end + 1)]
     to: list[int] = []
     room: list[int] = []
-    cost: list[int] = []
-
-    def node(x: object) -> int:
-        if x not in nodes:
-            nodes[x] = len(graph)
-            graph.append([])
-        return nodes[x]
-
-    def arc(a: int, b: int, capacity: int, price: int) -> int:
-        for x, y, r, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(p)
+
+    def arc(a: int, b: int, capacity: int) -> int:
+        graph[a].append(len(to))
+        graph[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((capacity, 0))
         return len(to) - 2
 
-    middle: dict[tuple[tuple[Source, ...], Source], int] = {}
-    for p, size in patterns.items():
-        for r in range(repeats):
-            arc(0, node(("pattern", p)), size, r * (r + 1) // 2)
-        for s in p:
-            middle[p, s] = arc(node(("pattern", p)), node(("source", s)), repeats * size, 0)
+    middle = [[(s, arc(i, first + sources[s], repeats * patterns[p])) for s in dict.fromkeys(p)] for i, p in enumerate(names)]
     for s, want in targets.items():
-        arc(node(("source", s)), 1, want, 0)
-    height = [0] * len(graph)  # potentials keep the reduced costs from falling below zero
-    while True:
-        far, by = {0: 0}, {}
-        heap, done = [(0, 0)], set()
-        while heap:
-            d, x = heapq.heappop(heap)
-            if x in done:
-                continue
-            done.add(x)
-            for e in graph[x]:
-                if room[e] and to[e] not in done and (n := d + cost[e] + height[x] - height[to[e]]) < far.get(to[e], 1 << 60):
-                    far[to[e]], by[to[e]] = n, e
-                    heapq.heappush(heap, (n, to[e]))
-        if 1 not in by:
-            break
-        for x in range(len(graph)):
-            height[x] += far.get(x, far[1]) if far.get(x, far[1]) < far[1] else far[1]
-        path, x = [], 1
-        while x:
-            path.append(by[x])
-            x = to[by[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    out: dict[tuple[Source, ...], dict[Source, int]] = {p: {} for p in patterns}
-    for (p, s), e in middle.items():
-        out[p][s] = room[e ^ 1]
-    return out
+        arc(first + sources[s], end, max(0, want))
+    supply = [0] * len(names)
+    for _ in range(repeats):
+        for i, p in enumerate(names):
+            supply[i] += patterns[p]
+        while True:
+            # places on shortest ways from patterns with words left to the end
+            level = [-1] * (end + 1)
+            front = [i for i in range(len(names)) if supply[i]]
+            for i in front:
+                level[i] = 0
+            depth = 0
+            while front and level[end] < 0:
+                depth += 1
+                after = []
+                for x in front:
+                    for e in graph[x]:
+                        if room[e] and level[to[e]] < 0:
+                            level[to[e]] = depth
+                            after.append(to[e])
+                front = after
+            if level[end] < 0:
+                break
+            at = [0] * (end + 1)  # arcs before these lead nowhere in this round
+            for i in range(len(names)):
+                path: list[int] = []
+                x = i
+                while supply[i] and level[i] == 0:
+                    if x == end:
+                        push = min(supply[i], min(room[e] for e in path))
+                        for e in path:
+                            room[e] -= push
+                            room[e ^ 1] += push
+                        supply[i] -= push
+                        cut = next((k for k, e in enumerate(path) if not room[e]), 0)
+                        x, path = to[path[cut] ^ 1], path[:cut]
+                        continue
+                    while at[x] < len(graph[x]):
+                        e = graph[x][at[x]]
+                        if room[e] and level[to[e]] == level[x] + 1:
+                            break
+                        at[x] += 1
+                    if at[x] < len(graph[x]):
+                        path.append(graph[x][at[x]])
+                        x = to[path[-1]]
+                    elif path:
+                        x = to[path.pop() ^ 1]
+                        at[x] += 1
+                    else:
+                        break
+    return {p: {s: room[e ^ 1] for s, e in middle[i]} for i, p in enumerate(names)}
 
 
 def _pattern_key(members: Column) -> Column:

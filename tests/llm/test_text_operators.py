@@ -547,6 +547,43 @@ def test_route_is_the_cheapest_greatest_flow(sizes, wants):
     assert (-sum(got), sum(price(n, s) for n, s in zip(got, sizes, strict=True))) == best
 
 
+def test_route_of_many_patterns():
+    """Twenty thousand patterns of forty sources; no pattern could repeat less, as a cut of sources shows that all words are needed."""
+    rng = np.random.default_rng(8)
+    patterns = {}
+    while len(patterns) < 20_000:
+        patterns[tuple(sorted(f"s{k:02}" for k in rng.choice(40, rng.integers(1, 6), replace=False)))] = int(rng.integers(0, 1000))
+    total = sum(patterns.values())
+    weights = rng.random(40)
+    targets = {f"s{k:02}": int(1.5 * total * w / weights.sum()) for k, w in enumerate(weights)}
+    flow = mixing.route(patterns, targets, 2)
+    out = {p: sum(f.values()) for p, f in flow.items()}
+    got = {s: sum(f.get(s, 0) for f in flow.values()) for s in targets}
+    assert all(out[p] <= 2 * n for p, n in patterns.items()) and all(got[s] <= t for s, t in targets.items())
+    # sources that fall short get all that their patterns can give
+    short = {s for s in targets if got[s] < targets[s]}
+    assert all(out[p] == 2 * n for p, n in patterns.items() if short & set(p))
+
+
+@given(st.lists(st.tuples(st.integers(1, 7), st.integers(0, 5)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.tuples(*[st.integers(0, 9)] * 3), st.integers(1, 3))
+@settings(max_examples=120, deadline=None)
+def test_route_against_cuts(made, wants, repeats):
+    """The greatest flow of every repetition is the least cut over sets of sources."""
+    names = "abc"
+    patterns = {tuple(names[k] for k in range(3) if bits >> k & 1): size for bits, size in made}
+    targets = dict(zip(names, wants, strict=True))
+    flow = mixing.route(patterns, targets, repeats)
+    out = {p: sum(f.values()) for p, f in flow.items()}
+
+    def most(times):
+        return min(sum(targets[s] for s in cut) + sum(times * n for p, n in patterns.items() if not set(p) <= set(cut)) for k in range(4) for cut in itertools.combinations(names, k))
+
+    # words of the first r repetitions: as many as r repetitions could carry, for every r
+    for r in range(1, repeats + 1):
+        assert sum(min(n, r * patterns[p]) for p, n in out.items()) == most(r)
+    assert all(sum(f.get(s, 0) for f in flow.values()) <= targets[s] for s in names)
+
+
 def test_mixing_overlapping_sources(spark):
     df = spark.createDataFrame([(i, "w " * 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else None) for i in range(90)], "doc_id long, text string, m array<string>")
     out = mixing.mix_documents(df, targets={"a": 300.0, "b": 150.0, None: 30.0}, members=F.col("m"))
