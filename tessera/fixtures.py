@@ -83,6 +83,12 @@ GENERAL = (("文里", 5000, "n"), ("节节", 3000, "d"), ("异常", 8000, "n"),
 SUFFIXES = ("医院", "中心", "诊所", "公司")
 BLOCKED = "的了和与及在为是"
 
+#: Sounds of characters, of our own small list.
+SOUNDS = tuple((x[0], x[1:]) for x in (
+    "结jie 节jie 石shi 文wen 纹wen 里li 理li 密mi 度du 渡du 末mo 未wei 见jian 异yi 常chang 明ming 显xian 骨gu 质zhi 增zeng 生sheng 强qiang 化hua 高gao 低di 囊nang 肿zhong 性xing "
+    "点dian 状zhuang 片pian 积ji 液ye 水shui 信xin 号hao 扫sao 描miao 肌ji 瘤liu 急ji 气qi 胸xiong 复fu 查cha 建jian 议yi 体ti 大da 小xiao 直zhi 径jing 清qing 晰xi 正zheng 肝gan 肺fei 右you 左zuo 胆dan 肾shen"
+).split())
+
 #: Model verdicts on findings: candidate, valid, confidence, reason; valid is null where the call failed.
 VERDICTS = ((1, True, 0.92, "ok"), (2, True, 0.61, "weak"), (3, False, 0.88, "not a conflict"), (4, True, 0.31, "unsure"), (5, None, None, "timeout"), (6, True, 0.70, "edge"), (7, True, 0.50, "edge"))
 

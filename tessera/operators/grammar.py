@@ -58,7 +58,7 @@ def run_counts(rows: DataFrame, least: int, most: int, text: str = "sentence") -
 # --- lexicons --------------------------------------------------------------------------
 
 
-def homophones(spark) -> DataFrame:
+def own_homophones(spark) -> DataFrame:
     return spark.createDataFrame([(c, h) for c, hs in HOMOPHONES.items() for h in hs], "ch string, other string")
 
 
@@ -71,12 +71,13 @@ def syllables(text: Column, table: dict[str, str] = HOMOPHONES) -> Column:
     return F.translate(text, "".join(head), "".join(head.values()))
 
 
-def variants(words: DataFrame, most: int = 200, apart: int = 3) -> DataFrame:
+def variants(words: DataFrame, most: int = 200, apart: int = 3, homophones: DataFrame | None = None) -> DataFrame:
     """(word, variant): one character replaced by a homophone, or two that are at most ``apart`` places apart.
 
-    Of two replacements the first ``most`` of a word, in order of places and characters.
+    Of two replacements the first ``most`` of a word, in order of places and characters. homophones: (char, homophone), else
+    those of the package.
     """
-    table = F.broadcast(homophones(words.sparkSession))
+    table = own_homophones(words.sparkSession) if homophones is None else homophones.select(F.col("char").alias("ch"), F.col("homophone").alias("other"))
     at = words.select("word", F.posexplode(F.split("word", "")).alias("i", "ch")).join(table, "ch").select("word", "i", "other")
     single = at.select("word", F.overlay("word", F.col("other"), F.col("i") + 1).alias("variant"))
     b = at.select("word", F.col("i").alias("j"), F.col("other").alias("other2"))
@@ -87,15 +88,16 @@ def variants(words: DataFrame, most: int = 200, apart: int = 3) -> DataFrame:
     return single.unionByName(double).where("variant <> word").distinct()
 
 
-def confusions(freq: DataFrame, raw: DataFrame, least_right: int, most_wrong: int = 50, distance: int = 2) -> DataFrame:
+def confusions(freq: DataFrame, raw: DataFrame, least_right: int, most_wrong: int = 50, distance: int = 2, homophones: DataFrame | None = None) -> DataFrame:
     """(wrong, correct, w_freq, c_freq, raw_freq): variants of frequent words that are rare but do occur and sound alike.
 
-    raw: sentences in which a variant must occur, if it isn't a word itself.
+    raw: sentences in which a variant must occur, if it isn't a word itself. homophones: a read table (char, homophone), whose
+    variants sound alike by what they are made of; ``sounds`` finds pairs by syllables instead.
     """
     right = freq.where((F.col("freq") >= least_right) & F.length("word").between(2, 8)).select("word", F.col("freq").alias("c_freq"))
-    made = variants(right.select("word")).join(right, "word").select(F.col("variant").alias("wrong"), F.col("word").alias("correct"), "c_freq")
+    made = variants(right.select("word"), homophones=homophones).join(right, "word").select(F.col("variant").alias("wrong"), F.col("word").alias("correct"), "c_freq")
     made = made.join(freq.select(F.col("word").alias("wrong"), F.col("freq").alias("w_freq")), "wrong", "left").withColumn("w_freq", F.coalesce("w_freq", F.lit(0).cast("long")))
-    close = F.levenshtein(syllables(F.col("wrong")), syllables(F.col("correct"))) <= distance
+    close = F.lit(True) if homophones is not None else F.levenshtein(syllables(F.col("wrong")), syllables(F.col("correct"))) <= distance
     made = made.where((F.col("w_freq") <= most_wrong) & close)
     seen = run_counts(raw, 2, 8).select(F.col("gram").alias("wrong"), F.col("n").alias("raw_freq"))
     return made.join(seen, "wrong", "left").withColumn("raw_freq", F.coalesce("raw_freq", F.lit(0).cast("long"))).where("NOT (w_freq = 0 AND raw_freq < 1)").select("wrong", "correct", "w_freq", "c_freq", "raw_freq")

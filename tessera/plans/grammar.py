@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
-from tessera.operators import corpus, entities as en, extra, grammar as g, language_model as lm, vocabulary
+from tessera.operators import checks, corpus, entities as en, extra, grammar as g, language_model as lm, sounds, vocabulary, word_vectors
 from tessera.plans import oracle as o
 from tessera.plans.queries import query
 from tessera.scratch import stored
@@ -230,6 +230,23 @@ def confusion_lexicon(spark, sf_dir):
     return Lexicons(spark, sf_dir).pairs
 
 
+_NEAR = ", ".join(f"('{a}~{b}', {c})" for a in sorted({y for _, y in fx.SOUNDS}) for b in sorted({y for _, y in fx.SOUNDS}) if (c := sounds.cost(a, b)) < 1)
+
+
+@query(_BASE.rstrip() + f""",
+so(ch, syllable) AS (VALUES {fx.sql_list(fx.SOUNDS)}), tf AS MATERIALIZED (SELECT word, count(*) AS freq FROM (SELECT unnest(tokens) AS word FROM tt) WHERE length(word) BETWEEN 2 AND 8 GROUP BY 1),
+sw AS MATERIALIZED (SELECT word, freq, list(syllable ORDER BY i) AS s FROM (SELECT word, freq, i, substr(word, i, 1) AS ch FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS i FROM tf)) JOIN so USING (ch) GROUP BY 1, 2 HAVING count(*) = length(word)),
+nr AS (SELECT map_from_entries(list((k, v))) AS m FROM (VALUES {_NEAR}) x(k, v)),
+ds AS (SELECT a.word AS wrong, b.word AS correct, a.freq AS w_freq, b.freq AS c_freq, list_reduce(range(1, len(a.s) + 1), lambda row, i: list_reduce(range(1, len(b.s) + 1), lambda acc, j:
+    list_append(acc, least(row[j + 1] + 1, acc[j] + 1, row[j] + coalesce(m[a.s[i] || '~' || b.s[j]], 1))), [CAST(i AS DOUBLE)]), list_transform(range(0, len(b.s) + 1), lambda x: CAST(x AS DOUBLE))) AS d
+  FROM sw a JOIN sw b ON a.word <> b.word AND a.freq <= 20000 AND b.freq >= {LEAST_RIGHT} CROSS JOIN nr)
+SELECT wrong, correct, w_freq, c_freq, d[len(d)] AS distance FROM ds WHERE d[len(d)] <= 2""")
+def sound_confusions(spark, sf_dir):
+    """Words of the typed sentences that sound alike."""
+    freq = typed_tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    return sounds.sound_confusions(stored(freq), spark.createDataFrame(list(fx.SOUNDS), "char string, syllable string"), LEAST_RIGHT, 20000, 2.0)
+
+
 @query(LEXICONS + "SELECT ch, other FROM su")
 def substitution_map(spark, sf_dir):
     return g.substitutions(Lexicons(spark, sf_dir).pairs)
@@ -377,3 +394,38 @@ def grammar_check(spark, sf_dir):
     w = Window.partitionBy(*g.KEYS).orderBy("position")
     lost = _lost(spark, sf_dir).where(~extra.is_term(F.col("context"))).withColumn("k", F.row_number().over(w)).where("k <= 5")
     return rules.unionByName(lost.select(*g.KEYS, F.lit("ngram").alias("source"), F.col("gram").alias("text"), F.lit(None).cast("string").alias("suggestion")))
+
+
+_TURNS = r"""w AS MATERIALIZED (SELECT list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda x: x <> '') AS t, count(*) AS times FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+c1 AS (SELECT t[i] AS a, t[i + d] AS b, times FROM (SELECT t, times, i, unnest(range(1, least(5, len(t) - i) + 1)) AS d FROM (SELECT t, times, unnest(range(1, len(t))) AS i FROM w WHERE len(t) > 1))),
+cc AS MATERIALIZED (SELECT a, b, CAST(sum(times) AS DOUBLE) AS n FROM (SELECT a, b, times FROM c1 UNION ALL SELECT b, a, times FROM c1) GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT a, sum(n) AS na FROM cc GROUP BY 1)"""
+
+
+@query(f"WITH {_TURNS} SELECT cc.a, cc.b, round(x, 6) AS x FROM (SELECT cc.a, cc.b, ln(n * (SELECT sum(na) FROM m) / (p.na * q.na)) AS x FROM cc JOIN m p ON p.a = cc.a JOIN m q ON q.a = cc.b) cc WHERE x > 1e-12")
+def word_association(spark, sf_dir):
+    """Which words of the conversations stand together more often than by chance."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z\\u00e0-\\u00ff]+"), F.lit(0))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").select(words.alias("tokens"))
+    return word_vectors.ppmi(word_vectors.cooccurrences(rows)).select("a", "b", F.round("x", 6).alias("x"))
+
+
+def likeness(spark, sf_dir):
+    """The measure of findings by word vectors, learnt from the clean sentences."""
+    cost = word_costs(spark, sf_dir)
+    found, _ = word_vectors.vectors(word_vectors.ppmi(word_vectors.cooccurrences(clean_tokens(spark, sf_dir, cost))))
+    return word_vectors.Likeness(found, cost)
+
+
+@query()
+def vector_contradiction(spark, sf_dir):
+    """Contradictions by the likeness of word vectors."""
+    reports = synthetic_reports(spark, sf_dir)
+    return checks.contradictions(stored(en.entities(reports)), likeness=likeness(spark, sf_dir))
+
+
+@query()
+def vector_orient_error(spark, sf_dir):
+    """Swapped sides by the likeness of word vectors."""
+    reports = synthetic_reports(spark, sf_dir)
+    return checks.orient_errors(stored(en.entities(reports)), likeness=likeness(spark, sf_dir))

@@ -80,3 +80,21 @@ def test_likeness(spark):
     key = lambda r: (str(r[0]), r[1])
     for g, w in zip(sorted(got, key=key), sorted(rows, key=key), strict=True):
         assert g[:2] == w and g[2] == pytest.approx(want(*w), abs=1e-5)
+
+
+def test_checks_take_either_measure(spark):
+    """A measure that computes what the checks compute themselves changes nothing; another one does."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import bigram_similarity
+    from tessera.operators import checks, entities as en
+    from tessera.sources.reports import synthetic_reports
+
+    ents = en.entities(synthetic_reports(spark, "/root/testdata/sf0.001")).cache()
+    same = lambda pairs, a, b: pairs.withColumn("similarity", F.round(bigram_similarity(F.col(a), F.col(b)), 6))
+    parts = lambda pairs, a, b: pairs.withColumn("similarity", checks.illness_similarity(F.col(a), F.col(b)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = rows(checks.contradictions(ents))
+    assert rows(checks.contradictions(ents, likeness=same)) == plain
+    assert rows(checks.orient_errors(ents, parts)) == rows(checks.orient_errors(ents))
+    assert rows(checks.contradictions(ents, likeness=lambda p, a, b: p.withColumn("similarity", F.lit(1.0)))) == [] and plain
