@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixtures as fx
 from tessera.dictionaries import Dictionaries
 from tessera.functions import scan
-from tessera.operators import axis, corpus, detect, entities as en, history, knowledge, vocabulary
+from tessera.operators import axis, corpus, detect, entities as en, history, knowledge, summaries, vocabulary
 from tessera.plans import oracle as o
 from tessera.plans.queries import ents, query, table
 from tessera.scratch import stored
@@ -188,6 +188,24 @@ def lexicon_summary(spark, sf_dir):
     return corpus.lexicon_summary(_freq(spark, sf_dir))
 
 
+@query(o.with_(_WORDS) + """, t AS (SELECT lang, count(*) AS n_texts, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_letters FROM documents GROUP BY 1),
+u AS (SELECT lang, count(*) AS n_words, count(DISTINCT word) AS unique_words FROM w JOIN documents USING (doc_id) GROUP BY 1)
+SELECT t.lang, n_texts, coalesce(n_words, 0) AS n_words, n_letters, coalesce(unique_words, 0) AS unique_words, true AS unique_holds, true AS length_50_holds, true AS length_90_holds FROM t LEFT JOIN u ON t.lang IS NOT DISTINCT FROM u.lang""")
+def merged_summaries(spark, sf_dir):
+    """Summaries kept by language and source, merged by language, beside exact figures: whether the sketches stay within their bounds."""
+    docs = _docs(spark, sf_dir)
+    parts = stored(summaries.summarised(docs, ["lang", "source"]))
+    told = summaries.figures(summaries.merged(parts, ["lang"]), (0.5, 0.9)).withColumnRenamed("unique_words", "about")
+    exact = docs.select("lang", F.explode(summaries.words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(F.col("lang").alias("l")).agg(F.count_distinct("w").alias("unique_words"))
+    size = docs.select(F.col("lang").alias("g"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    at = size.join(F.broadcast(told), size["g"].eqNullSafe(told["lang"]))
+    ranks = at.groupBy(F.col("lang").alias("r")).agg(*(F.avg((F.col("size") < F.col(f"length_{q}")).cast("double")).alias(f"below_{q}") for q in (50, 90)), *(F.avg((F.col("size") <= F.col(f"length_{q}")).cast("double")).alias(f"upto_{q}") for q in (50, 90)))
+    out = told.join(exact, told["lang"].eqNullSafe(exact["l"]), "left").join(ranks, told["lang"].eqNullSafe(ranks["r"]))
+    holds = [((F.col(f"below_{q}") <= q / 100 + summaries.RANK_ERROR) & (F.col(f"upto_{q}") >= q / 100 - summaries.RANK_ERROR)).alias(f"length_{q}_holds") for q in (50, 90)]
+    unique = F.coalesce("unique_words", F.lit(0))
+    return out.select("lang", "n_texts", "n_words", "n_letters", unique.alias("unique_words"), (F.abs(F.col("about") - unique) <= summaries.DISTINCT_ERROR * unique).alias("unique_holds"), *holds)
+
+
 @query(o.with_(_WORDS, _FREQ, _BLANK, _PAIRS) + "SELECT wrong, correct, w_freq, c_freq FROM cp")
 def confusion_pairs(spark, sf_dir):
     return corpus.confusion_pairs(_freq(spark, sf_dir))
