@@ -161,10 +161,15 @@ def forced_matches(ents: DataFrame) -> DataFrame:
 
 
 def conclusion_missing(ents: DataFrame) -> DataFrame:
-    """(report_id, sentence): positive described sentences of which no entity has a compatible conclusion."""
-    d = ents.where("field = 'description' AND positive = 3").select("report_id", "sentence_index", "sentence", "path", "orientation")
-    c = ents.where("field = 'conclusion' AND positive >= 2").select("report_id", F.col("path").alias("c_path"), F.col("orientation").alias("c_side"))
-    hit = d.join(c, "report_id").where(related(F.col("path"), F.col("c_path")) & ~opposite(F.col("orientation"), F.col("c_side"))).select("report_id", "sentence_index").distinct()
+    """(report_id, sentence): positive described sentences of which no entity has a compatible conclusion.
+
+    Either one's position must be a node of the other's path, and the sides must not be opposite. A forced match asks for
+    both and more, so it never adds one here; it decides among the candidates of swapped sides.
+    """
+    d = ents.where("field = 'description' AND positive = 3").select("report_id", "sentence_index", "sentence", "position", "path", "orientation")
+    c = ents.where("field = 'conclusion' AND positive >= 2").select("report_id", F.col("position").alias("c_position"), F.col("path").alias("c_path"), F.col("orientation").alias("c_side"))
+    meets = on_path(F.col("path"), F.col("c_position")) | on_path(F.col("c_path"), F.col("position"))
+    hit = d.join(c, "report_id").where(meets & ~opposite(F.col("orientation"), F.col("c_side"))).select("report_id", "sentence_index").distinct()
     return d.join(hit, ["report_id", "sentence_index"], "left_anti").select("report_id", "sentence").distinct()
 
 
@@ -191,6 +196,20 @@ def apply_missing(reports: DataFrame, ents: DataFrame, exams: DataFrame) -> Data
     return a.join(some, "report_id", "left_semi").select("report_id", "part").distinct().join(hit, ["report_id", "part"], "left_anti")
 
 
+def application_form(reports: DataFrame, ents: DataFrame, exams: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
+    """(report_id, message): one line on all exam parts, with their sides, that the request form gives no reason for. ents: with rows of field ``apply``.
+
+    Orders that are left out by their wording, or name no part, have no line.
+    """
+    a = ents.where("field = 'apply'").select("report_id", "position", "path", "orientation")
+    e = exams.where(~F.col("StudyPart").rlike(lexicon.skip_part)).select("report_id", "exam", "exam_path", "exam_side").distinct()
+    fits = (on_path(F.col("path"), F.col("exam")) | on_path(F.col("exam_path"), F.col("position"))) & ~opposite(F.col("orientation"), F.col("exam_side"))
+    named = e.join(a, "report_id").where(fits).select("report_id", "exam", "exam_side").distinct()
+    left = e.select("report_id", "exam", "exam_side").distinct().join(named, ["report_id", "exam", "exam_side"], "left_anti")
+    parts = F.array_join(F.sort_array(F.collect_set(F.concat("exam_side", "exam"))), ",")
+    return left.groupBy("report_id").agg(F.concat(F.lit("申请单中缺乏对“"), parts, F.lit("”的检查原因详细描述")).alias("message"))
+
+
 def apply_orient(reports: DataFrame, dicts: Dictionaries = DEFAULT, ents: DataFrame | None = None) -> DataFrame:
     """(report_id, report_sentence, apply_sentence): sides in the request form that only contradict the report."""
     ents = entities(reports, ("apply", "description"), dicts) if ents is None else ents

@@ -108,3 +108,15 @@ def apply_missing(spark, sf_dir):
 
     r = synthetic_reports(spark, sf_dir)
     return checks.apply_missing(r, entities(r, ("apply",)), checks.exam_parts(r))
+
+
+@query(o.with_(o.SYN, o.KG, o.sent(("apply",), "sa"), o.ent("a", "sa"), o.exams()) + f"""
+, e AS (SELECT DISTINCT report_id, exam, exam_path, exam_side FROM exams WHERE NOT {o.has('StudyPart', L.skip_part)}),
+named AS (SELECT DISTINCT e.report_id, exam, exam_side FROM e JOIN a ON a.report_id = e.report_id AND (list_contains(string_split(a.path, '>'), exam) OR list_contains(string_split(exam_path, '>'), a.position)) AND NOT {o.opposite('a.orientation', 'exam_side')})
+SELECT report_id, '申请单中缺乏对“' || string_agg(DISTINCT exam_side || exam, ',' ORDER BY exam_side || exam) || '”的检查原因详细描述' AS message
+FROM (SELECT DISTINCT report_id, exam, exam_side FROM e) e ANTI JOIN named ON e.report_id = named.report_id AND e.exam = named.exam AND e.exam_side = named.exam_side GROUP BY 1""")
+def application_form(spark, sf_dir):
+    from tessera.operators.entities import entities
+
+    r = synthetic_reports(spark, sf_dir)
+    return checks.application_form(r, entities(r, ("apply",)), checks.exam_parts(r))
