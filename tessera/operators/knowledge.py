@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.dictionaries import DEFAULT, Dictionaries
 from tessera.operators.corpus import char_ngrams
 from tessera.operators.entities import graph, name_hits
+from tessera.scratch import stored
 
 #: What a candidate must not be.
 STOP_WORDS = (
@@ -99,19 +100,40 @@ def mentions(rows: DataFrame, least: int = 2, most: int = 8, text: str = "senten
     return reduce(DataFrame.unionByName, found, grams)
 
 
+def different(rows: DataFrame, text: str = "sentence") -> DataFrame:
+    """(sentence, times, first): each different text once, how often it occurs and where first.
+
+    rows: (report_id, field, sentence_index, sentence). Only counts and least ids are kept for a place, so that Spark
+    aggregates by hash; what is looked for in the texts afterwards costs by different texts.
+    """
+    placed = rows.groupBy(text, "field", "sentence_index").agg(F.count("*").alias("times"), F.min("report_id").alias("report_id"))
+    first = F.min(F.struct("report_id", "field", "sentence_index")).alias("first")
+    return placed.groupBy(text).agg(F.sum("times").alias("times"), first)
+
+
+def frequent(rows: DataFrame, min_frequency: int = 3, text: str = "sentence") -> DataFrame:
+    """(candidate, frequency, first): mentions that are frequent, with report, field, place, sentence and method of the first.
+
+    rows: (report_id, field, sentence_index, sentence).
+    """
+    at = F.struct("first.report_id", "first.field", "first.sentence_index", F.col(text).alias("sentence"), "method")
+    counted = mentions(stored(different(rows, text)), text=text).groupBy("candidate").agg(F.sum("times").alias("frequency"), F.min(at).alias("first"))
+    return counted.where(F.col("frequency") >= min_frequency)
+
+
 def discover(rows: DataFrame, spark: SparkSession, min_frequency: int = 3, dicts: Dictionaries = DEFAULT, text: str = "sentence") -> DataFrame:
     """(candidate, frequency, method, report_id, sentence): unknown mentions that are frequent, with where they occur first.
 
     rows: (report_id, field, sentence_index, sentence).
     """
-    at = F.struct("report_id", "field", "sentence_index", F.col(text).alias("sentence"), "method")
-    counted = mentions(rows, text=text).groupBy("candidate").agg(F.count("*").alias("frequency"), F.min(at).alias("first")).where(F.col("frequency") >= min_frequency)
+    counted = stored(frequent(rows, min_frequency, text))
     return unknown(counted, spark, dicts).select("candidate", "frequency", "first.method", "first.report_id", "first.sentence")
 
 
 def context_candidates(rows: DataFrame, text: str = "sentence") -> DataFrame:
     """(candidate, method, frequency): what the context patterns catch."""
-    return mentions(rows, text=text).where("method <> 'ngram'").groupBy("candidate", "method").agg(F.count("*").alias("frequency"))
+    each = rows.groupBy(text).agg(F.count("*").alias("times"))
+    return mentions(each, text=text).where("method <> 'ngram'").groupBy("candidate", "method").agg(F.sum("times").alias("frequency"))
 
 
 def normalised(candidates: DataFrame, retrieved: DataFrame) -> DataFrame:

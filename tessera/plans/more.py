@@ -93,9 +93,7 @@ v AS MATERIALIZED (SELECT nz.*, n_nodes > 0 AS is_alias, n_nodes = 0 AS is_new,
 
 
 def _frequent(spark, sf_dir):
-    at = F.struct("report_id", "field", "sentence_index", "sentence", "method")
-    m = knowledge.mentions(_sentences(spark, sf_dir)).groupBy("candidate").agg(F.count("*").alias("frequency"), F.min(at).alias("f")).where("frequency >= 3")
-    return stored(m.select("candidate", "frequency", "f.report_id"))
+    return stored(knowledge.frequent(_sentences(spark, sf_dir)).select("candidate", "frequency", "first.report_id"))
 
 
 def _validated(spark, sf_dir):
