@@ -2,13 +2,18 @@
 
 The index is fitted on a bounded sample (``vectors.FIT_ROWS``) and holds every row: its
 coarse cell and the codes of its residual, one byte for each of ``PARTS`` sub-vectors.
-How many cells a query visits is measured: in the sample, how near to a vector's own
-place in the order of cells the cells of its true neighbours come; the number of visits
-is that which holds ``TARGET`` of them. A query visits its nearest cells and ranks their
+How many cells a query visits and how long its shortlist is are measured, on ``TRIALS`` of
+the queries themselves, whose true neighbours among all rows are found by brute force in two
+bounded passes: the number of visits is that whose cells hold ``TARGET`` of those neighbours,
+the length of the shortlist that within which ``KEPT`` of them come by their codes. So rows
+that codes can't tell apart (tight clusters, lengths of many sizes) get longer shortlists
+rather than fewer of their neighbours. A query visits its nearest cells and ranks their
 ids by asymmetric distance tables (the query's residual against all codewords, summed by
-code). The best ``SHORTLIST`` ids of all its cells together, and all that tie with the last
-of them, are measured exactly, in double precision on the original vectors. Only codes
-go to the lists; vectors are met again for the shortlists.
+code). Each cell hands on as many as ``DEEP`` of those neighbours need. The best ids of all cells
+together, ``SHORTLIST`` at least, and all that tie with
+the last of them, are measured exactly, in double precision on the original vectors. Only
+codes go to the lists; vectors are met again for the shortlists. Distances to centroids are
+taken from the sample's median, so that a common offset doesn't eat their digits.
 
 Of the ids of equal vectors the smallest ``k + 1`` are indexed: a larger id has ``k`` others
 ahead of it in every query. An id of several rows counts once, by its nearest; the query's
@@ -39,12 +44,12 @@ from tessera.llm.vectors import codebook, of_main_length, sample, squared, usabl
 
 PARTS = 16
 CODES = 256
-#: Ids of a query that are measured exactly.
+#: Ids of a query that are measured exactly, at least.
 SHORTLIST = 100
 LIST_ROWS = 16_384
 MAX_CELLS = 4096
-#: Share of true neighbours whose cells are visited, and the sample's vectors that this is measured on.
-TARGET, TRIALS = 0.97, 400
+#: Shares of true neighbours whose cells are visited, that come into the shortlist and that their cell hands on, and the queries that this is measured on.
+TARGET, KEPT, DEEP, TRIALS = 0.97, 0.97, 0.99, 128
 
 
 class Index:
@@ -52,39 +57,94 @@ class Index:
 
     def __init__(self, x: np.ndarray, rows: int, parts: int = PARTS):
         dim = x.shape[1]
+        self.origin = np.median(x, axis=0)
+        x = self.moved(x)
         self.coarse = codebook(x, max(1, min(MAX_CELLS, math.isqrt(rows), len(x) // 8 or 1)))
         cell = squared(x, self.coarse).argmin(axis=1)
         left = x - self.coarse[cell]
         self.cuts = np.linspace(0, dim, min(parts, dim) + 1).astype(int)
         self.words = [codebook(left[:, a:b], CODES, 8) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
 
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        return x - self.origin
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.moved(x)
         cell = squared(x, self.coarse).argmin(axis=1)
         left = x - self.coarse[cell]
         codes = [squared(left[:, a:b], w).argmin(axis=1) for a, b, w in zip(self.cuts, self.cuts[1:], self.words, strict=False)]
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
-    def probes(self, x: np.ndarray, k: int, target: float) -> int:
-        """Cells to visit, so that the sample's k nearest neighbours lie in them with the given share."""
-        trial = x[np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)]
-        cell = squared(x, self.coarse).argmin(axis=1)
-        ranks = []
-        for q in trial:
-            place = np.empty(len(self.coarse), np.int64)
-            place[((self.coarse - q) ** 2).sum(axis=1).argsort(kind="stable")] = np.arange(len(self.coarse))
-            near = ((x - q) ** 2).sum(axis=1)
-            ranks.append(place[cell[np.argpartition(near, min(k, len(x) - 1))[: k + 1]]])
-        return min(len(self.coarse), int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1)
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for, as ``moved`` vectors."""
+        return self.coarse[cell] + np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """For each row of x all cells, nearest first."""
+        return squared(self.moved(x), self.coarse).argsort(axis=1, kind="stable")
 
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances of the parts of q's residual to all codewords."""
-        left = q - self.coarse[cell]
+        left = self.moved(q) - self.coarse[cell]
         out = np.full((len(self.words), CODES), np.inf)
         for m, (a, b, w) in enumerate(zip(self.cuts, self.cuts[1:], self.words, strict=False)):
             out[m, : len(w)] = ((left[a:b] - w) ** 2).sum(axis=1)
         return out
 
 
+def measured(index: Index, stored: DataFrame, asking: DataFrame, k: int, target: float) -> tuple[int, int, int]:
+    """How many cells a query must visit, how many ids each must hand on and how many must be measured, for the given share of its true neighbours.
+
+    stored: (cell, id, v, codes) of all rows; asking: (id, v). At most ``TRIALS`` queries meet all rows; tasks pass on
+    at most k rows a query, and then one count a neighbour.
+    """
+    trials = asking.orderBy(F.xxhash64("id", "v"), "id").limit(TRIALS).collect()
+    own, q = np.array([r["id"] for r in trials], np.int64), np.array([r["v"] for r in trials], np.float64)
+
+    def nearest_of(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, ids = np.array(pdf["v"].tolist(), np.float64), pdf["id"].to_numpy(np.int64)
+            for t in range(len(q)):
+                far = ((x - q[t]) ** 2).sum(axis=1)
+                far[ids == own[t]] = np.inf
+                best = np.argpartition(far, k - 1)[:k] if len(far) > k else np.arange(len(far))
+                best = best[far[best] < np.inf]
+                yield pd.DataFrame({"t": t, "far": far[best], "id": ids[best], "cell": pdf["cell"].to_numpy()[best], "codes": pdf["codes"].to_numpy()[best]})
+
+    best = stored.mapInPandas(nearest_of, "t int, far double, id long, cell long, codes binary")
+    place = F.row_number().over(Window.partitionBy("t").orderBy("far", "id"))
+    found = best.withColumn("place", place).where(F.col("place") <= k).select("t", "cell", "codes").collect()
+    if not found:
+        return len(index.coarse), SHORTLIST, SHORTLIST
+    t, cell = np.array([r["t"] for r in found]), np.array([r["cell"] for r in found])
+    codes = np.frombuffer(b"".join(bytes(r["codes"]) for r in found), np.uint8).reshape(len(found), -1)
+    ranks = index.order(q).argsort(axis=1)[t, cell]
+    probes = int(np.quantile(ranks, target, method="higher")) + 1
+    moved = index.moved(q)
+    rough = ((index.decode(cell, codes) - moved[t]) ** 2).sum(axis=1) * (1 - 1e-9)
+
+    def ahead_of(batches):
+        ahead, inside = np.zeros(len(rough), np.int64), np.zeros(len(rough), np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = index.decode(pdf["cell"].to_numpy(), np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1))
+            at = pdf["cell"].to_numpy()
+            for j in np.unique(t):
+                far, mine = ((x - moved[j]) ** 2).sum(axis=1), np.flatnonzero(t == j)
+                ahead[mine] += np.searchsorted(np.sort(far), rough[mine], side="left")
+                for m in mine:
+                    inside[m] += (far[at == cell[m]] < rough[m]).sum()
+        yield pd.DataFrame({"n": np.arange(len(ahead)), "ahead": ahead, "inside": inside})
+
+    counted = stored.select("cell", "codes").mapInPandas(ahead_of, "n int, ahead long, inside long").groupBy("n").agg(F.sum("ahead").alias("ahead"), F.sum("inside").alias("inside")).collect()
+    short = max(SHORTLIST, int(np.quantile([r["ahead"] for r in counted], KEPT, method="higher")) + 1)
+    deep = max(2 * k, int(np.quantile([r["inside"] for r in counted], DEEP, method="higher")) + 1)
+    return min(len(index.coarse), probes), min(deep, short), short
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest among all others."""
     spark = rows.sparkSession
@@ -100,7 +160,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         return spark.createDataFrame([], none)
     fitted = sample(alike)
     index = Index(fitted, n)
-    cells, probes = len(index.coarse), index.probes(fitted, k, target)
+    cells = len(index.coarse)
 
     def encode(batches):
         for pdf in batches:
@@ -116,12 +176,14 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     for cell, count in stored.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
         fresh[cell] = count
     split = np.maximum(1, -(-sizes // LIST_ROWS))
+    asking = scratch.table(base.where("asks").select("id", "v").distinct())
+    probes, deep, shortlist = measured(index, stored, asking, k, target)
 
     def visit(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            order = squared(np.array(pdf["v"].tolist(), np.float64), index.coarse).argsort(axis=1, kind="stable")
+            order = index.order(np.array(pdf["v"].tolist(), np.float64))
             out = []
             for i, v, cs in zip(pdf["id"], pdf["v"], order, strict=True):
                 held = np.cumsum(fresh[cs])  # enough cells to hold k others, however small they are
@@ -129,7 +191,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 out += [(c, part, i, v) for c in cs[:upto].tolist() if sizes[c] for part in range(split[c])]
             yield pd.DataFrame(out, columns=["cell", "part", "id", "v"])
 
-    asking = scratch.table(base.where("asks").select("id", "v").distinct())
     visits = asking.mapInPandas(visit, "cell long, part long, id long, v array<double>")
 
     def part_of(batches):
@@ -151,7 +212,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 rough = np.full(len(names_of), np.inf)
                 np.minimum.at(rough, at, index.tables(v, cell)[parts, codes].sum(axis=1))
                 rough[names_of == i] = np.inf
-                last = np.partition(rough, SHORTLIST - 1)[SHORTLIST - 1] if len(rough) > SHORTLIST else np.inf
+                last = np.partition(rough, deep - 1)[deep - 1] if len(rough) > deep else np.inf
                 best = np.flatnonzero((rough <= last) & (rough < np.inf))
                 queries.append(np.full(len(best), i))
                 names.append(names_of[best])
@@ -162,9 +223,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     found = visits.groupBy("cell", "part").cogroup(lists.groupBy("cell", "part")).applyInPandas(look, "query_id long, vec_id long, rough double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("rough").alias("rough"))
     by_code = Window.partitionBy("query_id").orderBy("rough")
-    short = found.withColumn("place", F.rank().over(by_code)).where(F.col("place") <= SHORTLIST).select("query_id", "vec_id")
+    short = found.withColumn("place", F.rank().over(by_code)).where(F.col("place") <= shortlist).select("query_id", "vec_id")
     near = short.join(stored.select(F.col("id").alias("vec_id"), F.col("v").alias("w")), "vec_id").join(asking.select(F.col("id").alias("query_id"), "v"), "query_id")
     gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    measured = near.groupBy("query_id", "vec_id").agg(F.min(F.sqrt(gap)).alias("score"))
+    exact = near.groupBy("query_id", "vec_id").agg(F.min(F.sqrt(gap)).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -135,6 +135,20 @@ def test_shortlists_decide_by_codes(spark, monkeypatch):
     assert len(got) == 400 and hits / 400 >= 0.9
 
 
+def test_neighbours_of_vectors_of_many_lengths(spark):
+    """Lengths from thousandths to thousands: codes fitted on long vectors hardly tell short ones apart."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12_000, 64)) * np.exp(rng.normal(size=(12_000, 1)) * 3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 1200 and hits / 1200 >= 0.9
+
+
 def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0], 0, 0, 0, "", 0) for i in range(4)], SCHEMA)
     got = ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()
