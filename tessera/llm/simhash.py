@@ -218,10 +218,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #    the group's root; where that leaves a group in pieces, all pairs of its slices are
 #    compared.
 #
-# A key of more than ``HOT`` members is dealt to as many tasks as it needs. Each finds the
-# components of its share and hands on one member of each, and those meet in the next round.
-# Where a round doesn't halve them, the members are unlike each other and all pairs of shares
-# are compared, each in a task of its own.
+# A key of more than ``HOT`` members is dealt to as many tasks as it needs, and all pairs of
+# its shares are compared, each in a task of its own: one member can't stand for a component,
+# as others of it may be near to what that one isn't.
 #
 # Defined results: null and empty texts, and those without words, are alike; fewer than
 # ``width`` words make one shingle of the whole sequence; of repeated rows one stays; rows
@@ -384,26 +383,18 @@ def _candidates(distinct: DataFrame, similarity: float, scratch: Scratch) -> Dat
     """(x, y): edges that connect texts which share a key and are near. distinct: (body, wide, keys)."""
     keyed = distinct.mapInArrow(_keyed, "key long, body long, wide binary")
     total = distinct.count() * BANDS
-    edges = None
-    while True:
-        sizes = scratch.table(keyed.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("k"), "count", F.ceil(F.col("count") / HOT).alias("shares")))
-        shared = keyed.join(sizes, keyed["key"] == sizes["k"], "left")
-        part = F.pmod(F.xxhash64("body", "key"), F.coalesce("shares", F.lit(1)))
-        rows = shared.select("key", "body", "wide", part.alias("part"), F.col("shares").isNotNull().alias("hot"), "shares")
-        found = scratch.table(_looked(rows.drop("shares"), total, similarity))
-        edges = found.where("x <> y") if edges is None else edges.unionByName(found.where("x <> y"))
-        before = sizes.agg(F.sum("count")).first()[0]
-        if not before:
-            return edges.select("x", "y")
-        left = found.where("x = y").select("key", F.col("x").alias("body"), "wide")
-        total = left.count()
-        if total > before / 2:
-            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
-            pairs = rows.where("hot").withColumn("other", other).where("other <> part")
-            pairs = pairs.select("key", "body", "wide", (F.least("part", "other") * F.col("shares") + F.greatest("part", "other")).alias("part"), F.lit(False).alias("hot"))
-            more = scratch.table(_looked(pairs, pairs.count(), similarity))
-            return edges.unionByName(more).select("x", "y")
-        keyed = left
+    sizes = scratch.table(keyed.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("k"), F.ceil(F.col("count") / HOT).alias("shares")))
+    shared = keyed.join(sizes, keyed["key"] == sizes["k"], "left")
+    part = F.pmod(F.xxhash64("body", "key"), F.coalesce("shares", F.lit(1)))
+    rows = shared.select("key", "body", "wide", part.alias("part"), F.col("shares").isNotNull().alias("hot"), "shares")
+    edges = scratch.table(_looked(rows.drop("shares"), total, similarity)).where("x <> y")
+    if sizes.isEmpty():
+        return edges.select("x", "y")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    pairs = rows.where("hot").withColumn("other", other).where("other <> part")
+    pairs = pairs.select("key", "body", "wide", (F.least("part", "other") * F.col("shares") + F.greatest("part", "other")).alias("part"), F.lit(False).alias("hot"))
+    more = scratch.table(_looked(pairs, pairs.count(), similarity))
+    return edges.unionByName(more).select("x", "y")
 
 
 def _looked(rows: DataFrame, total: int, similarity: float) -> DataFrame:

@@ -710,3 +710,22 @@ def test_residues():
     v = rng.integers(0, 2**64, 400, dtype=np.uint64)
     want = [sum(int(v[k + j]) * pow(common._BASES[1], j, common.PRIME) for j in range(50)) % common.PRIME for k in range(351)]
     assert common.window_sums(v, np.arange(351), 50, 1).tolist() == want
+
+
+def test_hot_keys_of_stars(spark, monkeypatch):
+    """One member can't stand for a component: spokes are near their hub only, and copies of a spoke aren't near the others."""
+    monkeypatch.setattr(simhash, "HOT", 30)
+    rng = np.random.default_rng(8)
+    hub = rng.integers(0, 2**64, simhash.WORDS, dtype=np.uint64)
+
+    def turned(x, at):
+        bits = np.unpackbits(x.view(np.uint8))
+        bits[at] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    order = rng.permutation(256)
+    spokes = [turned(hub, order[40 * k : 40 * k + 40]) for k in range(6)]
+    wides = [turned(spokes[0], [order[240 + k % 16], order[200 + k // 16]]) for k in range(40)] + spokes + [hub]
+    table = spark.createDataFrame([(k, w.tobytes(), np.full(simhash.BANDS, 7, np.int64).tobytes()) for k, w in enumerate(wides)], "body long, wide binary, keys binary")
+    edges = [(r["x"], r["y"]) for r in simhash._candidates(table, 0.8, Scratch(spark)).collect()]
+    assert (forest(len(wides), np.array([x for x, _ in edges]), np.array([y for _, y in edges])) == 0).all()
