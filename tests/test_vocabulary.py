@@ -80,3 +80,16 @@ def test_too_many_terms(spark, monkeypatch):
     monkeypatch.setattr(v, "MOST", 2)
     with pytest.raises(ValueError):
         v.terms_of(spark.createDataFrame([("a",), ("b",), ("c",)], "word string"))
+
+
+@pytest.mark.parametrize("block", [10, 4_000_000])
+def test_more_terms_than_are_sent_meet_the_texts_as_a_table(spark, monkeypatch, block):
+    texts = ["abab ababab, aaaa", "", None, "aaaaa-b]ab^c", "ab" * 900 + "!", "字典字典字 ab\nb", "aaaa"] * 2
+    terms = ["ab", "aba", "aa", "字典字", "b]", "b\nb", "zz", "ab", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    table = spark.createDataFrame([(t,) for t in terms], "word string")
+    want = {tuple(r) for r in v.counts(rows, table).collect()}
+    monkeypatch.setattr(v, "SENT", 3)
+    monkeypatch.setattr(v, "BLOCK", block)
+    monkeypatch.setattr(v, "terms_of", lambda *_: pytest.fail("terms were sent"))
+    assert {tuple(r) for r in v.counts(rows, table).collect()} == want and len(want) == 6
