@@ -9,7 +9,9 @@ the length of the shortlist that within which ``KEPT`` of them come by their cod
 that codes can't tell apart (tight clusters, lengths of many sizes) get longer shortlists
 rather than fewer of their neighbours. A query visits its nearest cells and ranks their
 ids by asymmetric distance tables (the query's residual against all codewords, summed by
-code). Each cell hands on as many as ``DEEP`` of those neighbours need. The best ids of all cells
+code). Each cell hands on as many as ``DEEP`` of those neighbours need, and none that lies beyond the
+query's bound: the distance, by codes, within which the sample alone shows that a whole shortlist lies. So
+what is handed on in all is in proportion to the shortlists, however many cells are visited. The best ids of all cells
 together, ``SHORTLIST`` at least, and all that tie with
 the last of them, are measured exactly, in double precision on the original vectors. Only
 codes go to the lists; vectors are met again for the shortlists. Distances to centroids are
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 from tessera.llm.vectors import codebook, of_main_length, sample, squared, usable
 
-PARTS = 16
+PARTS = 32
 CODES = 256
 #: Ids of a query that are measured exactly, at least.
 SHORTLIST = 100
@@ -92,6 +94,20 @@ class Index:
         return out
 
 
+def bounds(index: Index, decoded: np.ndarray, x: np.ndarray, shortlist: int, rows: int) -> np.ndarray:
+    """For each row of x the squared distance, by codes, within which some ``shortlist`` of the index's rows lie at least.
+
+    decoded: what the codes of an even sample of the rows stand for. If it is all of them, the bound is that of the
+    shortlist and one id more (the query's own); else four standard deviations are put on top of the rank.
+    """
+    rank = (shortlist + 1) * len(decoded) / max(1, rows)
+    rank = math.ceil(rank if len(decoded) >= rows else rank + 4 * math.sqrt(rank) + 4)
+    if rank >= len(decoded):
+        return np.full(len(x), np.inf)
+    moved = index.moved(x)
+    return np.array([np.partition(((decoded - q) ** 2).sum(axis=1), rank)[rank] for q in moved]) * (1 + 1e-6)
+
+
 def measured(index: Index, stored: DataFrame, asking: DataFrame, k: int, target: float) -> tuple[int, int, int]:
     """How many cells a query must visit, how many ids each must hand on and how many must be measured, for the given share of its true neighbours.
 
@@ -160,6 +176,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         return spark.createDataFrame([], none)
     fitted = sample(alike)
     index = Index(fitted, n)
+    decoded = index.decode(*index.encode(fitted))
     cells = len(index.coarse)
 
     def encode(batches):
@@ -175,6 +192,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     # an id with several vectors counts in one cell only
     for cell, count in stored.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
         fresh[cell] = count
+    single = fresh.sum() == sizes.sum()  # else many rows within a bound may be few ids
     split = np.maximum(1, -(-sizes // LIST_ROWS))
     asking = scratch.table(base.where("asks").select("id", "v").distinct())
     probes, deep, shortlist = measured(index, stored, asking, k, target)
@@ -183,15 +201,17 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
         for pdf in batches:
             if not len(pdf):
                 continue
-            order = index.order(np.array(pdf["v"].tolist(), np.float64))
+            x = np.array(pdf["v"].tolist(), np.float64)
             out = []
-            for i, v, cs in zip(pdf["id"], pdf["v"], order, strict=True):
+            upper = bounds(index, decoded, x, shortlist, n) if single else np.full(len(x), np.inf)
+            for i, v, cs, far in zip(pdf["id"], pdf["v"], index.order(x), upper, strict=True):
                 held = np.cumsum(fresh[cs])  # enough cells to hold k others, however small they are
                 upto = max(probes, int(np.searchsorted(held, min(held[-1], 20 * k + 1))) + 1)
-                out += [(c, part, i, v) for c in cs[:upto].tolist() if sizes[c] for part in range(split[c])]
-            yield pd.DataFrame(out, columns=["cell", "part", "id", "v"])
+                near = int(np.searchsorted(held, min(held[-1], k + 1))) + 1  # these hand on whatever the bound, so that k are found
+                out += [(c, part, i, v, far if at >= near else np.inf) for at, c in enumerate(cs[:upto].tolist()) if sizes[c] for part in range(split[c])]
+            yield pd.DataFrame(out, columns=["cell", "part", "id", "v", "far"])
 
-    visits = asking.mapInPandas(visit, "cell long, part long, id long, v array<double>")
+    visits = asking.mapInPandas(visit, "cell long, part long, id long, v array<double>, far double")
 
     def part_of(batches):
         for pdf in batches:
@@ -208,12 +228,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
             codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
             names_of, at = np.unique(held["id"].to_numpy(np.int64), return_inverse=True)
             parts = np.arange(codes.shape[1])
-            for i, v in zip(asked["id"].tolist(), np.array(asked["v"].tolist(), np.float64), strict=True):
+            for i, v, far in zip(asked["id"].tolist(), np.array(asked["v"].tolist(), np.float64), asked["far"].tolist(), strict=True):
                 rough = np.full(len(names_of), np.inf)
                 np.minimum.at(rough, at, index.tables(v, cell)[parts, codes].sum(axis=1))
                 rough[names_of == i] = np.inf
                 last = np.partition(rough, deep - 1)[deep - 1] if len(rough) > deep else np.inf
-                best = np.flatnonzero((rough <= last) & (rough < np.inf))
+                best = np.flatnonzero((rough <= min(last, far)) & (rough < np.inf))
                 queries.append(np.full(len(best), i))
                 names.append(names_of[best])
                 roughs.append(rough[best])

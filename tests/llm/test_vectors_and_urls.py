@@ -255,3 +255,26 @@ def test_crowd_of_near_copies(spark, monkeypatch):
     assert got == {i: int(near[i].sum()) for i in range(len(x))}
     found = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table).collect()}
     assert sum(found.values()) >= 0.999 * near.sum() and all(found[i] <= got[i] for i in got)
+
+
+@pytest.mark.parametrize("rows", [3_000, 6_000])
+def test_bounds_hold_a_shortlist_and_little_more(rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(rows, 16))
+    index = ann.Index(x[:3_000], rows)
+    every = index.decode(*index.encode(x))
+    far = ((every[None] - index.moved(x[:40])[:, None]) ** 2).sum(axis=2)
+    inside = (far <= ann.bounds(index, every[:3_000], x[:40], 100, rows)[:, None]).sum(axis=1)
+    assert (inside >= 101).all() and (inside <= 300).all()
+    assert np.isinf(ann.bounds(index, every[:8], x[:2], 100, rows)).all()
+
+
+def test_bounded_lists_hold_the_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6_000, 32))
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 100 == 0).toPandas()
+    far = np.sqrt(((x[None, ::100] - x[:, None]) ** 2).sum(axis=2)).T
+    far[np.arange(60), np.arange(60) * 100] = np.inf
+    want = {(q * 100, int(v)) for q in range(60) for v in np.argsort(far[q])[:10]}
+    assert len(got) == 600 and len(want & set(zip(got["query_id"], got["vec_id"], strict=True))) >= 540
