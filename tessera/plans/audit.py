@@ -103,13 +103,6 @@ def _audited(spark, sf_dir):
     return audit.audit_reports(synthetic_reports(spark, sf_dir))
 
 
-def _sentences(spark, sf_dir):
-    from tessera.operators.entities import entities
-    from tessera.scratch import stored
-
-    return stored(audit.sentence_table(entities(_audited(spark, sf_dir), audit.VERSIONS)))
-
-
 @query(_QUALITY)
 def audit_grade(spark, sf_dir):
     return audit.audit_quality(_audited(spark, sf_dir))
@@ -117,17 +110,14 @@ def audit_grade(spark, sf_dir):
 
 @query(_SENTENCES + "SELECT report_id, area, before, after, similarity, flips FROM chosen")
 def audit_match(spark, sf_dir):
-    return audit.changed_pairs(_sentences(spark, sf_dir))
+    return audit.matched(_audited(spark, sf_dir))
 
 
 @query(_COSTS + "SELECT report_id, area, change, sentence, round(cost, 6) AS cost FROM cost")
 def audit_deductions(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from tessera.operators import checks
-
-    s = _sentences(spark, sf_dir)
-    costs = audit.paragraph_costs(s, audit.changed_pairs(s), checks.exam_parts(_audited(spark, sf_dir)))
+    costs = audit.deductions(_audited(spark, sf_dir))
     return costs.withColumn("cost", F.round("cost", 6))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import alike, checks, entities as en
+from tessera.operators import alike, audit, checks, entities as en
 
 TEXTS = [("右肺上叶见结节，大小约12mm。肝脏未见异常。", "右肺结节。"), ("肝脏见囊肿，大小约31mm。", "肝囊肿。右肺结节。"), ("双肺未见异常。", "双肺未见异常。"), ("", "肝囊肿。")]
 PART = {"右肺结节": "肺", "肝囊肿": "肝脏"}
@@ -35,3 +35,21 @@ def test_reports_are_counted_once(spark):
 def test_digests_tell_null_from_empty(spark):
     rows = spark.createDataFrame([(None, ""), ("", None), ("a|1:b", "c"), ("a", "1:b|c"), ("", ""), ("", "")], "a string, b string")
     assert rows.select(alike.sign("a", "b")).distinct().count() == 5
+
+
+def test_audit_looks_at_each_half_once(spark):
+    reports = audit.audit_reports(reports_of(spark, 60).dropDuplicates(["report_id"]))
+    each, members = audit.halves(reports)
+    assert members.count() == 120 and each.count() < 60
+    s = audit.sentence_table(en.entities(reports, audit.VERSIONS))
+    pairs = audit.changed_pairs(s)
+    for got, want in ((audit.matched(reports), pairs), (audit.deductions(reports), audit.paragraph_costs(s, pairs, checks.exam_parts(reports)))):
+        want = want.select(*got.columns)
+        assert got.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_long_measures_inside_the_row(spark):
+    rows = [("长约100cm、3×900mm，2m", "", 1), ("下肢长约900cm", "x", 2), (None, "99米", 3), ("9000mm2 800ml", "99米，99米", 4)]
+    reports = spark.createDataFrame(rows, "ReportStr string, ConclusionStr string, report_id long")
+    assert {tuple(r) for r in checks.measure_errors(reports).collect()} >= {(1, "900mm"), (4, "99米")}
+    assert not {r["report_id"] for r in checks.measure_errors(reports).collect()} & {2, 3}
