@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tessera.functions import scan
 
 
+#: Different texts of which a task keeps the result.
+KEPT = 20_000
+
+
 def per_report(reports: DataFrame, columns: tuple[str, ...], schema: str, make: Callable[..., list[tuple]]) -> DataFrame:
     """Rows (report_id, *make(*columns)) of every report; make returns tuples in the order of the schema."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -80,10 +84,18 @@ def merged(reports: DataFrame) -> DataFrame:
     """(report_id, kind, keyword, path): entities that hierarchical merging leaves, in descriptions and in titles."""
     trie = scan.dictionary()
 
+    def rows(kind: str, text: str, known: dict[tuple, list[tuple]]) -> list[tuple]:
+        """Reports repeat descriptions and titles: a task keeps what it made of the last ``KEPT`` different ones."""
+        if (kind, text) not in known:
+            if len(known) >= KEPT:
+                known.clear()
+            known[kind, text] = [(kind, e.keyword, ">".join(e.paths[0])) for e in scan.structure(text, trie, title=kind == "title")]
+        return known[kind, text]
+
+    known: dict[tuple, list[tuple]] = {}  # each task has its own
+
     def make(desc: str, part: str) -> list[tuple]:
-        title = f"{part}/{desc.split('。')[0]}"
-        row = lambda kind, es: [(kind, e.keyword, ">".join(e.paths[0])) for e in es]
-        return row("report", scan.structure(desc, trie)) + row("title", scan.structure(title, trie, title=True))
+        return rows("report", desc, known) + rows("title", f"{part}/{desc.split('。')[0]}", known)
 
     return per_report(reports, ("ReportStr", "StudyPart"), "kind string, keyword string, path string", make)
 
