@@ -1,8 +1,11 @@
 """Work that is done once for each different report or rule: the same results as for every one."""
 
+import duckdb
 import pytest
 
-from tessera.operators import alike, audit, checks, entities as en
+from tessera.operators import alike, audit, checks, entities as en, quality
+from tessera.plans import texts  # noqa: F401  registers legacy_report
+from tessera.plans.queries import QUERIES, SQL
 
 TEXTS = [("右肺上叶见结节，大小约12mm。肝脏未见异常。", "右肺结节。"), ("肝脏见囊肿，大小约31mm。", "肝囊肿。右肺结节。"), ("双肺未见异常。", "双肺未见异常。"), ("", "肝囊肿。")]
 PART = {"右肺结节": "肺", "肝囊肿": "肝脏"}
@@ -53,3 +56,43 @@ def test_long_measures_inside_the_row(spark):
     reports = spark.createDataFrame(rows, "ReportStr string, ConclusionStr string, report_id long")
     assert {tuple(r) for r in checks.measure_errors(reports).collect()} >= {(1, "900mm"), (4, "99米")}
     assert not {r["report_id"] for r in checks.measure_errors(reports).collect()} & {2, 3}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("several", [False, True])
+def test_work_done_once_is_the_work_on_all(spark, how, several):
+    reports = reports_of(spark, 60)
+    reports = reports.unionByName(reports.where("report_id = 5").selectExpr("CAST(NULL AS LONG) AS report_id", "* EXCEPT (report_id)")) if several else reports.dropDuplicates(["report_id"])
+    seen = []
+
+    def work(r):
+        seen.append(r.count())
+        return quality.older_lists(r) if how == "left" else checks.conclusion_missing(en.entities(r))
+
+    got = alike.once(reports, ["modality", "ReportStr", "ConclusionStr"], work, how)
+    want = work(reports)
+    want = want if how == "inner" else reports.select("report_id").join(want, "report_id", "left")
+    assert got.count() == want.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert seen == ([8, 5, 63] if several else [8, 60])
+
+
+@pytest.mark.parametrize("name", ["legacy_report", "conclusion_missing"])
+def test_repeated_and_missing_ids_as_sql(spark, tmp_path, name):
+    keys = [(k % 70 if k % 9 else None, k * 7 % 31) for k in range(200)] + [(k, k % 3) for k in range(1000, 1300)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    key = lambda r: tuple(map(str, r))
+    got = QUERIES[name](spark, str(tmp_path))
+    want = duck.sql(SQL[name])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_the_older_report_is_made_once_for_each_different_one(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(25 * 19 * 2 * k + k % 2, 0) for k in range(50)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = []
+    whole = checks.conclusion_missing
+    monkeypatch.setattr(checks, "conclusion_missing", lambda e: rows.append(e.select("report_id").distinct().count()) or whole(e))
+    for name in ("legacy_report", "conclusion_missing"):
+        assert QUERIES[name](spark, str(tmp_path)).select("report_id").distinct().count() == 50
+    assert rows == [2, 2]
