@@ -76,8 +76,10 @@ def test_work_done_once_is_the_work_on_all(spark, how, several):
     assert seen == ([8, 5, 63] if several else [8, 60])
 
 
+@pytest.mark.parametrize("repeats", [0, alike.REPEATS])
 @pytest.mark.parametrize("name", ["legacy_report", "conclusion_missing"])
-def test_repeated_and_missing_ids_as_sql(spark, tmp_path, name):
+def test_repeated_and_missing_ids_as_sql(spark, tmp_path, monkeypatch, name, repeats):
+    monkeypatch.setattr(alike, "REPEATS", repeats)
     keys = [(k % 70 if k % 9 else None, k * 7 % 31) for k in range(200)] + [(k, k % 3) for k in range(1000, 1300)]
     spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     duck = duckdb.connect()
@@ -96,3 +98,14 @@ def test_the_older_report_is_made_once_for_each_different_one(spark, tmp_path, m
     for name in ("legacy_report", "conclusion_missing"):
         assert QUERIES[name](spark, str(tmp_path)).select("report_id").distinct().count() == 50
     assert rows == [2, 2]
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_reports_that_hardly_repeat_are_not_told_apart(spark, monkeypatch, times):
+    signed = []
+    whole = alike.different
+    monkeypatch.setattr(alike, "different", lambda *a: signed.append(a) or whole(*a))
+    reports = spark.createDataFrame([(k, "CT", f"肝脏见囊肿，大小约{30 + k // times}cm。", "") for k in range(48)], "report_id long, modality string, ReportStr string, ConclusionStr string")
+    got = {r["report_id"]: (r["conclusion_missing"], r["measure_unit_error"]) for r in quality.older_report(reports).collect()}
+    assert len(signed) == (times == 8)
+    assert got == {k: ([f"肝脏见囊肿，大小约{30 + k // times}cm"], [f"{30 + k // times}cm"]) for k in range(48)}
