@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +94,44 @@ def test_more_terms_than_are_sent_meet_the_texts_as_a_table(spark, monkeypatch,
     monkeypatch.setattr(v, "BLOCK", block)
     monkeypatch.setattr(v, "terms_of", lambda *_: pytest.fail("terms were sent"))
     assert {tuple(r) for r in v.counts(rows, table).collect()} == want and len(want) == 6
+
+
+RUNS = st.lists(st.lists(st.text("ab字", max_size=12), max_size=4), max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(RUNS, st.sampled_from([(4_000_000, 1 << 18), (20, 9)]), st.sets(st.integers(1, 12), min_size=1, max_size=4))
+def test_blocks_count_all_substrings(texts, limits, sizes):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(v, "PIECE", limits[0])
+        m.setattr(v, "WINDOW", limits[1])
+        block = v._Block()
+        for runs in [*texts, *texts[:1]]:
+            block.add(runs, 1)
+        got = [tuple(r.values()) for b in block.sums(sorted(sizes), np.full(16, 2**64 - 1, np.uint64)) for r in b.to_pylist()]
+    full = [*texts, *texts[:1]]
+    each = [x for runs in full for x in runs]
+    words = {x[i : i + n] for x in each for n in sizes for i in range(len(x) - n + 1)}
+    assert sorted(got) == sorted((w, sum(any(w in x for x in runs) for runs in full), sum(x.startswith(w, i) for x in each for i in range(len(x))), sum(x.count(w) for x in each)) for w in words)
+
+
+def shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_texts_substrings_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(v, "SENT", 3)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(20)]
+    words = sorted({t[k : k + 4 + k % 9] for t in texts[:4] for k in range(9, 99, 9)})
+    rows, table = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(w,) for w in words], "word string")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a large vocabulary
+    try:
+        got = {tuple(r) for r in v.counts(rows, table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(w, sum(w in t for t in texts), sum(t.startswith(w, i) for t in texts for i in range(len(t))), sum(t.count(w) for t in texts)) for w in words}
+    assert shuffled(spark) - before < 2 * sum(map(len, texts))
