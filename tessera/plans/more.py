@@ -170,7 +170,7 @@ c AS (SELECT word, CAST(sum(times * n_places) AS BIGINT) AS n_places, CAST(sum(t
 d AS (SELECT word, count(*) AS n_texts FROM (SELECT DISTINCT r, word FROM s JOIN e USING (piece)) GROUP BY 1)
 SELECT word, n_texts, n_places, n_apart FROM c JOIN d USING (word)""")
 def vocabulary_counts(spark, sf_dir):
-    """All words of the documents, counted as substrings, within other words too."""
+    """All words of 4 to 12 letters of the documents, counted as substrings, within other words too."""
     docs = _docs(spark, sf_dir).select(F.lower("text").alias("text"))
     vocab = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("word")).where(_LONG).distinct()
     return vocabulary.counts(docs, vocab)
